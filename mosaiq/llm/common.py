@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mosaiq.session import ship
+
 #: Rows that one task of a distributed rank is meant to hold.
 ROWS_PER_CHUNK = 250_000
 
@@ -66,4 +68,6 @@ def running_total(df: DataFrame, keys: list[str], classes: list[str], ties: list
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; also makes this package importable on the executors."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import chat_format, license_scan, packing, sharding
+from mosaiq.llm import chat_format, license_scan, lm_score, packing, quality, sharding, topk
 from mosaiq.llm.common import read_table
 
 
@@ -14,6 +14,14 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(read_table(spark, sf_dir, "documents"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(read_table(spark, sf_dir, "conversations"))
 
@@ -22,6 +30,10 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read_table(spark, sf_dir, "documents"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -29,8 +41,11 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": _op1,
+        "op2_lm_scoring": _op2,
+        "op3_exact_top_k": _op3,
         "op7_chat_formatting": _op7,
         "op8_balanced_shards": _op8,
+        "op9_quality_classifier": _op9,
         "op10_license_scan": _op10,
     }
 
