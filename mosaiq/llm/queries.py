@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import chat_format, license_scan, lm_score, packing, quality, sharding, topk
+from mosaiq.llm import chat_format, decontaminate, license_scan, lm_score, packing, quality, sharding, span_dedup, topk
 from mosaiq.llm.common import read_table
 
 
@@ -22,6 +22,14 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(read_table(spark, sf_dir, "conversations"))
 
@@ -43,6 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": _op1,
         "op2_lm_scoring": _op2,
         "op3_exact_top_k": _op3,
+        "op5_sentence_span_dedup": _op5,
+        "op6_benchmark_decontamination": _op6,
         "op7_chat_formatting": _op7,
         "op8_balanced_shards": _op8,
         "op9_quality_classifier": _op9,
@@ -51,4 +61,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat_format.ORACLE, "op10_license_scan": license_scan.oracle()}
+    return {
+        "op5_sentence_span_dedup": span_dedup.ORACLE,
+        "op6_benchmark_decontamination": decontaminate.ORACLE,
+        "op7_chat_formatting": chat_format.ORACLE,
+        "op10_license_scan": license_scan.oracle(),
+    }
