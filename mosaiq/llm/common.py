@@ -71,3 +71,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; also makes this package importable on the executors."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """documents but the rows whose doc_id is in ids (one column); rows with a null doc_id stay."""
+    ids = materialise(ids.toDF("__id").distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return documents.join(side, F.col("doc_id") == F.col("__id"), "left_anti")

@@ -11,10 +11,10 @@ with more windows is joined part by part. The words of a document are never shuf
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import materialise
+from mosaiq.llm.common import materialise, without_ids
 
 WORDS = 10
 PART_ROWS = 200_000
@@ -118,3 +118,9 @@ items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join words using (r) left join items using (r)
 """
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
+    """documents but those in which a window of a benchmark item occurs; another row with that doc_id goes as well."""
+    found = decontaminate(documents, benchmark, size)
+    return without_ids(documents, found.where(F.size("hits") > 0).select("doc_id"))

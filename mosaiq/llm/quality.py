@@ -182,3 +182,9 @@ def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """What op9 returns."""
     scored = score_documents(documents.select(F.col("doc_id"), "text"), train(documents, labels))
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def keep_good(documents: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
+    """documents that the classifier, trained on labelled documents, doesn't reject."""
+    columns = documents.columns
+    return score_documents(documents, train(labelled, labels)).where("predicted = 1").select(*columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import chat_format, decontaminate, license_scan, lm_score, packing, quality, sharding, span_dedup, topk
+from mosaiq.llm import chat_format, decontaminate, jaccard, license_scan, lm_score, packing, quality, sharding, span_dedup, topk
 from mosaiq.llm.common import read_table
 
 
@@ -22,6 +22,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(read_table(spark, sf_dir, "documents"))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.digest(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": _op1,
         "op2_lm_scoring": _op2,
         "op3_exact_top_k": _op3,
+        "op4_ngram_jaccard_join": _op4,
         "op5_sentence_span_dedup": _op5,
         "op6_benchmark_decontamination": _op6,
         "op7_chat_formatting": _op7,
