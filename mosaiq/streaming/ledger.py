@@ -22,7 +22,10 @@ def latest_per_key(attempts: DataFrame, keys: tuple[str, ...] = ("variant_id", "
 
 def sessions(images: DataFrame, time: str, gap: str = "300 seconds", late: str = "1 hour", *keys: str) -> DataFrame:
     """Sessions of a stream by gaps, complete once the watermark has passed them: start, end, images."""
-    out = images.withWatermark(time, late).groupBy(*keys, F.session_window(time, gap)).agg(F.count(F.lit(1)).alias("images"))
+    own = images.withWatermark(time, late)
+    if not keys:  # streams have no session windows over all rows
+        own = own.withColumn("_all", F.lit(0))
+    out = own.groupBy(*(keys or ("_all",)), F.session_window(time, gap)).agg(F.count(F.lit(1)).alias("images"))
     return out.select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "images")
 
 
