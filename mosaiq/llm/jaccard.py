@@ -8,10 +8,12 @@ share one are linked, with nothing left to verify. Sets just above the boundary
 
 Large sets: inverted lists over the e(n) smallest hashes of each set, e(n) = 0.4 n + 1. Two linked sets share at least
 min(L(n_A), L(n_B)) of these, L(n) = e(n) - (n - ceil(0.8 n)); shingles that only one class has are dropped while the
-lists are sorted. A shingle of HOT or more classes is left out of a set's lists unless the set has so many hot ones
-that these alone could be what a partner shares. Each list is scanned twice: once against one leader, which finds
-most links, then members of different components against each other, if the shared counts reach the bound. Pairs are
-verified on whole sets.
+lists are sorted. Sets with too few entries left for any partner go. Of the others whole sets are compared with each
+other in the same way, which counts how many of a set's shingles any other has: with less than 0.8 n the set goes, and
+no partner can share more than that count. A shingle of HOT or more classes is left out of a set's lists unless the set
+has so many hot ones that these alone could be what a partner shares. Each list is scanned twice: once against one
+leader, which finds most links, then members of different components against each other, if both counts and the shared
+entries reach the bounds. Pairs are verified on whole sets.
 
 The boundary is the one of least cost: subsets of each small set against list entries of each large one, over the
 corpus's own set sizes.
@@ -173,6 +175,19 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array([shingles(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], ["node", "s"])
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in b.column(1)]
+        for i in range(0, len(found), 200):
+            part = found[i : i + 200]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.repeat(b.column(0).to_numpy()[i : i + 200], [len(s) for s in part]))], ["h", "c"])
+
+
+def _runs_of(rows: DataFrame, parts: int) -> DataFrame:
+    """(h, c) of shingles that more than one c has; each task streams through its sorted part."""
+    return rows.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_shared, "h long, c long")
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         u, v = [], []
@@ -226,21 +241,26 @@ def join_documents(documents: DataFrame) -> DataFrame:
 
     rows = texts.where("text is not null and doc_id is not null").select("text").mapInArrow(_lists(bound), "h long, c long")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = rows.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_shared, "h long, c long")
+    shared = _runs_of(rows, parts)
     shared = materialise(shared, "lists")
-    entry = shared.join(classes.where(F.col("n") > bound).select("c", "node", "n"), "c").select("h", "node", "n")
-    entry = entry.join(shared.groupBy("h").agg((F.count(F.lit(1)) >= HOT).alias("hot")), "h")
-    entry = materialise(entry, "entries")
-    # no partner shares more than a set's entries here
-    stats = entry.groupBy("node", "n").agg(F.count(F.lit(1)).alias("many"), F.sum(F.col("hot").cast("int")).alias("hots"))
+    # sets whose entries here are too few for any partner go
     need = _spare(F.ceil(4 * F.col("n") / 5))
-    stats = materialise(stats.withColumn("need", need).where("many >= need").withColumn("uses_hot", F.col("hots") >= F.col("need")), "stats")
-    key = entry.join(stats.drop("n"), "node").where(~F.col("hot") | F.col("uses_hot")).select("h", "node", "n", "many", "hots", "need", "uses_hot")
+    few = shared.groupBy("c").agg(F.count(F.lit(1)).alias("many")).join(classes.where(F.col("n") > bound).select("c", "node", "n"), "c").withColumn("need", need).where("many >= need")
+    few = materialise(few, "few")
+    candidates = few.select("node")
+    ids = F.broadcast(candidates) if few.count() <= BROADCAST_IDS else candidates
+    sets = materialise(texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select("text", "doc_id").mapInArrow(_full, "node long, s binary").where("length(s) > 0"), "full")
+    # whole sets of what is left: a link needs four fifths of a set's shingles, so at least as many must be in some other set
+    known = _runs_of(sets.mapInArrow(_entries, "h long, c long"), parts).groupBy(F.col("c").alias("node")).agg(F.count(F.lit(1)).alias("common"))
+    few = materialise(few.join(known, "node").where("5 * common >= 4 * n"), "fewer")
+    entry = shared.join(few, "c").select("h", "node", "n", "many", "need", "common")
+    entry = materialise(entry, "entries")
+    hot = entry.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", (F.col("k") >= HOT).alias("hot"))
+    entry = materialise(entry.join(hot, "h"), "listed")
+    stats = entry.groupBy("node").agg(F.sum(F.col("hot").cast("int")).alias("hots"))
+    key = entry.join(stats, "node").withColumn("uses_hot", F.col("hots") >= F.col("need")).where(~F.col("hot") | F.col("uses_hot")).drop("hot")
     key = materialise(key, "keys")
     discard(shared, entry)
-    candidates = stats.select("node")
-    ids = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
-    sets = materialise(texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select("text", "doc_id").mapInArrow(_full, "node long, s binary").where("length(s) > 0"), "full")
 
     # first scan: each list against its leader, the member that shares the greatest part of its entries
     lead = key.groupBy("h").agg(F.max_by(F.struct(F.col("node").alias("v"), F.col("n").alias("m")), F.struct(F.col("many") / F.col("n"), -F.col("node"))).alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "l.v", "l.m")
@@ -252,15 +272,18 @@ def join_documents(documents: DataFrame) -> DataFrame:
     found = components(_all(links))
     placed = key.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialise(placed, "placed")
-    major = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    major = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.min("least").alias("least"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     open_ = placed.join(major, "h")
-    fields = ["node", "n", "hots", "uses_hot", "component"]
-    few = open_.where(F.col("component") != F.col("major")).select("h", "major", *fields)
+    fields = ["node", "n", "hots", "uses_hot", "component", "common"]
+    # an outsider whose common shingles are too few for the smallest member is done
+    small_enough = 9 * F.col("common") >= 4 * (F.col("n") + F.greatest(F.col("least"), F.ceil(4 * F.col("n") / 5)))
+    few = open_.where((F.col("component") != F.col("major")) & small_enough).select("h", "major", *fields)
     many = open_.select("h", *(F.col(c).alias(f"{c}2") for c in fields))
     # two outsiders meet twice; the smaller node counts that pair
     once = (F.col("component2") == F.col("major")) | (F.col("node") < F.col("node2"))
     near = (F.col("n") * 5 >= F.col("n2") * 4) & (F.col("n2") * 5 >= F.col("n") * 4)
-    meet = few.join(many, "h").where((F.col("component") != F.col("component2")) & once & near)
+    enough = 9 * F.least("common", "common2") >= 4 * (F.col("n") + F.col("n2"))
+    meet = few.join(many, "h").where((F.col("component") != F.col("component2")) & once & near & enough)
     unseen = F.when(F.col("uses_hot") & F.col("uses_hot2"), F.lit(0)).otherwise(F.least("hots", "hots2"))
     pairs = meet.groupBy(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).agg(F.count(F.lit(1)).alias("k"), F.first(unseen + 0).alias("unseen"), F.first(F.least(_spare(F.col("n")), _spare(F.col("n2")))).alias("need"))
     pairs = pairs.where(F.col("k") + F.col("unseen") >= F.col("need")).select("u", "v")
