@@ -23,6 +23,8 @@ MAX_ROWS, TRAIN_CHUNKS = 4_000, 8
 CHUNK, STEP = 256, 224
 DIMS, WIDTH, HOP, FILTERS = 4, 8, 4, 24
 EPOCHS, BATCH, RATE = 8, 32, 0.01
+#: Steps that a small training set gets at least.
+LEAST_STEPS = 800
 THRESHOLD = 0.3
 #: Chunks that are scored at once.
 AT_ONCE = 1024
@@ -70,6 +72,7 @@ class Network:
         r = np.random.default_rng(seed)
         mean, square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         t = 0
+        epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(docs)))
         steps = epochs * -(-len(docs) // BATCH)
         for _ in range(epochs):
             order = r.permutation(len(docs))

@@ -18,10 +18,10 @@ SHARDS = 8
 ROUNDS = 6
 
 
-def _propagate(cells: DataFrame, quota: DataFrame) -> DataFrame:
-    """One round over cells (g1, g2, shard, n); quota (shard, quota) has one row a shard."""
+def _propagate(cells: DataFrame, quota: DataFrame, turn: int) -> DataFrame:
+    """One round over cells (g1, g2, shard, n); quota (shard, quota) has one row a shard. Ties fall anew each turn."""
     group = ["g1", "g2"]
-    best = cells.groupBy(*group).agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("target"), F.max("n").alias("top"))
+    best = cells.groupBy(*group).agg(F.max_by("shard", F.struct("n", F.xxhash64(F.lit(turn), "g1", "shard"))).alias("target"), F.max("n").alias("top"))
     wish = cells.join(best, group).withColumn("moves", F.col("shard") != F.col("target"))
     load = wish.groupBy("shard").agg(F.sum("n").alias("load"))
     free = quota.join(load, "shard", "left").select(F.col("shard").alias("target"), (F.col("quota") - F.coalesce("load", F.lit(0))).alias("free"))
@@ -61,8 +61,8 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, rounds: int = RO
     cells = rows.groupBy("g1", "g2", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     linked = cells.join(rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").drop("all"), ["g1", "g2"])
     cells = materialise(linked, "cells")
-    for _ in range(rounds):
-        old, cells = cells, materialise(_propagate(cells, quota), "cells")
+    for turn in range(rounds):
+        old, cells = cells, materialise(_propagate(cells, quota, turn), "cells")
         discard(old)
     # cut what a shard holds beyond its quota, smallest cells first to go, and hand it to the filler
     ordered = running_total(cells.withColumn("class", -F.floor(F.log2("n")).cast("int")), ["shard"], ["class"], ["g1", "g2"], F.col("n"), "before", 64)
