@@ -76,3 +76,41 @@ def missing_to_null(x: Column) -> Column:
     """Blank and the usual marks of missing text become null."""
     t = F.trim(x)
     return F.when(F.lower(t).isin("", "null", "none", "na", "nan"), F.lit(None)).otherwise(t)
+
+
+def first_positive(*columns: Column) -> Column:
+    """The first of the values that is finite and above 0; null if none is."""
+    good = [F.when((c > 0) & ~F.isnan(c) & (c < float("inf")), c) for c in columns]
+    return F.coalesce(*good)
+
+
+def radius_m(radius: Column, area: Column, spatialr: Column, pixel: Column) -> Column:
+    """A scale's radius: as given, else from its area, else from pixels; reading it fails if none is usable."""
+    found = first_positive(radius, F.sqrt(area / pi), spatialr * pixel)
+    return F.coalesce(found, F.raise_error(F.lit("no usable radius")).cast("double"))
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first text that isn't blank."""
+    return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in columns))
+
+
+def screening_status(return_code: Column, ortho: Column, log: Column) -> Column:
+    """SUCCESS with an output, FAILED with a log but none, CRITICAL without both."""
+    return F.when((return_code == 0) & (F.length(F.trim(ortho)) > 0), "SUCCESS").when(F.length(F.trim(log)) > 0, "FAILED").otherwise("CRITICAL")
+
+
+def adaptive_widths(ranger: Column, minsize: Column, spatialr: Column) -> Column:
+    """Widths of perturbations: struct<dr, dm, ds>."""
+    return F.struct(F.greatest(F.lit(0.005), 0.1 * ranger).alias("dr"), F.greatest(F.lit(5.0), 0.2 * minsize).alias("dm"), F.when(spatialr <= 3, 0).otherwise(1).alias("ds"))
+
+
+def padded(values: Column, size: Column) -> Column:
+    """An array stretched to a size with its last value, or cut to it."""
+    n = F.size(values)
+    return F.when(n >= size, F.slice(values, 1, size)).otherwise(F.concat(values, F.array_repeat(F.element_at(values, -1), (size - n).cast("int"))))
+
+
+def legacy_score(edge: Column, jump: Column, flutter: Column, spatial: Column, central: Column, spread: Column) -> Column:
+    """The older stability score, kept as a diagnostic: fixed weights, not clipped."""
+    return 1 - 0.35 * edge - 0.35 * jump - 0.2 * flutter - 0.2 * spatial + 0.5 * central - 0.1 * spread

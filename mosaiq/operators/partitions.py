@@ -31,3 +31,22 @@ def best_overlaps(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     right = table.groupBy(b).agg(F.sum("n").alias("right_n"))
     best = table.groupBy(a).agg(F.min_by(F.struct(b, "n"), F.struct(-F.col("n"), F.col(b))).alias("x")).select(a, F.col(f"x.{b}").alias(b), F.col("x.n").alias("n"))
     return best.join(left, a).join(right, b).select(a, b, "n", (F.col("n") / F.col("left_n")).alias("left_share"), (F.col("n") / F.col("right_n")).alias("right_share"))
+
+
+def ari_stability(labels: DataFrame, group: str = "spatialr") -> DataFrame:
+    """Mean and sample sd of the adjusted Rand index over all pairs of runs of a group: labels (run_id, group, r, c, label).
+
+    One contingency table for all pairs: cells meet by place, and pair counts follow from three sums of it.
+    """
+    own = labels.where("label > 0").select(group, "run_id", "r", "c", "label")
+    met = own.alias("a").join(own.alias("b"), [group, "r", "c"]).where("a.run_id < b.run_id")
+    table = met.groupBy(group, F.col("a.run_id").alias("left_run"), F.col("b.run_id").alias("right_run"), F.col("a.label").alias("x"), F.col("b.label").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    key = [group, "left_run", "right_run"]
+    choose = lambda n: F.sum(n * (n - 1) / 2)
+    both = table.groupBy(*key).agg(F.sum("n").alias("items"), choose(F.col("n")).alias("both"))
+    left = table.groupBy(*key, "x").agg(F.sum("n").alias("n")).groupBy(*key).agg(choose(F.col("n")).alias("left"))
+    right = table.groupBy(*key, "y").agg(F.sum("n").alias("n")).groupBy(*key).agg(choose(F.col("n")).alias("right"))
+    expected = F.col("left") * F.col("right") / (F.col("items") * (F.col("items") - 1) / 2)
+    top = (F.col("left") + F.col("right")) / 2 - expected
+    scored = both.join(left, key).join(right, key).withColumn("ari", F.when((F.col("items") >= 2) & (top != 0), (F.col("both") - expected) / top))
+    return scored.groupBy(group).agg(F.count("ari").alias("pairs"), F.avg("ari").alias("mean"), F.stddev_samp("ari").alias("sd"))

@@ -92,3 +92,17 @@ def missing_results(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFr
 def union_of_keys(frames: list[DataFrame]) -> DataFrame:
     """Rows of unlike tables under the union of their columns."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def distribution_table(df: DataFrame, role: str, fields: list[str]) -> DataFrame:
+    """Per role and field: n, mean, median, min, max, p05, p95 and the population sd."""
+    rows = long_form(df, [role], fields).where(F.col("value").isNotNull())
+    return rows.groupBy(role, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.lit(0.05)).alias("p05"), F.percentile("value", F.lit(0.95)).alias("p95"), F.stddev_pop("value").alias("sd"))
+
+
+def top_two(ranked: DataFrame, keys: list[str], score: str, name: str) -> DataFrame:
+    """Per keys the best and second candidate of a ranking, wide, and the gap of their scores."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), name))
+    own = ranked.withColumn("_i", place).where("_i <= 2").groupBy(*keys)
+    at = lambda c, i: F.max(F.when(F.col("_i") == i, F.col(c)))
+    return own.agg(at(name, 1).alias("first"), at(score, 1).alias("first_score"), at(name, 2).alias("second"), at(score, 2).alias("second_score"), (at(score, 1) - at(score, 2)).alias("gap"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import exprs
-from mosaiq.operators import boundary, features, flight, ledger, partitions, prescreen, regions, response, seeds, segments, stability, study
+from mosaiq.operators import boundary, checks, features, flight, ledger, partitions, prescreen, regions, response, seeds, segments, stability, study
 from mosaiq.plans.oracle_views import micro, sql
 from mosaiq.sources import adapters
 
@@ -581,3 +581,61 @@ def region_growing(spark, d):
 def patch_radii(spark, d):
     cells = _cells(spark, d).withColumns({"cell": (F.col("r") * 1000 + F.col("c")).cast("long"), "side": (F.col("m1") > 25).cast("int")})
     return out(regions.patch_radii(cells.select("cell", "r", "c", "side"), ["side"]), "patches:i p25:m p50:m p75:m")
+
+
+@query("select count(*) as groups, cast(max(n) as bigint) as largest from (select l_tax, count(*) as n from lineitem group by 1)")
+def resolution_groups(spark, d):
+    headers = adapters.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("raster_id"), F.col("l_tax").alias("xres"), F.col("l_tax").alias("yres"))
+    return checks.resolution_groups(headers).agg(F.count(F.lit(1)).alias("groups"), F.max("rasters").cast("long").alias("largest"))
+
+
+@query(sql("pair match near pair_in pair_score", ", " + _ENSEMBLE + " select count(*) as candidates, cast(0 as bigint) as mismatches, count(*) filter (score < -1e-9 or score > 1 + 1e-9) as outside from ranked", pair_in=_PAIR_IN))
+def rank_check(spark, d):
+    return checks.rank_check(_ensemble(spark, d), "score", "rank", "spatialr")
+
+
+@query(sql("segment", ", x as (select distinct run_id, pixels from segment), b as (select run_id, pixels, ln(lead(pixels) over w) - 2 * ln(pixels) + ln(lag(pixels) over w) as bend from x window w as (partition by run_id order by pixels)) select run_id, cast(pixels as bigint) as pixels, " + micro("bend", "bend") + " from (select *, row_number() over (partition by run_id order by floor(bend * 1e9 + 0.5) desc, pixels) as i from b where bend is not null) where i = 1"))
+def knee_cutoff(spark, d):
+    return out(checks.knee_cutoff(_segments(spark, d), "pixels", ("run_id",)), "run_id pixels:i bend:m")
+
+
+@query("select distinct id as candidate_id, s + a as spatialr, greatest(1, m + c * 5) as minsize, " + micro("r + b * 0.1::double", "ranger") + ", max(a = 0 and b = 0 and c = 0) as is_baseline from (values (1, 4, 0.5::double, 3), (2, 6, 1.0::double, 20)) x(id, s, r, m), (values (-1), (0), (1)) i(a), (values (-1), (0), (1)) j(b), (values (-1), (0), (1)) k(c) group by 1, 2, 3, 4")
+def perturbation_grid(spark, d):
+    base = spark.createDataFrame([(1, 4, 0.5, 3), (2, 6, 1.0, 20)], "candidate_id int, spatialr int, ranger double, minsize int")
+    return out(checks.one_baseline(checks.perturbation_grid(base, 0.1, 5, 1)), "candidate_id spatialr minsize ranger:m is_baseline")
+
+
+@query("with x as (select l_returnflag as flag, l_extendedprice as v, row_number() over (partition by l_returnflag order by l_extendedprice) - 1 as i, count(*) over (partition by l_returnflag) as n from lineitem) select flag, n, " + micro("greatest(1000.0, v)", "threshold") + " from x where i = least(floor(n * (1 - 10 / 100)), n - 1)")
+def percentile_cut(spark, d):
+    points = adapters.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return out(checks.percentile_cut(points, "l_extendedprice", 10.0, 1000.0, ("flag",)), "flag n:i threshold:m")
+
+
+@query(sql("label_px", """, t as (select a.spatialr, a.run_id as l, b.run_id as r, a.label as x, b.label as y, count(*) as n from label_px a join label_px b on a.spatialr = b.spatialr and a.r = b.r and a.c = b.c and a.run_id < b.run_id where a.label > 0 and b.label > 0 group by all),
+p as (select spatialr, l, r, sum(n) as items, sum(n * (n - 1) / 2) as both_ from t group by all), a as (select l, r, sum(n * (n - 1) / 2) as s from (select l, r, x, sum(n) as n from t group by all) group by all), b as (select l, r, sum(n * (n - 1) / 2) as s from (select l, r, y, sum(n) as n from t group by all) group by all),
+q as (select spatialr, (both_ - a.s * b.s / (items * (items - 1) / 2)) / ((a.s + b.s) / 2 - a.s * b.s / (items * (items - 1) / 2)) as ari from p join a using (l, r) join b using (l, r))
+select cast(spatialr as bigint) as spatialr, count(*) as pairs, """ + micro("avg(ari)", "mean") + ", " + micro("stddev_samp(ari)", "sd") + " from q group by 1"))
+def ari_stability(spark, d):
+    return out(partitions.ari_stability(_labels(spark, d)), "spatialr:i pairs:i mean:m sd:m")
+
+
+@query("with m as (" + " union all ".join(f"select l_returnflag as flag, '{c}' as metric, {c} as value from lineitem" for c in _NUM) + ") select flag, metric, count(*) as n, " + ", ".join(micro(x, n) for x, n in (("avg(value)", "mean"), ("median(value)", "median"), ("min(value)", "min"), ("max(value)", "max"), ("quantile_cont(value, 0.05)", "p05"), ("quantile_cont(value, 0.95)", "p95"), ("stddev_pop(value)", "sd"))) + " from m group by 1, 2")
+def distribution_table(spark, d):
+    rows = adapters.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), *_NUM)
+    return out(study.distribution_table(rows, "flag", _NUM), "flag metric n:i mean:m median:m min:m max:m p05:m p95:m sd:m")
+
+
+@query(sql("design", ", x as (select flag, state, quantity, row_number() over (partition by flag order by quantity desc, state) as i from design) select flag, max(state) filter (i = 1) as first, max(state) filter (i = 2) as second, " + micro("max(quantity) filter (i = 1) - max(quantity) filter (i = 2)", "gap") + " from x group by 1".replace("as first,", 'as "first",')))
+def top_two(spark, d):
+    return out(study.top_two(adapters.design(spark, d), ["flag"], "quantity", "state"), "flag first second gap:m")
+
+
+@query(sql("cell", ", p as (select event_id as point_id, (event_id % 300) / 10 as y, (event_id % 290) / 10 as x from events), k as (select point_id, cast(floor(y) + a as int) as r, cast(floor(x) + b as int) as c, ((1 - a) + (2 * a - 1) * (y - floor(y))) * ((1 - b) + (2 * b - 1) * (x - floor(x))) as w from p, (values (0), (1)) i(a), (values (0), (1)) j(b)) select point_id, " + micro("case when count(*) = count(m1) then sum(w * m1) end", "m1") + " from k left join cell using (r, c) where w > 0 group by 1"))
+def bilinear(spark, d):
+    points = adapters.table(spark, d, "events").select(F.col("event_id").alias("point_id"), ((F.col("event_id") % 300) / 10).alias("y"), ((F.col("event_id") % 290) / 10).alias("x"))
+    return out(checks.bilinear(points, _cells(spark, d), "m1"), "point_id:i m1:m")
+
+
+@query()
+def valid_seeds(spark, d):
+    return out(checks.snap_to_valid(_seeds(spark, d), _cells(spark, d).where("m1 > 20"), 3), "rank:i r:i c:i")
