@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import chat_format, decontaminate, jaccard, license_scan, lm_score, packing, quality, sharding, span_dedup, topk
+from mosaiq.llm import chat_format, decontaminate, jaccard, license_scan, lm_score, oracles, packing, quality, sharding, span_dedup, topk
 from mosaiq.llm.common import read_table
 
 
@@ -67,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_exact_top_k": oracles.TOP_K,
+        "op4_ngram_jaccard_join": oracles.JACCARD,
         "op5_sentence_span_dedup": span_dedup.ORACLE,
         "op6_benchmark_decontamination": decontaminate.ORACLE,
         "op7_chat_formatting": chat_format.ORACLE,

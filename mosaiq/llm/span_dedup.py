@@ -1,10 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: runs that end with marks out of ``.!?`` or line ends. Sentences without words are not
-counted. Every run of SENTENCES consecutive sentences with at least LEAST_WORDS words is hashed; a text with fewer
-sentences is one run. Runs are compared without case and with white space collapsed. Where a run occurs more than
-once in the corpus, the first occurrence (by doc_id, then text hash, then place) stays and all sentences that another
-one covers go.
+counted. Every run of three consecutive sentences with at least 8 words is hashed, and so are runs of two with at
+least 16 words and single sentences of at least 25, so that passages of few long sentences are seen as well; a text
+with fewer than three sentences is also one run. Runs are compared without case and with white space collapsed. Where
+a run occurs more than once in the corpus, the first occurrence (by doc_id, then text hash, then place) stays and all
+sentences that another one covers go.
 
 Two shuffles find the repeats: one counts 64-bit hashes, summed in each task before; the other brings only
 runs whose hash occurred twice together, where 32 more bits must agree. The texts move once, to meet their places.
@@ -24,8 +25,8 @@ from pyspark.sql.types import IntegerType
 
 from mosaiq.llm.common import discard, materialise
 
-SENTENCES = 3
-LEAST_WORDS = 8
+#: Sentences of a run, and the words that a run of so many holds at least.
+RUNS = {3: 8, 2: 16, 1: 25}
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z")
 
 
@@ -34,20 +35,20 @@ def sentences(text: str) -> list[str]:
     return _SENTENCE.findall(text)
 
 
-def _runs(pieces: list[str], size: int, least: int) -> Iterator[tuple[int, str]]:
-    """First place (among sentences with words) and normal form of each run."""
+def _runs(pieces: list[str]) -> Iterator[tuple[int, str]]:
+    """Place and normal form of each run; a place is 4 * first sentence (of those with words) + sentences."""
     norm = [w for w in (p.lower().split() for p in pieces) if w]
-    size = min(size, len(norm))
-    if not size:
-        return
-    counts = [len(w) for w in norm]
     lines = [" ".join(w) for w in norm]
-    words = sum(counts[:size])
-    for at in range(len(norm) - size + 1):
-        if words >= least:
-            yield at, " ".join(lines[at : at + size])
-        if at + size < len(norm):
-            words += counts[at + size] - counts[at]
+    total = [0]
+    for w in norm:
+        total.append(total[-1] + len(w))
+    n, most = len(norm), max(RUNS)
+    for k, least in RUNS.items():
+        for at in range(n - k + 1):
+            if total[at + k] - total[at] >= least:
+                yield 4 * at + k, "\n".join(lines[at : at + k])
+    if 0 < n < most and RUNS[most] <= total[n] < RUNS[n]:
+        yield n, "\n".join(lines)
 
 
 def _hash(run: str) -> tuple[int, int]:
@@ -57,52 +58,46 @@ def _hash(run: str) -> tuple[int, int]:
     return low - (low >> 63 << 64), high - (high >> 31 << 32)
 
 
-def _count(size: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[int] = []
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[int] = []
 
-        def summed() -> pa.RecordBatch:
-            h, n = np.unique(np.array(held, dtype=np.int64), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
+    def summed() -> pa.RecordBatch:
+        h, n = np.unique(np.array(held, dtype=np.int64), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-        for b in batches:
-            for text in b.column(0):
-                held += [_hash(r)[0] for _, r in _runs(sentences(text.as_py()), size, least)]
-                if len(held) >= 500_000:
-                    yield summed()
-        if held:
-            yield summed()
-
-    return run
+    for b in batches:
+        for text in b.column(0):
+            held += [_hash(r)[0] for _, r in _runs(sentences(text.as_py()))]
+            if len(held) >= 500_000:
+                yield summed()
+    if held:
+        yield summed()
 
 
-def _spans(size: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
 
-        def rows() -> pa.RecordBatch:
-            h, h2, d, t, at = zip(*held, strict=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(h2, pa.int32()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(at, pa.int32())], ["h", "h2", "d", "t", "at"])
-
-        for b in batches:
-            for text, d, t in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held += [(*_hash(r), d, t, at) for at, r in _runs(sentences(text.as_py()), size, least)]
-                if len(held) >= 50_000:
-                    yield rows()
-        if held:
-            yield rows()
+    def rows() -> pa.RecordBatch:
+        h, h2, d, t, at = zip(*held, strict=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(h2, pa.int32()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(at, pa.int32())], ["h", "h2", "d", "t", "at"])
 
-    return run
+    for b in batches:
+        for text, d, t in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            held += [(*_hash(r), d, t, at) for at, r in _runs(sentences(text.as_py()))]
+            if len(held) >= 50_000:
+                yield rows()
+    if held:
+        yield rows()
 
 
-def _cut(text: str | None, places: list[int] | None, size: int) -> tuple[str | None, int, int]:
+def _cut(text: str | None, places: list[int] | None) -> tuple[str | None, int, int]:
     """The text without the sentences of the runs at these places; sentences before; sentences removed."""
     pieces = sentences(text or "")
     if not places:
         return text, sum(bool(p.split()) for p in pieces), 0
-    gone = {at + k for at in places for k in range(size)}
+    gone = {p // 4 + k for p in places for k in range(p % 4)}
     kept, at, removed = [], -1, 0
     drop = False
     for p in pieces:
@@ -119,7 +114,7 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def dedup_spans(documents: DataFrame, size: int = SENTENCES, least: int = LEAST_WORDS) -> DataFrame:
+def dedup_spans(documents: DataFrame) -> DataFrame:
     """documents with repeated runs cut out of `text`, and two more columns: n_sentences, n_removed.
 
     Null texts stay null and have no sentences; empty texts stay. Rows with equal doc_id and text count as one document:
@@ -128,8 +123,8 @@ def dedup_spans(documents: DataFrame, size: int = SENTENCES, least: int = LEAST_
     """
     columns = [c for c in documents.columns if c not in ("n_sentences", "n_removed")]
     own = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("d"), text_hash(F.col("text")).alias("t")).where("text is not null and text != ''")
-    repeated = own.select("text").mapInArrow(_count(size, least), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    spans = own.mapInArrow(_spans(size, least), "h long, h2 int, d long, t long, at int")
+    repeated = own.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    spans = own.mapInArrow(_spans, "h long, h2 int, d long, t long, at int")
     found = materialise(spans.join(repeated, "h", "left_semi"), "spans")
     first = found.groupBy("h", "h2").agg(F.min(F.struct("d", "t", "at")).alias("first"), F.max(F.struct("d", "t", "at")).alias("last")).where("first != last")
     later = found.join(first, ["h", "h2"]).where(~F.struct("d", "t", "at").eqNullSafe(F.col("first")))
@@ -142,12 +137,12 @@ def dedup_spans(documents: DataFrame, size: int = SENTENCES, least: int = LEAST_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [_cut(x.as_py(), p, s) for x, p, s in zip(b.column(field), b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist(), strict=True)]
+            done = [_cut(x.as_py(), p) for x, p in zip(b.column(field), b.column(len(columns)).to_pylist(), strict=True)]
             text, n, gone = zip(*done, strict=True) if done else ((), (), ())
             arrays = [pa.array(text, pa.string()) if k == field else b.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int32()), pa.array(gone, pa.int32())], [*columns, "n_sentences", "n_removed"])
 
-    out = joined.select(*columns, "__places", F.lit(size))
+    out = joined.select(*columns, "__places")
     return out.mapInArrow(cut, schema.add("n_sentences", IntegerType()).add("n_removed", IntegerType()))
 
 
@@ -163,11 +158,14 @@ p as (select doc_id, text, unnest(s) as piece, unnest(range(len(s))) as k from (
 q as (select *, sum(cast(regexp_matches(piece, '[^\s]') as int)) over (partition by doc_id, text order by k) - 1 as pos,
   regexp_matches(piece, '[^\s]') as own, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) as line from p),
 w as (select doc_id, text, pos, line, len(string_split(line, ' ')) as words, count(*) over (partition by doc_id, text) as n from q where own),
-r as (select *, string_agg(line, ' ') over s as run, sum(words) over s as run_words from w
-  window s as (partition by doc_id, text order by pos rows between current row and 2 following)),
-runs as (select doc_id, text, pos, run from r where pos <= greatest(n - 3, 0) and run_words >= 8),
-firsts as (select run, first(struct_pack(d := doc_id, t := text, a := pos) order by doc_id, text, pos) as f from runs group by run having count(*) > 1),
-gone as (select distinct doc_id, text, pos + unnest(range(3)) as pos from runs join firsts using (run) where not (f.d = doc_id and f.t = text and f.a = pos)),
+r as (select *, string_agg(line, chr(10)) over s2 as run2, sum(words) over s2 as words2, string_agg(line, chr(10)) over s3 as run3, sum(words) over s3 as words3 from w
+  window s2 as (partition by doc_id, text order by pos rows between current row and 1 following), s3 as (partition by doc_id, text order by pos rows between current row and 2 following)),
+runs as (select doc_id, text, pos, 3 as k, run3 as run from r where pos <= n - 3 and words3 >= 8
+  union select doc_id, text, pos, 2, run2 from r where pos <= n - 2 and words2 >= 16
+  union select doc_id, text, pos, 1, line from r where words >= 25
+  union select doc_id, text, pos, cast(n as int), run2 from r where pos = 0 and n < 3 and words2 >= 8),
+firsts as (select k, run, first(struct_pack(d := doc_id, t := text, a := pos) order by doc_id, text, pos) as f from runs group by k, run having count(*) > 1),
+gone as (select distinct doc_id, text, pos + unnest(range(k)) as pos from runs join firsts using (k, run) where not (f.d = doc_id and f.t = text and f.a = pos)),
 cut as (select q.doc_id, q.text, string_agg(case when g.pos is null then piece else '' end, '' order by k) as kept,
     cast(max(q.pos) + 1 as int) as n_sentences, cast(count(distinct g.pos) as int) as n_removed
   from q left join gone g on g.doc_id = q.doc_id and g.text = q.text and g.pos = q.pos group by 1, 2)

@@ -10,23 +10,23 @@ from mosaiq.llm import decontaminate, span_dedup
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def spans_brute(rows, size=3, least=8):
+def spans_brute(rows):
     seen = defaultdict(set)
     cut = {}
     for d, t in set(rows):
         pieces = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z", t or "")
         own = [i for i, p in enumerate(pieces) if p.split()]
         cut[d, t] = (pieces, own)
-        k = min(size, len(own))
-        for s in range(len(own) - k + 1) if k else []:
-            words = [w for i in own[s : s + k] for w in pieces[i].lower().split()]
-            if len(words) >= least:
+        for k in (1, 2, 3):
+            for s in range(len(own) - k + 1):
                 key = tuple(tuple(pieces[i].lower().split()) for i in own[s : s + k])
-                seen[key].add((d, t, s))
+                words = sum(map(len, key))
+                if words >= {1: 25, 2: 16, 3: 8}[k] or k == len(own) and words >= 8:
+                    seen[key].add((d, t, s, k))
     gone = defaultdict(set)
     for places in seen.values():
-        for d, t, s in sorted(places)[1:]:
-            gone[d, t] |= set(range(s, min(s + size, len(cut[d, t][1]))))
+        for d, t, s, k in sorted(places)[1:]:
+            gone[d, t] |= set(range(s, s + k))
     out = []
     for d, t in rows:
         if t is None:
@@ -44,7 +44,7 @@ def spans_brute(rows, size=3, least=8):
 
 def test_spans_equal_brute_force(spark):
     r = random.Random(4)
-    line = lambda: " ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(1, 9))) + r.choice([". ", "! ", "\n", "?\n\n", ". . "])
+    line = lambda: " ".join(f"w{r.randrange(40)}" for _ in range(r.choice([1, 3, 5, 8, 14, 27]))) + r.choice([". ", "! ", "\n", "?\n\n", ". . "])
     shared = ["".join(line() for _ in range(6)) for _ in range(4)]
     rows = []
     for i in range(60):
