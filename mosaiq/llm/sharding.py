@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import chunk_count, discard, materialise, running_total
 
 SHARDS = 8
-ROUNDS = 6
+ROUNDS = 4
 
 
 def _propagate(cells: DataFrame, quota: DataFrame, turn: int) -> DataFrame:
