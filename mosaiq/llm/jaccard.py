@@ -12,8 +12,9 @@ lists are sorted. Sets with too few entries left for any partner go. Of the othe
 other in the same way, which counts how many of a set's shingles any other has: with less than 0.8 n the set goes, and
 no partner can share more than that count. A shingle of HOT or more classes is left out of a set's lists unless the set
 has so many hot ones that these alone could be what a partner shares. Each list is scanned twice: once against one
-leader, which finds most links, then members of different components against each other, if both counts and the shared
-entries reach the bounds. Pairs are verified on whole sets.
+leader, which finds most links, then members of different components against each other. Two sets that both use hot
+ones either share nothing else, and need enough hot shingles each, or meet in the lists of their other shingles. Pairs
+that reach these bounds are verified on whole sets.
 
 The boundary is the one of least cost: subsets of each small set against list entries of each large one, over the
 corpus's own set sizes.
@@ -170,6 +171,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[give]), pa.array(c[give])], ["h", "c"])
 
 
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h with `hot`: whether their h has HOT rows or more. Holds one batch and fewer than HOT rows."""
+    h, c, told = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), None  # held rows of the last h; the last h if it is hot
+    names = ["h", "c", "hot"]
+    for b in batches:
+        h, c = np.concatenate([h, b.column(0).to_numpy()]), np.concatenate([c, b.column(1).to_numpy()])
+        if not len(h):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(h)]]))
+        hot = sizes >= HOT
+        hot[0] |= h[0] == told
+        told = int(h[-1]) if hot[-1] else None
+        end = len(h) if hot[-1] else starts[-1]
+        if end:
+            yield pa.RecordBatch.from_arrays([pa.array(h[:end]), pa.array(c[:end]), pa.array(np.repeat(hot, sizes)[:end])], names)
+        h, c = h[end:], c[end:]
+    if len(h):
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(np.zeros(len(h), dtype=bool))], names)
+
+
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array([shingles(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], ["node", "s"])
@@ -214,6 +236,24 @@ def _small_links(classes: DataFrame, bound: int) -> DataFrame:
     return rows.join(other, [*key, "n"]).select(F.col("node").alias("u"), F.col("first").alias("v")).where("u != v").distinct()
 
 
+def _apart(lists: DataFrame, found: DataFrame, fields: list[str], able) -> DataFrame:
+    """Pairs of members of one list (h, node, n, fields) in different components and of sizes that can link: u, v, both fields.
+
+    In each list one side is the members outside its largest component that are `able` to link with the list's smallest
+    member (column `least`), the other side all members; a pair of two outsiders comes once.
+    """
+    placed = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    largest = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("m")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.min("m").alias("least"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    open_ = placed.join(largest, "h")
+    names = ["node", "n", "component", *fields]
+    outside = open_.where((F.col("component") != F.col("major")) & able).select("h", "major", *names)
+    every = open_.withColumn("able2", able).select("h", "able2", *(F.col(c).alias(f"{c}2") for c in names))
+    once = (F.col("component2") == F.col("major")) | ~F.col("able2") | (F.col("node") < F.col("node2"))
+    near = (F.col("n") * 5 >= F.col("n2") * 4) & (F.col("n2") * 5 >= F.col("n") * 4)
+    met = outside.join(every, "h").where((F.col("component") != F.col("component2")) & once & near)
+    return met.withColumns({"u": F.least("node", "node2"), "v": F.greatest("node", "node2")})
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) that link."""
     left = pairs.join(sets.withColumnsRenamed({"node": "v", "s": "t"}), "v")
@@ -251,15 +291,19 @@ def join_documents(documents: DataFrame) -> DataFrame:
     ids = F.broadcast(candidates) if few.count() <= BROADCAST_IDS else candidates
     sets = materialise(texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select("text", "doc_id").mapInArrow(_full, "node long, s binary").where("length(s) > 0"), "full")
     # whole sets of what is left: a link needs four fifths of a set's shingles, so at least as many must be in some other set
-    known = _runs_of(sets.mapInArrow(_entries, "h long, c long"), parts).groupBy(F.col("c").alias("node")).agg(F.count(F.lit(1)).alias("common"))
+    whole = _runs_of(sets.mapInArrow(_entries, "h long, c long"), parts).mapInArrow(_flagged, "h long, c long, hot boolean")
+    whole = materialise(whole.withColumnRenamed("c", "node"), "whole-lists")
+    known = whole.groupBy("node").agg(F.count(F.lit(1)).alias("common"), F.count_if("hot").alias("warm"))
     few = materialise(few.join(known, "node").where("5 * common >= 4 * n"), "fewer")
-    entry = shared.join(few, "c").select("h", "node", "n", "many", "need", "common")
+    hot = materialise(whole.where("hot").select("h", "hot").distinct(), "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    side = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+    entry = shared.join(side, "c").select("h", "node", "n", "many", "need", "common", "warm").join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     entry = materialise(entry, "entries")
-    hot = entry.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", (F.col("k") >= HOT).alias("hot"))
-    entry = materialise(entry.join(hot, "h"), "listed")
-    stats = entry.groupBy("node").agg(F.sum(F.col("hot").cast("int")).alias("hots"))
-    key = entry.join(stats, "node").withColumn("uses_hot", F.col("hots") >= F.col("need")).where(~F.col("hot") | F.col("uses_hot")).drop("hot")
+    stats = entry.groupBy("node").agg(F.count_if("hot").alias("hots"))
+    key = entry.join(stats, "node").withColumn("uses_hot", F.col("hots") >= F.col("need")).where(~F.col("hot") | F.col("uses_hot"))
     key = materialise(key, "keys")
+    mixed = key.where("uses_hot").select("node", "n", "warm").distinct()
     discard(shared, entry)
 
     # first scan: each list against its leader, the member that shares the greatest part of its entries
@@ -269,26 +313,22 @@ def join_documents(documents: DataFrame) -> DataFrame:
     links.append(materialise(_verify(pairs.select("u", "v"), sets), "leader-links"))
 
     # second scan: what is still apart
-    found = components(_all(links))
-    placed = key.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialise(placed, "placed")
-    major = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.min("least").alias("least"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    open_ = placed.join(major, "h")
-    fields = ["node", "n", "hots", "uses_hot", "component", "common"]
-    # an outsider whose common shingles are too few for the smallest member is done
-    small_enough = 9 * F.col("common") >= 4 * (F.col("n") + F.greatest(F.col("least"), F.ceil(4 * F.col("n") / 5)))
-    few = open_.where((F.col("component") != F.col("major")) & small_enough).select("h", "major", *fields)
-    many = open_.select("h", *(F.col(c).alias(f"{c}2") for c in fields))
-    # two outsiders meet twice; the smaller node counts that pair
-    once = (F.col("component2") == F.col("major")) | (F.col("node") < F.col("node2"))
-    near = (F.col("n") * 5 >= F.col("n2") * 4) & (F.col("n2") * 5 >= F.col("n") * 4)
-    enough = 9 * F.least("common", "common2") >= 4 * (F.col("n") + F.col("n2"))
-    meet = few.join(many, "h").where((F.col("component") != F.col("component2")) & once & near & enough)
-    unseen = F.when(F.col("uses_hot") & F.col("uses_hot2"), F.lit(0)).otherwise(F.least("hots", "hots2"))
-    pairs = meet.groupBy(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).agg(F.count(F.lit(1)).alias("k"), F.first(unseen + 0).alias("unseen"), F.first(F.least(_spare(F.col("n")), _spare(F.col("n2")))).alias("need"))
-    pairs = pairs.where(F.col("k") + F.col("unseen") >= F.col("need")).select("u", "v")
+    found = materialise(components(_all(links)), "components")
+    least = 4 * (F.col("n") + F.greatest(F.col("least"), F.ceil(4 * F.col("n") / 5)))  # ninths of what the smallest member must share
+    n2 = 4 * (F.col("n") + F.col("n2"))
+    listed = key.select("h", "node", "n", "hot", "hots", "uses_hot", "common", "warm")
+    # lists that aren't hot, and pairs of which one set doesn't use hot ones
+    met = _apart(listed.where("not hot"), found, ["hots", "uses_hot", "common"], 9 * F.col("common") >= least)
+    met = met.where(~(F.col("uses_hot") & F.col("uses_hot2")) & (9 * F.least("common", "common2") >= n2))
+    met = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("hots", "hots2")).alias("unseen"), F.first(F.least(_spare(F.col("n")), _spare(F.col("n2")))).alias("need")).where(F.col("k") + F.col("unseen") >= F.col("need"))
+    # two sets that use hot ones and share nothing else: both have enough hot shingles for a link
+    hot_met = _apart(listed.where("hot"), found, ["warm"], 9 * F.col("warm") >= least).where(9 * F.least("warm", "warm2") >= n2)
+    # or share something else in their whole sets: all of that and the hot ones must be enough
+    rare = whole.where("not hot").drop("hot").join(mixed, "node")
+    rare_met = _apart(rare, found, ["warm"], F.lit(True)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("warm", "warm2")).alias("unseen"), F.first(n2).alias("ninths")).where(9 * (F.col("k") + F.col("unseen")) >= F.col("ninths"))
+    pairs = met.select("u", "v").unionByName(hot_met.select("u", "v")).unionByName(rare_met.select("u", "v")).distinct()
     links.append(materialise(_verify(pairs, sets), "other-links"))
-    discard(placed, key, sets)
+    discard(key, sets, whole)
     found = components(_all(links))
     own = base.join(classes.drop("small"), ["c", "c2", "n"], "left").join(found, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
