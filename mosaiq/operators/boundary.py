@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators.response import medoids, robust_lower_support
+from mosaiq.sources.stage import stage
 
 
 def boundary_pixels(labels: DataFrame) -> DataFrame:
@@ -93,12 +94,13 @@ def ensemble_rank(labels: DataFrame, edges: DataFrame, runs: DataFrame) -> DataF
     Seed realisations and rangers of one scale, the boundary medoid against that of the next scales, and scale match.
     A missing component gives 0 and evaluable false.
     """
-    pairs = run_pairs(labels)
-    scored = pairs.join(pair_support(edges, pairs.select("left_run", "right_run", "reach")), ["left_run", "right_run", "reach"])
+    pairs, edges = run_pairs(labels), stage(edges, "edges")
+    # read by the robust supports, the medoids and the ladder
+    scored = stage(pairs.join(pair_support(edges, pairs.select("left_run", "right_run", "reach")), ["left_run", "right_run", "reach"]), "scored")
     robust = scored.groupBy("spatialr").agg(*(robust_lower_support(F.collect_list(F.when(F.col("pair_class") == k, F.col("support")))).alias(k) for k in ("seed_realization", "ranger")))
     mid = medoids(scored, "support", largest=True).select("spatialr", "run_id")
     ladder = mid.withColumn("next_run", F.lead("run_id").over(Window.orderBy("spatialr"))).withColumn("next", F.lead("spatialr").over(Window.orderBy("spatialr"))).where("next is not null")  # one row a scale
-    steps = ladder.select(F.col("run_id").alias("left_run"), F.col("next_run").alias("right_run"), F.sqrt(F.col("spatialr") * F.col("next")).alias("reach"), "spatialr", "next")
+    steps = stage(ladder, "ladder").select(F.col("run_id").alias("left_run"), F.col("next_run").alias("right_run"), F.sqrt(F.col("spatialr") * F.col("next")).alias("reach"), "spatialr", "next")
     near = steps.join(pair_support(edges, steps.select("left_run", "right_run", "reach")), ["left_run", "right_run", "reach"])
     radius = near.select(F.explode(F.array("spatialr", "next")).alias("spatialr"), "support").groupBy("spatialr").agg(robust_lower_support(F.collect_list("support")).alias("radius"))
     match = runs.groupBy("spatialr").agg(robust_lower_support(F.collect_list("scale_match")).alias("scale_match"))
