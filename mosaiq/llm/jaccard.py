@@ -29,7 +29,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import BROADCAST_IDS, discard, materialise, without_ids
@@ -236,15 +236,16 @@ def _small_links(classes: DataFrame, bound: int) -> DataFrame:
     return rows.join(other, [*key, "n"]).select(F.col("node").alias("u"), F.col("first").alias("v")).where("u != v").distinct()
 
 
-def _apart(lists: DataFrame, found: DataFrame, fields: list[str], able) -> DataFrame:
+def _apart(lists: DataFrame, found: DataFrame, fields: list[str], able: Column, only_able: bool = False) -> DataFrame:
     """Pairs of members of one list (h, node, n, fields) in different components and of sizes that can link: u, v, both fields.
 
     In each list one side is the members outside its largest component that are `able` to link with the list's smallest
-    member (column `least`), the other side all members; a pair of two outsiders comes once.
+    member (column `least`), the other side all members (or all able ones); a pair of two outsiders comes once.
     """
     placed = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     largest = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("m")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.min("m").alias("least"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     open_ = placed.join(largest, "h")
+    open_ = open_.where(able) if only_able else open_
     names = ["node", "n", "component", *fields]
     outside = open_.where((F.col("component") != F.col("major")) & able).select("h", "major", *names)
     every = open_.withColumn("able2", able).select("h", "able2", *(F.col(c).alias(f"{c}2") for c in names))
@@ -322,7 +323,9 @@ def join_documents(documents: DataFrame) -> DataFrame:
     met = met.where(~(F.col("uses_hot") & F.col("uses_hot2")) & (9 * F.least("common", "common2") >= n2))
     met = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("hots", "hots2")).alias("unseen"), F.first(F.least(_spare(F.col("n")), _spare(F.col("n2")))).alias("need")).where(F.col("k") + F.col("unseen") >= F.col("need"))
     # two sets that use hot ones and share nothing else: both have enough hot shingles for a link
-    hot_met = _apart(listed.where("hot"), found, ["warm"], 9 * F.col("warm") >= least).where(9 * F.least("warm", "warm2") >= n2)
+    # and the first of these that they share is among the first warm - needed + 1 of both
+    placed = listed.where("hot").withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("h")))
+    hot_met = _apart(placed, found, ["warm"], 9 * (F.col("warm") - F.col("pos") + 1) >= least, True).where(9 * F.least("warm", "warm2") >= n2)
     # or share something else in their whole sets: all of that and the hot ones must be enough
     rare = whole.where("not hot").drop("hot").join(mixed, "node")
     rare_met = _apart(rare, found, ["warm"], F.lit(True)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("warm", "warm2")).alias("unseen"), F.first(n2).alias("ninths")).where(9 * (F.col("k") + F.col("unseen")) >= F.col("ninths"))
