@@ -192,6 +192,10 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(np.zeros(len(h), dtype=bool))], names)
 
 
+def _shared_flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _flagged(_shared(batches))
+
+
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array([shingles(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], ["node", "s"])
@@ -292,7 +296,7 @@ def join_documents(documents: DataFrame) -> DataFrame:
     ids = F.broadcast(candidates) if few.count() <= BROADCAST_IDS else candidates
     sets = materialise(texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select("text", "doc_id").mapInArrow(_full, "node long, s binary").where("length(s) > 0"), "full")
     # whole sets of what is left: a link needs four fifths of a set's shingles, so at least as many must be in some other set
-    whole = _runs_of(sets.mapInArrow(_entries, "h long, c long"), parts).mapInArrow(_flagged, "h long, c long, hot boolean")
+    whole = sets.mapInArrow(_entries, "h long, c long").repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_shared_flagged, "h long, c long, hot boolean")
     whole = materialise(whole.withColumnRenamed("c", "node"), "whole-lists")
     known = whole.groupBy("node").agg(F.count(F.lit(1)).alias("common"), F.count_if("hot").alias("warm"))
     few = materialise(few.join(known, "node").where("5 * common >= 4 * n"), "fewer")
