@@ -86,3 +86,39 @@ def test_scores_equal_brute_force(spark):
         assert (got[i] is None) == (w is None) and (w is None or abs(got[i] - w) < 1e-5)
     assert lm_score.score_documents(docs.limit(0), targets).count() == 0
     assert got[0] > got[4]
+
+
+def test_no_byte_or_long_gram_is_folded(spark):
+    r = np.random.default_rng(5)
+    texts = ["".join(chr(int(c)) for c in r.integers(33, 127, 60)) for _ in range(40)] + ["order 66", "order 77", "Größe í", "Größe ï", None, "", "same start a", "same start b"] * 2
+    raw = [(t or "").encode().lower() for t in texts]
+    assert len({b for t in raw for b in t}) > 60
+    targets = {0, 1, 2, 40, 42, 46}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    v = len({b for t in raw for b in t}) + 1
+
+    def model(chosen):
+        counts = [defaultdict(Counter) for _ in range(6)]
+        for s in chosen:
+            for i in range(5, len(s)):
+                for n in range(6):
+                    counts[n][s[i - n : i]][s[i]] += 1
+
+        def loss(context, x):
+            p = 1 / v
+            for n in range(6):
+                c = counts[n][context[5 - n :]]
+                p = (c[x] + 8 * p) / (sum(c.values()) + 8)
+            return -math.log(p)
+
+        return loss
+
+    coded = [b"\xff" * 5 + t for t in raw]
+    a, b = model([s for i, s in enumerate(coded) if i in targets]), model(coded)
+    labels = spark.createDataFrame([(i, 1, 0) for i in targets] + [(3, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in lm_score.digest(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for i, s in enumerate(coded):
+        want = sum(a(s[k - 5 : k], s[k]) - b(s[k - 5 : k], s[k]) for k in range(5, len(s))) / len(raw[i]) if raw[i] else None
+        assert got[i]["n_symbols"] == len(raw[i]) and (got[i]["score"] is None) == (want is None) and (want is None or abs(got[i]["score"] - want) < 1e-9)
+    assert got[40]["score"] < got[41]["score"] and got[42]["score"] < got[43]["score"]
