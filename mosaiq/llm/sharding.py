@@ -1,10 +1,12 @@
 """Sharding by balanced label propagation.
 
 Links join documents of one group (equal texts, by default). A group's documents in one shard are one cell
-(group, shard, n): they have the same neighbours, so they take the same step, and the work is on cells. Each round,
-Spark joins every cell with its group's heaviest shard and lets it move there, whole or in part, as far as the
-target's quota of linked documents goes, the largest gains first. Documents without links are filler: they take the
-places that are left, so shard counts end at most one apart.
+(group, shard, n): they have the same neighbours, so they take the same step, and the work is on cells. In even rounds
+a group's cells wish for its heaviest shard, in odd ones for its heaviest shard with quota left. They move there, whole
+or in part, as far as wishes the other way make room (swaps) and the target's quota of linked documents goes, the
+largest gains first. No cell moves to a lighter one, so the sum of n * n grows with each move; rounds end once IDLE of
+them in a row have moved nothing. Documents without links are filler: they take the places that are left, so shard
+counts end at most one apart.
 """
 
 from __future__ import annotations
@@ -15,25 +17,41 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import chunk_count, discard, materialise, running_total
 
 SHARDS = 8
-ROUNDS = 4
+#: Rounds in a row without a move that end the propagation: two of each kind, as ties fall anew.
+IDLE = 4
+
+
+def _clamp(n, room) -> F.Column:
+    return F.greatest(F.lit(0), F.least(n, room)).cast("long")
 
 
 def _propagate(cells: DataFrame, quota: DataFrame, turn: int) -> DataFrame:
     """One round over cells (g1, g2, shard, n); quota (shard, quota) has one row a shard. Ties fall anew each turn."""
     group = ["g1", "g2"]
-    best = cells.groupBy(*group).agg(F.max_by("shard", F.struct("n", F.xxhash64(F.lit(turn), "g1", "shard"))).alias("target"), F.max("n").alias("top"))
-    wish = cells.join(best, group).withColumn("moves", F.col("shard") != F.col("target"))
-    load = wish.groupBy("shard").agg(F.sum("n").alias("load"))
-    free = quota.join(load, "shard", "left").select(F.col("shard").alias("target"), (F.col("quota") - F.coalesce("load", F.lit(0))).alias("free"))
+    load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
+    free = quota.join(load, "shard", "left").select(F.col("shard").alias("target"), F.greatest(F.lit(0), F.col("quota") - F.coalesce("load", F.lit(0))).alias("free"))
+    offered = cells.join(F.broadcast(free.where("free > 0").select(F.col("target").alias("shard"))), "shard") if turn % 2 else cells
+    best = offered.groupBy(*group).agg(F.max_by("shard", F.struct("n", F.xxhash64(F.lit(turn), "g1", "shard"))).alias("target"), F.max("n").alias("top"))
+    wish = cells.join(best, group, "left").withColumn("moves", F.coalesce((F.col("shard") != F.col("target")) & (F.col("n") <= F.col("top")), F.lit(False)))
     # an edge is gained for each pair of a mover and a neighbour there; classes of powers of two order the gains
     movers = wish.where("moves").withColumn("class", -F.floor(F.log2(F.col("top"))).cast("int"))
-    movers = running_total(movers, ["target"], ["class"], ["g1", "g2", "shard"], F.col("n"), "before", 64)
-    taken = movers.join(F.broadcast(free), "target").withColumn("taken", F.greatest(F.lit(0), F.least(F.col("n"), F.col("free") - F.col("before"))).cast("long"))
+    ways = movers.groupBy("shard", "target").agg(F.sum("n").alias("there"))  # a row for each two shards
+    back = ways.select(F.col("target").alias("shard"), F.col("shard").alias("target"), F.col("there").alias("back"))
+    swaps = ways.join(back, ["shard", "target"]).select("shard", "target", F.least("there", "back").alias("swap"))
+    movers = running_total(movers, ["shard", "target"], ["class"], group, F.col("n"), "before", 64).join(F.broadcast(swaps), ["shard", "target"], "left")
+    movers = movers.withColumn("swapped", _clamp(F.col("n"), F.coalesce("swap", F.lit(0)) - F.col("before"))).drop("before", "swap")
+    movers = running_total(movers, ["target"], ["class"], ["g1", "g2", "shard"], F.col("n") - F.col("swapped"), "before", 64)
+    taken = movers.join(F.broadcast(free), "target").withColumn("taken", F.col("swapped") + _clamp(F.col("n") - F.col("swapped"), F.col("free") - F.col("before")))
     moved = taken.select(*group, F.explode(F.array(F.struct(F.col("shard"), (F.col("n") - F.col("taken")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("taken").alias("n")))).alias("c")).select(*group, "c.*")
     return wish.where(~F.col("moves")).select(*group, "shard", "n").unionByName(moved).where("n > 0").groupBy(*group, "shard").agg(F.sum("n").alias("n"))
 
 
-def shard_documents(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, group=None) -> DataFrame:
+def _together(cells: DataFrame):
+    """Sum of n * n: grows with each move."""
+    return cells.agg(F.sum((F.col("n") * F.col("n")).cast("decimal(38,0)"))).first()[0]
+
+
+def shard_documents(documents: DataFrame, shards: int = SHARDS, group=None) -> DataFrame:
     """Per row of documents (doc_id, text): doc_id, size, text_crc32, g1, g2, shard, slot.
 
     size: UTF-8 bytes of the text plus 1. group: a column whose equal values link documents; the text by default.
@@ -61,13 +79,17 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, rounds: int = RO
     cells = rows.groupBy("g1", "g2", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     linked = cells.join(rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").drop("all"), ["g1", "g2"])
     cells = materialise(linked, "cells")
-    for turn in range(rounds):
+    turn, idle, together = 0, 0, _together(cells)
+    while idle < IDLE and together is not None:
         old, cells = cells, materialise(_propagate(cells, quota, turn), "cells")
         discard(old)
+        was, together = together, _together(cells)
+        turn, idle = turn + 1, idle + 1 if together == was else 0
     # cut what a shard holds beyond its quota, smallest cells first to go, and hand it to the filler
     ordered = running_total(cells.withColumn("class", -F.floor(F.log2("n")).cast("int")), ["shard"], ["class"], ["g1", "g2"], F.col("n"), "before", 64)
-    held = ordered.join(F.broadcast(quota), "shard").withColumn("n", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("before"))).cast("long")).where("n > 0").select("g1", "g2", "shard", "n")
-    held = materialise(held, "held")
+    kept = materialise(ordered.join(F.broadcast(quota), "shard").select("g1", "g2", "shard", "n", _clamp(F.col("n"), F.col("quota") - F.col("before")).alias("kept")), "held")
+    held = kept.where("kept > 0").select("g1", "g2", "shard", F.col("kept").alias("n"))
+    cut = kept.where("kept < n").select("g1", "g2").distinct().withColumn("unit", F.col("g1"))
     inside = Window.partitionBy("g1", "g2").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     spans = held.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).groupBy("g1", "g2").agg(F.collect_list(F.struct("first", "n", "shard")).alias("spans"))
     ranked = running_total(rows, ["g1", "g2"], [], ["doc_id", "size"], 1, "nth", chunks)
@@ -78,7 +100,9 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, rounds: int = RO
     room = quota.join(held.groupBy("shard").agg(F.sum("n").alias("load")), "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("room")).where("room > 0")
     spans = room.select("shard", "room", F.coalesce(F.sum("room").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     spans = spans.agg(F.collect_list(F.struct("first", "room", "shard")).alias("spans"))  # one row a shard
-    filler = running_total(placed.where("shard is null").drop("shard"), [], [], ["g1", "doc_id", "nth"], 1, "place", chunks)
+    # groups that were cut stay together here; what was never linked is one unit
+    filler = placed.where("shard is null").drop("shard").join(cut, ["g1", "g2"], "left").withColumn("unit", F.coalesce("unit", F.lit(0)))
+    filler = running_total(filler, [], ["unit"], ["g1", "doc_id", "nth"], 1, "place", chunks)
     filler = filler.join(F.broadcast(spans)).withColumn("shard", F.get(F.filter("spans", lambda s: (s["first"] <= F.col("place")) & (F.col("place") < s["first"] + s["room"])), F.lit(0))["shard"])
     columns = ["doc_id", "size", "text_crc32", "g1", "g2", "shard", "nth"]
     done = materialise(placed.where("shard is not null").select(columns).unionByName(filler.select(columns)), "shards")

@@ -26,6 +26,23 @@ def test_counts_are_even_and_groups_stay_together(spark):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
+def test_groups_gather_until_nothing_moves(spark):
+    def shards_of(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        at, counts = defaultdict(set), Counter()
+        for r in sharding.shard_documents(df).collect():
+            at[texts[r["doc_id"]]].add(r["shard"])
+            counts[r["shard"]] += 1
+        assert sum(counts.values()) == len(texts) and max(counts.values()) - min(counts.values()) <= 1
+        return at
+
+    # a third of all rows needs three shards of an eighth each
+    assert len(shards_of(["hot"] * 3000 + [f"one {i}" for i in range(6000)])["hot"]) == 3
+    # all rows are linked, so pairs must swap; only the borders of quotas may split one
+    at = shards_of([f"pair {i // 2}" for i in range(4000)])
+    assert sum(len(s) > 1 for s in at.values()) <= 16
+
+
 def test_digest_columns(spark):
     got = sharding.digest(spark.createDataFrame([(1, "é"), (2, None)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["size"] for r in got} == {1: 3, 2: 1} and {r["law"] for r in got} == {"rows"}
