@@ -85,6 +85,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Keys that may be called hot: a key is hot above a share of 1 / HOT_KEYS of all rows, so there can't be more.
+HOT_KEYS = 100_000
+#: Rows of a key that one task may always get.
+FEW_ROWS = 2_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame | None:
+    """keys and __salts of the hot keys of a materialised table with a row for each key and its number of rows, n.
+
+    A key is hot above max(FEW_ROWS, total / HOT_KEYS) rows, so the table has at most HOT_KEYS rows whatever the input
+    and may be broadcast; no salt of a hot key has more rows than that bound, roughly. None where no key is hot.
+    """
+    total = counts.agg(F.sum(n), F.max(n)).first()
+    bound = max(FEW_ROWS, (total[0] or 0) // HOT_KEYS)
+    if (total[1] or 0) <= bound:
+        return None
+    return F.broadcast(counts.where(F.col(n) > bound).select(*keys, F.ceil(F.col(n) / bound).cast("int").alias("__salts")))
+
+
+def meet(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame | None, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with side on keys; the rows of hot keys are dealt by `spread` over salts, to each of which side goes.
+
+    how: inner, left or left_semi. side should have few rows for each hot key.
+    """
+    if hot is None:
+        return rows.join(side, keys, how)
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+    copies = side.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts") - 1, F.lit(0))))).drop("__salts")
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: runs that end with marks out of ``.!?`` or line ends. Sentences without words are not
-counted. Every run of three consecutive sentences with at least 8 words is hashed, and so are runs of two with at
-least 16 words and single sentences of at least 25, so that passages of few long sentences are seen as well; a text
-with fewer than three sentences is also one run. Runs are compared without case and with white space collapsed. Where
-a run occurs more than once in the corpus, the first occurrence (by doc_id, then text hash, then place) stays and all
-sentences that another one covers go.
+counted. A run begins at every sentence and takes the next ones, two sentences at least, until it holds LEAST words;
+short sentences make a run longer, none is passed over, so long blocks of short lines are seen as well. Only where the
+text ends before that no run begins: those last sentences lie in the run before. A text of one sentence, or of fewer
+words than LEAST, has no run. Runs are compared without case and with white space collapsed. Where a run occurs more
+than once in the corpus, the first occurrence (by doc_id, then text hash, then place) stays and all sentences that
+another one covers go.
 
 Two shuffles find the repeats: one counts 64-bit hashes, summed in each task before; the other brings only
-runs whose hash occurred twice together, where 32 more bits must agree. The texts move once, to meet their places.
+runs whose hash occurred twice together, where 32 more bits must agree. Runs that a great many documents share are
+dealt over salts in both. The texts move once, to meet their places.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from mosaiq.llm.common import discard, materialise
+from mosaiq.llm.common import discard, hot_keys, materialise, meet
 
-#: Sentences of a run, and the words that a run of so many holds at least.
-RUNS = {3: 8, 2: 16, 1: 25}
+#: Sentences and words that a run holds at least.
+SENTENCES, LEAST = 2, 12
+#: A place is PLACE * first sentence + sentences; a run has LEAST sentences at most.
+PLACE = 16
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z")
 
 
@@ -36,19 +40,20 @@ def sentences(text: str) -> list[str]:
 
 
 def _runs(pieces: list[str]) -> Iterator[tuple[int, str]]:
-    """Place and normal form of each run; a place is 4 * first sentence (of those with words) + sentences."""
+    """Place and normal form of each run; the first sentence is counted among those with words."""
     norm = [w for w in (p.lower().split() for p in pieces) if w]
     lines = [" ".join(w) for w in norm]
     total = [0]
     for w in norm:
         total.append(total[-1] + len(w))
-    n, most = len(norm), max(RUNS)
-    for k, least in RUNS.items():
-        for at in range(n - k + 1):
-            if total[at + k] - total[at] >= least:
-                yield 4 * at + k, "\n".join(lines[at : at + k])
-    if 0 < n < most and RUNS[most] <= total[n] < RUNS[n]:
-        yield n, "\n".join(lines)
+    end, n = 0, len(norm)
+    for at in range(n - SENTENCES + 1):
+        end = max(end, at + SENTENCES)
+        while total[end] - total[at] < LEAST:
+            if end == n:
+                return
+            end += 1
+        yield PLACE * at + end - at, "\n".join(lines[at:end])
 
 
 def _hash(run: str) -> tuple[int, int]:
@@ -97,7 +102,7 @@ def _cut(text: str | None, places: list[int] | None) -> tuple[str | None, int, i
     pieces = sentences(text or "")
     if not places:
         return text, sum(bool(p.split()) for p in pieces), 0
-    gone = {p // 4 + k for p in places for k in range(p % 4)}
+    gone = {p // PLACE + k for p in places for k in range(p % PLACE)}
     kept, at, removed = [], -1, 0
     drop = False
     for p in pieces:
@@ -123,12 +128,15 @@ def dedup_spans(documents: DataFrame) -> DataFrame:
     """
     columns = [c for c in documents.columns if c not in ("n_sentences", "n_removed")]
     own = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("d"), text_hash(F.col("text")).alias("t")).where("text is not null and text != ''")
-    repeated = own.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    repeated = materialise(own.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
+    hot = hot_keys(repeated, ["h"], "n")
     spans = own.mapInArrow(_spans, "h long, h2 int, d long, t long, at int")
-    found = materialise(spans.join(repeated, "h", "left_semi"), "spans")
-    first = found.groupBy("h", "h2").agg(F.min(F.struct("d", "t", "at")).alias("first"), F.max(F.struct("d", "t", "at")).alias("last")).where("first != last")
-    later = found.join(first, ["h", "h2"]).where(~F.struct("d", "t", "at").eqNullSafe(F.col("first")))
+    found = materialise(meet(spans, repeated.select("h"), ["h"], hot, ["d", "t", "at"], "left_semi"), "spans")
+    first = found.groupBy("h", "h2").agg(F.min(F.struct("d", "t", "at")).alias("first"), F.max(F.struct("d", "t", "at")).alias("last"), F.count(F.lit(1)).alias("n")).where("first != last")
+    first = materialise(first.drop("last"), "first-spans")
+    later = meet(found, first.drop("n"), ["h", "h2"], hot_keys(first, ["h", "h2"], "n"), ["d", "t", "at"]).where(~F.struct("d", "t", "at").eqNullSafe(F.col("first")))
     places = materialise(later.groupBy("d", "t").agg(F.collect_set("at").alias("__places")), "places")
+    discard(repeated, first)
     discard(found)
     keyed = documents.select(*columns, text_hash(F.col("text")).alias("__t"))
     joined = keyed.join(places.withColumnsRenamed({"d": "__d", "t": "__u"}), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
@@ -157,15 +165,12 @@ with d as (select distinct doc_id, text from documents where text is not null an
 p as (select doc_id, text, unnest(s) as piece, unnest(range(len(s))) as k from (select doc_id, text, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+$') as s from d)),
 q as (select *, sum(cast(regexp_matches(piece, '[^\s]') as int)) over (partition by doc_id, text order by k) - 1 as pos,
   regexp_matches(piece, '[^\s]') as own, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) as line from p),
-w as (select doc_id, text, pos, line, len(string_split(line, ' ')) as words, count(*) over (partition by doc_id, text) as n from q where own),
-r as (select *, string_agg(line, chr(10)) over s2 as run2, sum(words) over s2 as words2, string_agg(line, chr(10)) over s3 as run3, sum(words) over s3 as words3 from w
-  window s2 as (partition by doc_id, text order by pos rows between current row and 1 following), s3 as (partition by doc_id, text order by pos rows between current row and 2 following)),
-runs as (select doc_id, text, pos, 3 as k, run3 as run from r where pos <= n - 3 and words3 >= 8
-  union select doc_id, text, pos, 2, run2 from r where pos <= n - 2 and words2 >= 16
-  union select doc_id, text, pos, 1, line from r where words >= 25
-  union select doc_id, text, pos, cast(n as int), run2 from r where pos = 0 and n < 3 and words2 >= 8),
-firsts as (select k, run, first(struct_pack(d := doc_id, t := text, a := pos) order by doc_id, text, pos) as f from runs group by k, run having count(*) > 1),
-gone as (select distinct doc_id, text, pos + unnest(range(k)) as pos from runs join firsts using (k, run) where not (f.d = doc_id and f.t = text and f.a = pos)),
+w as (select doc_id, text, cast(pos as int) as pos, line, len(string_split(line, ' ')) as words from q where own),
+v as (select *, sum(words) over (partition by doc_id, text order by pos) as total from w),
+z as (select a.doc_id, a.text, a.pos, min(b.pos) as last from v a join v b on a.doc_id = b.doc_id and a.text = b.text and b.pos between a.pos + 1 and a.pos + 11 and b.total - a.total + a.words >= 12 group by all),
+runs as (select z.doc_id, z.text, z.pos, last - z.pos + 1 as k, string_agg(line, chr(10) order by v.pos) as run from z join v on v.doc_id = z.doc_id and v.text = z.text and v.pos between z.pos and last group by all),
+firsts as (select run, first(struct_pack(d := doc_id, t := text, a := pos) order by doc_id, text, pos) as f from runs group by run having count(*) > 1),
+gone as (select distinct doc_id, text, pos + unnest(range(k)) as pos from runs join firsts using (run) where not (f.d = doc_id and f.t = text and f.a = pos)),
 cut as (select q.doc_id, q.text, string_agg(case when g.pos is null then piece else '' end, '' order by k) as kept,
     cast(max(q.pos) + 1 as int) as n_sentences, cast(count(distinct g.pos) as int) as n_removed
   from q left join gone g on g.doc_id = q.doc_id and g.text = q.text and g.pos = q.pos group by 1, 2)

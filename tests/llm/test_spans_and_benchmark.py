@@ -5,7 +5,7 @@ import random
 import re
 from collections import defaultdict
 
-from mosaiq.llm import decontaminate, span_dedup
+from mosaiq.llm import common, decontaminate, span_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -17,12 +17,12 @@ def spans_brute(rows):
         pieces = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z", t or "")
         own = [i for i, p in enumerate(pieces) if p.split()]
         cut[d, t] = (pieces, own)
-        for k in (1, 2, 3):
-            for s in range(len(own) - k + 1):
+        for s in range(len(own)):
+            for k in range(2, len(own) - s + 1):
                 key = tuple(tuple(pieces[i].lower().split()) for i in own[s : s + k])
-                words = sum(map(len, key))
-                if words >= {1: 25, 2: 16, 3: 8}[k] or k == len(own) and words >= 8:
+                if sum(map(len, key)) >= 12:
                     seen[key].add((d, t, s, k))
+                    break
     gone = defaultdict(set)
     for places in seen.values():
         for d, t, s, k in sorted(places)[1:]:
@@ -58,6 +58,20 @@ def test_spans_equal_brute_force(spark):
     assert span_dedup.dedup_spans(df.limit(0)).count() == 0
 
 
+def test_a_run_that_most_texts_share(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_ROWS", 5)
+    rows = [(i, f"own words {i}. This passage of many words is shared by nearly all. It goes on a little. own end {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(((x["doc_id"], x["text"], x["n_sentences"], x["n_removed"]) for x in span_dedup.dedup_spans(df).collect()), key=repr) == spans_brute(rows)
+
+
+def test_long_blocks_of_short_lines_are_seen():
+    lines = [f"word{i}.\n" for i in range(40)]
+    places = [p for p, _ in span_dedup._runs(lines)]
+    assert [(p // span_dedup.PLACE, p % span_dedup.PLACE) for p in places] == [(i, 12) for i in range(29)]
+    assert [r for _, r in span_dedup._runs(["one sentence of more than twelve words is not a run of several of them."])] == []
+
+
 def test_spans_keep_other_columns(spark):
     text = "A b c d. E f g h. I j k l."
     df = spark.createDataFrame([("s", text, 2, 1.5), ("t", text, None, 2.5)], "at string, text string, doc_id int, __x double")
