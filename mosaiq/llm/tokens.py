@@ -1,14 +1,15 @@
 """Token ids of a public byte-level BPE, fast: words between single spaces are looked up in a bounded cache.
 
-The vocabulary is read through tiktoken's ranks of the same byte_bpe_50k vocabulary; ids equal those of
-``tokenizers`` with add_special_tokens=False and encode_special_tokens=True (a special token's string inside a
-text is ordinary text). A blank always starts a new piece of the pre-tokeniser unless it touches other white
-space, so a text whose blanks are single equals the chain of its blank-led words; other texts are encoded whole.
+Ids equal those of ``tokenizers`` with add_special_tokens=False for the vocabulary's JSON file. A text that holds the
+string of an added token is encoded by ``tokenizers`` itself, which gives that token's id; other texts go through
+tiktoken with the file's own vocabulary as ranks. A blank always starts a new piece of the pre-tokeniser unless it
+touches other white space, so a text whose blanks are single equals the chain of its blank-led words; other texts are
+encoded whole.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 from pathlib import Path
 
 import numpy as np
@@ -20,7 +21,7 @@ CACHE_WORDS = 200_000
 def default_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class _Whole(Exception):
@@ -41,17 +42,32 @@ class _Words(dict):
         return ids
 
 
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones stand for themselves."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+        from tokenizers import Tokenizer
+
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
+        added = {t["content"] for t in file["added_tokens"]}
+        byte = _bytes_of()
+        ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in added}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = sorted(added)
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.words = _Words(self.bpe.encode_ordinary)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         first, *rest = text.split(" ")
         try:
             if not rest:

@@ -1,5 +1,6 @@
 """Best-fit packing: plans, token ids, cuts, places."""
 
+import functools
 import zlib
 from collections import defaultdict
 
@@ -12,13 +13,12 @@ from tokenizers import Tokenizer
 from mosaiq.llm import packing
 from mosaiq.llm.tokens import default_path, encoder
 
-ODD = ["", " ", "a", "a b", " lead", "trail ", "two  blanks", "tab\t x", "line\nend \n\n x", "don't we'll 12 34,5!", "Édu çà ß ñ", "x" * 3000, "<|endoftext|> inside", "a b c", "日本 語", "word " * 2000, None, "\x00 \x1f z"]
+ODD = ["", " ", "a", "a b", " lead", "trail ", "two  blanks", "tab\t x", "line\nend \n\n x", "don't we'll 12 34,5!", "Édu çà ß ñ", "x" * 3000, "<|endoftext|> inside", "a <|endoftext|><|endoftext|> b", "<|endoftext| > <|end", "a b c", "日本 語", "word " * 2000, None, "\x00 \x1f z"]
 
 
+@functools.cache
 def tokenizer():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_tokenizer():
@@ -28,6 +28,10 @@ def test_ids_equal_the_tokenizer():
             assert np.frombuffer(e.encode(text or ""), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_an_added_token_has_its_id():
+    assert np.frombuffer(encoder(default_path()).encode("<|endoftext|> inside"), "<u4").tolist() == [50256, 2641]
+
+
 @given(st.text(alphabet="ab .\n\té'1", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_ids_equal_the_tokenizer_on_any_text(text):

@@ -27,7 +27,6 @@ def test_stages(spark):
     kept = {d: t for d, t, _, gone in spans_brute(sorted(kept.items())) if not gone or t.strip()}
     kept = {d: kept[d] for d, _, hit, *_ in contamination_brute(sorted(kept.items()), items) if not hit}
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got: dict[int, list] = {}
     for r in corpus_pipeline.run(spark, SF).orderBy("doc_id", "piece").collect():
         got.setdefault(r["doc_id"], []).extend(np.frombuffer(bytes(r["input_ids"]), "<u4").tolist())
