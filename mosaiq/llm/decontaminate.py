@@ -5,8 +5,10 @@ over all documents; containment of the whole window asks for every token, so its
 document must share. Document words meet these prefix tokens in a hash join; the window's start and length must lie
 inside the document (positional and length bounds), and the words there must equal the window's.
 
-The windows' side of each join is broadcast in parts of at most PART_ROWS rows, so its size is bounded; a benchmark
-with more windows is joined part by part. The words of a document are never shuffled.
+The windows' side of each join is broadcast in parts of about PART_ROWS rows and PART_BYTES bytes, so its size is
+bounded; a benchmark with more windows is joined part by part, and so are the counts of words. The words of a document
+are never shuffled. Windows and items are joined last, by the number of the window, so a passage that all items share
+is one row until a document holds it.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import materialise, without_ids
+from mosaiq.llm.common import discard, hot_keys, materialise, meet, without_ids
 
 WORDS = 10
-PART_ROWS = 200_000
+#: Rows and bytes of a broadcast part.
+PART_ROWS, PART_BYTES = 200_000, 1 << 25
 #: All that no word holds: ASCII but digits and lower-case letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,10 +37,18 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _parts(table: DataFrame, rows: int) -> list[DataFrame]:
-    """A materialised table with a column `part` in pieces that may be broadcast."""
-    n = -(-rows // PART_ROWS)
-    return [F.broadcast(table.where(F.col("part") == k).drop("part")) for k in range(n)]
+def _in_parts(table: DataFrame, key: str, size: Column, label: str) -> list[DataFrame]:
+    """The table, written, in pieces that may be broadcast: about PART_ROWS rows of about PART_BYTES bytes by `size`."""
+    one = materialise(table, label)
+    rows, size_of, longest = one.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    if rows <= PART_ROWS and size_of <= PART_BYTES:
+        return [F.broadcast(one)] if rows else []
+    if longest > PART_BYTES:
+        raise ValueError(f"a row of {longest} bytes is too long for a broadcast part")
+    n = max(-(-2 * rows // PART_ROWS), -(-2 * size_of // PART_BYTES))
+    parts = materialise(one.withColumn("part", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), label)
+    discard(one)
+    return [F.broadcast(parts.where(F.col("part") == k).drop("part")) for k in range(n)]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame | None:
@@ -58,45 +69,41 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WORDS)
     own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     length = F.least(F.lit(size), F.size("w"))
     runs = own.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("window"))
-    windows = materialise(runs.groupBy("window").agg(F.collect_set("item").alias("items")), "windows")
+    runs = materialise(runs.withColumn("id", F.sha2(F.concat_ws(" ", "window"), 256)), "windows")
+    windows, owners = runs.select("id", "window").distinct(), materialise(runs.select("id", "item").distinct(), "window-items")
     docs = documents.select(F.col("doc_id").alias("d"), _text_hash(F.col("text")).alias("t"), words_of(F.col("text")).alias("w"))
     # rarity of the benchmark's words, over all documents
-    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    vocabulary = materialise(vocabulary.withColumn("part", F.lit(0)), "vocabulary")
-    n = vocabulary.count()
-    if n > PART_ROWS:
-        vocabulary = materialise(vocabulary.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(-(-2 * n // PART_ROWS))).cast("int")), "vocabulary")
-        n = PART_ROWS * (-(-2 * n // PART_ROWS))
+    word_bytes = F.octet_length("word") + 16
+    vocabulary = _in_parts(windows.select(F.explode("window").alias("word")).distinct(), "word", word_bytes, "vocabulary")
     # the outer forms keep Catalyst from adding a filter that would split every text once more
     spread = docs.select(F.explode_outer("w").alias("word"))
-    counts = _union([spread.join(p, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")) for p in _parts(vocabulary, n)])
-    places = windows.withColumn("id", F.xxhash64("window")).select("id", "window", "items", F.posexplode("window").alias("at", "word"))
-    if counts is not None:
-        places = places.join(counts, "word", "left")
-    else:
-        places = places.withColumn("n", F.lit(0))
-    rarest = F.min_by(F.struct("word", "at"), F.struct(F.coalesce("n", F.lit(0)), "word", "at"))
-    prefix = places.groupBy("id", "window").agg(rarest.alias("p"), F.first("items").alias("items"))
-    prefix = materialise(prefix.select(F.col("p.word").alias("word"), F.col("p.at").alias("at"), "window", "items", F.lit(0).alias("part")), "prefix")
-    n = prefix.count()
-    if n > PART_ROWS:
-        parts = -(-2 * n // PART_ROWS)
-        prefix = materialise(prefix.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(parts)).cast("int")), "prefix")
-        n = parts * PART_ROWS
-    tokens = docs.select("d", "t", "w", F.posexplode_outer("w").alias("pos", "word"))
+    counted = _union([p.join(spread.join(p, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")) for p in vocabulary])
     found = []
-    for p in _parts(prefix, n):
-        start = F.col("pos") - F.col("at")
-        inside = (start >= 0) & (start + F.size("window") <= F.size("w"))
-        hit = tokens.join(p, "word").where(inside).where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window"))
-        found.append(hit.select("d", "t", F.struct(start.alias("start"), F.size("window").alias("length")).alias("hit"), "items"))
+    if counted is not None:
+        places = windows.select("id", F.posexplode("window").alias("at", "word"))
+        placed = _union([places.join(p, "word") for p in _in_parts(counted, "word", word_bytes, "word-counts")])
+        rarest = placed.groupBy("id").agg(F.min_by(F.struct("word", "at"), F.struct("n", "word", "at")).alias("p"))
+        prefix = windows.join(rarest, "id").select("id", F.col("p.word").alias("word"), F.col("p.at").alias("at"), "window")
+        tokens = docs.select("d", "t", "w", F.posexplode_outer("w").alias("pos", "word"))
+        for p in _in_parts(prefix, "id", F.octet_length(F.concat_ws(" ", "window")) + 128, "prefix"):
+            start = F.col("pos") - F.col("at")
+            inside = (start >= 0) & (start + F.size("window") <= F.size("w"))
+            hit = tokens.join(p, "word").where(inside).where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window"))
+            found.append(hit.select("d", "t", F.struct(start.alias("start"), F.size("window").alias("length")).alias("hit"), "id"))
     sizes = documents.select(F.col("doc_id"), _text_hash(F.col("text")).alias("__t"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     hits = _union(found)
+    no_hits, no_items = F.array().cast("array<struct<start:int,length:int>>"), F.array().cast("array<string>")
     if hits is None:
-        return sizes.select("doc_id", "n_words", F.array().cast("array<struct<start:int,length:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    by_doc = hits.groupBy(F.col("d").alias("__d"), F.col("t").alias("__u")).agg(F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        return sizes.select("doc_id", "n_words", no_hits.alias("hits"), no_items.alias("items"))
+    hits = materialise(hits, "hits")
+    seen = hits.select("d", "t", "id").distinct()
+    often = materialise(seen.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "window-hits")
+    named = meet(seen, owners, ["id"], hot_keys(often, ["id"], "n"), ["d", "t"]).groupBy("d", "t").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    by_doc = hits.groupBy("d", "t").agg(F.collect_set("hit").alias("hits"))
+    same = (F.col("d").eqNullSafe(F.col("d2"))) & (F.col("t") == F.col("t2"))
+    by_doc = by_doc.join(named.withColumnsRenamed({"d": "d2", "t": "t2"}), same).select(F.col("d").alias("__d"), F.col("t").alias("__u"), "hits", "items")
     out = sizes.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<struct<start:int,length:int>>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "n_words", F.coalesce("hits", no_hits).alias("hits"), F.coalesce("items", no_items).alias("items"))
 
 
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -125,7 +125,11 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     items = [(i, t) for i, t in items if t is not None] + [(50, None)]
     want = contamination_brute(rows, items)
     assert contamination(spark, rows, items) == want
-    monkeypatch.setattr(decontaminate, "PART_ROWS", 7)  # more parts than one
+    monkeypatch.setattr(decontaminate, "PART_ROWS", 60)  # more parts than one
+    monkeypatch.setattr(common, "FEW_ROWS", 3)  # and hot windows
+    assert contamination(spark, rows, items) == want
+    monkeypatch.setattr(decontaminate, "PART_ROWS", 1000)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 6000)  # by bytes
     assert contamination(spark, rows, items) == want
 
 
