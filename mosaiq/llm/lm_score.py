@@ -1,8 +1,8 @@
 """LM scoring: cross-entropy difference between a target and a background n-gram model.
 
 Both models are byte n-gram models over the lower-cased corpus, without a cut of bytes or n-grams: 6-grams in op2,
-4-grams by default. Counts cover every byte of every document: the background counts all documents, the target those
-labelled as good. Smoothing is the same for both: each order is drawn towards the next shorter one by a Dirichlet
+4-grams by default. Counts cover every byte of every document: the target counts the documents labelled as good, the
+background all others, so no text is in both. Order, vocabulary and smoothing are the same for both: each order is drawn towards the next shorter one by a Dirichlet
 prior, the shortest towards equal shares of all bytes that occur and one more (of 48 at least). A document's score is
 the mean over its bytes of target loss minus background loss; lower is closer to the target.
 
@@ -83,6 +83,7 @@ def _count(order: int):
         at = _starts(grams)
         n = np.add.reduceat(counts, at) if len(at) else counts
         hits = np.add.reduceat(np.where(keys & np.uint64(1), counts, 0), at) if len(at) else counts
+        n = n - hits
         block = np.full(len(at), table.column("block")[0].as_py(), dtype=np.int64)
         return pa.table([pa.array(block), pa.array(grams[at].astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(hits.astype(np.int64))], ["block", "gram", "background", "target"])
 
@@ -97,7 +98,7 @@ def _blocks(documents: DataFrame) -> DataFrame:
 
 
 def count_grams(blocks: DataFrame, targets: DataFrame, order: int) -> DataFrame:
-    """block, gram, background, target: how often each n-gram of a block occurs in all its texts and in target texts.
+    """block, gram, background, target: how often each n-gram of a block occurs in its other texts and in target texts.
 
     targets: doc_id of the documents of the target corpus; repeats count once, unknown ids and nulls not at all.
     """
@@ -155,7 +156,7 @@ def _score(order: int):
 def score_documents(documents: DataFrame, targets: DataFrame, order: int = ORDER) -> DataFrame:
     """Per row of documents (doc_id, text): doc_id, n_symbols, score (target minus background cross-entropy, nats).
 
-    Null and empty texts have no symbols and a null score. Repeated rows count and are scored one by one; other columns
+    Null and empty texts have no symbols and a null score. Rows with a null doc_id belong to the background. Repeated rows count and are scored one by one; other columns
     are ignored; an empty table gives no rows; without targets the target model is uniform. order: 1 to LONGEST bytes.
     """
     if not 1 <= order <= LONGEST:

@@ -1,12 +1,13 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Rows are cut into blocks of a fixed size while they are read; each block gets a cover tree: every node has a point as
-its centre, a covering radius for all points below it, and children whose centres are farther apart than half that
-radius. Query blocks get one too. A pair of nodes (Q, R) is pruned when its bound
-``<q, r> + radius_Q |r| + radius_R |q| + radius_Q radius_R`` is below the worst k-th score of Q's queries. A task goes
-over the blocks it holds with the scores found so far, so later blocks are pruned harder.
-
-Scores are integer products of floor(scale * x); a bound is a float with slack, so ties are never pruned.
+Rows are cut into blocks while they are read, and each block gets a cover tree once, stored with it. A node covers all
+points below it by its radius; its children are a net of its points at half that radius: their centres are farther apart
+than that, and every point lies within it of its nearest centre. The queries get such trees too. A pair of nodes (Q, R)
+is pruned when its bound ``<q, r> + radius_Q |r| + radius_R |q| + radius_Q radius_R`` is below the worst k-th score of
+Q's queries. A task goes over the blocks it holds with the scores found so far, so later blocks are pruned harder.
+
+Vectors are integers, floor(scale * x), so squared distances are exact; a bound is a float with slack, so ties are never
+pruned. Query blocks go to the tasks in waves of bounded size.
 """
 
 from __future__ import annotations
@@ -19,182 +20,216 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import materialise
+from mosaiq.llm.common import discard, materialise
 
 K = 10
 SCALE = 1024
 EVERY = 100
-BLOCK_ROWS = 4096
-#: Bytes of one block's vectors, and of the query blocks that one wave broadcasts.
-BLOCK_BYTES, WAVE_BYTES = 1 << 22, 1 << 25
-LEAF = 48
-_BLOCK = "block long, n int, dims int, ids binary, vectors binary"
+BLOCK_ROWS = 2048
+#: Bytes of one block's vectors, and of the query blocks that one wave sends to the tasks.
+BLOCK_BYTES, WAVE_BYTES = 1 << 21, 1 << 25
+#: Rows and queries of a node that isn't divided further, and rows of a piece that is scanned at once.
+LEAF, QUERY_LEAF, PIECE = 24, 2, 256
+#: Greatest component: products and squares of vectors of 2 ** 12 such components stay exact in a float.
+MOST = 1 << 20
+_BLOCK = "block long, n int, dims int, ids binary, vectors binary, nodes binary, radii binary"
 
 
 class CoverTree:
-    """Arrays of nodes: centre (row), radius, greatest norm below, children and own rows in `order`."""
+    """Points in the order of the tree, and a row for each node: centre (a point), first and last + 1 of its points,
+    first and last + 1 of its children; 0, 0 for a leaf. Node 0 is the root."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, nodes: np.ndarray, radius: np.ndarray):
+        self.ids, self.x, self.f, self.nodes, self.radius = ids, x, x.astype(np.float64), nodes, radius
+        self.norm = np.sqrt((self.f**2).sum(axis=1))
+
+    @classmethod
+    def build(cls, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF) -> CoverTree:
+        f = x.astype(np.float64)
+        square = (f**2).sum(axis=1)
+        order = np.arange(len(x))
+        nodes: list[list[int]] = []
+        radius: list[float] = []
+
+        def distances(rows: np.ndarray, centre: int) -> np.ndarray:
+            return np.maximum(square[rows] + square[centre] - 2 * (f[rows] @ f[centre]), 0)
+
+        def add(lo: int, hi: int, centre: int) -> None:
+            nodes.append([centre, lo, hi, 0, 0])
+            radius.append(float(np.sqrt(distances(order[lo:hi], centre).max(initial=0))))
 
-    def __init__(self, x: np.ndarray):
-        self.x = x.astype(np.float64)
-        self.centre, self.radius, self.span, self.children = [], [], [], []
-        self.order: list[np.ndarray] = []
         if len(x):
-            self._node(np.arange(len(x)), 0)
-
-    def _node(self, rows: np.ndarray, centre: int) -> int:
-        """The node of these rows, of which the one at `centre` is its centre."""
-        at = len(self.centre)
-        c = self.x[rows[centre]]
-        far = np.sqrt(((self.x[rows] - c) ** 2).sum(axis=1))
-        radius = float(far.max())
-        self.centre.append(c)
-        self.radius.append(radius)
-        self.children.append([])
-        self.order.append(rows)
-        if len(rows) <= LEAF or radius == 0:
-            return at
-        # children: a net at half the radius, its centres taken farthest first, each row at its nearest centre
-        near, owner, centres = far.copy(), np.zeros(len(rows), dtype=np.int64), [centre]
-        while near.max() > radius / 2 and len(centres) * LEAF < len(rows) * 2:
-            new = int(near.argmax())
-            d = np.sqrt(((self.x[rows] - self.x[rows[new]]) ** 2).sum(axis=1))
-            closer = d < near
-            owner[closer], near[closer] = len(centres), d[closer]
-            centres.append(new)
-        if len(centres) > 1:
-            for k, row in enumerate(centres):
-                own = np.flatnonzero(owner == k)
-                if len(own):
-                    self.children[at].append(self._node(rows[own], int(np.searchsorted(own, row))))
-            self.order[at] = rows[:0]
-        return at
+            add(0, len(x), 0)
+        at = 0
+        while at < len(nodes):  # children of one node lie next to each other
+            centre, lo, hi, _, _ = nodes[at]
+            if hi - lo > leaf and radius[at] > 0:
+                rows = order[lo:hi].copy()
+                near, owner, centres = distances(rows, centre), np.zeros(len(rows), dtype=np.int64), [centre]
+                limit = radius[at] ** 2 / 4
+                while near.max() > limit:
+                    centres.append(int(rows[near.argmax()]))
+                    d = distances(rows, centres[-1])
+                    closer = d < near
+                    owner[closer], near[closer] = len(centres) - 1, d[closer]
+                if len(centres) > 1:
+                    by = np.argsort(owner, kind="stable")
+                    order[lo:hi] = rows[by]
+                    ends = lo + np.cumsum(np.bincount(owner, minlength=len(centres)))
+                    nodes[at][3:] = [len(nodes), len(nodes) + len(centres)]
+                    for a, b, c in zip([lo, *ends[:-1].tolist()], ends.tolist(), centres, strict=True):
+                        add(a, b, c)
+            at += 1
+        place = np.empty(len(x), dtype=np.int64)
+        place[order] = np.arange(len(x))
+        table = np.array(nodes, dtype=np.int64).reshape(-1, 5)
+        table[:, 0] = place[table[:, 0]]
+        return cls(ids[order], x[order], table, np.array(radius))
 
 
 class Search:
     """The k best rows of each query so far: scores, ids (ties to the smaller id)."""
 
-    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
-        self.q, self.ids, self.k, self.tree = queries, ids, k, CoverTree(queries)
-        self.best = [np.empty((0, 2), dtype=np.int64)] * len(queries)
-        self.worst = np.full(len(queries), -np.inf)
-        self.below = [None] * len(self.tree.centre)
-        for at in range(len(self.tree.centre) - 1, -1, -1):
-            own = [self.tree.order[at], *(self.below[c] for c in self.tree.children[at])]
-            self.below[at] = np.concatenate(own)
-
-    def scan(self, rows: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
-        q = self.q[rows]
-        small = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2**52  # then floats are exact
-        scores = (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if small else q @ x.T
-        better = (scores >= self.worst[rows][:, None]) & (ids[None, :] != self.ids[rows][:, None])
+    def __init__(self, queries: CoverTree, k: int):
+        self.tree, self.k = queries, k
+        self.best = [np.empty((0, 2), dtype=np.int64)] * len(queries.x)
+        self.worst = np.full(len(queries.x), -np.inf)
+        self.scanned = 0  # pairs of a query and a row whose score was computed
+
+    def scan(self, lo: int, hi: int, data: CoverTree, rows: np.ndarray) -> None:
+        scores = self.tree.f[lo:hi] @ data.f[rows].T
+        ids = data.ids[rows]
+        self.scanned += scores.size
+        better = (scores >= self.worst[lo:hi, None]) & (ids[None, :] != self.tree.ids[lo:hi, None])
         for i in np.flatnonzero(better.any(axis=1)).tolist():
-            row, own, keep = int(rows[i]), scores[i], better[i]
-            found = np.concatenate([self.best[row], np.stack([own[keep], ids[keep]], axis=1)])
+            keep = better[i]
+            found = np.concatenate([self.best[lo + i], np.stack([scores[i, keep].astype(np.int64), ids[keep]], axis=1)])
             found = found[np.lexsort((found[:, 1], -found[:, 0]))[: self.k]]
-            self.best[row] = found
+            self.best[lo + i] = found
             if len(found) == self.k:
-                self.worst[row] = found[-1, 0]
+                self.worst[lo + i] = found[-1, 0]
 
-    def over(self, x: np.ndarray, ids: np.ndarray) -> None:
+    def over(self, data: CoverTree) -> None:
         """Take in one block of rows."""
-        tree = CoverTree(x)
-        if not len(x) or not len(self.q):
+        if not len(data.x) or not len(self.tree.x):
             return
-        norm_q, norm_r = (np.sqrt((np.array(t.centre) ** 2).sum(axis=1)) for t in (self.tree, tree))
-
-        def bound(a: int, b: int) -> float:
-            t, u = self.tree.radius[a], tree.radius[b]
-            top = float(self.tree.centre[a] @ tree.centre[b]) + t * norm_r[b] + u * norm_q[a] + t * u
-            return top + 1e-6 * (abs(top) + 1)
-
-        stack = [(bound(0, 0), 0, 0)]
-        while stack:
-            top, a, b = stack.pop()
-            if top < self.worst[self.below[a]].min():
+        q, r = self.tree.nodes, data.nodes
+        todo = [(0, np.zeros(1, dtype=np.int64))]
+        while todo:
+            a, b = todo.pop()
+            centre, lo, hi, first, last = q[a]
+            c, t = r[b, 0], data.radius[b]
+            top = data.f[c] @ self.tree.f[centre] + self.tree.radius[a] * data.norm[c] + t * self.tree.norm[centre] + self.tree.radius[a] * t
+            top += 1e-6 * (np.abs(top) + 1)
+            live = top >= self.worst[lo:hi].min()
+            b, top = b[live], top[live]
+            if not len(b):
                 continue
-            down_a, down_b = self.tree.children[a], tree.children[b]
-            if not down_a and not down_b:
-                self.scan(self.tree.order[a], x[tree.order[b]], ids[tree.order[b]])
+            inner = r[b, 4] > 0
+            if last > first:  # the larger side is divided: data nodes first, then the queries' node
+                wide = inner & (data.radius[b] >= self.tree.radius[a])
+                if wide.any():
+                    todo.append((a, np.concatenate([b[~wide], *(np.arange(x, y) for x, y in r[b[wide], 3:])])))
+                else:
+                    todo += [(k, b) for k in range(first, last)]
                 continue
-            if down_b and (not down_a or tree.radius[b] >= self.tree.radius[a]):
-                pairs = [(bound(a, c), a, c) for c in down_b]
-            else:
-                pairs = [(bound(c, b), c, b) for c in down_a]
-            stack += sorted(pairs)  # the most promising pair is taken next
+            b = b[np.argsort(-top, kind="stable")]
+            if len(b) > 16:  # the most promising nodes come first
+                todo += [(a, b[16:]), (a, b[:16])]
+                continue
+            inner = r[b, 4] > 0
+            if inner.any():
+                todo.append((a, np.concatenate([np.arange(x, y) for x, y in r[b[inner], 3:]])))
+            if not inner.all():
+                rows = np.concatenate([np.arange(x, y) for x, y in r[b[~inner], 1:3]])
+                for i in range(0, len(rows), PIECE):
+                    self.scan(lo, hi, data, rows[i : i + PIECE])
+
+
+def _cut(leaf: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}  # by number of dimensions
+        task, done = TaskContext.get().partitionId(), 0
+
+        def block(dims: int) -> pa.RecordBatch:
+            nonlocal done
+            ids, rows = held.pop(dims)
+            done += 1
+            tree = CoverTree.build(np.array(ids, "<i8"), np.concatenate(rows).reshape(len(ids), dims), leaf)
+            binary = [pa.array([a.tobytes()], pa.binary()) for a in (tree.ids, tree.x.astype("<i4"), tree.nodes.astype("<i4"), tree.radius.astype("<f8"))]
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | done]), pa.array([len(ids)], pa.int32()), pa.array([dims], pa.int32()), *binary], ["block", "n", "dims", "ids", "vectors", "nodes", "radii"])
+
+        for b in batches:
+            for vec_id, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                row = np.array(v.as_py(), dtype=np.int64)
+                if np.abs(row).max(initial=0) > MOST or len(row) > 1 << 12:
+                    raise ValueError(f"vector {vec_id}: at most 4096 components of at most {MOST} in size, when scaled")
+                ids, rows = held.setdefault(len(row), ([], []))
+                ids.append(vec_id)
+                rows.append(row)
+                if len(ids) >= min(BLOCK_ROWS, max(1, BLOCK_BYTES // (4 * max(1, len(row))))):
+                    yield block(len(row))
+        for dims in list(held):
+            yield block(dims)
 
+    return run
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, tuple[list[int], list[np.ndarray]]] = {}  # by number of dimensions
-    task, done = TaskContext.get().partitionId(), 0
 
-    def block(dims: int) -> pa.RecordBatch:
-        nonlocal done
-        ids, rows = held.pop(dims)
-        done += 1
-        arrays = [pa.array([task << 32 | done]), pa.array([len(ids)], pa.int32()), pa.array([dims], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(rows).astype("<i8").tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["block", "n", "dims", "ids", "vectors"])
+def _tree(r: dict) -> CoverTree:
+    ids, nodes = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["nodes"], "<i4").reshape(-1, 5)
+    return CoverTree(ids, np.frombuffer(r["vectors"], "<i4").reshape(len(ids), r["dims"]), nodes, np.frombuffer(r["radii"], "<f8"))
 
-    for b in batches:
-        for vec_id, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            row = np.array(v.as_py(), dtype=np.int64)
-            ids, rows = held.setdefault(len(row), ([], []))
-            ids.append(vec_id)
-            rows.append(row)
-            if len(ids) >= min(BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * max(1, len(row))))):
-                yield block(len(row))
-    for dims in list(held):
-        yield block(dims)
 
+def _search(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[tuple[int, Search]] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                if not open_:
+                    open_ = [(q["dims"], Search(_tree(q), k)) for q in shared.value]
+                data = b.slice(i, 1).to_pylist()[0]
+                tree = _tree(data)
+                for dims, s in open_:
+                    if dims == data["dims"]:
+                        s.over(tree)
+        for _, s in open_:
+            found = np.concatenate([np.concatenate([np.full((len(f), 1), q), f], axis=1) for q, f in zip(s.tree.ids.tolist(), s.best, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 2]), pa.array(found[:, 1])], ["query_id", "vec_id", "score"])
 
-def _matrix(ids: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(vectors, "<i8").reshape(len(i), dims)
+    return run
 
 
 def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) -> DataFrame:
     """For each query (row whose vec_id is divisible by `every`): query_id, rank (from 1), vec_id, score of its k best rows.
 
-    vectors: vec_id, embedding. Components become floor(scale * x), x as double; integers must stay below 2 ** 31.
-    Vectors that are null or hold null or non-finite components, and rows with null vec_id, take no part. Scores are
-    compared among vectors of equal length; empty vectors score 0. A query meets every row but those with its own
-    vec_id; repeated rows are one query but several candidates; different query vectors with one vec_id are answered
-    together. Ties go to the smaller vec_id. With fewer candidates than k all are returned; without any, no row. Other
-    columns are ignored.
+    vectors: vec_id, embedding. Components become floor(scale * x), x as double; the search fails on one beyond MOST or
+    on more than 4096 of them, as scores would not be exact. Vectors that are null or hold null or non-finite
+    components, and rows with null vec_id, take no part. Scores are compared among vectors of equal length; empty
+    vectors score 0. A query meets every row but those with its own vec_id; repeated rows are one query but several
+    candidates; different query vectors with one vec_id are answered together. Ties go to the smaller vec_id. With
+    fewer candidates than k all are returned; without any, no row. Other columns are ignored; an empty table gives no rows.
     """
+    spark = vectors.sparkSession
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-    data = materialise(rows.mapInArrow(_cut, _BLOCK), "blocks")
-    queries = materialise(rows.where(F.col("vec_id") % every == 0).distinct().mapInArrow(_cut, _BLOCK), "queries").select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "dims", "ids", "vectors")))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, Search] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                if r["q_block"] not in open_:
-                    ids, x = _matrix(r["q_ids"], r["q_vectors"], r["q_dims"])
-                    open_[r["q_block"]] = Search(x, ids, k)
-                ids, x = _matrix(r["ids"], r["vectors"], r["dims"])
-                open_[r["q_block"]].over(x, ids)
-        for s in open_.values():
-            found = [np.concatenate([np.full((len(f), 1), q), f], axis=1) for q, f in zip(s.ids.tolist(), s.best, strict=True)]
-            if found:
-                all_ = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(all_[:, 0]), pa.array(all_[:, 2]), pa.array(all_[:, 1])], ["query_id", "vec_id", "score"])
-
-    # a stated query set against all rows, in blocks: each wave broadcasts query blocks of at most WAVE_BYTES
-    waves: list[list[int]] = [[]]
-    room = WAVE_BYTES
-    for r in queries.select("q_block", (F.col("q_n").cast("long") * (F.col("q_dims") * 8 + 8)).alias("size")).orderBy("q_block").collect():
-        if waves[-1] and r["size"] > room:
+    data = materialise(rows.mapInArrow(_cut(LEAF), _BLOCK), "blocks")
+    queries = materialise(rows.where(F.col("vec_id") % every == 0).distinct().mapInArrow(_cut(QUERY_LEAF), _BLOCK), "queries")
+
+    # a stated query set against all rows, in blocks: each wave sends query blocks of at most WAVE_BYTES to the tasks
+    waves: list[list[int]] = []
+    room = 0
+    for r in queries.select("block", F.expr("length(ids) + length(vectors) + length(nodes) + length(radii)").alias("size")).orderBy("block").collect():  # two numbers a block
+        if not waves or r["size"] > room:
             waves.append([])
             room = WAVE_BYTES
-        waves[-1].append(r["q_block"])
+        waves[-1].append(r["block"])
         room -= r["size"]
-    found = None
+    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
     for wave in waves:
-        pairs = data.join(F.broadcast(queries.where(F.col("q_block").isin(wave))), F.col("dims") == F.col("q_dims"))
-        part = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+        shared = spark.sparkContext.broadcast([r.asDict() for r in queries.where(F.col("block").isin(wave)).collect()])  # at most WAVE_BYTES
+        found = found.unionByName(materialise(data.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long"), "wave"))
+        shared.destroy()
+    discard(data, queries)
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

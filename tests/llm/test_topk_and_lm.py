@@ -37,16 +37,44 @@ def test_top_k(spark, kind, monkeypatch):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows)
 
 
-def test_cover_tree_covers():
-    x = np.random.default_rng(0).normal(size=(700, 5))
-    t = topk.CoverTree(x)
-
-    def below(at):
-        return np.concatenate([t.order[at], *(below(c) for c in t.children[at])]).astype(int)
-
-    assert sorted(below(0)) == list(range(700))
-    for at in range(len(t.centre)):
-        assert np.sqrt(((x[below(at)] - t.centre[at]) ** 2).sum(axis=1)).max() <= t.radius[at] + 1e-9
+def gap(a, b):
+    return np.sqrt(((a - b) ** 2).sum(axis=-1))
+
+
+@pytest.mark.parametrize("leaf", [1, 24])
+def test_cover_tree_covers_and_separates(leaf):
+    x = np.round(np.random.default_rng(0).normal(size=(700, 5)) * 1000).astype(np.int64)
+    x[300:340] = x[0]
+    t = topk.CoverTree.build(np.arange(700), x, leaf)
+    assert sorted(t.ids.tolist()) == list(range(700)) and (t.x == x[t.ids]).all()
+    for at, (centre, lo, hi, first, last) in enumerate(t.nodes.tolist()):
+        assert gap(t.f[lo:hi], t.f[centre]).max() <= t.radius[at] + 1e-9 and lo <= centre < hi
+        if last > first:
+            own = t.nodes[first:last]
+            assert own[0, 1] == lo and own[-1, 2] == hi and (own[1:, 1] == own[:-1, 2]).all()
+            assert (t.radius[first:last] <= t.radius[at] / 2 + 1e-9).all()
+            centres = t.f[own[:, 0]]
+            assert all(gap(centres[:i], centres[i]).min(initial=np.inf) > t.radius[at] / 2 for i in range(len(own)))
+        else:
+            assert hi - lo <= leaf or t.radius[at] == 0
+
+
+def test_node_pairs_are_pruned():
+    r = np.random.default_rng(2)
+    at = r.normal(size=(50, 8)) * 4
+    x = np.floor((at[r.integers(0, 50, 2000)] + r.normal(size=(2000, 8)) * 0.02) * 1024).astype(np.int64)
+    ids = np.arange(2000)
+    s = topk.Search(topk.CoverTree.build(ids[::100], x[::100], 1), 10)
+    s.over(topk.CoverTree.build(ids, x))
+    assert s.scanned < 0.25 * 20 * 2000
+    for q, found in zip(s.tree.ids.tolist(), s.best, strict=True):
+        scored = sorted((-int(x[q] @ x[j]), j) for j in range(2000) if j != q)[:10]
+        assert [(-a, j) for a, j in found.tolist()] == scored
+
+
+def test_too_large_components_fail(spark):
+    with pytest.raises(Exception, match="components"):
+        topk.top_k(spark.createDataFrame([(100, [2000.0], 1)], VECTORS)).collect()
 
 
 def lm_brute(texts, targets):
@@ -71,7 +99,7 @@ def lm_brute(texts, targets):
 
         return p
 
-    a, b = model([s for s, t in zip(coded, targets, strict=True) if t]), model(coded)
+    a, b = model([s for s, t in zip(coded, targets, strict=True) if t]), model([s for s, t in zip(coded, targets, strict=True) if not t])
     return [sum(math.log(a(s[i - 3 : i], s[i])) - math.log(b(s[i - 3 : i], s[i])) for i in range(3, len(s))) / (len(s) - 3) if len(s) > 3 else None for s in coded]
 
 
@@ -94,7 +122,8 @@ def test_no_byte_or_long_gram_is_folded(spark):
     raw = [(t or "").encode().lower() for t in texts]
     assert len({b for t in raw for b in t}) > 60
     targets = {0, 1, 2, 40, 42, 46}
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = [None if i == 5 else i for i in range(len(texts))]  # one without an id
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
     v = len({b for t in raw for b in t}) + 1
 
     def model(chosen):
@@ -114,9 +143,10 @@ def test_no_byte_or_long_gram_is_folded(spark):
         return loss
 
     coded = [b"\xff" * 5 + t for t in raw]
-    a, b = model([s for i, s in enumerate(coded) if i in targets]), model(coded)
+    a, b = model([s for i, s in enumerate(coded) if i in targets]), model([s for i, s in enumerate(coded) if i not in targets])
     labels = spark.createDataFrame([(i, 1, 0) for i in targets] + [(3, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in lm_score.digest(docs, labels).collect()}
+    got[5] = got.pop(None)
     assert len(got) == len(texts)
     for i, s in enumerate(coded):
         want = sum(a(s[k - 5 : k], s[k]) - b(s[k - 5 : k], s[k]) for k in range(5, len(s))) / len(raw[i]) if raw[i] else None
