@@ -16,6 +16,11 @@ leader, which finds most links, then members of different components against eac
 ones either share nothing else, and need enough hot shingles each, or meet in the lists of their other shingles. Pairs
 that reach these bounds are verified on whole sets.
 
+A shingle that very many texts share is known beforehand, from a count over the classes whose hash ends in PROBE_BITS
+zero bits; its list is dealt over salts while it is sorted. That count only routes rows: it decides nothing else but
+that the shingle is hot, which any shingle may be called. Joins over long lists and over pairs of one leader deal the
+many rows of a key over salts as well (`common.meet`).
+
 The boundary is the one of least cost: subsets of each small set against list entries of each large one, over the
 corpus's own set sizes.
 """
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import BROADCAST_IDS, discard, materialise, without_ids
+from mosaiq.llm.common import BROADCAST_IDS, HOT_KEYS, discard, hot_keys, materialise, meet, without_ids
 from mosaiq.llm.components import components
 
 WORDS = 5
@@ -42,6 +47,12 @@ HOT = 24
 MOST_SMALL = 14
 #: Cost of a list entry, in subsets: it is sorted, shuffled and may lead to verifications.
 ENTRY_COST = 3
+#: Classes whose hash ends in so many zero bits are counted beforehand, and those that a shingle known to be hot has at least.
+PROBE_BITS, PROBE_LEAST = 6, 32
+#: List entries of one salt, and bytes of the entries that one task sorts, on average.
+SALT_ROWS, SORT_BYTES = 50_000, 1 << 26
+#: Digests that a task remembers, to tell each class once.
+REMEMBER = 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -94,12 +105,30 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [shingles(t.as_py()) for t in b.column(0)]
-        marks = [_digest(s) for s in found]
-        small = [s.tobytes() if len(s) <= 5 * MOST_SMALL // 4 else None for s in found]
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(small, pa.binary())], ["doc_id", "n", "c", "c2", "small"])
+class _Seen(set):
+    """Digests that were told; forgets all when there are too many, so a digest may be told again."""
+
+    def new(self, mark: int) -> bool:
+        if mark in self:
+            return False
+        if len(self) >= REMEMBER:
+            self.clear()
+        self.add(mark)
+        return True
+
+
+def _sets(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, ends = _Seen(), (1 << bits) - 1
+        for b in batches:
+            found = [shingles(t.as_py()) for t in b.column(0)]
+            marks = [_digest(s) for s in found]
+            small = [s.tobytes() if len(s) <= 5 * MOST_SMALL // 4 else None for s in found]
+            probe = [s.tobytes() if not m[0] & ends and seen.new(m[0]) else None for s, m in zip(found, marks, strict=True)]
+            numbers = ([len(s) for s in found], [m[0] for m in marks], [m[1] for m in marks])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x, pa.int64()) for x in numbers), pa.array(small, pa.binary()), pa.array(probe, pa.binary())], ["doc_id", "n", "c", "c2", "small", "probe"])
+
+    return run
 
 
 def _subsets(bound: int):
@@ -125,69 +154,91 @@ def _subsets(bound: int):
     return run
 
 
-def _lists(bound: int):
-    """(h, c) for the entries of each large set, once for each class and task."""
+class _Salts:
+    """Shingles known to be hot, sorted, and over how many salts the list of each is dealt."""
+
+    def __init__(self, rows: list[tuple[int, int]], bits: int):
+        rows, self.bits = sorted(rows), np.uint64(bits)
+        self.h, self.salts = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+
+    def of(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """0 for other shingles, else a salt from 1 by the class."""
+        out = np.zeros(len(h), dtype=np.int32)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            known = self.h[at] == h
+            out[known] = 1 + (c[known].view(np.uint64) >> self.bits) % self.salts[at[known]].astype(np.uint64)
+        return out
+
+
+def _listed(h: np.ndarray, c: np.ndarray, salts: _Salts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(salts.of(h, c))], ["h", "c", "salt"])
+
+
+def _lists(bound: int, shared):
+    """(h, c, salt) for the entries of each large set, about once for each class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = _Seen()
         for b in batches:
             h, c = [], []
             for t in b.column(0):
                 s = shingles(t.as_py())
-                if len(s) <= bound or (mark := _digest(s)[0]) in seen:
+                if len(s) <= bound or not seen.new(mark := _digest(s)[0]):
                     continue
-                seen.add(mark)
                 h.append(s[: entries(len(s))])
                 c.append(np.full(len(h[-1]), mark, dtype=np.int64))
             if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(c))], ["h", "c"])
+                yield _listed(np.concatenate(h), np.concatenate(c), shared.value)
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by (h, c), of each h that has two or more c; each (h, c) once. Holds one batch and one row."""
-    held: tuple[int, int] | None = None  # the last row
+    """Rows, sorted by (h, c), of each h that has two or more c or is salted; each (h, c) once. Holds one batch and one row."""
+    held: tuple[int, int, int] | None = None  # the last row
     told = False  # whether it was given out
     for b in batches:
-        h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+        h, c, salt = (b.column(k).to_numpy() for k in range(3))
         if held:
-            h, c = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], c])
+            h, c, salt = (np.concatenate([[x], y]) for x, y in zip(held, (h, c, salt), strict=True))
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        h, c = h[new], c[new]
+        h, c, salt = h[new], c[new], salt[new]
         if not len(h):
             continue
         same = h[1:] == h[:-1]
-        keep = np.zeros(len(h), dtype=bool)
+        keep = salt > 0
         keep[1:] |= same
         keep[:-1] |= same
         give = keep.copy()
         if held and told:
             give[0] = False
             keep[0] = True
-        held, told = (int(h[-1]), int(c[-1])), bool(keep[-1])
+        held, told = (int(h[-1]), int(c[-1]), int(salt[-1])), bool(keep[-1])
         if give.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[give]), pa.array(c[give])], ["h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[give]), pa.array(c[give]), pa.array(salt[give].astype(np.int32))], ["h", "c", "salt"])
 
 
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h with `hot`: whether their h has HOT rows or more. Holds one batch and fewer than HOT rows."""
+    """Rows sorted by h with `hot`: whether their h is salted or has HOT rows or more. Holds one batch and fewer than HOT rows."""
     h, c, told = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), None  # held rows of the last h; the last h if it is hot
+    known = np.empty(0, dtype=bool)
     names = ["h", "c", "hot"]
     for b in batches:
         h, c = np.concatenate([h, b.column(0).to_numpy()]), np.concatenate([c, b.column(1).to_numpy()])
+        known = np.concatenate([known, b.column(2).to_numpy() > 0])
         if not len(h):
             continue
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(h)]]))
-        hot = sizes >= HOT
+        hot = (sizes >= HOT) | known[starts]
         hot[0] |= h[0] == told
         told = int(h[-1]) if hot[-1] else None
         end = len(h) if hot[-1] else starts[-1]
         if end:
             yield pa.RecordBatch.from_arrays([pa.array(h[:end]), pa.array(c[:end]), pa.array(np.repeat(hot, sizes)[:end])], names)
-        h, c = h[end:], c[end:]
+        h, c, known = h[end:], c[end:], known[end:]
     if len(h):
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(np.zeros(len(h), dtype=bool))], names)
 
@@ -201,17 +252,36 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array([shingles(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], ["node", "s"])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in b.column(1)]
+            for i in range(0, len(found), 200):
+                part = found[i : i + 200]
+                yield _listed(np.concatenate(part), np.repeat(b.column(0).to_numpy()[i : i + 200], [len(s) for s in part]), shared.value)
+
+    return run
+
+
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in b.column(1)]
-        for i in range(0, len(found), 200):
-            part = found[i : i + 200]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.repeat(b.column(0).to_numpy()[i : i + 200], [len(s) for s in part]))], ["h", "c"])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(b.column(0).to_numpy(), [len(s) for s in found]))], ["h", "c"])
+
+
+def _known_hot(base: DataFrame) -> _Salts:
+    """Shingles that more than max(PROBE_LEAST, total / HOT_KEYS) of the probed classes have: at most HOT_KEYS of them."""
+    counts = base.where("length(probe) > 0").select("c", "probe").mapInArrow(_probed, "h long, c long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.where(F.col("n") > 1), "probed")
+    least = max(PROBE_LEAST, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    rows = [(r["h"], -(-(r["n"] << PROBE_BITS) // SALT_ROWS)) for r in counts.where(F.col("n") > least).collect()]
+    discard(counts)
+    return _Salts(rows, PROBE_BITS)
 
 
-def _runs_of(rows: DataFrame, parts: int) -> DataFrame:
-    """(h, c) of shingles that more than one c has; each task streams through its sorted part."""
-    return rows.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_shared, "h long, c long")
+def _sorted_lists(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "h", "salt").sortWithinPartitions("h", "c")
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,21 +317,25 @@ def _apart(lists: DataFrame, found: DataFrame, fields: list[str], able: Column,
     member (column `least`), the other side all members (or all able ones); a pair of two outsiders comes once.
     """
     placed = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    largest = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("m")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.min("m").alias("least"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    open_ = placed.join(largest, "h")
+    largest = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("m")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.min("m").alias("least"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("members")).where("parts > 1").drop("parts")
+    largest = materialise(largest, "open-lists")
+    hot = hot_keys(largest, ["h"], "members")
+    open_ = meet(placed, largest.drop("members"), ["h"], hot, ["node"])
     open_ = open_.where(able) if only_able else open_
     names = ["node", "n", "component", *fields]
     outside = open_.where((F.col("component") != F.col("major")) & able).select("h", "major", *names)
     every = open_.withColumn("able2", able).select("h", "able2", *(F.col(c).alias(f"{c}2") for c in names))
     once = (F.col("component2") == F.col("major")) | ~F.col("able2") | (F.col("node") < F.col("node2"))
     near = (F.col("n") * 5 >= F.col("n2") * 4) & (F.col("n2") * 5 >= F.col("n") * 4)
-    met = outside.join(every, "h").where((F.col("component") != F.col("component2")) & once & near)
+    met = meet(every, outside, ["h"], hot, ["node2"]).where((F.col("component") != F.col("component2")) & once & near)
     return met.withColumns({"u": F.least("node", "node2"), "v": F.greatest("node", "node2")})
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) that link."""
-    left = pairs.join(sets.withColumnsRenamed({"node": "v", "s": "t"}), "v")
+    pairs = materialise(pairs, "pairs")
+    often = materialise(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
+    left = meet(pairs, sets.withColumnsRenamed({"node": "v", "s": "t"}), ["v"], hot_keys(often, ["v"], "n"), ["u"])
     both = left.join(sets.withColumnRenamed("node", "u"), "u")
     return both.select("u", "v", "s", "t").mapInArrow(_linked, "u long, v long")
 
@@ -274,7 +348,7 @@ def join_documents(documents: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives no rows; repeated rows give repeated results.
     """
     texts = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    base = materialise(texts.mapInArrow(_sets, "doc_id long, n long, c long, c2 long, small binary"), "sets")
+    base = materialise(texts.mapInArrow(_sets(PROBE_BITS), "doc_id long, n long, c long, c2 long, small binary, probe binary"), "sets")
     classes = base.where("n > 0 and doc_id is not null").groupBy("c", "c2", "n").agg(F.min("doc_id").alias("node"), F.first("small").alias("small"))
     classes = materialise(classes, "classes")
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 5 * MOST_SMALL // 4).groupBy("n").count().collect()}  # a row a size
@@ -284,10 +358,12 @@ def join_documents(documents: DataFrame) -> DataFrame:
     of_rows = base.where("n > 0 and doc_id is not null").join(classes.drop("small"), ["c", "c2", "n"]).groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("top"), F.collect_set("node").alias("all")).where("v != top")
     links = [small, materialise(of_rows.select(F.explode("all").alias("u"), "v"), "row-links")]
 
-    rows = texts.where("text is not null and doc_id is not null").select("text").mapInArrow(_lists(bound), "h long, c long")
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = _runs_of(rows, parts)
-    shared = materialise(shared, "lists")
+    spark = documents.sparkSession
+    known_hot = spark.sparkContext.broadcast(_known_hot(base))  # at most HOT_KEYS pairs of numbers
+    rows = texts.where("text is not null and doc_id is not null").select("text").mapInArrow(_lists(bound, known_hot), "h long, c long, salt int")
+    width = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-20 * width // SORT_BYTES))
+    shared = materialise(_sorted_lists(rows, parts).mapInArrow(_shared, "h long, c long, salt int").drop("salt"), "lists")
     # sets whose entries here are too few for any partner go
     need = _spare(F.ceil(4 * F.col("n") / 5))
     few = shared.groupBy("c").agg(F.count(F.lit(1)).alias("many")).join(classes.where(F.col("n") > bound).select("c", "node", "n"), "c").withColumn("need", need).where("many >= need")
@@ -296,14 +372,15 @@ def join_documents(documents: DataFrame) -> DataFrame:
     ids = F.broadcast(candidates) if few.count() <= BROADCAST_IDS else candidates
     sets = materialise(texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select("text", "doc_id").mapInArrow(_full, "node long, s binary").where("length(s) > 0"), "full")
     # whole sets of what is left: a link needs four fifths of a set's shingles, so at least as many must be in some other set
-    whole = sets.mapInArrow(_entries, "h long, c long").repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_shared_flagged, "h long, c long, hot boolean")
+    whole = _sorted_lists(sets.mapInArrow(_entries(known_hot), "h long, c long, salt int"), parts).mapInArrow(_shared_flagged, "h long, c long, hot boolean")
     whole = materialise(whole.withColumnRenamed("c", "node"), "whole-lists")
     known = whole.groupBy("node").agg(F.count(F.lit(1)).alias("common"), F.count_if("hot").alias("warm"))
     few = materialise(few.join(known, "node").where("5 * common >= 4 * n"), "fewer")
-    hot = materialise(whole.where("hot").select("h", "hot").distinct(), "hot")
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    hot = materialise(whole.where("hot").groupBy("h").agg(F.first("hot").alias("hot"), F.count(F.lit(1)).alias("k")), "hot")
     side = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
-    entry = shared.join(side, "c").select("h", "node", "n", "many", "need", "common", "warm").join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    entry = shared.join(side, "c").select("h", "node", "n", "many", "need", "common", "warm")
+    entry = entry.join(F.broadcast(hot.drop("k")), "h", "left") if hot.count() <= BROADCAST_IDS else meet(entry, hot.drop("k"), ["h"], hot_keys(hot, ["h"], "k"), ["node"], "left")
+    entry = entry.withColumn("hot", F.coalesce("hot", F.lit(False)))
     entry = materialise(entry, "entries")
     stats = entry.groupBy("node").agg(F.count_if("hot").alias("hots"))
     key = entry.join(stats, "node").withColumn("uses_hot", F.col("hots") >= F.col("need")).where(~F.col("hot") | F.col("uses_hot"))
@@ -312,9 +389,11 @@ def join_documents(documents: DataFrame) -> DataFrame:
     discard(shared, entry)
 
     # first scan: each list against its leader, the member that shares the greatest part of its entries
-    lead = key.groupBy("h").agg(F.max_by(F.struct(F.col("node").alias("v"), F.col("n").alias("m")), F.struct(F.col("many") / F.col("n"), -F.col("node"))).alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "l.v", "l.m")
+    lead = key.groupBy("h").agg(F.max_by(F.struct(F.col("node").alias("v"), F.col("n").alias("m")), F.struct(F.col("many") / F.col("n"), -F.col("node"))).alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "l.v", "l.m", F.col("k").alias("members"))
+    lead = materialise(lead, "leaders")
     close = (F.col("n") * 5 >= F.col("m") * 4) & (F.col("m") * 5 >= F.col("n") * 4)
-    pairs = key.join(lead, "h").where((F.col("node") != F.col("v")) & close).groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where(F.col("k") * 4 >= F.col("need"))
+    led = meet(key, lead.drop("members"), ["h"], hot_keys(lead, ["h"], "members"), ["node"])
+    pairs = led.where((F.col("node") != F.col("v")) & close).groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where(F.col("k") * 4 >= F.col("need"))
     links.append(materialise(_verify(pairs.select("u", "v"), sets), "leader-links"))
 
     # second scan: what is still apart

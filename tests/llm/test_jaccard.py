@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from mosaiq.llm import jaccard
+from mosaiq.llm import common, jaccard
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -60,6 +60,20 @@ def test_links_equal_brute_force(spark, seed, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_lists_and_leaders_that_are_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 6)
+    monkeypatch.setattr(jaccard, "PROBE_BITS", 0)
+    monkeypatch.setattr(jaccard, "PROBE_LEAST", 8)
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 4)
+    monkeypatch.setattr(jaccard, "REMEMBER", 3)
+    monkeypatch.setattr(common, "FEW_ROWS", 4)
+    r = random.Random(11)
+    template, group = [f"t{i}" for i in range(40)], [f"g{i}" for i in range(60)]
+    rows = [template + [f"o{k}x{i}" for i in range(r.choice([4, 8, 12, 40]))] for k in range(30)] + [edited(r, group, r.choice([0, 1, 2, 3, 5])) for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(100 + i, " ".join(group)) for i in range(10)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_small_sets(spark):
     r = random.Random(5)
     rows = [(i, " ".join(r.choice("abc") for _ in range(r.randrange(1, 16)))) for i in range(150)]
