@@ -1,8 +1,10 @@
 """License scans: canonical digests of whole texts, hash-joined to the digests of known licences.
 
 Canonical form, in this order: lower case; copyright lines go (a line that begins, after comment marks, with
-"copyright" or "(c)" and a year or sign); everything but ASCII letters, digits and non-ASCII characters is a
-single space; equivalent spellings become one. The digest is SHA-256 of the trimmed result.
+"copyright", "(c)" or a copyright sign and names a year, a sign or a placeholder), and so do lines that only reserve all
+rights, and list marks at the beginning of a line; punctuation, symbols and white space, of Unicode too, become single
+spaces; equivalent spellings become one. The digest is SHA-256 of the trimmed result. A licence is known by several
+digests: with each of its usual headings and without, and long ones with and without what follows their terms.
 """
 
 from __future__ import annotations
@@ -10,58 +12,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.license_texts import TEXTS
+from mosaiq.llm.license_texts import DIGESTS, HEADINGS, TEXTS
 
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$"
-NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Lines that go, in lower case.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:(?:portions[ \t]+)?copyright\b[^\n]*(?:\(c\)|©|[0-9]{4}|[\[<{][^\n]*[\]>}])|\(c\)[^\n]*[0-9]{4}|©)[^\n]*$"
+RIGHTS_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+LIST_MARK = r"(?m)^[^a-z0-9\n(]*\(?(?:[0-9]{1,2}|[a-z])[.)](?:[ \t]+|$)"
+NOT_A_WORD = r"[\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
 #: Spellings that count as equal, after punctuation has become spaces: pattern, replacement.
 SPELLINGS = (
     (r"(^| )licenc(e|i)", "$1licens$2"),
-    (r"(^| )sub licens", "$1sublicens"),
-    (r"(^| )non infringement", "$1noninfringement"),
-    (r"(^| )(author|organ|util|recogn)is(e|ation|ing)", "$1$2iz$3"),
-    (r"(^| )(fav|behavi|col)our", "$1$2or"),
+    (r"(^| )(sub|non) (licens|infringement)", "$1$2$3"),
+    (r"(^| )(author|organ|util|recogn|initial|general|special|summar|standard|custom)is(e|ation|ing)", "$1$2iz$3"),
+    (r"(^| )(fav|behavi|col|hon|lab)our", "$1$2or"),
+    (r"(^| )(acknowledg|judg)ement", "$1$2ment"),
+    (r"(^| )copyright owner", "$1copyright holder"),
+    (r"(^| )https( |$)", "$1http$2"),
+    (r"(^| )per cent( |$)", "$1percent$2"),
+    (r"(^| )whilst( |$)", "$1while$2"),
 )
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    t = F.regexp_replace(t, NOT_A_WORD, " ")
+    t = F.lower(text)
+    for line in (COPYRIGHT_LINE, RIGHTS_LINE, LIST_MARK, NOT_A_WORD):
+        t = F.regexp_replace(t, line, " ")
     for pattern, new in SPELLINGS:
         t = F.regexp_replace(t, pattern, new)
     return F.trim(t)
 
 
+def headed_texts() -> list[tuple[str, str]]:
+    """license_id and text of the licences kept whole, under each of their headings."""
+    return sorted((k, f"{h}\n\n{t}") for k, texts in TEXTS.items() for t in texts for h in HEADINGS.get(k, ("",)))
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """The licences that come with the library: license_id, text."""
-    return spark.createDataFrame(sorted(TEXTS.items()), "license_id string, text string")
+    """The licences that come with the library: license_id, canonical_sha256."""
+    own = spark.createDataFrame(headed_texts(), "license_id string, text string").select("license_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
+    return own.unionByName(spark.createDataFrame(sorted((k, d) for k, ds in DIGESTS.items() for d in ds), "license_id string, canonical_sha256 string"))
 
 
 def scan_licenses(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per row of documents: doc_id, canonical_sha256, license_id (null where no licence has that digest).
 
-    known: license_id, text; of licences with one digest the smallest id counts. Null text: null digest and no
+    known: license_id and text or canonical_sha256; of licences with one digest the smallest id counts. Null text: null digest and no
     licence. An empty canonical form never matches. Repeated rows give repeated results; other columns are ignored.
     The known side is a table of licences; Catalyst broadcasts it where it is small and shuffles by digest otherwise.
     """
     known = known_licenses(documents.sparkSession) if known is None else known
-    digests = known.select(F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), "license_id").where((F.col("canonical_sha256") != F.sha2(F.lit(""), 256)) & F.col("license_id").isNotNull())
+    digest = F.col("canonical_sha256") if "canonical_sha256" in known.columns else F.sha2(canonical(F.col("text")), 256)
+    digests = known.select(digest.alias("canonical_sha256"), "license_id").where((F.col("canonical_sha256") != F.sha2(F.lit(""), 256)) & F.col("license_id").isNotNull())
     digests = digests.groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
     own = documents.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
     return own.join(digests, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
 
 
 def _sql_canonical(text: str) -> str:
-    t = rf"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"
-    t = rf"regexp_replace({t}, '{NOT_A_WORD}', ' ', 'g')"
+    t = f"lower({text})"
+    for line in (COPYRIGHT_LINE, RIGHTS_LINE, LIST_MARK, NOT_A_WORD):
+        t = f"regexp_replace({t}, '{line}', ' ', 'g')"
     for pattern, new in ((p, n.replace("$", "\\")) for p, n in SPELLINGS):
-        t = rf"regexp_replace({t}, '{pattern}', '{new}', 'g')"
+        t = f"regexp_replace({t}, '{pattern}', '{new}', 'g')"
     return f"sha256(trim({t}))"
 
 
 def oracle() -> str:
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEXTS.items()))
-    return f"""with k as (select min(license_id) as license_id, {_sql_canonical("text")} as canonical_sha256 from (values {values}) as t(license_id, text) group by 2),
+    texts = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in headed_texts())
+    digests = ", ".join(f"('{k}', '{d}')" for k, ds in DIGESTS.items() for d in ds)
+    return f"""with k as (select min(license_id) as license_id, canonical_sha256 from (select license_id, {_sql_canonical("text")} as canonical_sha256 from (values {texts}) as t(license_id, text) union all select * from (values {digests}) as u(license_id, canonical_sha256)) group by 2),
 d as (select doc_id, {_sql_canonical("text")} as canonical_sha256 from documents)
 select d.doc_id, d.canonical_sha256, k.license_id from d left join k using (canonical_sha256)"""

@@ -4,8 +4,8 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Each
 filters over 8 bytes run along a chunk and are max-pooled to one value each. A document's features are the mean and
 the maximum of these values over its chunks; a logistic unit turns them into the probability of label 1.
 
-Training takes at most MAX_ROWS labelled rows, those with the smallest hash of doc_id, and at most TRAIN_CHUNKS
-chunks of each, spread evenly over the text: both bound what the driver holds. Scoring uses every chunk.
+Training takes whole labelled rows in order of a hash of doc_id, until there are MAX_ROWS of them or the next one would
+bring their texts above MAX_BYTES: both bound what the driver holds. Training and scoring use every chunk of a text.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample.
-MAX_ROWS, TRAIN_CHUNKS = 4_000, 8
+#: Bounds of the training sample: rows, and bytes of their texts.
+MAX_ROWS, MAX_BYTES = 4_000, 1 << 25
 CHUNK, STEP = 256, 224
 DIMS, WIDTH, HOP, FILTERS = 4, 8, 4, 24
 EPOCHS, BATCH, RATE = 8, 32, 0.01
@@ -92,10 +91,13 @@ class Network:
         counts = np.array([len(d) for d in docs])
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         owner = np.repeat(np.arange(len(docs)), counts)
-        win = self.windows(x)
-        z = win @ self.p["filters"]
-        at = z.argmax(axis=1)  # (chunks, filters)
-        raw = np.take_along_axis(z, at[:, None, :], axis=1)[:, 0] + self.p["shift"]
+        parts = [slice(i, i + AT_ONCE) for i in range(0, len(x), AT_ONCE)]  # a long text has many chunks
+        best, at = [], []
+        for part in parts:
+            z = self.windows(x[part]) @ self.p["filters"]
+            at.append(z.argmax(axis=1))  # (chunks, filters)
+            best.append(np.take_along_axis(z, at[-1][:, None, :], axis=1)[:, 0])
+        raw = np.concatenate(best) + self.p["shift"]
         pooled = np.maximum(raw, 0)
         mean = np.add.reduceat(pooled, starts, axis=0) / counts[:, None]
         top = np.maximum.reduceat(pooled, starts, axis=0)
@@ -107,39 +109,45 @@ class Network:
         share = first / np.maximum(np.add.reduceat(first, starts, axis=0, dtype=np.float32), 1)[owner]
         d_raw = (d_both[:, :FILTERS] / counts[:, None])[owner] + d_both[:, FILTERS:][owner] * share
         d_raw = (d_raw * (raw > 0)).astype(np.float32)
-        seen = win[np.arange(len(x))[:, None], at]
-        d_bytes = (d_raw[:, :, None] * self.p["filters"].T[None]).reshape(-1, DIMS)
-        where = x[np.arange(len(x))[:, None, None], at[:, :, None] * HOP + np.arange(WIDTH)].reshape(-1)
+        d_vectors, d_filters = np.zeros((256, DIMS)), np.zeros_like(self.p["filters"])
+        for part, own in zip(parts, at, strict=True):
+            rows, g = np.arange(len(own))[:, None], d_raw[part]
+            d_filters += np.einsum("nf,nfk->kf", g, self.windows(x[part])[rows, own])
+            d_bytes = (g[:, :, None] * self.p["filters"].T[None]).reshape(-1, DIMS)
+            where = x[part][rows[:, :, None], own[:, :, None] * HOP + np.arange(WIDTH)].reshape(-1)
+            d_vectors += np.stack([np.bincount(where, weights=d_bytes[:, k], minlength=256) for k in range(DIMS)], axis=1)
         return {
-            "bytes": np.stack([np.bincount(where, weights=d_bytes[:, k], minlength=256) for k in range(DIMS)], axis=1).astype(np.float32),
-            "filters": np.einsum("nf,nfk->kf", d_raw, seen),
+            "bytes": d_vectors.astype(np.float32),
+            "filters": d_filters,
             "shift": d_raw.sum(axis=0),
             "weights": (d[:, None] * both).sum(axis=0),
             "bias": d.sum(keepdims=True),
         }
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cut = []
-        for text in b.column(0):
-            c = chunks((text.as_py() or "").encode("utf-8", "replace"))
-            cut.append(np.ascontiguousarray(c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).round().astype(int))]).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(cut, pa.binary()), b.column(2)], ["place", "chunks", "y"])
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Network | None:
+    """A network fitted to labels.quality (0 or 1) of rows whose remainder isn't 0; None if there are none.
 
-
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network | None:
-    """A network fitted to labels.quality (0 or 1) of rows whose remainder isn't 0; None if there are none."""
+    Labels without doc_id or quality are left out; of several for one doc_id the greatest counts. Repeated rows of a
+    document are trained on one by one, null text as an empty one. max_rows and max_bytes bound the sample, in whole rows.
+    """
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0))
-    own = own.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__y")).withColumn("__place", F.xxhash64("__id"))
-    ids = own.orderBy("__place").limit(max_rows)
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-    rows = rows.select("text", "__place", F.col("__y").cast("int")).mapInArrow(_sample, "place long, chunks binary, y int")
-    rows = rows.orderBy("place", "chunks").limit(max_rows).collect()  # at most max_rows * TRAIN_CHUNKS * CHUNK bytes
-    if not rows:
+    own = own.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("int").alias("__y")).withColumn("__place", F.xxhash64("__id"))
+    ids = own.orderBy("__place", "__id").limit(max_rows)  # at most max_rows rows
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.col("doc_id").alias("__doc"), text.alias("__text")).join(F.broadcast(ids), F.col("__doc") == F.col("__id"))
+    key = ["__place", "__id", "__size", "__crc"]
+    rows = rows.select("__place", "__id", F.octet_length("__text").alias("__size"), F.crc32(F.col("__text").cast("binary")).alias("__crc"), "__text", "__y").where(F.col("__size") <= max_bytes)
+    sizes = rows.select(*key).orderBy(*key).limit(max_rows).collect()  # at most max_rows rows of four numbers
+    total = np.cumsum([r["__size"] for r in sizes])
+    many = int(np.searchsorted(total, max_bytes, side="right"))
+    if not many:
         return None
-    docs = [np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows]
-    return Network().fit(docs, np.array([r["y"] for r in rows], dtype=np.float32))
+    bound = F.struct(*(F.lit(v).cast(t) for v, t in zip(sizes[many - 1], ("long", documents.schema["doc_id"].dataType, "int", "long"), strict=True)))
+    rows = rows.where(F.struct(*(F.col(c).cast(t) for c, t in zip(key, ("long", documents.schema["doc_id"].dataType, "int", "long"), strict=True))) <= bound)
+    rows = rows.orderBy(*key).limit(many).select("__text", "__y").collect()  # at most max_bytes bytes
+    docs = [chunks(r["__text"].encode("utf-8", "replace")) for r in rows]
+    return Network().fit(docs, np.array([r["__y"] for r in rows], dtype=np.float32))
 
 
 def score_documents(documents: DataFrame, network: Network | None) -> DataFrame:
@@ -188,6 +196,12 @@ def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents that the classifier, trained on labelled documents, doesn't reject."""
+    """documents that the classifier, trained on labelled documents, doesn't reject; all their columns as they are.
+
+    Null and empty texts are scored like any other, repeated rows stay or go together, and without labels to learn
+    from every document stays. Columns named score or predicted would be lost, so they are carried under other names.
+    """
     columns = documents.columns
-    return score_documents(documents, train(labelled, labels)).where("predicted = 1").select(*columns)
+    own = documents.select(*(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(columns)), F.col("text"))
+    kept = score_documents(own, train(labelled, labels)).where("predicted = 1")
+    return kept.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(columns)))

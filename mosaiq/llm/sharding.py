@@ -61,14 +61,15 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, group=None) -> D
     ties go by hash; other columns are ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    key = F.coalesce((F.col("text") if group is None else group).cast("string"), F.lit("\x00null"))
+    value = (F.col("text") if group is None else group).cast("string")
+    key = F.struct(value.isNull(), F.coalesce(value, F.lit("")))  # no text equals a null
     rows = materialise(
         documents.select(
             F.col("doc_id").cast("long"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
             F.xxhash64(key).alias("g1"),
-            F.xxhash64(F.lit(7), key, F.lit("b")).alias("g2"),
+            F.xxhash64(F.lit(7), key).alias("g2"),
         ),
         "shard-rows",
     )
@@ -109,6 +110,14 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, group=None) -> D
     return running_total(done, ["shard"], [], ["doc_id", "g1", "nth"], 1, "slot", chunks).drop("nth")
 
 
+def cut_edges(sharded: DataFrame) -> DataFrame:
+    """One row: links, pairs of rows of one group (g1, g2), and cut, those of them that lie in different shards."""
+    pairs = lambda n: F.coalesce(F.sum((F.col(n) * (F.col(n) - 1) / 2).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    cells = sharded.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("n"))
+    groups = cells.groupBy("g1", "g2").agg(F.sum("n").alias("all"), pairs("n").alias("__kept"))
+    return groups.agg(pairs("all").alias("links"), F.coalesce(F.sum("__kept"), F.lit(0)).alias("__kept")).select("links", (F.col("links") - F.col("__kept")).alias("cut"))
+
+
 def digest(documents: DataFrame) -> DataFrame:
     """What op8 returns; law `rows`: shard counts at most one apart."""
     out = shard_documents(documents)
