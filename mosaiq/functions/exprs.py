@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from math import pi
 
 from pyspark.sql import Column
@@ -63,6 +64,47 @@ def safe_id(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(x), r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
 
 
+def fixed4(x: Column) -> Column:
+    """Four decimals as text; NA for what isn't a finite number."""
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.format_string("%.4f", x)).otherwise("NA")
+
+
+def zero_padded(x: Column, width: int) -> Column:
+    """Digits of a text or number, filled with zeros from the left; longer ones stay whole."""
+    t = x.cast("string")
+    return F.when(F.length(t) >= width, t).otherwise(F.lpad(t, width, "0"))
+
+
+def thousands(x: Column) -> Column:
+    """500000 as 500k; numbers that aren't whole thousands stay."""
+    return F.when((x != 0) & (x % 1000 == 0), F.concat((x / 1000).cast("long").cast("string"), F.lit("k"))).otherwise(x.cast("string"))
+
+
+def rendered(template: str, **fields: Column) -> Column:
+    """A template with {name} and {name:k} (thousands) filled in; unknown names are an error."""
+    parts, at = [], 0
+    for m in re.finditer(r"\{([a-z_][a-z0-9_]*)(:k)?\}", template):
+        if m[1] not in fields:
+            raise ValueError(f"unknown field in template: {m[1]}")
+        parts += [F.lit(template[at : m.start()]), thousands(fields[m[1]]) if m[2] else fields[m[1]].cast("string")]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def exif_time(x: Column) -> Column:
+    """A capture time as cameras write it, 2024:05:01 10:20:30 (the first 19 characters), as a timestamp; else null."""
+    return F.try_to_timestamp(F.substring(x, 1, 19), F.lit("yyyy:MM:dd HH:mm:ss"))
+
+
+def iso_time(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def failures(**rules: Column) -> Column:
+    """The names of the rules that don't hold, as an array; a rule without an answer doesn't hold."""
+    return F.filter(F.array(*(F.when(F.coalesce(r, F.lit(False)), F.lit(None)).otherwise(F.lit(k)) for k, r in rules.items())), lambda x: x.isNotNull())
+
+
 def threshold_label(x: Column) -> Column:
     """15 for 15.0 and 2p5 for 2.5."""
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.regexp_replace(x.cast("string"), r"\.", "p"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.functions.exprs import array_median
+from mosaiq.operators.order import index_of
+from mosaiq.sources.stage import stage
 
-def resolution_groups(headers: DataFrame, relative: float = 1e-6, absolute: float = 1e-7) -> DataFrame:
-    """Rasters (raster_id, xres, yres) grouped by resolutions that agree within a tolerance: group, rasters, xres, yres.
+
+def resolution_groups(headers: DataFrame, relative: float = 1e-6, absolute: float = 1e-7, ends: bool = False) -> DataFrame:
+    """Rasters (xres, yres) grouped by resolutions that agree within a tolerance: group, rasters, xres, yres.
 
     Distinct resolutions are few; sorted, a gap larger than the tolerance starts a new group.
     """
@@ -16,7 +20,27 @@ def resolution_groups(headers: DataFrame, relative: float = 1e-6, absolute: floa
     wide = lambda c: F.abs(F.col(c) - F.lag(c).over(order)) > F.greatest(F.lit(absolute), relative * F.greatest(F.abs(c), F.abs(F.lag(c).over(order))))
     marked = distinct.withColumn("_new", F.coalesce((wide("xres") | wide("yres")).cast("int"), F.lit(1)))
     numbered = marked.withColumn("group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy("group").agg(F.sum("rasters").alias("rasters"), F.min("xres").alias("xres"), F.min("yres").alias("yres"))
+    bounds = [f(c).alias(f"{c}_{n}") for c in ("xres", "yres") for n, f in (("low", F.min), ("high", F.max))] if ends else []
+    return numbered.groupBy("group").agg(F.sum("rasters").alias("rasters"), F.min("xres").alias("xres"), F.min("yres").alias("yres"), *bounds)
+
+
+def resolution_report(headers: DataFrame, relative: float = 1e-6, absolute: float = 1e-7) -> DataFrame:
+    """Per group of resolutions: rasters, variants, pairs of variant and replicate, projections, rotated rasters.
+
+    headers: variant_id, replicate, xres, yres, proj, rotated. Groups as in resolution_groups, whose ends bound them.
+    """
+    ends = resolution_groups(headers.select("xres", "yres"), relative, absolute, True).drop("xres", "yres")
+    inside = (F.col("xres") >= F.col("xres_low")) & (F.col("xres") <= F.col("xres_high")) & (F.col("yres") >= F.col("yres_low")) & (F.col("yres") <= F.col("yres_high"))
+    met = headers.join(F.broadcast(ends), inside)  # a row a group of resolutions
+    return met.drop("rasters").groupBy("group").agg(F.count(F.lit(1)).alias("rasters"), F.count_distinct("variant_id").alias("variants"), F.count_distinct("variant_id", "replicate").alias("pairs"), F.count_distinct("proj").alias("projections"), F.count_if("rotated").alias("rotated"))
+
+
+def one_resolution(headers: DataFrame) -> DataFrame:
+    """The mean resolution of all rasters, one row; reading it fails if there is none or they disagree."""
+    one = resolution_groups(headers.select("xres", "yres")).agg(F.count(F.lit(1)).alias("_groups"))
+    mean = headers.agg(((F.avg(F.abs("xres")) + F.avg(F.abs("yres"))) / 2).alias("resolution"))
+    good = F.when(F.col("_groups") == 1, F.col("resolution"))
+    return mean.join(one).select(F.coalesce(good, F.raise_error(F.lit("rasters have no or several resolutions")).cast("double")).alias("resolution"))
 
 
 def rank_check(ranked: DataFrame, score: str, stored: str, key: str) -> DataFrame:
@@ -26,6 +50,27 @@ def rank_check(ranked: DataFrame, score: str, stored: str, key: str) -> DataFram
     return out.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("_true") != F.col(stored)).alias("mismatches"), F.count_if((F.col(score) < -1e-9) | (F.col(score) > 1 + 1e-9)).alias("outside"))
 
 
+def jump_cutoff(sizes: DataFrame, value: str, keys: tuple[str, ...] = (), smooth: int = 101, least: int = 1) -> DataFrame:
+    """Per keys the size after which the logarithms of the sorted sizes, smoothed by a running median, bend most.
+
+    `smooth` is the odd width of the median (none if it isn't smaller than the number of sizes; at the ends the widest
+    that fits). Fewer than ten sizes give `least`. Equal sizes count one by one, so sizes of a group are gathered: they are
+    a run's segments.
+    """
+    own = sizes.where(F.col(value) > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("x"))
+    n = F.size("x")
+    half = F.lit(smooth // 2)
+    logs = F.transform("x", lambda v: F.log(v))
+    own = own.withColumn("l", logs)
+    median = lambda i, k: array_median(F.slice("l", (i - k + 1).cast("int"), (2 * k + 1).cast("int")))
+    smoothed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: median(i, F.least(i, n - 1 - i, half)))
+    own = own.withColumn("l", F.when((F.lit(smooth) < n) & F.lit(smooth >= 3 and smooth % 2 == 1), smoothed).otherwise(F.col("l")))
+    bends = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.floor((F.get("l", i + 1) - 2 * F.get("l", i) + F.get("l", i - 1)) * 1e9 + 0.5).alias("b"), (-i).alias("i")))
+    at = -F.array_max(bends)["i"]
+    cut = F.when(n >= 10, F.greatest(F.lit(least), F.rint(F.get("x", at)).cast("int"))).otherwise(F.lit(least))
+    return own.select(*keys, cut.alias("cutoff"), n.alias("n"))
+
+
 def knee_cutoff(sizes: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per keys the value where the second difference of the sorted logarithms is greatest; the first if tied."""
     distinct = sizes.where(F.col(value) > 0).select(*keys, value).distinct()
@@ -64,11 +109,10 @@ def one_baseline(perturbations: DataFrame, key: str = "candidate_id") -> DataFra
 
 def percentile_cut(points: DataFrame, value: str, percent: float, least: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per keys the value at place floor(n (1 - percent / 100)) of the sorted values (not interpolated), at least `least`."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    placed = points.withColumns({"_i": F.row_number().over(order) - 1, "_n": n})
-    at = F.least(F.floor(F.col("_n") * (1 - percent / 100)), F.col("_n") - 1)
-    return placed.where(F.col("_i") == at).select(*keys, F.greatest(F.lit(least), F.col(value)).alias("threshold"), F.col("_n").alias("n"))
+    placed = stage(index_of(points.select(*keys, value), [*keys, value], "_i"), "placed")
+    groups = placed.groupBy(*keys).agg(F.min("_i").alias("_start"), F.count(F.lit(1)).alias("n"))
+    asked = groups.withColumn("_i", F.col("_start") + F.least(F.floor(F.col("n") * (1 - percent / 100)), F.col("n") - 1))
+    return placed.select("_i", value).join(asked, "_i").select(*keys, F.greatest(F.lit(least), F.col(value)).alias("threshold"), "n")
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -85,9 +129,31 @@ def bilinear(points: DataFrame, surface: DataFrame, value: str) -> DataFrame:
     return met.select("point_id", F.when(F.col("_gaps") == 0, F.col("_v")).alias(value))
 
 
-def snap_to_valid(points: DataFrame, valid: DataFrame, reach: int) -> DataFrame:
-    """points (rank, r, c) moved to the nearest valid cell within reach; ties by row, then column; none: the point goes."""
+def snap_to_valid(points: DataFrame, valid: DataFrame, reach: int = 1) -> DataFrame:
+    """points (rank, r, c) moved to the nearest valid cell; ties by row, then column. Without a valid cell none is left.
+
+    The disc that is searched begins at `reach` and doubles for the points that find nothing in it, up to the farthest
+    that a valid cell can be.
+    """
+    span = valid.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    if span[0] is None:
+        return points.select("rank", "r", "c").limit(0)
+    ends = points.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    if ends[0] is None:
+        return points.select("rank", "r", "c")
+    most = int(sum((max(span[k + 1], ends[k + 1]) - min(span[k], ends[k])) ** 2 for k in (0, 2)) ** 0.5) + 1
+    open_, found = stage(points.select("rank", "r", "c"), "open"), None
+    while open_.head(1):
+        near = stage(_nearest_valid(open_, valid, reach), "snapped")
+        found = near if found is None else found.unionByName(near)
+        if reach >= most:
+            break
+        open_, reach = stage(open_.join(near.select("rank"), "rank", "left_anti"), "open"), min(2 * reach, most)
+    return found
+
+
+def _nearest_valid(points: DataFrame, valid: DataFrame, reach: int) -> DataFrame:
     offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= reach * reach)))
     sent = points.select("rank", F.col("r").alias("_r"), F.col("c").alias("_c"), offsets.alias("o")).select("rank", (F.col("_r") + F.col("o.a")).alias("r"), (F.col("_c") + F.col("o.b")).alias("c"), (F.col("o.a") * F.col("o.a") + F.col("o.b") * F.col("o.b")).alias("d2"))
-    best = sent.join(valid.select("r", "c"), ["r", "c"], "left_semi").groupBy("rank").agg(F.min(F.struct("d2", "r", "c")).alias("m"))
+    best = sent.join(valid.select("r", "c").distinct(), ["r", "c"], "left_semi").groupBy("rank").agg(F.min(F.struct("d2", "r", "c")).alias("m"))
     return best.select("rank", "m.r", "m.c")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.exprs import clip
+from mosaiq.operators.order import quantiles
 
 
 def valid_mask(pixels: DataFrame, invalid: tuple[tuple[float, ...], ...], bands: tuple[str, ...] = ("b1", "b2", "b3"), nodata: float | None = None, alpha: str | None = None, least_alpha: float = 1.0) -> DataFrame:
@@ -31,10 +32,10 @@ def colour_indices(pixels: DataFrame, bands: tuple[str, ...] = ("b1", "b2", "b3"
 
 
 def quantile_parameters(cells: DataFrame, bands: tuple[str, ...], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """One row a band: low and high quantile, centre and half width. One pass for all bands."""
-    ends = cells.agg(*(F.percentile(b, F.array(F.lit(low), F.lit(high))).alias(b) for b in bands))
-    stacked = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.get(F.col(b), F.lit(0)).alias("low"), F.get(F.col(b), F.lit(1)).alias("high")) for b in bands)))
-    out = ends.select(stacked.alias("x")).select("x.*")
+    """One row a band: low and high quantile, centre and half width."""
+    stacked = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in bands)))
+    ends = quantiles(cells.select(stacked.alias("x")).select("x.*"), ["band"], "value", [low, high])
+    out = ends.select("band", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
     width = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / 2).otherwise(F.raise_error(F.concat(F.lit("no spread in band "), F.col("band"))))
     return out.select("band", "low", "high", ((F.col("low") + F.col("high")) / 2).alias("centre"), width.cast("double").alias("scale"))
 
@@ -99,11 +100,59 @@ def first_component(cells: DataFrame, bands: tuple[str, ...] = ("m1", "m2", "m3"
 
 def clip_rescale(cells: DataFrame, column: str, top: float = 255.0, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """The column clipped to its quantiles and stretched to 0..top."""
-    ends = cells.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    ends = quantiles(cells, [], column, [low, high]).withColumnRenamed("q", "_q")
     lo, hi = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
     return cells.join(F.broadcast(ends)).withColumn(column, (F.least(F.greatest(F.col(column), lo), hi) - lo) * top / (hi - lo)).drop("_q")
 
 
+def feature_bands(cells: DataFrame, small: str, large: str, bands: tuple[str, ...] = ("m1", "m2", "m3"), eps: float = 1e-6) -> DataFrame:
+    """cells with the six feature bands f1..f6: exgr, exr, bri, small and large structure, and their ratio small / (large + eps)."""
+    out = colour_indices(cells, bands)
+    six = ("exgr", "exr", "bri", small, large)
+    return out.withColumns({f"f{k + 1}": F.col(c).cast("double") for k, c in enumerate(six)} | {"f6": F.col(small) / (F.col(large) + eps)})
+
+
+def masked(cells: DataFrame, bands: tuple[str, ...], valid: str = "valid", background: float = 0.0) -> DataFrame:
+    """cells with the bands set to the background where they aren't valid; a null flag counts as not valid."""
+    return cells.withColumns({b: F.when(F.coalesce(F.col(valid), F.lit(False)), F.col(b)).otherwise(F.lit(background)) for b in bands})
+
+
+def stack_with_mask(stack: DataFrame, mask: DataFrame, bands: tuple[str, ...]) -> DataFrame:
+    """r, c, the bands and valid of a stack (r, c, bands) and a mask (r, c, valid) over the same places.
+
+    Reading it fails if one of them has a place that the other hasn't, as grids of different sizes would.
+    """
+    missing = [b for b in bands if b not in stack.columns]
+    if missing:
+        raise ValueError(f"the stack has no bands {', '.join(missing)}")
+    own = stack.select("r", "c", *bands, F.lit(True).alias("_s"))
+    both = own.join(mask.select("r", "c", F.col("valid").alias("_v"), F.lit(True).alias("_m")), ["r", "c"], "full")
+    agree = F.when(F.col("_s").isNotNull() & F.col("_m").isNotNull(), F.coalesce(F.col("_v").cast("boolean"), F.lit(False)))
+    error = F.raise_error(F.format_string("stack and mask differ at row %d, column %d", "r", "c")).cast("boolean")
+    return both.select("r", "c", *bands, F.coalesce(agree, error).alias("valid"))
+
+
+def standard_parameters(cells: DataFrame, bands: tuple[str, ...]) -> DataFrame:
+    """One row a band: mean and population standard deviation."""
+    stacked = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in bands)))
+    return cells.select(stacked.alias("x")).select("x.*").groupBy("band").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+
+
+def standardised(cells: DataFrame, bands: tuple[str, ...]) -> DataFrame:
+    """cells with each band less its mean, over its standard deviation; 0 for a band without spread."""
+    one = standard_parameters(cells, bands).groupBy().pivot("band", list(bands)).agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"))
+    joined = cells.join(F.broadcast(one))  # one row
+    return joined.withColumns({b: F.when(F.col(f"{b}_sd") > 0, (F.col(b) - F.col(f"{b}_mean")) / F.col(f"{b}_sd")).otherwise(0.0) for b in bands}).drop(*one.columns)
+
+
+def intensity_normalised(pixels: DataFrame, image: str, bands: tuple[str, ...], top: float = 255.0) -> DataFrame:
+    """Own rule: each band of each image stretched from its least to its greatest value to 0..top; 0 without spread."""
+    ends = pixels.groupBy(image).agg(*(F.min(b).alias(f"_lo_{b}") for b in bands), *(F.max(b).alias(f"_hi_{b}") for b in bands))
+    out = pixels.join(ends, image)
+    stretch = lambda b: F.when(F.col(f"_hi_{b}") > F.col(f"_lo_{b}"), (F.col(b) - F.col(f"_lo_{b}")) * top / (F.col(f"_hi_{b}") - F.col(f"_lo_{b}"))).otherwise(F.lit(0.0))
+    return out.withColumns({b: stretch(b) for b in bands}).drop(*(f"_{e}_{b}" for e in ("lo", "hi") for b in bands))
+
+
 def resample_nearest(pixels: DataFrame, bands: tuple[str, ...], xmin: float, ymin: float, xres: float, yres: float, source_res: float, width: int, height: int) -> DataFrame:
     """Pixels of a source grid (origin 0, source_res) on another grid: the one whose cell holds each target centre."""
     spark = pixels.sparkSession

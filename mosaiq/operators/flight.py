@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.functions.exprs import angular_difference, axis_difference, metres_per_degree
+from mosaiq.functions.exprs import angular_difference, axis_difference, longitude_wrap, metres_per_degree
 
 MICRO = 1_000_000
 
 
-def sorties(images: DataFrame, gap_seconds: int, name: str = "sortie", days: bool = True) -> DataFrame:
+def sorties(images: DataFrame, gap_seconds: int, name: str = "sortie", bucket_seconds: int = 3_600) -> DataFrame:
     """images with a session number from 1 (a long): a gap of more than gap_seconds starts a new one; order (t_us, image_id).
 
     Two levels instead of one global window: rows are windowed inside coarse time buckets, bucket ends are chained in
-    a table with one row a bucket, and numbers are added up from there.
+    a table with one row a bucket, and numbers are added up from there. Rows without a time are left out.
     """
-    width = 86_400 * MICRO
-    own = images.withColumn("_day", F.floor(F.col("t_us") / width))
-    inside = Window.partitionBy("_day").orderBy("t_us", "image_id")
+    width = bucket_seconds * MICRO
+    images = images.where("t_us is not null")
+    own = images.withColumn("_bucket", F.floor(F.col("t_us") / width))
+    inside = Window.partitionBy("_bucket").orderBy("t_us", "image_id")
     marked = own.withColumn("_gap", F.col("t_us") - F.lag("t_us").over(inside))
-    ends = own.groupBy("_day").agg(F.min("t_us").alias("_from"), F.max("t_us").alias("_to"))
-    chain = Window.orderBy("_day")  # one row a day
+    ends = own.groupBy("_bucket").agg(F.min("t_us").alias("_from"), F.max("t_us").alias("_to"))
+    chain = Window.orderBy("_bucket")  # one row a bucket
     first = ends.withColumn("_starts", F.coalesce((F.col("_from") - F.lag("_to").over(chain) > gap_seconds * MICRO).cast("long"), F.lit(1)))
     breaks = (F.col("_gap") > gap_seconds * MICRO).cast("long")
     within = marked.withColumn("_in", F.sum(F.coalesce(breaks, F.lit(0))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    total = within.groupBy("_day").agg(F.max("_in").alias("_all"))
-    before = first.join(total, "_day").withColumn("_base", F.sum(F.col("_starts") + F.col("_all")).over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_all"))
-    return within.join(before.select("_day", "_base"), "_day").withColumn(name, F.col("_base") + F.col("_in")).drop("_day", "_gap", "_in", "_base")
+    total = within.groupBy("_bucket").agg(F.max("_in").alias("_all"))
+    before = first.join(total, "_bucket").withColumn("_base", F.sum(F.col("_starts") + F.col("_all")).over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_all"))
+    return within.join(before.select("_bucket", "_base"), "_bucket").withColumn(name, F.col("_base") + F.col("_in")).drop("_bucket", "_gap", "_in", "_base")
 
 
 def dominant_axis(images: DataFrame, *keys: str) -> DataFrame:
@@ -59,12 +60,17 @@ def flight_lines(images: DataFrame, axis: float, tolerance: float = 30.0, key: s
 
 
 def local_metres(images: DataFrame, axis: float) -> DataFrame:
-    """images with along_m and cross_m: metres from the mean position, along and across the axis."""
-    mean = images.agg(F.avg("lat").alias("_lat"), F.avg("lon").alias("_lon"))
+    """images with along_m and cross_m: metres from the mean position, along and across the axis.
+
+    Longitudes are taken relative to one of them and wrapped, so a flight across 180 degrees stays together.
+    """
+    mean = images.agg(F.avg("lat").alias("_lat"), F.min("lon").alias("_base"))
+    images = images.join(F.broadcast(mean)).withColumn("_off", longitude_wrap(F.col("lon") - F.col("_base")))  # one row
+    images = images.join(F.broadcast(images.agg(F.avg("_off").alias("_lon"))))
     north, east = metres_per_degree(F.col("_lat"))
-    y, x = (F.col("lat") - F.col("_lat")) * north, (F.col("lon") - F.col("_lon")) * east
+    y, x = (F.col("lat") - F.col("_lat")) * north, (F.col("_off") - F.col("_lon")) * east
     a = F.radians(F.lit(axis))
-    return images.join(F.broadcast(mean)).withColumns({"along_m": x * F.sin(a) + y * F.cos(a), "cross_m": x * F.cos(a) - y * F.sin(a)}).drop("_lat", "_lon")
+    return images.withColumns({"along_m": x * F.sin(a) + y * F.cos(a), "cross_m": x * F.cos(a) - y * F.sin(a)}).drop("_lat", "_lon", "_off", "_base")
 
 
 def centred_windows(lines: DataFrame, per_line: int, keys: tuple[str, ...] = ("sortie", "line")) -> DataFrame:

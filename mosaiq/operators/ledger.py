@@ -45,7 +45,15 @@ def resume_plan(planned: DataFrame, attempts: DataFrame, done: tuple[str, ...] =
     return planned.join(good, ["variant_id", "replicate"], "left_anti")
 
 
+def unique_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """df; reading it fails if two rows have the same keys."""
+    text = F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))
+    ok = F.when(F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1, True).otherwise(F.raise_error(F.concat(F.lit("repeated key: "), text)).cast("boolean"))
+    return df.withColumn("_ok", ok).where("_ok").drop("_ok")
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Keys that occur more than once, and how often."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 

@@ -33,6 +33,46 @@ def best_overlaps(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return best.join(left, a).join(right, b).select(a, b, "n", (F.col("n") / F.col("left_n")).alias("left_share"), (F.col("n") / F.col("right_n")).alias("right_share"))
 
 
+def hoover_scores(df: DataFrame, a: str = "a", b: str = "b", threshold: float = 0.8) -> DataFrame:
+    """One row: shares of the area of partition a that b matches, splits, merges or misses.
+
+    Own definition, after Hoover's: a part of a is matched if one part of b and it cover at least the threshold of each
+    other; split if two or more parts of b that lie to the threshold within it cover the threshold of it; merged if it lies
+    to the threshold within a part of b that two or more such parts cover to the threshold; missed otherwise. A part that
+    fits several is counted under the first.
+    """
+    table = contingency(df, a, b)
+    left = table.groupBy(a).agg(F.sum("n").alias("left_n"))
+    right = table.groupBy(b).agg(F.sum("n").alias("right_n"))
+    met = table.join(left, a).join(right, b).withColumns({"_in_a": F.col("n") / F.col("right_n") >= threshold, "_in_b": F.col("n") / F.col("left_n") >= threshold})
+    merged = met.where("_in_b").groupBy(b).agg(F.count(F.lit(1)).alias("_parts"), F.sum("n").alias("_covered"), F.first("right_n").alias("_n")).where((F.col("_parts") >= 2) & (F.col("_covered") >= threshold * F.col("_n"))).select(b, F.lit(True).alias("_merged"))
+    parts = met.join(merged, b, "left").groupBy(a).agg(
+        F.first("left_n").alias("n"),
+        F.max(F.col("_in_a") & F.col("_in_b")).alias("_matched"),
+        F.count_if("_in_a").alias("_inside"),
+        F.sum(F.when(F.col("_in_a"), F.col("n")).otherwise(0)).alias("_covered"),
+        F.max(F.col("_in_b") & F.coalesce("_merged", F.lit(False))).alias("_merged"),
+    )
+    kind = F.when(F.col("_matched"), "matched").when((F.col("_inside") >= 2) & (F.col("_covered") >= threshold * F.col("n")), "split").when(F.col("_merged"), "merged").otherwise("missed")
+    kinds = parts.withColumn("kind", kind)
+    share = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))) / F.sum("n"), F.lit(0.0)).alias(k)
+    return kinds.agg(F.count(F.lit(1)).alias("parts"), *(share(k) for k in ("matched", "split", "merged", "missed")))
+
+
+def printed_metrics(lines: DataFrame, keys: list[str], column: str = "line") -> DataFrame:
+    """keys, metric and value of lines that say "name: number" or "name = number"; names in lower case with underscores."""
+    pattern = r"^\s*([A-Za-z][A-Za-z0-9 _/().-]*?)\s*(?::|=)\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*$"
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_extract(column, pattern, 1))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    found = lines.where(F.col(column).rlike(pattern)).select(*keys, name.alias("metric"), F.regexp_extract(column, pattern, 2).cast("double").alias("value"))
+    return found.where("metric != ''")
+
+
+def metric_spread(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and sample sd (0 for one value) of each metric's finite values: keys, metric, n, mean, sd."""
+    good = metrics.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    return good.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
+
+
 def ari_stability(labels: DataFrame, group: str = "spatialr") -> DataFrame:
     """Mean and sample sd of the adjusted Rand index over all pairs of runs of a group: labels (run_id, group, r, c, label).
 

@@ -5,11 +5,13 @@ All are rounds of joins over tables that are written between rounds; a round tou
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators.order import quantiles
 from mosaiq.sources.stage import stage
 
 STEPS4 = ((0, 1), (1, 0))
@@ -41,55 +43,111 @@ def connected(cells: DataFrame, same: list[str], steps=STEPS4) -> DataFrame:
     return cells.join(now, "cell")
 
 
+def patches(cells: DataFrame, same: list[str], pixel: float = 1.0, least: int = 1) -> DataFrame:
+    """The 8-connected patches of at least so many pixels: region, pixels, radius (equivalent, in metres)."""
+    counted = connected(cells, same, STEPS8).groupBy("region").agg(F.count(F.lit(1)).alias("pixels")).where(F.col("pixels") >= least)
+    return counted.withColumn("radius", F.sqrt(F.col("pixels") / math.pi) * pixel)
+
+
 def patch_radii(cells: DataFrame, same: list[str], at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Quantiles of the equivalent radii of the 8-connected patches."""
-    sizes = connected(cells, same, STEPS8).groupBy("region").agg(F.sqrt(F.count(F.lit(1)) / F.lit(3.141592653589793)).alias("radius"))
+    sizes = patches(cells, same)
     return sizes.agg(F.count(F.lit(1)).alias("patches"), *(F.percentile("radius", F.lit(p)).alias(f"p{round(p * 100)}") for p in at))
 
 
+def patch_scales(radii: DataFrame, at: tuple[float, ...], pixel: float, count: int, most: int = 30) -> DataFrame:
+    """Scales from quantiles of patch radii (column radius, metres): index, spatialr, minsize.
+
+    Equal quantiles count once; spatialr is the radius in pixels, halves to even, from 1 to `most`, minsize the pixels of
+    a patch of that radius; the last scale is repeated up to `count` rows, and what is beyond them goes.
+    """
+    q = F.array_distinct(F.get(F.collect_list("q"), F.lit(0)))
+    one = quantiles(radii, [], "radius", list(at)).agg(q.alias("q")).where(F.size("q") > 0)
+    long = F.slice(F.concat("q", F.array_repeat(F.element_at("q", -1), count)), 1, count)
+    rows = one.select(F.posexplode(long).alias("index", "radius"))
+    size = lambda x, low: F.greatest(F.lit(low), F.rint(x).cast("int"))
+    return rows.select("index", F.least(F.lit(most), size(F.col("radius") / pixel, 1)).alias("spatialr"), size(math.pi * F.col("radius") * F.col("radius") / (pixel * pixel), 1).alias("minsize"))
+
+
 def region_statistics(cells: DataFrame, bands: tuple[str, ...], key: str = "region") -> DataFrame:
-    """Count, sums and sums of squares of bands and places: partial sums that merge by adding."""
-    parts = [*bands, "r", "c"]
-    return cells.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(F.col(p).cast("double")).alias(f"{p}_1") for p in parts), *(F.sum((F.col(p) * F.col(p)).cast("double")).alias(f"{p}_2") for p in parts))
+    """Count, sums of each band and of both places, and their summed squares: parts that merge by adding.
+
+    n, {band}_1, square (of all bands), r_1, c_1, place (squares of both places).
+    """
+    value = lambda x: F.col(x).cast("double")
+    return cells.groupBy(key).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *(F.sum(value(b)).alias(f"{b}_1") for b in (*bands, "r", "c")),
+        F.sum(reduce(lambda x, y: x + y, (value(b) * value(b) for b in bands))).alias("square"),
+        F.sum(value("r") * value("r") + value("c") * value("c")).alias("place"),
+    )
 
 
-def _rms(parts: tuple[str, ...], left: str = "a", right: str | None = "b"):
-    """Root of the summed variances of the union of two regions (or of one)."""
-    both = lambda x: F.col(f"{left}.{x}") + F.col(f"{right}.{x}") if right else F.col(f"{left}.{x}")
-    n = both("n")
-    return F.sqrt(F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, (both(f"{p}_2") / n - F.pow(both(f"{p}_1") / n, 2) for p in parts))))
+def _rms(parts: tuple[str, ...], squares: str, *sides: str):
+    """Root mean square distance to the mean of the union of the regions at these aliases."""
+    total = lambda x: reduce(lambda a, b: a + b, (F.col(f"{s}.{x}") for s in sides))
+    sums = reduce(lambda a, b: a + b, (total(f"{p}_1") * total(f"{p}_1") for p in parts))
+    return F.sqrt(F.greatest(F.lit(0.0), total(squares) - sums / total("n")) / total("n"))
 
 
 def initial_regions(cells: DataFrame, bands: tuple[str, ...], block: int, limit: float) -> DataFrame:
     """4-connected pieces of block x block squares whose RMS is within the limit; their cells one by one otherwise."""
     own = cells.withColumns({"cell": (F.col("r") * 1_000_000 + F.col("c")).cast("long"), "_br": F.floor(F.col("r") / block), "_bc": F.floor(F.col("c") / block)})
     found = connected(own, ["_br", "_bc"]).drop("_br", "_bc")
-    good = region_statistics(found, bands).alias("a").select("region", (_rms(bands, "a", None) <= limit).alias("_good"))
+    good = region_statistics(found, bands).alias("a").select("region", (_rms(bands, "square", "a") <= limit).alias("_good"))
     return found.join(good, "region").withColumn("region", F.when(F.col("_good"), F.col("region")).otherwise(F.col("cell"))).drop("_good")
 
 
-def merge_regions(cells: DataFrame, bands: tuple[str, ...], limit: float, spatial_limit: float, rounds: int = 10_000) -> DataFrame:
-    """cells (cell, r, c, bands, region) with neighbouring regions merged while their union's RMS is within the limits.
+def greedy_matching(edges: DataFrame, key: str) -> DataFrame | None:
+    """The edges (x, y) that a pass in ascending order of `key` takes, no two of which share an end.
 
-    Each round every edge whose cost (RMS, then first, then second region) is the least at both of its ends merges, which
-    picks edges that a greedy pass in order of cost would take first; the rest waits for the next round. Ends when no
-    edge is left.
+    The same set as the sequential pass, in rounds: an edge whose key is the least at both of its ends is taken, and the
+    other edges at these ends go. Keys must differ. None without edges.
     """
-    adjacent = stage(neighbour_edges(cells, "cell", []), "cell-edges")
-    now = stage(cells, "cells")
-    for _ in range(rounds):
-        of = now.select("cell", "region")
-        edges = adjacent.join(of.withColumnsRenamed({"cell": "u", "region": "ru"}), "u").join(of.withColumnsRenamed({"cell": "v", "region": "rv"}), "v").where("ru != rv").select(F.least("ru", "rv").alias("x"), F.greatest("ru", "rv").alias("y")).distinct()
-        stats = region_statistics(now, bands)
+    open_, taken = stage(edges.select("x", "y", key), "open-edges"), None
+    while open_.head(1):
+        ends = open_.select(F.explode(F.array("x", "y")).alias("e"), key).groupBy("e").agg(F.min(key).alias("best"))
+        won = open_.join(ends.select(F.col("e").alias("x"), F.col("best").alias("bx")), "x").join(ends.select(F.col("e").alias("y"), F.col("best").alias("by")), "y")
+        won = stage(won.where((F.col(key) == F.col("bx")) & (F.col(key) == F.col("by"))).select("x", "y"), "taken-edges")
+        taken = won if taken is None else taken.unionByName(won)
+        used = won.select(F.explode(F.array("x", "y")).alias("e"))
+        open_ = stage(open_.join(used.select(F.col("e").alias("x")), "x", "left_anti").join(used.select(F.col("e").alias("y")), "y", "left_anti"), "open-edges")
+    return taken
+
+
+def merge_regions(cells: DataFrame, bands: tuple[str, ...], limit: float, spatial_limit: float | None = None) -> DataFrame:
+    """cells (cell, r, c, bands, region) with neighbouring regions merged, round by round.
+
+    A round prices every pair of neighbours by the regions as they are: the greater of its union's RMS over the limit
+    and, if there is a spatial limit, of its spatial RMS over that. Pairs within the limits are matched greedily, the
+    cheapest first, then by the smaller first and second region; the matched pairs merge under the smaller region. Ends
+    when no pair is left within the limits. Rounds work on a row a region and an edge a pair, not on cells.
+    """
+    of = cells.select("cell", "region")
+    adjacent = neighbour_edges(cells, "cell", [])
+    ends = adjacent.join(of.withColumnsRenamed({"cell": "u", "region": "ru"}), "u").join(of.withColumnsRenamed({"cell": "v", "region": "rv"}), "v")
+    edges = stage(ends.where("ru != rv").select(F.least("ru", "rv").alias("x"), F.greatest("ru", "rv").alias("y")).distinct(), "edges")
+    stats = stage(region_statistics(cells, bands), "statistics")
+    now = stage(cells.select("region").distinct().withColumn("to", F.col("region")), "pointers")
+    while True:
         priced = edges.join(stats.alias("a"), F.col("x") == F.col("a.region")).join(stats.alias("b"), F.col("y") == F.col("b.region"))
-        cost, spread = _rms(bands), _rms(("r", "c"))
-        good = stage(priced.select("x", "y", cost.alias("cost"), spread.alias("spread")).where((F.col("cost") <= limit) & (F.col("spread") <= spatial_limit)).select("x", "y", F.struct("cost", "x", "y").alias("k")), "good-edges")
-        ends = good.select(F.explode(F.array("x", "y")).alias("e"), "k").groupBy("e").agg(F.min("k").alias("best"))
-        won = stage(good.join(ends.select(F.col("e").alias("x"), F.col("best").alias("bx")), "x").join(ends.select(F.col("e").alias("y"), F.col("best").alias("by")), "y").where((F.col("k") == F.col("bx")) & (F.col("k") == F.col("by"))).select("x", "y"), "merges")
-        if not won.head(1):
+        rms, spatial = _rms(bands, "square", "a", "b"), _rms(("r", "c"), "place", "a", "b")
+        priced = priced.select("x", "y", rms.alias("rms"), spatial.alias("spatial"))
+        cost = F.col("rms") / limit
+        good = F.col("rms") <= limit
+        if spatial_limit is not None:
+            cost, good = F.greatest(cost, F.col("spatial") / spatial_limit), good & (F.col("spatial") <= spatial_limit)
+        won = greedy_matching(priced.where(good).select("x", "y", F.struct(cost.alias("cost"), "x", "y").alias("k")), "k")
+        if won is None:
             break
-        now = stage(now.join(won.select(F.col("y").alias("region"), F.col("x").alias("_to")), "region", "left").withColumn("region", F.coalesce("_to", "region")).drop("_to"), "cells")
-    return now
+        move = won.select(F.col("y").alias("region"), F.col("x").alias("_to"))
+        now = stage(now.join(move.withColumnRenamed("region", "to"), "to", "left").select("region", F.coalesce("_to", "to").alias("to")), "pointers")
+        sums = [c for c in stats.columns if c != "region"]
+        stats = stage(stats.join(move, "region", "left").withColumn("region", F.coalesce("_to", "region")).groupBy("region").agg(*(F.sum(c).alias(c) for c in sums)), "statistics")
+        for side in ("x", "y"):
+            edges = edges.join(move.withColumnRenamed("region", side), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+        edges = stage(edges.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
+    return cells.join(now, "region").drop("region").withColumnRenamed("to", "region")
 
 
 def grow_regions(cells: DataFrame, seeds: DataFrame, bands: tuple[str, ...], rounds: int = 10_000) -> DataFrame:

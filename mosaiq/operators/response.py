@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators.segments import CLASSES
 
+#: Default limits of the response diagnostics; None turns one off.
+LIMITS = {
+    "min_central": 0.5,
+    "max_lower": 0.35,
+    "max_upper": 0.35,
+    "max_edge": 0.5,
+    "max_spread": 1.5,
+    "max_skew": 1.5,
+    "max_flutter": 1.0,
+    "max_jump": 1.5,
+    "max_pattern": 1.0,
+    "min_agreement": 0.6,
+}
+
+
+def above(x: Column, limit: float | None) -> Column:
+    """Whether x exceeds a limit; never without one."""
+    return F.lit(False) if limit is None else x > limit
+
 
 def l1(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -24,15 +45,18 @@ def ordinal_distance(a: Column, b: Column) -> Column:
 
 
 def run_pairs(runs: DataFrame, group: str = "spatialr") -> DataFrame:
-    """Pairs of runs of one group, left before right, with ordinal, histogram, tail and combined distances.
+    """Pairs of runs of one group, left before right, with ordinal, histogram, tail, radius quantile and combined distances.
 
     Runs are summaries and a group is an ensemble of a stated design, so pairs are few.
     """
-    a = runs.select(group, F.col("run_id").alias("left_run"), *(F.col(c).alias(f"a_{c}") for c in ("classes", "histogram", "lower_tail", "upper_tail")))
-    b = runs.select(group, F.col("run_id").alias("right_run"), *(F.col(c).alias(f"b_{c}") for c in ("classes", "histogram", "lower_tail", "upper_tail")))
+    tails, quantiles = ("lower_tail", "central", "upper_tail"), ("q50", "q75", "q90", "q95")
+    fields = ("classes", "histogram", *tails, *quantiles)
+    a = runs.select(group, F.col("run_id").alias("left_run"), *(F.col(c).alias(f"a_{c}") for c in fields))
+    b = runs.select(group, F.col("run_id").alias("right_run"), *(F.col(c).alias(f"b_{c}") for c in fields))
     pairs = a.join(b, group).where("left_run < right_run")
-    out = pairs.withColumns({"ordinal": ordinal_distance(F.col("a_classes"), F.col("b_classes")), "histogram": l1(F.col("a_histogram"), F.col("b_histogram")), "tail": F.abs(F.col("a_lower_tail") - F.col("b_lower_tail")) + F.abs(F.col("a_upper_tail") - F.col("b_upper_tail"))})
-    return out.select(group, "left_run", "right_run", "ordinal", "histogram", "tail", (F.col("ordinal") + F.col("histogram") + F.col("tail")).alias("combined"))
+    apart = lambda names: reduce(lambda x, y: x + y, (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in names))
+    out = pairs.withColumns({"ordinal": ordinal_distance(F.col("a_classes"), F.col("b_classes")), "histogram": l1(F.col("a_histogram"), F.col("b_histogram")), "tail": apart(tails), "radius": apart(quantiles)})
+    return out.select(group, "left_run", "right_run", "ordinal", "histogram", "tail", "radius", (F.col("ordinal") + F.col("histogram") + F.col("tail")).alias("combined"))
 
 
 def both_ways(pairs: DataFrame, group: str, value: str) -> DataFrame:
@@ -47,7 +71,7 @@ def medoids(pairs: DataFrame, value: str, group: str = "spatialr", largest: bool
     return mean.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def group_diagnostics(runs: DataFrame, group: str = "spatialr") -> DataFrame:
+def group_diagnostics(runs: DataFrame, group: str = "spatialr", limits: dict[str, float | None] = LIMITS) -> DataFrame:
     """Centre, spread, skew, tail shares and flags of the runs of a group."""
     sd = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_sd")
     out = runs.groupBy(group).agg(
@@ -65,7 +89,13 @@ def group_diagnostics(runs: DataFrame, group: str = "spatialr") -> DataFrame:
     return out.withColumns(
         {
             "dominant_classes": F.size("_dominant"),
-            "centered": (F.col("centre") >= 0.5) & (F.col("centre") <= 2.0),
+            "centered": (F.col("centre") >= 0.5) & (F.col("centre") <= 2.0) & (mid >= (limits["min_central"] or 0.0)),
+            "edge_loaded": above(low + up, limits["max_edge"]),
+            "one_sided_lower": above(low, limits["max_lower"]) & (low > up * 1.5),
+            "one_sided_upper": above(up, limits["max_upper"]) & (up > low * 1.5),
+            "missing_central": F.lit(False) if limits["min_central"] is None else mid < limits["min_central"],
+            "strongly_skewed": above(F.abs("skew"), limits["max_skew"]),
+            "unstably_spread": above(F.col("spread"), limits["max_spread"]),
             "lower_dominated": (low > mid) & (low > up),
             "upper_dominated": (up > mid) & (up > low),
             "multimodal": (F.size("_dominant") >= 3) | (has("small") & has("large")),
@@ -76,25 +106,46 @@ def group_diagnostics(runs: DataFrame, group: str = "spatialr") -> DataFrame:
 def analysis_matrix(labels: DataFrame, segments: DataFrame, cell: int) -> DataFrame:
     """Per run and block of cell x cell pixels: area share of each size class (array), the dominant class and the tail."""
     known = labels.where("label > 0").select("run_id", "spatialr", "r", "c", "label").join(segments.select("run_id", "label", "size_class"), ["run_id", "label"])
-    out = known.groupBy("run_id", "spatialr", F.floor(F.col("r") / cell).alias("cell_row"), F.floor(F.col("c") / cell).alias("cell_col")).agg(F.array(*(F.avg((F.col("size_class") == k).cast("double")) for k in CLASSES)).alias("shares"))
+    out = known.groupBy("run_id", "spatialr", F.floor(F.col("r") / cell).alias("cell_row"), F.floor(F.col("c") / cell).alias("cell_col")).agg(F.array(*(F.avg((F.col("size_class") == k).cast("double")) for k in CLASSES)).alias("shares"), F.count(F.lit(1)).alias("pixels"))
     at = lambda k: F.get("shares", F.lit(k))
     low, mid, up = at(0) + at(1), at(2), at(3) + at(4)
     return out.withColumns({"dominant_class": F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("shares", F.array_max("shares")).cast("int")), "tail": F.when((mid >= low) & (mid >= up), "central").when(low >= up, "lower").otherwise("upper")})
 
 
 def spatial_dominance(matrix: DataFrame) -> DataFrame:
-    """Per run: cells, and the share of cells that each class or tail dominates."""
+    """Per run: cells, the share of cells that each class or tail dominates, and the area share of those not central."""
     share = lambda c, k: F.avg((F.col(c) == k).cast("double"))
-    return matrix.groupBy("run_id", "spatialr").agg(F.count(F.lit(1)).alias("cells"), *(share("dominant_class", k).alias(k) for k in CLASSES), *(share("tail", k).alias(f"{k}_cells") for k in ("lower", "central", "upper")))
+    problem = F.sum(F.when(F.col("tail") != "central", F.col("pixels")).otherwise(0)) / F.sum("pixels")
+    return matrix.groupBy("run_id", "spatialr").agg(F.count(F.lit(1)).alias("cells"), problem.alias("problem_area"), *(share("dominant_class", k).alias(k) for k in CLASSES), *(share("tail", k).alias(f"{k}_cells") for k in ("lower", "central", "upper")))
+
+
+TAIL_CELLS = ("lower_cells", "central_cells", "upper_cells")
 
 
-def spatial_stability(dominance: DataFrame, group: str = "spatialr") -> DataFrame:
-    """Per group: mean and greatest L1 distance of the runs' dominance, the agreement and the range of central cells."""
-    one = dominance.select(group, "run_id", F.array(*CLASSES, "lower_cells", "central_cells", "upper_cells").alias("v"), "central_cells")
-    pairs = one.alias("a").join(one.alias("b"), F.col(f"a.{group}") == F.col(f"b.{group}")).where("a.run_id < b.run_id").select(F.col(f"a.{group}").alias(group), l1(F.col("a.v"), F.col("b.v")).alias("d"))
-    far = pairs.groupBy(group).agg(F.avg("d").alias("distance_mean"), F.max("d").alias("distance_max"))
-    span = one.groupBy(group).agg((F.max("central_cells") - F.min("central_cells")).alias("central_range"), *(F.avg(F.get("v", F.lit(k))).alias(f"_{k}") for k in range(len(CLASSES))))
-    return far.join(span.withColumn("agreement", F.greatest(*(f"_{k}" for k in range(len(CLASSES))))).drop(*(f"_{k}" for k in range(len(CLASSES)))), group)
+def dominance_pairs(dominance: DataFrame, group: str = "spatialr") -> DataFrame:
+    """Pairs of runs of one group, left before right, with the L1 distance of what dominates their cells."""
+    one = dominance.select(group, "run_id", F.array(*CLASSES, *TAIL_CELLS).alias("v"))
+    both = one.alias("a").join(one.alias("b"), F.col(f"a.{group}") == F.col(f"b.{group}")).where("a.run_id < b.run_id")
+    return both.select(F.col(f"a.{group}").alias(group), F.col("a.run_id").alias("left_run"), F.col("b.run_id").alias("right_run"), l1(F.col("a.v"), F.col("b.v")).alias("spatial"))
+
+
+def spatial_stability(dominance: DataFrame, group: str = "spatialr", limits: dict[str, float | None] = LIMITS) -> DataFrame:
+    """Per group: mean and greatest distance of the runs' dominance, agreements, ranges, persistence and the jump flag.
+
+    An agreement is the greatest mean share of a size class (or tail) over the runs; a group of one run has no distance.
+    """
+    far = dominance_pairs(dominance, group).groupBy(group).agg(F.avg("spatial").alias("distance_mean"), F.max("spatial").alias("distance_max"))
+    span = lambda c: (F.max(c) - F.min(c))
+    out = dominance.groupBy(group).agg(
+        F.greatest(*(F.avg(k) for k in CLASSES)).alias("agreement"),
+        F.greatest(*(F.avg(k) for k in TAIL_CELLS)).alias("tail_agreement"),
+        *(span(c).alias(f"{n}_range") for n, c in (("lower", "lower_cells"), ("central", "central_cells"), ("upper", "upper_cells"), ("problem", "problem_area"))),
+        F.avg("lower_cells").alias("lower_persistence"),
+        F.avg("upper_cells").alias("upper_persistence"),
+    )
+    out = out.join(far, group, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("distance_mean", "distance_max")})
+    low = F.lit(False) if limits["min_agreement"] is None else F.col("agreement") < limits["min_agreement"]
+    return out.withColumn("spatial_jump", above(F.col("distance_max"), limits["max_pattern"]) | low)
 
 
 def robust_lower_support(values: Column) -> Column:

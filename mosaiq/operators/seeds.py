@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from math import pi, sqrt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.operators.order import index_of
 from mosaiq.sources.stage import stage
 
 
@@ -44,6 +45,8 @@ def close_pairs(points: DataFrame, limit2: int, strict: bool = True) -> DataFram
 def accept_in_order(points: DataFrame, limit2: int, strict: bool = True) -> DataFrame:
     """Points (rank, r, c) that a pass in order of rank accepts, each at least sqrt(limit2) from all accepted before it.
 
+    rank may be of any type that has an order, a struct for instance, without equal values.
+
     The same set as the sequential pass, in rounds: a point without an open conflict before it is accepted, what
     conflicts with it goes. Each round is two joins; the number of rounds is the longest chain of conflicts.
     """
@@ -67,13 +70,36 @@ def coverage(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
     return cells.select("r", "c").join(best, ["r", "c"], "left")
 
 
-def complete_coverage(cells: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
-    """seeds (rank, r, c) and more, so that every cell lies within 2 radius of one: far cells first, then row order."""
-    reach = 2 * radius
-    bare = coverage(cells, seeds, reach).where("d2 is null")
-    far = bare.withColumn("rank", F.row_number().over(Window.orderBy("r", "c")) + 1_000_000)  # only what no seed reaches
-    more = accept_in_order(far.select("rank", "r", "c"), reach * reach, strict=False)
-    return seeds.select("rank", "r", "c").unionByName(more.select("rank", "r", "c"))
+def nearest_seed(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
+    """r, c, d2: the squared distance of each cell to its nearest seed, however far; null without a seed.
+
+    The reach doubles for the cells that no seed is within, until none is left.
+    """
+    if not seeds.head(1):
+        return cells.select("r", "c", F.lit(None).cast("long").alias("d2"))
+    open_, found = stage(cells.select("r", "c"), "open-cells"), None
+    while open_.head(1):
+        seen = stage(coverage(open_, seeds, reach), "covered")
+        near = seen.where("d2 is not null").select("r", "c", F.col("d2").cast("long").alias("d2"))
+        found = near if found is None else found.unionByName(near)
+        open_, reach = seen.where("d2 is null").select("r", "c"), 2 * reach
+    return cells.select("r", "c", F.lit(None).cast("long").alias("d2")) if found is None else found
+
+
+def complete_coverage(cells: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """seeds (rank, r, c) and more, so that every cell lies within `limit` of one.
+
+    Cells farther than that from all seeds are taken farthest first, then in row order, by their distance to the seeds
+    given; one that a cell taken before covers is passed over. New ranks follow the greatest one, in that order. Without
+    a seed nothing is added, as no distance is known.
+    """
+    own = stage(seeds.select(F.col("rank").cast("long").alias("rank"), "r", "c"), "own-seeds")
+    far = nearest_seed(cells, own, limit).where(F.col("d2") > limit * limit)
+    key = F.struct((-F.col("d2")).alias("d2"), "r", "c")
+    more = accept_in_order(far.select(key.alias("rank"), "r", "c"), limit * limit, strict=False)
+    last = own.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
+    placed = index_of(more.select(F.col("rank.d2").alias("_d2"), "r", "c"), ["_d2", "r", "c"])
+    return own.unionByName(placed.select((F.col("index") + last + 1).cast("long").alias("rank"), "r", "c"))
 
 
 def coverage_summary(covered: DataFrame, limit: float) -> DataFrame:
@@ -145,6 +171,7 @@ def scale_tracks(peaks: DataFrame, reach: float) -> DataFrame:
 def stable_seeds(tracks: DataFrame, runs: str, limit2: int) -> DataFrame:
     """Tracks' median places as seeds, best supported first, at least sqrt(limit2) apart: rank, r, c, scales, runs."""
     own = tracks.groupBy("track").agg(F.floor(F.median("r") + 0.5).cast("int").alias("r"), F.floor(F.median("c") + 0.5).cast("int").alias("c"), F.max("scales").alias("scales"), F.sum(runs).alias("runs"))
-    ranked = own.withColumn("rank", F.row_number().over(Window.orderBy(F.col("scales").desc(), F.col("runs").desc(), "r", "c", "track")).cast("long"))  # one row a track
+    keyed = own.withColumns({"_s": -F.col("scales"), "_n": -F.col("runs")})
+    ranked = stage(index_of(keyed, ["_s", "_n", "r", "c", "track"], "rank").withColumn("rank", (F.col("rank") + 1).cast("long")).drop("_s", "_n"), "ranked")
     kept = accept_in_order(ranked.select("rank", "r", "c"), limit2)
     return ranked.join(kept.select("rank"), "rank", "left_semi").drop("track")

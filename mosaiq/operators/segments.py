@@ -75,12 +75,79 @@ def run_summary(segments: DataFrame) -> DataFrame:
         F.array(*(share(cell(k)) for k in range(len(BINS)))).alias("histogram"),
         F.coalesce(F.sum(F.when(good, F.col("area") * F.least(F.col("q"), 1 / F.col("q")))) / F.sum(F.when(good, F.col("area"))), F.lit(0.0)).alias("scale_match"),
     )
-    quantiles = weighted_quantiles(segments, ["run_id"], "q", "area", (0.1, 0.5, 0.9))
+    quantiles = weighted_quantiles(segments, ["run_id"], "q", "area", (0.1, 0.5, 0.75, 0.9, 0.95))
     c = lambda k: F.get("classes", F.lit(k))
     out = one.join(quantiles, "run_id").withColumns({"lower_tail": c(0) + c(1), "central": c(2), "upper_tail": c(3) + c(4)})
     return out.withColumn("dominant_class", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("classes", F.array_max("classes")).cast("int")))
 
 
+#: Quantiles of areas and radii, and of q by area, in percent.
+PERCENTS = (10, 25, 50, 75, 90, 95)
+
+
+def population_summary(segments: DataFrame) -> DataFrame:
+    """One row a run with all that describes its segments.
+
+    segments, per_hectare, area, max_label; mean and quantiles of area and of radius; mean and quantiles of q by area;
+    for each size class its share of the area, its segments and the 50 % and 90 % quantile of its radii (0 without any);
+    lower_tail, central, upper_tail and edge_loaded shares; scale_match; dominant_class and regime. One aggregate over
+    segments and one over distinct values of q.
+    """
+    total = F.sum("area")
+    of = lambda k, x: F.when(F.col("size_class") == k, x)
+    at = lambda x, p: F.percentile(x, F.lit(p / 100))
+    one = segments.groupBy(*RUN).agg(
+        F.count(F.lit(1)).alias("segments"),
+        total.alias("area"),
+        F.max("label").alias("max_label"),
+        F.avg("area").alias("area_mean"),
+        F.avg("radius").alias("radius_mean"),
+        (F.sum(F.col("q") * F.col("area")) / total).alias("q_mean"),
+        *(at(c, p).alias(f"{c}_p{p}") for c in ("area", "radius") for p in PERCENTS),
+        *(F.coalesce(F.sum(of(k, F.col("area"))) / total, F.lit(0.0)).alias(f"{k}_share") for k in CLASSES),
+        *(F.count(of(k, F.col("area"))).alias(f"{k}_segments") for k in CLASSES),
+        *(F.coalesce(at(of(k, F.col("radius")), p), F.lit(0.0)).alias(f"{k}_radius_p{p}") for k in CLASSES for p in (50, 90)),
+        F.coalesce(F.sum(F.when(F.col("q") > 0, F.col("area") * F.least(F.col("q"), 1 / F.col("q")))) / F.sum(F.when(F.col("q") > 0, F.col("area"))), F.lit(0.0)).alias("scale_match"),
+    )
+    out = one.join(weighted_quantiles(segments, ["run_id"], "q", "area", tuple(p / 100 for p in PERCENTS)), "run_id")
+    share = lambda k: F.col(f"{k}_share")
+    out = out.withColumns({"per_hectare": F.col("segments") / (F.col("area") / 10_000), "lower_tail": share("micro") + share("small"), "central": share("in_scale"), "upper_tail": share("large") + share("oversize")})
+    shares = F.array(*(share(k) for k in CLASSES))
+    dominant = F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position(shares, F.array_max(shares)).cast("int"))
+    return out.withColumns({"edge_loaded": F.col("lower_tail") + F.col("upper_tail"), "dominant_class": dominant, "regime": regime(F.col("lower_tail"), F.col("central"), F.col("upper_tail"))})
+
+
+def regime(lower: Column, central: Column, upper: Column) -> Column:
+    """The tail with the greatest share, the first one of equal shares."""
+    return F.when((lower >= central) & (lower >= upper), "lower_tail").when(central >= upper, "central").otherwise("upper_tail")
+
+
+def class_table(segments: DataFrame) -> DataFrame:
+    """Per run and size class that occurs: share of the segments and of the area; with the run's unweighted quantiles of q."""
+    total = Window.partitionBy("run_id")
+    counted = segments.groupBy("run_id", "size_class").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
+    q = segments.groupBy("run_id").agg(*(F.percentile("q", F.lit(p / 100)).alias(f"q_p{p}") for p in (10, 25, 50, 75, 90)))
+    shares = counted.select("run_id", "size_class", (F.col("n") / F.sum("n").over(total)).alias("segment_share"), (F.col("area") / F.sum("area").over(total)).alias("area_share"))
+    return shares.join(q, "run_id")
+
+
+def post_mask(labels: DataFrame, valid: DataFrame) -> DataFrame:
+    """labels with 0 where the place (r, c) isn't among the valid ones."""
+    seen = valid.select("r", "c").distinct().withColumn("_valid", F.lit(True))
+    return labels.join(seen, ["r", "c"], "left").withColumn("label", F.when(F.col("_valid"), F.col("label")).otherwise(0)).drop("_valid").select(*labels.columns)
+
+
+def exported_labels(labels: DataFrame, valid: DataFrame) -> DataFrame:
+    """Labels counted from 0 (negative: none) as they are written: moved by one, 0 where there is none or the place isn't valid."""
+    return post_mask(labels.withColumn("label", F.when(F.col("label") >= 0, F.col("label") + 1).otherwise(0)), valid)
+
+
+def segment_attributes(labels: DataFrame, pixel: float = 1.0) -> DataFrame:
+    """Per run and segment: pixels, area, box (top, left, bottom, right, in pixels) and centre; what a polygon layer lists."""
+    own = labels.where("label > 0").groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("pixels"), F.min("r").alias("top"), F.min("c").alias("left"), (F.max("r") + 1).alias("bottom"), (F.max("c") + 1).alias("right"), F.avg("r").alias("y"), F.avg("c").alias("x"))
+    return own.withColumn("area", F.col("pixels") * pixel * pixel)
+
+
 def mask_small(labels: DataFrame, least: int) -> DataFrame:
     """labels without the segments of fewer pixels than that."""
     small = labels.groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < least)

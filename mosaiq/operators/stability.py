@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.exprs import array_median
+from mosaiq.operators.order import quantiles
+from mosaiq.sources.stage import stage
 
 BANDS = ("b1", "b2", "b3")
 
@@ -44,6 +46,8 @@ def variant_summary(pixels: DataFrame, grid_cells: int, replicates: int, thresho
     """One row a variant; fractions over the whole grid, exact p95 by linear interpolation."""
     full = F.col("valid_count") == replicates
     stable = full & (F.col("rmse") <= threshold)
+    pixels = stage(pixels.select("variant_id", "valid_count", "mad", "rmse"), "pixels")
+    p95 = {c: quantiles(pixels, ["variant_id"], c, [0.95]).select("variant_id", F.get("q", F.lit(0)).alias(f"p95_{c}")) for c in ("mad", "rmse")}
     return (
         pixels.groupBy("variant_id")
         .agg(
@@ -53,12 +57,12 @@ def variant_summary(pixels: DataFrame, grid_cells: int, replicates: int, thresho
             F.min("valid_count").alias("least_seen"),
             F.max("valid_count").alias("max_valid_count"),
             F.avg("mad").alias("mean_mad"),
-            F.percentile("mad", F.lit(0.95)).alias("p95_mad"),
             F.avg("rmse").alias("mean_rmse"),
-            F.percentile("rmse", F.lit(0.95)).alias("p95_rmse"),
             F.count_if(stable).alias("stable_pixels"),
             F.count_if(full & ~stable).alias("unstable_pixels"),
         )
+        .join(p95["mad"], "variant_id")
+        .join(p95["rmse"], "variant_id")
         .withColumns(
             {
                 "min_valid_count": F.when(F.col("any_support") < grid_cells, F.lit(0)).otherwise(F.col("least_seen")).cast("long"),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.operators.order import quantiles, sum_before
+from mosaiq.sources.stage import stage
+
 #: The 97.5 % quantile of Student's t for 1 to 30 degrees of freedom.
 T_975 = (12.706204736, 4.30265273, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852, 2.20098516, 2.17881283, 2.160368656, 2.144786688, 2.131449546, 2.119905299, 2.109815578, 2.10092204, 2.093024054, 2.085963447, 2.079613845, 2.073873068, 2.06865761, 2.063898562, 2.059538553, 2.055529439, 2.051830516, 2.048407142, 2.045229642, 2.042272456)
 
@@ -38,32 +43,103 @@ def factor_effects(design: DataFrame, factor: str, others: list[str], metrics: l
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the mean rank of equal values. Ranks come from counts of distinct values, not from a sort of all rows."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = sum_before(counts, [column], F.col("_n"), "_below").select(column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, column, "left")
 
 
 def correlations(df: DataFrame, metrics: list[str], method: str = "pearson") -> DataFrame:
-    """Pairs of metrics: n (complete pairs), r; null if n < 3 or one has no spread. All pairs in one aggregate."""
+    """Pairs of metrics: n (complete pairs), r; null if n < 3 or one has no spread. All pairs in one aggregate.
+
+    Spearman ranks the rows in which both metrics are there, pair by pair where a metric has gaps.
+    """
     names = {m: m for m in metrics}
+    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
     if method == "spearman":
+        df = stage(df.select(*metrics), "metrics")
+        gaps = df.agg(*(F.count_if(F.col(m).isNull()).alias(m) for m in metrics)).first()  # one row
+        if any(gaps[m] for m in metrics):  # ranks are among the complete rows of each pair
+            each = [correlations(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b], method) for a, b in pairs]
+            return reduce(DataFrame.unionByName, each)
         for m in metrics:
             df = average_ranks(df, m, f"_r_{m}")
             names[m] = f"_r_{m}"
-    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     one = df.agg(*(F.count_if(both(a, b)).alias(f"n{k}") for k, (a, b) in enumerate(pairs)), *(F.corr(F.when(both(a, b), F.col(names[a])), F.when(both(a, b), F.col(names[b]))).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
     rows = F.array(*(F.struct(F.lit(a).alias("left_metric"), F.lit(b).alias("right_metric"), F.col(f"n{k}").alias("n"), F.when((F.col(f"n{k}") >= 3) & ~F.isnan(f"r{k}"), F.col(f"r{k}")).alias("r")) for k, (a, b) in enumerate(pairs)))
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def _tail(t: float, df: float) -> float:
+    """Two-sided tail probability of Student's t: the regularised incomplete beta function by its continued fraction."""
+    x = df / (df + t * t)
+    a, b = df / 2, 0.5
+
+    def fraction(a: float, b: float, x: float) -> float:
+        tiny = 1e-300
+        c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+        out = d
+        for m in range(1, 300):
+            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 / (1 + top * d or tiny), 1 + top / c or tiny
+                out *= c * d
+            if abs(c * d - 1) < 1e-15:
+                break
+        return out
+
+    if x <= 0:
+        return 0.0
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
+
+
+def with_p_values(correlated: DataFrame) -> DataFrame:
+    """correlations with p_value, two-sided, by Student's t with n - 2 degrees of freedom; null where r is.
+
+    One row a pair of metrics: few, so a Python function an Arrow batch costs nothing.
+    """
+
+    @F.pandas_udf("double")
+    def tails(n: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for k, x in zip(n.tolist(), r.tolist(), strict=True):
+            if x is None or math.isnan(x) or k < 3:
+                out.append(None)
+            else:
+                out.append(0.0 if abs(x) >= 1 else _tail(abs(x) * math.sqrt((k - 2) / (1 - x * x)), k - 2))
+        return pd.Series(out, dtype="float64")
+
+    p = tails(F.col("n"), F.col("r"))
+    return correlated.withColumn("p_value", F.when(F.col("r").isNotNull(), p))
+
+
+def correlation_matrix(correlated: DataFrame) -> DataFrame:
+    """Pairs both ways and each metric with itself: row_metric, column_metric, r; the long form of a heat map."""
+    both = correlated.select(F.explode(F.array(F.struct(F.col("left_metric").alias("row_metric"), F.col("right_metric").alias("column_metric"), "r"), F.struct(F.col("right_metric").alias("row_metric"), F.col("left_metric").alias("column_metric"), "r"))).alias("x")).select("x.*")
+    own = both.select("row_metric").distinct().select("row_metric", F.col("row_metric").alias("column_metric"), F.lit(1.0).alias("r"))
+    return both.unionByName(own)
+
+
+def flattened(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, field and value (text) of the top level of a JSON object; nested values stay JSON. Other text gives no rows."""
+    return df.select(key, F.explode(F.from_json(column, "map<string,string>")).alias("field", "value"))
+
+
+def finished(rows: DataFrame, status: str = "status") -> DataFrame:
+    """Rows whose status is final: complete, or left to the user's choice."""
+    return rows.where(F.col(status).isin("complete", "choice_required"))
+
+
 def numeric_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Per keys and metric: n, mean, sample sd, coefficient of variation in percent, median, raw MAD, min, max, range."""
     rows = long_form(df, keys, metrics)
     group = [*keys, "metric"]
-    mid = rows.groupBy(*group).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"))
-    mad = rows.join(mid.select(*group, "median"), group).groupBy(*group).agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
-    return mid.join(mad, group).withColumns({"cv_percent": F.when(F.col("mean") != 0, 100 * F.col("sd") / F.col("mean")), "range": F.col("max") - F.col("min")})
+    one = rows.groupBy(*group).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    middle = stage(quantiles(rows, group, "value", [0.5]).select(*group, F.get("q", F.lit(0)).alias("median")), "medians")
+    off = rows.join(F.broadcast(middle), group).withColumn("_off", F.abs(F.col("value") - F.col("median")))  # one row a group and metric
+    mad = quantiles(off, group, "_off", [0.5]).select(*group, F.get("q", F.lit(0)).alias("mad"))
+    return one.join(middle, group, "left").join(mad, group, "left").withColumns({"cv_percent": F.when(F.col("mean") != 0, 100 * F.col("sd") / F.col("mean")), "range": F.col("max") - F.col("min")})
 
 
 def change_from_baseline(df: DataFrame, keys: list[str], metrics: list[str], baseline: Column) -> DataFrame:
@@ -97,7 +173,8 @@ def union_of_keys(frames: list[DataFrame]) -> DataFrame:
 def distribution_table(df: DataFrame, role: str, fields: list[str]) -> DataFrame:
     """Per role and field: n, mean, median, min, max, p05, p95 and the population sd."""
     rows = long_form(df, [role], fields).where(F.col("value").isNotNull())
-    return rows.groupBy(role, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.lit(0.05)).alias("p05"), F.percentile("value", F.lit(0.95)).alias("p95"), F.stddev_pop("value").alias("sd"))
+    q = quantiles(rows, [role, "metric"], "value", [0.05, 0.5, 0.95]).select(role, "metric", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p05", "median", "p95"))))
+    return rows.groupBy(role, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_pop("value").alias("sd")).join(q, [role, "metric"])
 
 
 def top_two(ranked: DataFrame, keys: list[str], score: str, name: str) -> DataFrame:

@@ -61,6 +61,49 @@ def reject_unknown(tree: dict, known: set[str], where: str) -> None:
         raise ValueError(f"unknown keys in {where}: {', '.join(odd)}")
 
 
+def parse_thresholds(text: str | None) -> list[float]:
+    """Numbers of a comma list; none for an empty text or the word none."""
+    if text is None or text.strip().lower() in ("", "none"):
+        return []
+    return [float(x) for x in text.split(",")]
+
+
+def domain_failures(tree: dict, rules: dict[str, Any]) -> list[str]:
+    """Dotted keys whose rule (a function of the value) doesn't hold, or that are missing, in the rules' order."""
+    out = []
+    for key, rule in rules.items():
+        try:
+            good = bool(rule(get_key(tree, key)))
+        except (KeyError, TypeError, ValueError):
+            good = False
+        if not good:
+            out.append(key)
+    return out
+
+
+#: Factor designs by name, and templates of settings that a preset fills in; more may be registered.
+PRESETS: dict[str, dict[str, list]] = {"alignment": {"accuracy": ["high", "medium"], "tie_points": [4000, 10000]}, "blending": {"blend": ["average", "mosaic"], "mesh": [1, 2]}}
+TEMPLATES: dict[str, dict] = {}
+
+
+def register_preset(name: str, factors: dict[str, list], template: dict | None = None) -> None:
+    """A named design; a name that is taken or a factor without levels is an error."""
+    if name in PRESETS:
+        raise ValueError(f"the preset {name} is there already")
+    if not factors or not all(factors.values()):
+        raise ValueError("a preset needs factors with levels")
+    PRESETS[name] = factors
+    if template is not None:
+        TEMPLATES[name] = template
+
+
+def preset_variants(name: str) -> list[dict[str, Any]]:
+    """All variants of a preset, with their template if it has one."""
+    factors = PRESETS[name]
+    rows = [dict(zip(factors, levels, strict=True)) for levels in itertools.product(*factors.values())]
+    return [with_overrides(TEMPLATES[name], r) for r in rows] if name in TEMPLATES else rows
+
+
 def study_plan(factors: dict[str, list], replicates: int) -> list[dict[str, Any]]:
     """All variants of the factors with their replicates."""
     names = list(factors)

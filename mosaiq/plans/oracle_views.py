@@ -1,10 +1,11 @@
 """The adapter views in SQL, as common table expressions that the oracles begin with."""
 
 CTE = {
-    "pixel_obs": """select l_returnflag || l_linestatus as variant_id, cast(l_linenumber as int) as replicate,
-  cast(l_orderkey % 32 as int) as r, cast(l_partkey % 32 as int) as c, min(l_quantity - 1) as b1,
+    "grid": "select greatest(8, cast(floor(sqrt(count(*) / 25)) as int)) as side from lineitem",
+    "pixel_obs": """select l_returnflag || l_linestatus as variant_id, cast((l_linenumber - 1) % 3 + 1 as int) as replicate,
+  cast(l_orderkey % side as int) as r, cast(l_partkey % side as int) as c, min(l_quantity - 1) as b1,
   min(cast(floor(l_discount * 1000 + 0.5) as double)) as b2, min(cast(floor(l_tax * 1000 + 0.5) as double)) as b3
-  from lineitem where l_linenumber <= 3 group by 1, 2, 3, 4""",
+  from lineitem cross join grid group by 1, 2, 3, 4""",
     "obs": "select * from pixel_obs where not (b1 = 0 and b2 = 0 and b3 = 0)",
     "med": "select variant_id, r, c, count(*) as valid_count, median(b1) as m1, median(b2) as m2, median(b3) as m3 from obs group by 1, 2, 3",
     "pixels": """select o.variant_id, o.r, o.c, any_value(valid_count) as valid_count, any_value(m1) as med_b1, any_value(m2) as med_b2, any_value(m3) as med_b3,
@@ -12,11 +13,11 @@ CTE = {
   sqrt(sum((b1 - m1) * (b1 - m1) + (b2 - m2) * (b2 - m2) + (b3 - m3) * (b3 - m3)) / (count(*) * 3)) as rmse
   from obs o join med using (variant_id, r, c) group by 1, 2, 3""",
     "summary": """select variant_id, count(*) as any_support, count(*) filter (valid_count = 3) as full_support, sum(valid_count) as observations,
-  case when count(*) < 1024 then 0 else min(valid_count) end as min_valid_count, max(valid_count) as max_valid_count,
+  case when count(*) < (select side * side from grid) then 0 else min(valid_count) end as min_valid_count, max(valid_count) as max_valid_count,
   avg(mad) as mean_mad, quantile_cont(mad, 0.95) as p95_mad, avg(rmse) as mean_rmse, quantile_cont(rmse, 0.95) as p95_rmse,
   count(*) filter (valid_count = 3 and rmse <= 15) as stable_pixels, count(*) filter (valid_count = 3 and not rmse <= 15) as unstable_pixels,
   (count(*) - count(*) filter (valid_count = 3)) / count(*) as dropout, count(*) filter (valid_count = 3) / count(*) as persistence,
-  (count(*) - count(*) filter (valid_count = 3)) / 1024 as variable_support_fraction,
+  (count(*) - count(*) filter (valid_count = 3)) / (select side * side from grid) as variable_support_fraction,
   case when count(*) filter (valid_count = 3) > 0 then count(*) filter (valid_count = 3 and rmse <= 15) / count(*) filter (valid_count = 3) end as stable_fraction,
   case when count(*) filter (valid_count = 3) > 0 then count(*) filter (valid_count = 3 and not rmse <= 15) / count(*) filter (valid_count = 3) end as unstable_fraction
   from pixels group by 1""",
@@ -27,7 +28,7 @@ CTE = {
   case o_orderstatus when 'F' then 'ok' when 'O' then 'ok_no_ortho' else 'failed' end as status, o_orderkey as attempt_seq from orders""",
     "cell": "select r, c, median(b1) as m1, median(b2) as m2, median(b3) as m3 from obs group by 1, 2",
     "label_px": """select 's' || s || '_g' || g || '_p' || p as run_id, cast(s as int) as spatialr, cast(g as int) as ranger, cast(p as int) as phase, r, c,
-  cast(floor((r + (p % 2) * 0.5 * s) / s) * 2000 + floor((c + floor(p / 2) * 0.5 * s) / s) * 2 + case when m1 > 15 + 5 * g then 1 else 0 end + 1 as bigint) as label
+  cast(floor((r + (p % 2) * 0.5 * s) / s) * 2000000 + floor((c + floor(p / 2) * 0.5 * s) / s) * 2 + case when m1 > 15 + 5 * g then 1 else 0 end + 1 as bigint) as label
   from cell cross join (values (4), (6), (9)) a(s) cross join (values (1), (2), (3)) b(g) cross join (values (0), (1), (2), (3)) d(p)""",
     "segment": """select *, sqrt(area / pi()) as radius, sqrt(area / pi()) / spatialr as q from (
   select run_id, spatialr, ranger, phase, label, count(*) as pixels, cast(count(*) as double) as area from label_px where label > 0 group by all)""",
@@ -37,24 +38,24 @@ CTE = {
   from (select run_id, spatialr, sum(area) as total from seg group by 1, 2) r cross join classes left join seg using (run_id, spatialr, size_class) group by 1, 2, 3, 4""",
     "hist": """select run_id, spatialr, k, coalesce(sum(area) filter (q >= lo and q < hi), 0) / sum(area) as h from seg
   cross join (values (0, 0.0, 0.25), (1, 0.25, 0.5), (2, 0.5, 1.0), (3, 1.0, 2.0), (4, 2.0, 4.0), (5, 4.0, 8.0), (6, 8.0, 1e300)) b(k, lo, hi) group by 1, 2, 3""",
-    "wq": """select run_id, spatialr, coalesce(min(q) filter (cdf >= 0.1), max(q)) as q10, coalesce(min(q) filter (cdf >= 0.5), max(q)) as q50, coalesce(min(q) filter (cdf >= 0.9), max(q)) as q90 from (
+    "wq": "select run_id, spatialr, " + ", ".join(f"coalesce(min(q) filter (cdf >= {p / 100}), max(q)) as q{p}" for p in (10, 25, 50, 75, 90, 95)) + """ from (
   select run_id, spatialr, q, sum(w) over (partition by run_id order by q rows unbounded preceding) / sum(w) over (partition by run_id) as cdf from (select run_id, spatialr, q, sum(area) as w from seg group by 1, 2, 3)) group by 1, 2""",
     "tails": """select run_id, spatialr, sum(share) filter (k <= 2) as low, sum(share) filter (k = 3) as mid, sum(share) filter (k >= 4) as up, arg_max(size_class, struct_pack(s := share, k := -k)) as dominant from share group by 1, 2""",
     "match": "select run_id, spatialr, sum(area * least(q, 1 / q)) / sum(area) as scale_match from seg where q > 0 group by 1, 2",
     "cum": "select run_id, spatialr, k, share, sum(share) over (partition by run_id order by k rows unbounded preceding) as cum from share",
-    "dist": """select a.spatialr, a.run_id as left_run, b.run_id as right_run, ordinal, histogram, abs(ta.low - tb.low) + abs(ta.up - tb.up) as tail
+    "dist": """select a.spatialr, a.run_id as left_run, b.run_id as right_run, ordinal, histogram, abs(ta.low - tb.low) + abs(ta.mid - tb.mid) + abs(ta.up - tb.up) as tail,
+  abs(wa.q50 - wb.q50) + abs(wa.q75 - wb.q75) + abs(wa.q90 - wb.q90) + abs(wa.q95 - wb.q95) as radius
   from (select distinct run_id, spatialr from share) a join (select distinct run_id, spatialr from share) b on a.spatialr = b.spatialr and a.run_id < b.run_id
   join (select x.run_id as l, y.run_id as r, sum(abs(x.cum - y.cum)) as ordinal from cum x join cum y on x.spatialr = y.spatialr and x.k = y.k and x.run_id < y.run_id group by 1, 2) o on o.l = a.run_id and o.r = b.run_id
   join (select x.run_id as l, y.run_id as r, sum(abs(x.h - y.h)) as histogram from hist x join hist y on x.spatialr = y.spatialr and x.k = y.k and x.run_id < y.run_id group by 1, 2) h on h.l = a.run_id and h.r = b.run_id
-  join tails ta on ta.run_id = a.run_id join tails tb on tb.run_id = b.run_id""",
+  join tails ta on ta.run_id = a.run_id join tails tb on tb.run_id = b.run_id join wq wa on wa.run_id = a.run_id join wq wb on wb.run_id = b.run_id""",
     "matrix": """select *, case when mid >= low and mid >= up then 'central' when low >= up then 'lower' else 'upper' end as tail,
   case greatest(s1, s2, s3, s4, s5) when s1 then 'micro' when s2 then 'small' when s3 then 'in_scale' when s4 then 'large' else 'oversize' end as dominant_class from (select *, s1 + s2 as low, s3 as mid, s4 + s5 as up from (
-  select run_id, spatialr, floor(r / 8) as cell_row, floor(c / 8) as cell_col, avg((size_class = 'micro')::int::double) as s1, avg((size_class = 'small')::int::double) as s2, avg((size_class = 'in_scale')::int::double) as s3, avg((size_class = 'large')::int::double) as s4, avg((size_class = 'oversize')::int::double) as s5
+  select run_id, spatialr, floor(r / 8) as cell_row, floor(c / 8) as cell_col, count(*) as pixels, avg((size_class = 'micro')::int::double) as s1, avg((size_class = 'small')::int::double) as s2, avg((size_class = 'in_scale')::int::double) as s3, avg((size_class = 'large')::int::double) as s4, avg((size_class = 'oversize')::int::double) as s5
   from label_px join seg using (run_id, spatialr, label) where label > 0 group by 1, 2, 3, 4))""",
-    "dominance": """select run_id, spatialr, count(*) as cells, """ + ", ".join(f"avg((dominant_class = '{k}')::int::double) as {k}" for k in ("micro", "small", "in_scale", "large", "oversize")) + ", " + ", ".join(f"avg((tail = '{k}')::int::double) as {k}_cells" for k in ("lower", "central", "upper")) + " from matrix group by 1, 2",
-    "edge": """select a.run_id, a.spatialr, a.ranger, a.phase, a.r, a.c from label_px a
-  left join label_px b on b.run_id = a.run_id and b.r = a.r and b.c = a.c + 1 and b.label > 0 left join label_px d on d.run_id = a.run_id and d.r = a.r + 1 and d.c = a.c and d.label > 0
-  where a.label > 0 and (b.label != a.label or d.label != a.label)""",
+    "dominance": """select run_id, spatialr, count(*) as cells, coalesce(sum(pixels) filter (tail != 'central'), 0) / sum(pixels) as problem_area, """ + ", ".join(f"avg((dominant_class = '{k}')::int::double) as {k}" for k in ("micro", "small", "in_scale", "large", "oversize")) + ", " + ", ".join(f"avg((tail = '{k}')::int::double) as {k}_cells" for k in ("lower", "central", "upper")) + " from matrix group by 1, 2",
+    "edge": """select run_id, spatialr, ranger, phase, r, c from (select *, lead(c) over w as c2, lead(label) over w as right_label, lead(r) over h as r2, lead(label) over h as lower_label
+  from label_px where label > 0 window w as (partition by run_id, r order by c), h as (partition by run_id, c order by r)) where (c2 = c + 1 and right_label != label) or (r2 = r + 1 and lower_label != label)""",
     "run": "select distinct run_id, spatialr, ranger, phase from label_px",
     "pair": """select a.spatialr, a.run_id as left_run, b.run_id as right_run, cast(a.spatialr as double) as reach,
   case when a.ranger = b.ranger and a.phase != b.phase then 'seed_realization' when a.phase = b.phase and a.ranger != b.ranger then 'ranger' else 'factorial_cross' end as pair_class
@@ -85,8 +86,8 @@ CTE = {
     "ct": "select lang as a, source as b, count(*) as n from documents group by 1, 2",
 }
 NEEDS = {
-    "obs": "pixel_obs", "med": "obs", "pixels": "med", "summary": "pixels", "review": "pixels", "cell": "obs", "label_px": "cell", "segment": "label_px", "seg": "segment", "share": "seg classes", "hist": "seg", "wq": "seg",
-    "tails": "share", "match": "seg", "cum": "share", "dist": "cum hist tails", "matrix": "seg", "dominance": "matrix", "edge": "label_px", "run": "label_px", "pair": "run", "near": "edge disc", "edge_n": "edge", "side": "pair_in", "pair_score": "side near edge_n",
+    "pixel_obs": "grid", "obs": "pixel_obs", "med": "obs", "pixels": "med", "summary": "pixels", "review": "pixels", "cell": "obs", "label_px": "cell", "segment": "label_px", "seg": "segment", "share": "seg classes", "hist": "seg", "wq": "seg",
+    "tails": "share", "match": "seg", "cum": "share", "dist": "cum hist tails wq", "matrix": "seg", "dominance": "matrix", "edge": "label_px", "run": "label_px", "pair": "run", "near": "edge disc", "edge_n": "edge", "side": "pair_in", "pair_score": "side near edge_n",
     "vario": "lag_dir cell", "curve": "vario", "sill": "curve", "sortie": "position", "line": "sortie", "metric": "design",
 }
 

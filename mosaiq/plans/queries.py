@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions import exprs
@@ -12,7 +12,7 @@ from mosaiq.operators import boundary, checks, features, flight, ledger, partiti
 from mosaiq.plans.oracle_views import micro, sql
 from mosaiq.sources import adapters
 
-CELLS, N, LIMIT = adapters.GRID * adapters.GRID, adapters.REPLICATES, 15.0
+N, LIMIT = adapters.REPLICATES, 15.0
 THRESHOLDS = [5.0, 10.0, 15.0, 20.0, 25.0]
 LAGS = [1, 2, 3, 5, 8, 13]
 KS = [2, 4, 8, 16, 32]
@@ -59,7 +59,7 @@ def _pixels(spark, d):
 
 
 def _summary(spark, d):
-    return stability.variant_summary(_pixels(spark, d), CELLS, N, LIMIT)
+    return stability.variant_summary(_pixels(spark, d), adapters.grid_side(spark, d) ** 2, N, LIMIT)
 
 
 def _cells(spark, d):
@@ -93,9 +93,9 @@ def stability_masks(spark, d):
     return out(stability.masks(_pixels(spark, d), N, LIMIT), "variant_id r:i c:i stable:i unstable:i quality:i")
 
 
-@query(sql("pixels", "select variant_id, cast(k as bigint) as valid_count, cast(case when k = 0 then 1024 - count(*) else count(*) filter (valid_count = k) end as bigint) as pixels from pixels cross join (values (0), (1), (2), (3)) x(k) group by variant_id, k"))
+@query(sql("pixels", "select variant_id, cast(k as bigint) as valid_count, cast(case when k = 0 then (select side * side from grid) - count(*) else count(*) filter (valid_count = k) end as bigint) as pixels from pixels cross join (values (0), (1), (2), (3)) x(k) group by variant_id, k"))
 def support_histogram(spark, d):
-    return out(stability.support_histogram(_pixels(spark, d), CELLS, N), "variant_id valid_count:i pixels:i")
+    return out(stability.support_histogram(_pixels(spark, d), adapters.grid_side(spark, d) ** 2, N), "variant_id valid_count:i pixels:i")
 
 
 @query(sql("summary", want("variant_id persistence:m dropout:m variable_support_fraction:m", "summary")))
@@ -219,9 +219,9 @@ def run_summary(spark, d):
     return out(_runs(spark, d), "run_id segments:i lower_tail:m central:m upper_tail:m scale_match:m q50:m dominant_class")
 
 
-@query(sql("dist", "select cast(spatialr as bigint) as spatialr, left_run, right_run, " + ", ".join(micro(c, c) for c in ("ordinal", "histogram", "tail")) + ", " + micro("ordinal + histogram + tail", "combined") + " from dist"))
+@query(sql("dist", "select cast(spatialr as bigint) as spatialr, left_run, right_run, " + ", ".join(micro(c, c) for c in ("ordinal", "histogram", "tail", "radius")) + ", " + micro("ordinal + histogram + tail", "combined") + " from dist"))
 def run_pair_distances(spark, d):
-    return out(response.run_pairs(_runs(spark, d)), "spatialr:i left_run right_run ordinal:m histogram:m tail:m combined:m")
+    return out(response.run_pairs(_runs(spark, d)), "spatialr:i left_run right_run ordinal:m histogram:m tail:m radius:m combined:m")
 
 
 @query(sql("dist", ", b as (select spatialr, left_run as run_id, ordinal + histogram + tail as v from dist union all select spatialr, right_run, ordinal + histogram + tail from dist), m as (select spatialr, run_id, avg(v) as mean from b group by 1, 2) select cast(spatialr as bigint) as spatialr, run_id, " + micro("mean", "mean") + " from (select *, row_number() over (partition by spatialr order by floor(mean * 1e9 + 0.5), run_id) as i from m) where i = 1"))
@@ -229,9 +229,9 @@ def group_medoid_run(spark, d):
     return out(response.medoids(response.run_pairs(_runs(spark, d)), "combined"), "spatialr:i run_id mean:m")
 
 
-@query(sql("tails wq match", "select cast(t.spatialr as bigint) as spatialr, count(*) as runs, " + ", ".join(micro(x, n) for x, n in (("median(q50)", "centre"), ("median(q90 - q10)", "spread"), ("avg(q90 + q10 - 2 * q50)", "skew"), ("avg(low)", "lower_tail_mean"), ("avg(mid)", "central_mean"), ("avg(up)", "upper_tail_mean"), ("coalesce(stddev_samp(mid), 0)", "central_sd"))) + ", count(distinct dominant) as dominant_classes, median(q50) >= 0.5 and median(q50) <= 2 as centered, count(distinct dominant) >= 3 or (max((dominant = 'small')::int) = 1 and max((dominant = 'large')::int) = 1) as multimodal from tails t join wq using (run_id) join match using (run_id) group by 1"))
+@query(sql("tails wq match", "select cast(t.spatialr as bigint) as spatialr, count(*) as runs, " + ", ".join(micro(x, n) for x, n in (("median(q50)", "centre"), ("median(q90 - q10)", "spread"), ("avg(q90 + q10 - 2 * q50)", "skew"), ("avg(low)", "lower_tail_mean"), ("avg(mid)", "central_mean"), ("avg(up)", "upper_tail_mean"), ("coalesce(stddev_samp(mid), 0)", "central_sd"))) + ", count(distinct dominant) as dominant_classes, median(q50) >= 0.5 and median(q50) <= 2 and avg(mid) >= 0.5 as centered, avg(low) + avg(up) > 0.5 as edge_loaded, avg(low) > 0.35::double and avg(low) > 1.5 * avg(up) as one_sided_lower, avg(up) > 0.35::double and avg(up) > 1.5 * avg(low) as one_sided_upper, avg(mid) < 0.5 as missing_central, abs(avg(q90 + q10 - 2 * q50)) > 1.5 as strongly_skewed, median(q90 - q10) > 1.5 as unstably_spread, avg(low) > avg(mid) and avg(low) > avg(up) as lower_dominated, avg(up) > avg(mid) and avg(up) > avg(low) as upper_dominated, count(distinct dominant) >= 3 or (max((dominant = 'small')::int) = 1 and max((dominant = 'large')::int) = 1) as multimodal from tails t join wq using (run_id) join match using (run_id) group by 1"))
 def group_diagnostics(spark, d):
-    return out(response.group_diagnostics(_runs(spark, d)), "spatialr:i runs:i centre:m spread:m skew:m lower_tail_mean:m central_mean:m upper_tail_mean:m central_sd:m dominant_classes:i centered multimodal")
+    return out(response.group_diagnostics(_runs(spark, d)), "spatialr:i runs:i centre:m spread:m skew:m lower_tail_mean:m central_mean:m upper_tail_mean:m central_sd:m dominant_classes:i centered multimodal edge_loaded one_sided_lower one_sided_upper missing_central strongly_skewed unstably_spread lower_dominated upper_dominated")
 
 
 def _matrix(spark, d):
@@ -245,7 +245,7 @@ def analysis_matrix(spark, d):
     return out(_matrix(spark, d).withColumns({"low": at(0) + at(1), "mid": at(2), "up": at(3) + at(4)}), "run_id cell_row:i cell_col:i low:m mid:m up:m dominant_class tail")
 
 
-_DOMINANCE = "run_id cells:i micro:m small:m in_scale:m large:m oversize:m lower_cells:m central_cells:m upper_cells:m"
+_DOMINANCE = "run_id cells:i problem_area:m micro:m small:m in_scale:m large:m oversize:m lower_cells:m central_cells:m upper_cells:m"
 
 
 @query(sql("dominance", want(_DOMINANCE, "dominance")))
@@ -373,14 +373,19 @@ def knn_distances(spark, d):
     return out(_knn(spark, d), "vec_id:i k:i distance:m")
 
 
+def _sampled_knn(spark, d):
+    """At most 15,000 vectors: the half-sample mode gathers all distances of one k."""
+    return prescreen.knn_distances(adapters.vectors(spark, d), KS, 15_000)
+
+
 @query()
 def hsm_plateau(spark, d):
-    return out(prescreen.plateau(prescreen.modes_by_k(_knn(spark, d))), "k:i first_k:i last_k:i mode:m low:m high:m span:m fallback")
+    return out(prescreen.plateau(prescreen.modes_by_k(_sampled_knn(spark, d))), "k:i first_k:i last_k:i mode:m low:m high:m span:m fallback")
 
 
 @query()
 def ranger_levels(spark, d):
-    return out(prescreen.ranger_levels(prescreen.plateau(prescreen.modes_by_k(_knn(spark, d)))), "level:i position ranger:m is_baseline")
+    return out(prescreen.ranger_levels(prescreen.plateau(prescreen.modes_by_k(_sampled_knn(spark, d)))), "level:i position ranger:m is_baseline")
 
 
 @query(sql("pixel_obs", "select variant_id, count(*) as n, count(*) filter ((b1 != 0 or b2 != 0 or b3 != 0) and (b1 != 49 or b2 != 100 or b3 != 80)) as valid from pixel_obs group by 1"))
@@ -518,16 +523,21 @@ def zonal_stats(spark, d):
     return out(segments.zonal_stats(adapters.label_px(cells), cells), "run_id label:i band n:i mean:m median:m min:m max:m q10:m q90:m")
 
 
+def _lattice(spark, d):
+    side = adapters.grid_side(spark, d)
+    return seeds.hex_lattice(spark, side, side, 3.0)
+
+
 def _seeds(spark, d):
     cells = _cells(spark, d)
     surface = features.local_variance(cells, BANDS, 2)
-    moved = seeds.snap_to_minimum(seeds.hex_lattice(spark, adapters.GRID, adapters.GRID, 3.0), surface, "variance", 1.35)
+    moved = seeds.snap_to_minimum(_lattice(spark, d), surface, "variance", 1.35)
     return seeds.accept_in_order(moved.withColumnRenamed("index", "rank"), 9)
 
 
 @query()
 def hex_seeds(spark, d):
-    return out(seeds.hex_lattice(spark, adapters.GRID, adapters.GRID, 3.0), "index:i r:i c:i")
+    return out(_lattice(spark, d), "index:i r:i c:i")
 
 
 @query()
@@ -538,8 +548,8 @@ def seed_mis(spark, d):
 @query()
 def seed_coverage(spark, d):
     cells = _cells(spark, d)
-    whole = seeds.complete_coverage(cells, _seeds(spark, d), 3)
-    return out(seeds.coverage_summary(seeds.coverage(cells, whole, 6), 6.0), "cells:i p50:m p95:m p99:m max:m within:i")
+    whole = seeds.complete_coverage(cells, _seeds(spark, d), 6)
+    return out(seeds.coverage_summary(seeds.nearest_seed(cells, whole, 6), 6.0), "cells:i p50:m p95:m p99:m max:m within:i")
 
 
 def _peaks(spark, d):
@@ -562,7 +572,7 @@ def density_peaks(spark, d):
 def centroid_tracks(spark, d):
     peaks = _peaks(spark, d).where("runs >= 2")
     step = F.when(F.col("spatialr") == 4, 0).when(F.col("spatialr") == 6, 1).otherwise(2)
-    nodes = peaks.withColumns({"step": step, "node": (F.col("spatialr") * 1_000_000 + F.col("r") * 1000 + F.col("c")).cast("long")})
+    nodes = peaks.withColumns({"step": step, "node": (F.col("spatialr") * 1_000_000_000_000 + F.col("r") * 1_000_000 + F.col("c")).cast("long")})
     return out(seeds.scale_tracks(nodes.select("node", "step", "r", "c"), 4.0), "node:i step:i r:i c:i track:i scales:i")
 
 
@@ -579,7 +589,7 @@ def region_growing(spark, d):
 
 @query()
 def patch_radii(spark, d):
-    cells = _cells(spark, d).withColumns({"cell": (F.col("r") * 1000 + F.col("c")).cast("long"), "side": (F.col("m1") > 25).cast("int")})
+    cells = _cells(spark, d).withColumns({"cell": (F.col("r") * 1_000_000 + F.col("c")).cast("long"), "side": (F.col("m1") > 25).cast("int")})
     return out(regions.patch_radii(cells.select("cell", "r", "c", "side"), ["side"]), "patches:i p25:m p50:m p75:m")
 
 
@@ -630,12 +640,16 @@ def top_two(spark, d):
     return out(study.top_two(adapters.design(spark, d), ["flag"], "quantity", "state"), "flag first second gap:m")
 
 
-@query(sql("cell", ", p as (select event_id as point_id, (event_id % 300) / 10 as y, (event_id % 290) / 10 as x from events), k as (select point_id, cast(floor(y) + a as int) as r, cast(floor(x) + b as int) as c, ((1 - a) + (2 * a - 1) * (y - floor(y))) * ((1 - b) + (2 * b - 1) * (x - floor(x))) as w from p, (values (0), (1)) i(a), (values (0), (1)) j(b)) select point_id, " + micro("case when count(*) = count(m1) then sum(w * m1) end", "m1") + " from k left join cell using (r, c) where w > 0 group by 1"))
+@query(sql("cell", ", p as (select event_id as point_id, (event_id % (10 * side - 20)) / 10 as y, (event_id % (10 * side - 30)) / 10 as x from events cross join grid), k as (select point_id, cast(floor(y) + a as int) as r, cast(floor(x) + b as int) as c, ((1 - a) + (2 * a - 1) * (y - floor(y))) * ((1 - b) + (2 * b - 1) * (x - floor(x))) as w from p, (values (0), (1)) i(a), (values (0), (1)) j(b)) select point_id, " + micro("case when count(*) = count(m1) then sum(w * m1) end", "m1") + " from k left join cell using (r, c) where w > 0 group by 1"))
 def bilinear(spark, d):
-    points = adapters.table(spark, d, "events").select(F.col("event_id").alias("point_id"), ((F.col("event_id") % 300) / 10).alias("y"), ((F.col("event_id") % 290) / 10).alias("x"))
+    side = adapters.grid_side(spark, d)
+    points = adapters.table(spark, d, "events").select(F.col("event_id").alias("point_id"), ((F.col("event_id") % (10 * side - 20)) / 10).alias("y"), ((F.col("event_id") % (10 * side - 30)) / 10).alias("x"))
     return out(checks.bilinear(points, _cells(spark, d), "m1"), "point_id:i m1:m")
 
 
 @query()
 def valid_seeds(spark, d):
-    return out(checks.snap_to_valid(_seeds(spark, d), _cells(spark, d).where("m1 > 20"), 3), "rank:i r:i c:i")
+    return out(checks.snap_to_valid(_seeds(spark, d), _cells(spark, d).where("m1 > 30")), "rank:i r:i c:i")
+
+
+from mosaiq.plans import more_queries  # noqa: E402, F401  (registers its queries)

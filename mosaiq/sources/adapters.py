@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRID = 32
 REPLICATES = 3
+#: Rows of lineitem for each cell of the grid, about 1.4 observations a cell, variant and replicate at any size.
+ROWS_PER_CELL = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def grid_side(spark: SparkSession, sf_dir: str) -> int:
+    """Rows and columns of the grid: it grows with the table, so that cells hold as much at any size."""
+    return max(8, int((table(spark, sf_dir, "lineitem").count() / ROWS_PER_CELL) ** 0.5))
+
+
 def pixel_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replicate rasters: variant_id, replicate, r, c, b1..b3 on a GRID x GRID grid, nodata cells included."""
+    """Replicate rasters of all rows: variant_id, replicate, r, c, b1..b3 on a square grid, nodata cells included."""
     milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("double")
+    side = grid_side(spark, sf_dir)
     return (
         table(spark, sf_dir, "lineitem")
-        .where(F.col("l_linenumber") <= REPLICATES)
         .groupBy(
             F.concat("l_returnflag", "l_linestatus").alias("variant_id"),
-            F.col("l_linenumber").cast("int").alias("replicate"),
-            (F.col("l_orderkey") % GRID).cast("int").alias("r"),
-            (F.col("l_partkey") % GRID).cast("int").alias("c"),
+            ((F.col("l_linenumber") - 1) % REPLICATES + 1).cast("int").alias("replicate"),
+            (F.col("l_orderkey") % side).cast("int").alias("r"),
+            (F.col("l_partkey") % side).cast("int").alias("c"),
         )
         .agg(F.min(F.col("l_quantity") - 1).alias("b1"), F.min(milli("l_discount")).alias("b2"), F.min(milli("l_tax")).alias("b3"))
     )
@@ -55,7 +61,7 @@ def label_px(cell: DataFrame) -> DataFrame:
     spark = cell.sparkSession
     runs = spark.createDataFrame([(s, g, p) for s in (4, 6, 9) for g in (1, 2, 3) for p in range(4)], "spatialr int, ranger int, phase int")
     s, g, p = F.col("spatialr"), F.col("ranger"), F.col("phase")
-    row = F.floor((F.col("r") + (p % 2) * 0.5 * s) / s) * 2000
+    row = F.floor((F.col("r") + (p % 2) * 0.5 * s) / s) * 2_000_000
     col = F.floor((F.col("c") + F.floor(p / 2) * 0.5 * s) / s) * 2
     label = row + col + F.when(F.col("m1") > 15 + 5 * g, 1).otherwise(0) + 1
     run_id = F.concat(F.lit("s"), s.cast("string"), F.lit("_g"), g.cast("string"), F.lit("_p"), p.cast("string"))

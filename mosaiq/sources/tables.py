@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
-from mosaiq.functions.exprs import missing_to_null
+from mosaiq.functions.exprs import exif_time, missing_to_null
 
 #: Columns of an attempt ledger; all text.
 LEDGER = ("experiment_id", "variant_id", "replicate", "status", "return_code", "config_file", "project_dir", "output_dir", "project_file", "ortho_file", "launcher_log", "elapsed_sec")
@@ -36,6 +41,8 @@ def write_text_table(df: DataFrame, path: str, sep: str = ",") -> None:
 def read_ledger(spark: SparkSession, path: str, usable: bool = True) -> DataFrame:
     """A ledger with its columns checked; usable rows only (status ok, with an output) unless told otherwise."""
     rows = _require(read_text_table(spark, path), LEDGER).select(*LEDGER)
+    known = F.when(F.col("status").isin("ok", "ok_no_ortho", "failed"), F.col("status"))
+    rows = rows.withColumn("status", F.coalesce(known, F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce("status", F.lit("null")))).cast("string")))
     return rows.where((F.col("status") == "ok") & F.col("ortho_file").isNotNull()) if usable else rows
 
 
@@ -44,9 +51,12 @@ def append_ledger(df: DataFrame, path: str) -> None:
 
 
 def existing_files(spark: SparkSession, rows: DataFrame, column: str, folder: str) -> DataFrame:
-    """rows whose file is there and not empty, by a listing without contents."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("_name"))
-    return rows.join(listed, F.regexp_extract(F.col(column), r"([^/]+)$", 1) == F.col("_name"), "left_semi")
+    """rows whose file is there and not empty, by a listing without contents; paths may be whole or relative to the folder."""
+    plain = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^[a-z0-9]+:(//[^/]*)?", ""), r"/(\./)+", "/"), r"/+", "/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0").select(plain(F.col("path")).alias("_path"))
+    own = F.col(column)
+    whole = F.when(own.rlike(r"^([a-z0-9]+:)?/"), own).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), own))
+    return rows.withColumn("_path", plain(whole)).join(listed, "_path", "left_semi").drop("_path").select(*rows.columns)
 
 
 def newest_file(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -82,6 +92,105 @@ def write_raster(df: DataFrame, path: str, nodata: float = 0.0, block: int = 512
     filled.repartitionByRange("variant_id", F.floor(F.col("r") / block), F.floor(F.col("c") / block)).write.mode("overwrite").partitionBy("variant_id").parquet(path)
 
 
+def read_usable(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Rows of a ledger that can be analysed: status ok, an output that is there and not empty, variant and replicate given.
+
+    Fails if such a row lacks its variant or replicate, or if there is none.
+    """
+    rows = existing_files(spark, read_ledger(spark, path), "ortho_file", folder)
+    rows.cache()
+    try:
+        bad = rows.where("variant_id is null or replicate is null").count()
+        if bad:
+            raise ValueError(f"{bad} rows without variant_id or replicate")
+        if not rows.head(1):
+            raise ValueError(f"no usable rows in {path}")
+    finally:
+        rows.unpersist()
+    return rows
+
+
+def write_ledger(df: DataFrame, path: str) -> None:
+    """A whole ledger in its columns' order; other columns are an error."""
+    odd = [c for c in df.columns if c not in LEDGER]
+    if odd:
+        raise ValueError(f"not columns of a ledger: {', '.join(odd)}")
+    _require(df, LEDGER).select(*LEDGER).write.mode("overwrite").csv(path, header=True)
+
+
+def write_step_manifest(df: DataFrame, path: str) -> None:
+    """Step manifests as JSON, one object a row; exactly the five keys, a step and a status."""
+    if sorted(df.columns) != sorted(f.name for f in STEP.fields):
+        raise ValueError(f"a step manifest has the keys {', '.join(f.name for f in STEP.fields)}")
+    checked = df.withColumn("step", F.coalesce(F.when((F.length(F.trim("step")) > 0) & (F.length(F.trim("status")) > 0), F.col("step")), F.raise_error(F.lit("a step manifest without step or status")).cast("string")))
+    checked.select(*(F.col(f.name).cast(f.dataType) for f in STEP.fields)).write.mode("overwrite").json(path)
+
+
+def count_inputs(spark: SparkSession, folder: str, suffixes: tuple[str, ...], leave_out: str | None = None) -> int:
+    """Files below a folder, not empty, with one of the suffixes, in any case, but those of one name. Only the listing is read."""
+    name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(name.alias("n"))
+    pattern = "(" + "|".join(re.escape(s.lower()) for s in suffixes) + ")$"
+    return found.where(F.col("n").rlike(pattern)).where(F.lit(leave_out is None) | (F.col("n") != (leave_out or "").lower())).count()
+
+
+#: Names that an image's tags have: column, tag.
+TAGS = {"source_path": "SourceFile", "lat": "GPSLatitude", "lon": "GPSLongitude", "altitude_m": "GPSAltitude", "captured": "DateTimeOriginal", "yaw": "FlightYawDegree"}
+
+
+def read_exif_positions(spark: SparkSession, path: str) -> DataFrame:
+    """Image positions of a JSON list of tags (numbers as numbers), in order of time and path: the tags, t_us, reasons.
+
+    A row that can't be used stays, with the reasons why (see flight.validity_reasons).
+    """
+    from mosaiq.operators.flight import validity_reasons
+
+    rows = spark.read.schema(", ".join(f"{t} string" for t in TAGS.values())).json(path, multiLine=True)
+    own = rows.select(*((F.col(t) if c in ("source_path", "captured") else F.expr(f"try_cast({t} as double)")).alias(c) for c, t in TAGS.items()))
+    timed = own.withColumn("t_us", F.unix_micros(exif_time(F.col("captured"))))
+    return validity_reasons(timed).orderBy(F.col("t_us").asc_nulls_last(), "source_path")
+
+
+def read_grid(spark: SparkSession, header: str) -> DataFrame:
+    """A grid of 32-bit floats beside a text header (KEY = value lines): r, c, value; nodata values are left out.
+
+    The header names CELLCOUNT_X, CELLCOUNT_Y, NODATA_VALUE and TOPTOBOTTOM (rows run from the bottom unless TRUE); the
+    values are in the file of the same name that ends in .sdat. Rows go to tasks in blocks of the file.
+    """
+    lines = [line.value for line in spark.read.text(header).limit(100).collect()]  # a header
+    keys = {k.strip().upper(): v.strip() for k, _, v in (x.partition("=") for x in lines if "=" in x)}
+    width, height = int(keys["CELLCOUNT_X"]), int(keys["CELLCOUNT_Y"])
+    nodata = float(keys.get("NODATA_VALUE", "-99999").split(";")[0])
+    down = keys.get("TOPTOBOTTOM", "FALSE").upper() == "TRUE"
+    raw = spark.read.format("binaryFile").load(re.sub(r"\.[^./]*$", ".sdat", header)).select("content")
+
+    def rows(batches):
+        for b in batches:
+            for content in b.column(0):
+                values = np.frombuffer(content.as_buffer(), "<f4")
+                if len(values) != width * height:
+                    raise ValueError(f"{len(values)} values for {width} x {height} cells")
+                for first in range(0, height, 256):
+                    part = values[first * width : (first + 256) * width]
+                    at = np.arange(len(part))
+                    line, col = first + at // width, at % width
+                    keep = np.isfinite(part) & (part != nodata)
+                    line = line if down else height - 1 - line
+                    yield pa.RecordBatch.from_arrays([pa.array(line[keep].astype(np.int32)), pa.array(col[keep].astype(np.int32)), pa.array(part[keep].astype(np.float64))], ["r", "c", "value"])
+
+    return raw.mapInArrow(rows, "r int, c int, value double")
+
+
+def write_grid(df: DataFrame, header: str, width: int, height: int, nodata: float = -99999.0, pixel: float = 1.0) -> None:
+    """r, c, value as such a grid, from the bottom row; one file, so the values of one raster pass through the driver."""
+    grid = np.full((height, width), nodata, "<f4")
+    for r in df.select("r", "c", "value").where("value is not null").toLocalIterator():  # a partition at a time
+        grid[height - 1 - r["r"], r["c"]] = r["value"]
+    Path(header).with_suffix(".sdat").write_bytes(grid.tobytes())
+    text = {"NAME": Path(header).stem, "DATAFORMAT": "FLOAT", "CELLCOUNT_X": width, "CELLCOUNT_Y": height, "CELLSIZE": pixel, "NODATA_VALUE": nodata, "TOPTOBOTTOM": "FALSE"}
+    Path(header).write_text("".join(f"{k}\t= {v}\n" for k, v in text.items()))
+
+
 def read_raster(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -6,7 +6,7 @@ import pytest
 from mosaiq.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"region_merge", "seed_coverage", "hsm_plateau", "ranger_levels"}
+SLOW = {"region_merge", "region_growing"}
 
 
 def _plain(x):
@@ -27,7 +27,7 @@ def test_query(spark, name):
         assert got or name in {"centroid_tracks", "grid_block", "centred_windows"}
         return
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "documents", "embeddings"):
+    for t in ("lineitem", "orders", "events", "documents", "embeddings", "part", "customer", "nation", "region"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     quoted = ",".join(f'"{c}"' for c in columns)
     want = con.sql(f"select {quoted} from ({ORACLES[name]})").fetchall()
