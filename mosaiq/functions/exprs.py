@@ -20,8 +20,16 @@ def half_even(x: Column) -> Column:
 
 
 def micro(x: Column) -> Column:
-    """x in millionths, halves up: a value that engines agree on."""
-    return F.floor(x * 1e6 + 0.5).cast("long")
+    """x in millionths, halves up: a value that engines agree on.
+
+    Billionths come first, so that sums of binary fractions that differ in the last bit don't fall on either side of a half.
+    """
+    return F.floor(F.floor(x * 1e9 + 0.5) / 1000 + 0.5).cast("long")
+
+
+def milli(x: Column) -> Column:
+    """x in thousandths, halves up: for lengths in metres from positions on the globe."""
+    return F.floor(x * 1e3 + 0.5).cast("long")
 
 
 def clip(x: Column, low: float, high: float) -> Column:

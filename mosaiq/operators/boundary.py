@@ -18,12 +18,16 @@ def boundary_pixels(labels: DataFrame) -> DataFrame:
     return both.where("right != label or below != label").select("run_id", "spatialr", "ranger", "phase", "r", "c")
 
 
-def boundary_support(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per scale and valid pixel: the share of runs with a boundary there."""
+def boundary_support(labels: DataFrame, edges: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Per scale and valid pixel: the share of runs with a boundary there; -1 at those of `cells` (r, c) that aren't valid."""
     runs = labels.groupBy("spatialr").agg(F.count_distinct("run_id").alias("runs"))
     seen = edges.groupBy("spatialr", "r", "c").agg(F.count(F.lit(1)).alias("n"))
     valid = labels.where("label > 0").select("spatialr", "r", "c").distinct()
-    return valid.join(seen, ["spatialr", "r", "c"], "left").join(runs, "spatialr").select("spatialr", "r", "c", (F.coalesce("n", F.lit(0)) / F.col("runs")).alias("support"))
+    out = valid.join(seen, ["spatialr", "r", "c"], "left").join(F.broadcast(runs), "spatialr").select("spatialr", "r", "c", (F.coalesce("n", F.lit(0)) / F.col("runs")).alias("support"))  # one row a scale
+    if cells is None:
+        return out
+    every = cells.select("r", "c").distinct().join(F.broadcast(runs.select("spatialr")))
+    return every.join(out, ["spatialr", "r", "c"], "left").select("spatialr", "r", "c", F.coalesce("support", F.lit(-1.0)).alias("support"))
 
 
 def nearest_boundary(edges: DataFrame, reach: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.functions.exprs import angular_difference, axis_difference, longitude_wrap, metres_per_degree
+from mosaiq.functions.exprs import angular_difference, array_median, axis_difference, longitude_wrap, metres_per_degree
 
 MICRO = 1_000_000
 
@@ -74,26 +74,41 @@ def local_metres(images: DataFrame, axis: float) -> DataFrame:
 
 
 def centred_windows(lines: DataFrame, per_line: int, keys: tuple[str, ...] = ("sortie", "line")) -> DataFrame:
-    """Of each line with enough images the most centred run of per_line images: first_image, last_image, mid, far, span.
+    """Of each line with enough images the most centred run of per_line images: first_image, last_image, mid, far, span,
+    the line's median cross_m, the middle along_m and the greatest distance from the centre, radial.
 
     The least of (|mid|, farthest, span, first image) wins; images are ordered along the line.
     """
     order = Window.partitionBy(*keys).orderBy("along_m", "t_us", "image_id")
     ahead = order.rowsBetween(Window.currentRow, per_line - 1)
-    runs = lines.withColumns({"last_image": F.last("image_id").over(ahead), "_end": F.last("along_m").over(ahead), "far": F.max(F.abs("along_m")).over(ahead), "_n": F.count(F.lit(1)).over(ahead), "_cross": F.sum("cross_m").over(ahead)}).where(F.col("_n") == per_line)
+    runs = lines.withColumns({"last_image": F.last("image_id").over(ahead), "_end": F.last("along_m").over(ahead), "far": F.max(F.abs("along_m")).over(ahead), "_n": F.count(F.lit(1)).over(ahead), "_cross": F.median("cross_m").over(Window.partitionBy(*keys)), "radial": F.max(F.sqrt(F.col("along_m") * F.col("along_m") + F.col("cross_m") * F.col("cross_m"))).over(ahead)}).where(F.col("_n") == per_line)
     runs = runs.withColumns({"mid": F.abs((F.col("along_m") + F.col("_end")) / 2), "span": F.col("_end") - F.col("along_m")})
     best = F.row_number().over(Window.partitionBy(*keys).orderBy("mid", "far", "span", "image_id"))
-    return runs.withColumn("_i", best).where("_i = 1").select(*keys, F.col("image_id").alias("first_image"), "last_image", "mid", "far", "span", (F.col("_cross") / per_line).alias("cross_m"))
+    return runs.withColumn("_i", best).where("_i = 1").select(*keys, F.col("image_id").alias("first_image"), "last_image", "mid", "far", "span", F.col("_cross").alias("cross_m"), ((F.col("along_m") + F.col("_end")) / 2).alias("along_m"), "radial")
 
 
-def grid_block(windows: DataFrame, lines: int) -> DataFrame:
-    """The run of `lines` neighbouring lines of a sortie whose windows lie nearest to the centre.
+def grid_block(windows: DataFrame, lines: int, key: str = "sortie") -> DataFrame:
+    """The run of `lines` neighbouring lines whose windows lie nearest to the centre, one row over all keys.
 
-    The least of (distance of the block's centre, farthest line, first line) over all sorties; one row.
+    Lines are ordered by cross_m; the block's centre is the middle of its outer lines across and the median of its windows
+    along. The least of (distance of that centre, farthest image, distance across, key, first line's place) wins. Returns
+    the key, first_line, last_line, centre, farthest, cross_centre, along_centre and `lines`, in order across.
     """
-    ahead = Window.partitionBy("sortie").orderBy("cross_m", "line").rowsBetween(Window.currentRow, lines - 1)
-    runs = windows.withColumns({"_n": F.count(F.lit(1)).over(ahead), "centre": F.abs(F.avg("cross_m").over(ahead)), "farthest": F.max(F.abs("cross_m")).over(ahead), "lines": F.collect_list("line").over(ahead)}).where(F.col("_n") == lines)
-    return runs.orderBy("centre", "farthest", "sortie", "line").limit(1).select("sortie", F.array_sort("lines").alias("lines"), "centre", "farthest")
+    order = Window.partitionBy(key).orderBy("cross_m", "line")
+    ahead = order.rowsBetween(Window.currentRow, lines - 1)
+    runs = windows.withColumns(
+        {
+            "_n": F.count(F.lit(1)).over(ahead),
+            "cross_centre": (F.col("cross_m") + F.last("cross_m").over(ahead)) / 2,
+            "along_centre": array_median(F.collect_list("along_m").over(ahead)),
+            "farthest": F.max("radial").over(ahead),
+            "lines": F.collect_list("line").over(ahead),
+            "_start": F.row_number().over(order),
+        }
+    ).where(F.col("_n") == lines)
+    scored = runs.withColumn("centre", F.sqrt(F.col("cross_centre") * F.col("cross_centre") + F.col("along_centre") * F.col("along_centre")))
+    best = scored.orderBy("centre", "farthest", F.abs("cross_centre"), key, "_start").limit(1)
+    return best.select(key, F.col("line").alias("first_line"), F.element_at("lines", -1).alias("last_line"), "centre", "farthest", "cross_centre", "along_centre", "lines")
 
 
 def validity_reasons(images: DataFrame) -> DataFrame:

@@ -210,6 +210,16 @@ def selected_source(handoffs: DataFrame) -> DataFrame:
     return handoffs.withColumn("source", F.coalesce(source, F.raise_error(F.concat(F.lit("not a candidate of the interval: "), F.coalesce("selected", F.lit("null")))).cast("string")))
 
 
+def finalists(handoffs: DataFrame, summaries: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """One row for each candidate with a part in the decision: role (selected, midpoint, lower_bound, upper_bound), its
+    summary columns, and the evidence as JSON. A candidate without a summary stays, with nulls.
+    """
+    roles = handoffs.select(F.explode(F.array(*(F.struct(F.lit(role).alias("role"), F.col(c).alias(key)) for role, c in (("selected", "selected"), ("midpoint", "midpoint"), ("lower_bound", "lower"), ("upper_bound", "upper")))), ).alias("x"), *[c for c in ("gain_share", "gain_status") if c in handoffs.columns])
+    rows = roles.select("x.role", f"x.{key}", *[c for c in roles.columns if c != "x"]).where(F.col(key).isNotNull())
+    joined = rows.join(summaries, key, "left")
+    return joined.withColumn("evidence", F.to_json(F.struct(*[c for c in joined.columns if c not in (key, "role")])))
+
+
 def same_phases(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (lower, upper) with phases_equal: whether both groups have the same seed phases, one of them (0, 0).
 

@@ -150,6 +150,19 @@ def merge_regions(cells: DataFrame, bands: tuple[str, ...], limit: float, spatia
     return cells.join(now, "region").drop("region").withColumnRenamed("to", "region")
 
 
+def merge_in_window(cells: DataFrame, bands: tuple[str, ...], block: int, limit: float, spatial_limit: float | None, top: int, left: int, height: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Initial regions and their merging inside a window of the grid: the labelled cells, and a report of one row.
+
+    The report: cells, initial_regions, final_regions and the greatest RMS of a final region.
+    """
+    inside = cells.where((F.col("r") >= top) & (F.col("r") < top + height) & (F.col("c") >= left) & (F.col("c") < left + width))
+    first = stage(initial_regions(inside, bands, block, limit), "initial")
+    merged = stage(merge_regions(first, bands, limit, spatial_limit), "merged")
+    before = first.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("region").alias("initial_regions"))
+    after = region_statistics(merged, bands).alias("a").agg(F.count(F.lit(1)).alias("final_regions"), F.max(_rms(bands, "square", "a")).alias("greatest_rms"))
+    return merged, before.join(after)  # one row each
+
+
 def grow_regions(cells: DataFrame, seeds: DataFrame, bands: tuple[str, ...], rounds: int = 10_000) -> DataFrame:
     """cells with `label`: the seed that reaches them over 4-neighbours, in synchronous rounds; null if none does.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mosaiq.functions import exprs
 from mosaiq.operators import boundary, checks, features, flight, groups, ledger, partitions, prescreen, regions, response, seeds, segments, study
 from mosaiq.plans import queries as base
-from mosaiq.plans.oracle_views import micro, sql
+from mosaiq.plans.oracle_views import micro, milli, sql
 from mosaiq.plans.queries import BANDS, out, query, want
 from mosaiq.sources import adapters, tables
 
@@ -424,11 +424,19 @@ def jump_cutoff(spark, d):
 _WINDOWS = """, mean0 as (select avg(lat) as mlat, min(lon) as base from line), off0 as (select *, (lon - base + 180 + 360) % 360 - 180 as off_ from line cross join mean0), mean1 as (select avg(off_) as mlon from off0),
 loc as (select *, (off_ - mlon) * (111412.84::double * cos(radians(mlat)) - 93.5::double * cos(3 * radians(mlat)) + 0.118::double * cos(5 * radians(mlat))) as ex, (lat - mlat) * (111132.92::double - 559.82::double * cos(2 * radians(mlat)) + 1.175::double * cos(4 * radians(mlat)) - 0.0023::double * cos(6 * radians(mlat))) as ny from off0 cross join mean1),
 lm as (select *, ex * sin(radians(45.0::double)) + ny * cos(radians(45.0::double)) as along_m, ex * cos(radians(45.0::double)) - ny * sin(radians(45.0::double)) as cross_m from loc),
-wd as (select sortie, line, image_id as first_image, last(image_id) over w as last_image, last(along_m) over w as end_, along_m, max(abs(along_m)) over w as far, count(*) over w as n, sum(cross_m) over w as cr from lm window w as (partition by sortie, line order by along_m, t_us, image_id rows between current row and 2 following)),
-ww as (select sortie, line, first_image, last_image, abs((along_m + end_) / 2) as mid, far, end_ - along_m as span, cr / 3 as cross_m from wd where n = 3),
+wd as (select sortie, line, image_id as first_image, last(image_id) over w as last_image, last(along_m) over w as end_, along_m, max(abs(along_m)) over w as far, count(*) over w as n, median(cross_m) over (partition by sortie, line) as cr, max(sqrt(along_m * along_m + cross_m * cross_m)) over w as radial from lm window w as (partition by sortie, line order by along_m, t_us, image_id rows between current row and 2 following)),
+ww as (select sortie, line, first_image, last_image, abs((along_m + end_) / 2) as mid, far, end_ - along_m as span, cr as cross_m, (along_m + end_) / 2 as along_m, radial from wd where n = 3),
 best as (select * from (select *, row_number() over (partition by sortie, line order by mid, far, span, first_image) as i from ww) where i = 1)
 """
-base.ORACLES["centred_windows"] = sql("line", _WINDOWS + "select sortie::bigint as sortie, line::bigint as line, first_image, last_image, " + _named(*((c, c) for c in ("mid", "far", "span", "cross_m"))) + " from best")
+base.ORACLES["centred_windows"] = sql("line", _WINDOWS + "select sortie::bigint as sortie, line::bigint as line, first_image, last_image, " + ", ".join(milli(c, c) for c in ("mid", "far", "span", "cross_m", "along_m", "radial")) + " from best")
+base.ORACLES["grid_block"] = sql(
+    "line",
+    _WINDOWS
+    + """, bl as (select sortie, line as first_line, lead(line) over w as last_line, (cross_m + lead(cross_m) over w) / 2 as cc, (along_m + lead(along_m) over w) / 2 as ac, greatest(radial, lead(radial) over w) as far_, row_number() over w as k from best window w as (partition by sortie order by cross_m, line))
+select sortie::bigint as sortie, first_line::bigint as first_line, last_line::bigint as last_line, """
+    + ", ".join(milli(x, n) for x, n in (("sqrt(cc * cc + ac * ac)", "centre"), ("far_", "farthest"), ("cc", "cross_centre"), ("ac", "along_centre")))
+    + " from bl where last_line is not null order by sqrt(cc * cc + ac * ac), far_, abs(cc), sortie, k limit 1",
+)
 
 
 @query(sql("position", "select image_id, case when lat > 50.009::double then 'position out of range' else '' end as reasons from position").replace("lat > 50.009::double", "abs(lat) > 90"))

@@ -109,4 +109,8 @@ def sql(views: str, body: str, **own: str) -> str:
 
 
 def micro(x: str, name: str) -> str:
-    return f"cast(floor(({x}) * 1e6 + 0.5) as bigint) as {name}"
+    return f"cast(floor(floor(({x}) * 1e9 + 0.5) / 1000 + 0.5) as bigint) as {name}"
+
+
+def milli(x: str, name: str) -> str:
+    return f"cast(floor(({x}) * 1e3 + 0.5) as bigint) as {name}"

@@ -32,12 +32,12 @@ def query(oracle: str | None = None):
 
 
 def out(df: DataFrame, spec: str) -> DataFrame:
-    """Columns by a short text: `name` as it is, `name:i` as a long, `name:m` in millionths."""
+    """Columns by a short text: `name` as it is, `name:i` as a long, `name:m` in millionths, `name:k` in thousandths."""
     cols = []
     for x in spec.split():
         name, _, kind = x.partition(":")
         c = F.col(name)
-        cols.append({"": c, "i": c.cast("long"), "m": exprs.micro(c)}[kind].alias(name))
+        cols.append({"": c, "i": c.cast("long"), "m": exprs.micro(c), "k": exprs.milli(c)}[kind].alias(name))
     return df.select(*cols)
 
 
@@ -455,12 +455,12 @@ def _windows(spark, d):
 
 @query()
 def centred_windows(spark, d):
-    return out(_windows(spark, d), "sortie:i line:i first_image:i last_image:i mid:m far:m span:m cross_m:m")
+    return out(_windows(spark, d), "sortie:i line:i first_image:i last_image:i mid:k far:k span:k cross_m:k along_m:k radial:k")
 
 
 @query()
 def grid_block(spark, d):
-    return out(flight.grid_block(_windows(spark, d), 2), "sortie:i lines centre:m farthest:m")
+    return out(flight.grid_block(_windows(spark, d), 2), "sortie:i first_line:i last_line:i centre:k farthest:k cross_centre:k along_centre:k")
 
 
 METRICS = ["n_rows", "quantity", "top_cents"]
@@ -485,10 +485,10 @@ def corr_spearman(spark, d):
     return out(study.correlations(adapters.table(spark, d, "lineitem").select(*_NUM), _NUM, "spearman"), "left_metric right_metric n:i r:m")
 
 
-@query("with m as (" + " union all ".join(f"select l_returnflag as flag, '{c}' as metric, {c} as value from lineitem" for c in _NUM) + "), d as (select *, median(value) over (partition by flag, metric) as med from m) select flag, metric, count(*) as n, " + ", ".join(micro(x, n) for x, n in (("avg(value)", "mean"), ("stddev_samp(value)", "sd"), ("any_value(med)", "median"), ("median(abs(value - med))", "mad"), ("min(value)", "min"), ("max(value)", "max"), ("max(value) - min(value)", "range"))) + " from d group by 1, 2")
+@query("with m as (" + " union all ".join(f"select l_returnflag as flag, '{c}' as metric, {c} as value from lineitem" for c in _NUM) + "), d as (select *, median(value) over (partition by flag, metric) as med from m) select flag, metric, count(*) as n, " + ", ".join(micro(x, n) for x, n in (("avg(value)", "mean"), ("stddev_samp(value)", "sd"), ("any_value(med)", "median"), ("median(abs(value - med))", "mad"), ("min(value)", "min"), ("max(value)", "max"), ("max(value) - min(value)", "range"), ("100 * stddev_samp(value) / avg(value)", "cv_percent"))) + " from d group by 1, 2")
 def numeric_summary(spark, d):
     rows = adapters.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), *_NUM)
-    return out(study.numeric_summary(rows, ["flag"], _NUM), "flag metric n:i mean:m sd:m median:m mad:m min:m max:m range:m")
+    return out(study.numeric_summary(rows, ["flag"], _NUM), "flag metric n:i mean:m sd:m median:m mad:m min:m max:m range:m cv_percent:m")
 
 
 @query(sql("metric", "select m.flag, m.state, m.metric, " + ", ".join(micro(x, n) for x, n in (("b.value", "base"), ("m.value", "value"), ("m.value - b.value", "change"), ("100 * (m.value - b.value) / abs(b.value)", "relative_percent"))) + " from metric m join metric b on b.metric = m.metric and b.flag = 'A' and b.state = 'F' where not (m.flag = 'A' and m.state = 'F')"))
@@ -517,10 +517,10 @@ def label_size_stats(spark, d):
     return out(segments.label_size_stats(_segments(spark, d)), "run_id segments:i p25:m p50:m p75:m below_2:m below_5:m below_10:m below_20:m")
 
 
-@query(sql("label_px", ", x as (select run_id, label, band, value from (select run_id, label, m1, m2, m3 from label_px join cell using (r, c) where label > 0) unpivot (value for band in (m1, m2, m3))) select run_id, label, band, count(*) as n, " + ", ".join(micro(e, n) for e, n in (("avg(value)", "mean"), ("median(value)", "median"), ("min(value)", "min"), ("max(value)", "max"), ("quantile_cont(value, 0.1)", "q10"), ("quantile_cont(value, 0.9)", "q90"))) + " from x group by 1, 2, 3"))
+@query(sql("label_px", ", x as (select run_id, label, band, value from (select run_id, label, m1, m2, m3 from label_px join cell using (r, c) where label > 0) unpivot (value for band in (m1, m2, m3))) select run_id, label, band, count(*) as n, " + ", ".join(micro(e, n) for e, n in (("avg(value)", "mean"), ("median(value)", "median"), ("min(value)", "min"), ("max(value)", "max"), ("quantile_cont(value, 0.1)", "q10"), ("quantile_cont(value, 0.9)", "q90"), ("var_pop(value)", "variance"))) + " from x group by 1, 2, 3"))
 def zonal_stats(spark, d):
     cells = _cells(spark, d)
-    return out(segments.zonal_stats(adapters.label_px(cells), cells), "run_id label:i band n:i mean:m median:m min:m max:m q10:m q90:m")
+    return out(segments.zonal_stats(adapters.label_px(cells), cells), "run_id label:i band n:i mean:m median:m min:m max:m q10:m q90:m variance:m")
 
 
 def _lattice(spark, d):

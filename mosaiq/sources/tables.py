@@ -126,6 +126,25 @@ def write_step_manifest(df: DataFrame, path: str) -> None:
     checked.select(*(F.col(f.name).cast(f.dataType) for f in STEP.fields)).write.mode("overwrite").json(path)
 
 
+def preflight(frames: dict[str, DataFrame], contract: dict[str, dict[str, str]]) -> list[str]:
+    """What keeps tables from being used: missing tables, missing columns, and types other than the contract's.
+
+    contract: for each table its columns and their simple types (an empty type takes any). Only schemas are read.
+    """
+    out = []
+    for name, columns in contract.items():
+        if name not in frames:
+            out.append(f"{name}: no such table")
+            continue
+        types = dict(frames[name].dtypes)
+        for column, kind in columns.items():
+            if column not in types:
+                out.append(f"{name}.{column}: missing")
+            elif kind and types[column] != kind:
+                out.append(f"{name}.{column}: {types[column]} in place of {kind}")
+    return out
+
+
 def count_inputs(spark: SparkSession, folder: str, suffixes: tuple[str, ...], leave_out: str | None = None) -> int:
     """Files below a folder, not empty, with one of the suffixes, in any case, but those of one name. Only the listing is read."""
     name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))

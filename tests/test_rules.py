@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mosaiq import cli
 from mosaiq.functions import exprs
 from mosaiq.operators import checks, features, flight, groups, ledger, partitions, segments, study
 from mosaiq.plans import config
@@ -174,3 +175,28 @@ def test_labels_by_mask(spark):
     rows = spark.createDataFrame([("a", 1, 1, 0, 0, 0, -1), ("a", 1, 1, 0, 0, 1, 0), ("a", 1, 1, 0, 1, 0, 4)], "run_id string, spatialr int, ranger int, phase int, r int, c int, label long")
     valid = spark.createDataFrame([(0, 0), (0, 1)], "r int, c int")
     assert {(r["r"], r["c"]): r["label"] for r in segments.exported_labels(rows, valid).collect()} == {(0, 0): 0, (0, 1): 1, (1, 0): 0}
+
+
+def test_grid_block_takes_the_middle(spark):
+    rows = [(1, line, float(20 * line - 80), 0.0, 10.0 + abs(20 * line - 80)) for line in range(9)] + [(2, 1, 5.0, 300.0, 300.0)]
+    got = one(flight.grid_block(spark.createDataFrame(rows, "sortie int, line int, cross_m double, along_m double, radial double"), 3))
+    assert (got["first_line"], got["last_line"], got["centre"], got["lines"]) == (3, 5, 0.0, [3, 4, 5])
+
+
+def test_finalists_and_preflight(spark):
+    hand = spark.createDataFrame([("m", "m", "a", "b", 0.7)], "selected string, midpoint string, lower string, upper string, gain_share double")
+    got = groups.finalists(hand, spark.createDataFrame([("m", 0.9), ("a", 0.4)], "candidate_id string, score double")).collect()
+    assert {(r["role"], r["candidate_id"], r["score"]) for r in got} == {("selected", "m", 0.9), ("midpoint", "m", 0.9), ("lower_bound", "a", 0.4), ("upper_bound", "b", None)}
+    assert json.loads(next(r["evidence"] for r in got if r["role"] == "lower_bound")) == {"gain_share": 0.7, "score": 0.4}
+    assert tables.preflight({"t": hand}, {"t": {"selected": "string", "gain_share": "int", "z": ""}, "u": {}}) == ["t.gain_share: double in place of int", "t.z: missing", "u: no such table"]
+
+
+def test_study_commands(spark, tmp_path, capsys):
+    assert cli.main(["plan", "blending", str(tmp_path / "plan.json"), "--replicates", "2"]) == 0
+    assert len(json.loads((tmp_path / "plan.json").read_text())) == 8
+    row = lambda v, s: ["e", v, "1", s, "0", "c", "p", "o", "f", "x", "log", "1"]
+    schema = ", ".join(f"{c} string" for c in tables.LEDGER)
+    tables.write_ledger(spark.createDataFrame([row("v1", "failed"), row("v1", "ok"), row("v2", "failed")], schema).coalesce(1), str(tmp_path / "l"))
+    from mosaiq.cli import ledger_state
+
+    assert [tuple(r) for r in ledger_state(spark, str(tmp_path / "l")).collect()] == [("v1", "1", "ok", 2), ("v2", "1", "failed", 1)]
