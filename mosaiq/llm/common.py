@@ -29,7 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows, unless the session has its own setting: texts are long."""
+    """Arrow batches of at most BATCH_ROWS rows, unless the session has its own setting: texts are long.
+
+    It changes the session, so only the registered queries and the pipeline call it, no operator does.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -37,7 +40,6 @@ def bound_batches(spark: SparkSession) -> None:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    bound_batches(spark)
     path = f"{shared_dir(spark)}/mosaiq/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -79,7 +81,6 @@ def running_total(df: DataFrame, keys: list[str], classes: list[str], ties: list
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; also makes this package importable on the executors."""
     ship(spark)
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import chat_format, decontaminate, jaccard, license_scan, lm_score, oracles, packing, quality, sharding, span_dedup, topk
-from mosaiq.llm.common import read_table
+from mosaiq.llm import chat_format, common, decontaminate, jaccard, license_scan, lm_score, oracles, packing, quality, sharding, span_dedup, topk
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.bound_batches(spark)
+    return common.read_table(spark, sf_dir, name)
 
 
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
