@@ -15,6 +15,7 @@ from mosaiq.operators import ledger, study
 from mosaiq.plans import config
 from mosaiq.plans.queries import ORACLES, QUERIES
 from mosaiq.sources import tables
+from mosaiq.sources.stage import clear
 
 
 def registered() -> tuple[dict, dict]:
@@ -95,6 +96,7 @@ def main(argv: list[str] | None = None) -> int:
             df.write.mode("overwrite").parquet(args.out)
         else:
             df.show(50, truncate=False)
+        clear(spark)
     return 0
 
 

@@ -126,3 +126,27 @@ def test_sampled_variogram_and_stable_seeds(spark):
     tracks = spark.createDataFrame([(1, 5, 5, 2, 3), (1, 7, 5, 2, 4), (2, 6, 6, 2, 9), (3, 30, 30, 3, 1)], "track long, r int, c int, scales int, runs int")
     got = [(x["rank"], x["r"], x["c"]) for x in seeds.stable_seeds(tracks, "runs", 16).orderBy("rank").collect()]
     assert got == [(1, 30, 30), (2, 6, 6)]
+
+
+def growth_twin(values, starts):
+    label = {s: k for k, s in starts.items()}
+    front = dict(label)
+    while front:
+        seen = {}
+        for (r, c), k in front.items():
+            for p in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+                if p in values and p not in label:
+                    seen.setdefault(p, set()).add(k)
+        front = {p: min(ks, key=lambda k: ((values[p] - values[starts[k]]) ** 2, k)) for p, ks in seen.items()}
+        label |= front
+    return label
+
+
+def test_growing_equals_the_plain_loop(spark):
+    r = np.random.default_rng(9)
+    values = {(a, b): float(np.round(r.normal() * 4, 1)) for a in range(8) for b in range(9) if r.random() < 0.85}
+    places = sorted(values)
+    starts = {3: places[4], 8: places[-6], 5: places[30]}
+    cells = spark.createDataFrame([(a, b, v) for (a, b), v in values.items()], "r int, c int, m1 double")
+    got = regions.grow_regions(cells, spark.createDataFrame([(k, *p) for k, p in starts.items()], "rank long, r int, c int"), ("m1",))
+    assert {(x["r"], x["c"]): x["label"] for x in got.collect() if x["label"] is not None} == growth_twin(values, starts)

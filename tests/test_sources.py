@@ -1,9 +1,12 @@
 """Sources, sinks and streams."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.sources import tables
+from mosaiq.sources.stage import clear, root_of, stage
 from mosaiq.streaming import ledger as stream
 
 
@@ -36,6 +39,14 @@ def test_rasters(spark, tmp_path):
     assert {r["raster_id"]: r["usable"] for r in tables.raster_headers(heads).collect()} == {"a": True, "b": True, "c": False}
 
 
+def test_written_steps_are_cleared(spark):
+    df = stage(spark.range(3), "three")
+    path = Path(root_of(spark).removeprefix("file://"))
+    assert df.count() == 3 and any(path.iterdir())
+    clear(spark)
+    assert not path.exists()
+
+
 def test_streamed_ledger(spark, tmp_path):
     df = spark.createDataFrame([("a", "r", "failed", 1), ("a", "r", "ok", 2)], tables.ATTEMPTS)
     df.coalesce(1).write.csv(str(tmp_path / "in"), header=True)
