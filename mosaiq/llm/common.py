@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.session import ship
+from mosaiq.sources.stage import root_of
 
 #: Rows that one task of a distributed rank is meant to hold.
 ROWS_PER_CHUNK = 250_000
@@ -16,18 +16,6 @@ ROWS_PER_CHUNK = 250_000
 BATCH_ROWS = 1_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    global _LOCAL
-    _LOCAL = globals().get("_LOCAL") or tempfile.mkdtemp(prefix="mosaiq-")
-    return f"file://{_LOCAL}"
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows, unless the session has its own setting: texts are long.
 
@@ -40,7 +28,7 @@ def bound_batches(spark: SparkSession) -> None:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mosaiq/{label}-{uuid.uuid4().hex}"
+    path = f"{root_of(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mosaiq_path = path
