@@ -107,6 +107,7 @@ def meet(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame | Non
 
 def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """documents but the rows whose doc_id is in ids (one column); rows with a null doc_id stay."""
-    ids = materialise(ids.toDF("__id").distinct(), "ids")
+    name = f"id_{uuid.uuid4().hex}"  # that documents have no column of
+    ids = materialise(ids.toDF(name).distinct(), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return documents.join(side, F.col("doc_id") == F.col("__id"), "left_anti")
+    return documents.join(side, F.col("doc_id") == F.col(name), "left_anti")

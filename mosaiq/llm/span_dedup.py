@@ -138,8 +138,10 @@ def dedup_spans(documents: DataFrame) -> DataFrame:
     places = materialise(later.groupBy("d", "t").agg(F.collect_set("at").alias("__places")), "places")
     discard(repeated, first)
     discard(found)
-    keyed = documents.select(*columns, text_hash(F.col("text")).alias("__t"))
-    joined = keyed.join(places.withColumnsRenamed({"d": "__d", "t": "__u"}), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
+    # the columns go under numbers, so that none of them can clash with the names used here
+    numbered = [F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(columns)]
+    keyed = documents.select(*numbered, F.col("doc_id").cast("long").alias("__id"), text_hash(F.col("text")).alias("__t"))
+    joined = keyed.join(places.withColumnsRenamed({"d": "__d", "t": "__u"}), F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
     schema = documents.select(*columns).schema
     field = columns.index("text")
 
@@ -150,7 +152,7 @@ def dedup_spans(documents: DataFrame) -> DataFrame:
             arrays = [pa.array(text, pa.string()) if k == field else b.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int32()), pa.array(gone, pa.int32())], [*columns, "n_sentences", "n_removed"])
 
-    out = joined.select(*columns, "__places")
+    out = joined.select(*(f"__{k}" for k in range(len(columns))), "__places")
     return out.mapInArrow(cut, schema.add("n_sentences", IntegerType()).add("n_removed", IntegerType()))
 
 
