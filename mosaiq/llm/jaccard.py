@@ -51,6 +51,8 @@ ENTRY_COST = 3
 PROBE_BITS, PROBE_LEAST = 6, 32
 #: List entries of one salt, and bytes of the entries that one task sorts, on average.
 SALT_ROWS, SORT_BYTES = 50_000, 1 << 26
+#: Subsets that a task holds at once.
+SUBSETS = 20_000
 #: Digests that a task remembers, to tell each class once.
 REMEMBER = 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -132,9 +134,17 @@ def _sets(bits: int):
 
 
 def _subsets(bound: int):
+    """(k1, k2, total, n, node) for each subset; batches of about SUBSETS rows, however many a set has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, int, int]] = []
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], ["k1", "k2", "total", "n", "node"])
+            held.clear()
+            return out
+
         for b in batches:
-            k1, k2, total, size, node = [], [], [], [], []
             for own, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = np.frombuffer(raw.as_py(), dtype=np.int64)
                 n = len(s)
@@ -143,13 +153,11 @@ def _subsets(bound: int):
                     if c > min(n, m) or n > bound and m > bound:
                         continue
                     for part in itertools.combinations(s.tolist(), c):
-                        d = _digest(np.array(part, dtype=np.int64))
-                        k1.append(d[0])
-                        k2.append(d[1])
-                        total.append(n + m)
-                        size.append(n)
-                        node.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k1, k2, total, size, node)], ["k1", "k2", "total", "n", "node"])
+                        held.append((*_digest(np.array(part, dtype=np.int64)), n + m, n, own))
+                        if len(held) >= SUBSETS:
+                            yield rows()
+        if held:
+            yield rows()
 
     return run
 
