@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import chat_format, common, decontaminate, jaccard, license_scan, lm_score, merkle, oracles, packing, phrases, quality, sharding, span_dedup, topk
+from mosaiq.llm import chat_format, common, decontaminate, jaccard, license_scan, lm_score, merkle, oracles, packing, phrases, quality, sharding, span_dedup, topk, toxicity
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(read_table(spark, sf_dir, "documents"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(read_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": _op9,
         "op10_license_scan": _op10,
         "op11_merkle_manifest": _op11,
+        "op12_toxicity": _op12,
         "op13_phrase_collocations": _op13,
     }
 
