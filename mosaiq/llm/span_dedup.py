@@ -2,9 +2,9 @@
 
 A text is cut into sentences: runs that end with marks out of ``.!?`` or line ends. Sentences without words are not
 counted. A run begins at every sentence and takes the next ones, two sentences at least, until it holds LEAST words;
-short sentences make a run longer, none is passed over, so long blocks of short lines are seen as well. Only where the
-text ends before that no run begins: those last sentences lie in the run before. A text of one sentence, or of fewer
-words than LEAST, has no run. Runs are compared without case and with white space collapsed. Where a run occurs more
+short sentences make a run longer, none is passed over, so long blocks of short lines are seen as well. Where the text
+ends before that, the run ends with it and holds ENDING sentences at least, or the whole of a short text of two or more;
+so endings and short texts have runs of their own. A text of one sentence has none. Runs are compared without case and with white space collapsed. Where a run occurs more
 than once in the corpus, the first occurrence (by doc_id, then text hash, then place) stays and all sentences that
 another one covers go.
 
@@ -27,8 +27,8 @@ from pyspark.sql.types import IntegerType
 
 from mosaiq.llm.common import discard, hot_keys, materialise, meet
 
-#: Sentences and words that a run holds at least.
-SENTENCES, LEAST = 2, 12
+#: Sentences and words that a run holds at least; sentences of a run that ends with its text before that many words.
+SENTENCES, LEAST, ENDING = 2, 12, 3
 #: A place is PLACE * first sentence + sentences; a run has LEAST sentences at most.
 PLACE = 16
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z")
@@ -49,10 +49,10 @@ def _runs(pieces: list[str]) -> Iterator[tuple[int, str]]:
     end, n = 0, len(norm)
     for at in range(n - SENTENCES + 1):
         end = max(end, at + SENTENCES)
-        while total[end] - total[at] < LEAST:
-            if end == n:
-                return
+        while total[end] - total[at] < LEAST and end < n:
             end += 1
+        if total[end] - total[at] < LEAST and 0 < at > n - ENDING:
+            return
         yield PLACE * at + end - at, "\n".join(lines[at:end])
 
 
@@ -169,7 +169,10 @@ q as (select *, sum(cast(regexp_matches(piece, '[^\s]') as int)) over (partition
   regexp_matches(piece, '[^\s]') as own, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) as line from p),
 w as (select doc_id, text, cast(pos as int) as pos, line, len(string_split(line, ' ')) as words from q where own),
 v as (select *, sum(words) over (partition by doc_id, text order by pos) as total from w),
-z as (select a.doc_id, a.text, a.pos, min(b.pos) as last from v a join v b on a.doc_id = b.doc_id and a.text = b.text and b.pos between a.pos + 1 and a.pos + 11 and b.total - a.total + a.words >= 12 group by all),
+u as (select *, max(pos) over (partition by doc_id, text) as final from v),
+z as (select a.doc_id, a.text, a.pos, b.pos as last from u a join u b on a.doc_id = b.doc_id and a.text = b.text and b.pos between a.pos + 1 and a.pos + 11
+  where (b.total - a.total + a.words >= 12 and (b.pos = a.pos + 1 or b.total - b.words - a.total + a.words < 12))
+    or (b.total - a.total + a.words < 12 and b.pos = a.final and (a.pos = 0 or b.pos - a.pos >= 2))),
 runs as (select z.doc_id, z.text, z.pos, last - z.pos + 1 as k, string_agg(line, chr(10) order by v.pos) as run from z join v on v.doc_id = z.doc_id and v.text = z.text and v.pos between z.pos and last group by all),
 firsts as (select run, first(struct_pack(d := doc_id, t := text, a := pos) order by doc_id, text, pos) as f from runs group by run having count(*) > 1),
 gone as (select distinct doc_id, text, pos + unnest(range(k)) as pos from runs join firsts using (run) where not (f.d = doc_id and f.t = text and f.a = pos)),
