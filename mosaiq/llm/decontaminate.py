@@ -8,7 +8,8 @@ inside the document (positional and length bounds), and the words there must equ
 The windows' side of each join is broadcast in parts of about PART_ROWS rows and PART_BYTES bytes, so its size is
 bounded; a benchmark with more windows is joined part by part, and so are the counts of words. The words of a document
 are never shuffled. Windows and items are joined last, by the number of the window, so a passage that all items share
-is one row until a document holds it.
+is one row until a document holds it. Where an item has a word of more than LONG bytes, such words are compared by their
+SHA-256, so every window is small.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import discard, hot_keys, materialise, meet, without_ids
 
 WORDS = 10
+#: Bytes of the longest word that stands for itself; longer ones go by their digest.
+LONG = 1 << 10
 #: Rows and bytes of a broadcast part.
 PART_ROWS, PART_BYTES = 200_000, 1 << 25
 #: All that no word holds: ASCII but digits and lower-case letters.
@@ -33,6 +36,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, BETWEEN, -1), "")
 
 
+def _shortened(words: Column) -> Column:
+    """Words of more than LONG bytes as digests after a sign that no word has, so a window has a bounded size."""
+    return F.transform(words, lambda x: F.when(F.octet_length(x) > LONG, F.concat(F.lit("#"), F.sha2(x, 256))).otherwise(x))
+
+
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -40,11 +48,9 @@ def _text_hash(text: Column) -> Column:
 def _in_parts(table: DataFrame, key: str, size: Column, label: str) -> list[DataFrame]:
     """The table, written, in pieces that may be broadcast: about PART_ROWS rows of about PART_BYTES bytes by `size`."""
     one = materialise(table, label)
-    rows, size_of, longest = one.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    rows, size_of = one.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     if rows <= PART_ROWS and size_of <= PART_BYTES:
         return [F.broadcast(one)] if rows else []
-    if longest > PART_BYTES:
-        raise ValueError(f"a row of {longest} bytes is too long for a broadcast part")
     n = max(-(-2 * rows // PART_ROWS), -(-2 * size_of // PART_BYTES))
     parts = materialise(one.withColumn("part", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), label)
     discard(one)
@@ -67,11 +73,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WORDS)
     documents with one doc_id and text get equal results. Other columns are ignored; empty tables are fine.
     """
     own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    # a document's long words matter only if an item has one
+    longest = own.select(F.explode("w").alias("word")).agg(F.max(F.octet_length("word"))).first()[0] or 0
+    shown = _shortened if longest > LONG else lambda w: w
+    own = own.withColumn("w", shown(F.col("w")))
     length = F.least(F.lit(size), F.size("w"))
     runs = own.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("window"))
     runs = materialise(runs.withColumn("id", F.sha2(F.concat_ws(" ", "window"), 256)), "windows")
     windows, owners = runs.select("id", "window").distinct(), materialise(runs.select("id", "item").distinct(), "window-items")
-    docs = documents.select(F.col("doc_id").alias("d"), _text_hash(F.col("text")).alias("t"), words_of(F.col("text")).alias("w"))
+    docs = documents.select(F.col("doc_id").alias("d"), _text_hash(F.col("text")).alias("t"), shown(words_of(F.col("text"))).alias("w"))
     # rarity of the benchmark's words, over all documents
     word_bytes = F.octet_length("word") + 16
     vocabulary = _in_parts(windows.select(F.explode("window").alias("word")).distinct(), "word", word_bytes, "vocabulary")
