@@ -311,11 +311,14 @@ def _spare(n: Column) -> Column:
 def _small_links(classes: DataFrame, bound: int) -> DataFrame:
     """Links among sets of which one has at most `bound` shingles: in a list, each size goes to the first of its partner's."""
     own = classes.where((F.col("n") >= 1) & (F.col("n") * 4 <= 5 * bound)).select("node", "small")
-    rows = own.mapInArrow(_subsets(bound), "k1 long, k2 long, total long, n long, node long")
-    key = ["k1", "k2", "total"]
-    first = rows.groupBy(*key, "n").agg(F.min("node").alias("first"))
-    other = first.select(*key, (F.col("total") - F.col("n")).alias("n"), "first")
-    return rows.join(other, [*key, "n"]).select(F.col("node").alias("u"), F.col("first").alias("v")).where("u != v").distinct()
+    rows = materialise(own.mapInArrow(_subsets(bound), "k1 long, k2 long, total long, n long, node long"), "subsets")
+    key = ["k1", "k2", "total", "n"]
+    first = materialise(rows.groupBy(*key).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")), "first-subsets")
+    other = first.select("k1", "k2", "total", (F.col("total") - F.col("n")).alias("n"), "first")
+    met = meet(rows, other, key, hot_keys(first, key, "members"), ["node"])
+    links = materialise(met.select(F.col("node").alias("u"), F.col("first").alias("v")).where("u != v").distinct(), "small-links")
+    discard(rows, first)
+    return links
 
 
 def _apart(lists: DataFrame, found: DataFrame, fields: list[str], able: Column, only_able: bool = False) -> DataFrame:
@@ -342,9 +345,9 @@ def _apart(lists: DataFrame, found: DataFrame, fields: list[str], able: Column,
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) that link."""
     pairs = materialise(pairs, "pairs")
-    often = materialise(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
-    left = meet(pairs, sets.withColumnsRenamed({"node": "v", "s": "t"}), ["v"], hot_keys(often, ["v"], "n"), ["u"])
-    both = left.join(sets.withColumnRenamed("node", "u"), "u")
+    hot = {k: hot_keys(materialise(pairs.groupBy(k).agg(F.count(F.lit(1)).alias("n")), "pair-counts"), [k], "n") for k in ("u", "v")}
+    left = meet(pairs, sets.withColumnsRenamed({"node": "v", "s": "t"}), ["v"], hot["v"], ["u"])
+    both = meet(left, sets.withColumnRenamed("node", "u"), ["u"], hot["u"], ["v"])
     return both.select("u", "v", "s", "t").mapInArrow(_linked, "u long, v long")
 
 
@@ -361,7 +364,7 @@ def join_documents(documents: DataFrame) -> DataFrame:
     classes = materialise(classes, "classes")
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 5 * MOST_SMALL // 4).groupBy("n").count().collect()}  # a row a size
     bound = boundary(sizes)
-    small = materialise(_small_links(classes, bound), "small-links")
+    small = _small_links(classes, bound)
     # documents with several rows: their classes link
     of_rows = base.where("n > 0 and doc_id is not null").join(classes.drop("small"), ["c", "c2", "n"]).groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("top"), F.collect_set("node").alias("all")).where("v != top")
     links = [small, materialise(of_rows.select(F.explode("all").alias("u"), "v"), "row-links")]

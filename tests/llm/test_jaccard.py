@@ -80,6 +80,20 @@ def test_small_sets(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_hot_subsets_and_hot_smaller_ends(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_ROWS", 4)
+    r = random.Random(6)
+    base = [f"b{i}" for i in range(12)]
+    rows = [(i, " ".join(edited(r, base, r.choice([0, 1])) + [f"x{r.randrange(30)}"])) for i in range(60)] + [(90 + i, " ".join(base)) for i in range(20)]
+    assert run(spark, rows) == brute(rows)
+    numbers = lambda i, n: " ".join(f"{i}y{k}" for k in range(n))
+    sets = spark.createDataFrame([(i, jaccard.shingles(" ".join(f"same{k}" for k in range(40)) + " " + numbers(i, 1 if i % 3 or i in (0, 39) else 12)).tobytes()) for i in range(40)], "node long, s binary")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, 39) for i in range(1, 39)], "u long, v long")
+    whole = {x["node"]: set(jaccard.np.frombuffer(x["s"], dtype="int64").tolist()) for x in sets.collect()}
+    want = sorted((x["u"], x["v"]) for x in pairs.collect() if 100 * len(whole[x["u"]] & whole[x["v"]]) >= 80 * len(whole[x["u"]] | whole[x["v"]]))
+    assert sorted(map(tuple, jaccard._verify(pairs, sets).collect())) == want and 0 < len(want) < 77
+
+
 def test_odd_tables(spark):
     text = " ".join(f"w{i}" for i in range(50))
     assert run(spark, [(None, text), (3, text), (3, text), (1, text + " more")]) == [(-1, 46, None), (1, 47, 1), (3, 46, 1), (3, 46, 1)]
