@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import chunk_count, discard, materialise, running_total
+from mosaiq.llm.common import chunk_count, discard, hot_keys, materialise, meet, running_total
 
 SHARDS = 8
 #: Rounds in a row without a move that end the propagation: two of each kind, as ties fall anew.
@@ -78,8 +78,8 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, group=None) -> D
     chunks = chunk_count(n)
     start = F.pmod(F.xxhash64("doc_id", "g1"), F.lit(shards)).cast("int")
     cells = rows.groupBy("g1", "g2", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    linked = cells.join(rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").drop("all"), ["g1", "g2"])
-    cells = materialise(linked, "cells")
+    groups = materialise(cells.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where("all > 1"), "groups")
+    cells = materialise(cells.join(groups.drop("all"), ["g1", "g2"]), "cells")
     turn, idle, together = 0, 0, _together(cells)
     while idle < IDLE and together is not None:
         old, cells = cells, materialise(_propagate(cells, quota, turn), "cells")
@@ -94,9 +94,9 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, group=None) -> D
     inside = Window.partitionBy("g1", "g2").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     spans = held.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).groupBy("g1", "g2").agg(F.collect_list(F.struct("first", "n", "shard")).alias("spans"))
     ranked = running_total(rows, ["g1", "g2"], [], ["doc_id", "size"], 1, "nth", chunks)
-    placed = ranked.join(spans, ["g1", "g2"], "left").withColumn("hit", F.filter("spans", lambda s: (s["first"] <= F.col("nth")) & (F.col("nth") < s["first"] + s["n"])))
+    placed = meet(ranked, spans, ["g1", "g2"], hot_keys(groups, ["g1", "g2"], "all"), ["doc_id", "nth"], "left").withColumn("hit", F.filter("spans", lambda s: (s["first"] <= F.col("nth")) & (F.col("nth") < s["first"] + s["n"])))
     placed = materialise(placed.select("doc_id", "size", "text_crc32", "g1", "g2", F.get("hit", F.lit(0))["shard"].alias("shard"), "nth"), "placed")
-    discard(rows, cells)
+    discard(rows, cells, groups)
     # the filler takes the places that are left
     room = quota.join(held.groupBy("shard").agg(F.sum("n").alias("load")), "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("room")).where("room > 0")
     spans = room.select("shard", "room", F.coalesce(F.sum("room").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
