@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import BROADCAST_IDS, discard, materialise
+from mosaiq.llm import common
+from mosaiq.llm.common import BROADCAST_IDS, discard, hot_keys, materialise, meet
 
 ORDER = 4
 #: Order of op2; also the most that a 64-bit key holds beside a document's place.
@@ -90,11 +91,12 @@ def _count(order: int):
     return run
 
 
-def _blocks(documents: DataFrame) -> DataFrame:
-    """documents as doc_id, text and block; equal rows share a block."""
+def _blocks(documents: DataFrame) -> tuple[DataFrame, int]:
+    """documents as doc_id, text and block, and the number of blocks; equal rows share a block."""
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(8, -(-size // BLOCK)))))
+    many = max(8, -(-size // BLOCK))
+    return d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(many))), many
 
 
 def count_grams(blocks: DataFrame, targets: DataFrame, order: int) -> DataFrame:
@@ -161,9 +163,13 @@ def score_documents(documents: DataFrame, targets: DataFrame, order: int = ORDER
     """
     if not 1 <= order <= LONGEST:
         raise ValueError(f"order must be 1 to {LONGEST}")
-    blocks = _blocks(documents)
+    blocks, many = _blocks(documents)
     counts = materialise(count_grams(blocks, targets, order), "block-grams")
-    answers = counts.join(losses(counts, order), "gram").select("block", "gram", "delta")
+    hot = None
+    if many > common.FEW_ROWS:  # an n-gram has a row in each block at most
+        often = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > common.FEW_ROWS)
+        hot = hot_keys(materialise(often, "common-grams"), ["gram"], "n")
+    answers = meet(counts, losses(counts, order), ["gram"], hot, ["block"]).select("block", "gram", "delta")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order), "doc_id long, n_symbols long, score double")
 
 

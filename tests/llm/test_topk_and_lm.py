@@ -14,8 +14,9 @@ VECTORS = "vec_id long, embedding array<float>, score long"
 def brute(rows, k=10):
     data = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
+    end = (1 << 63) - 1
     for q, v in sorted({(i, tuple(v)) for i, v in data if i % 100 == 0}):
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in data if j != q and len(w) == len(v))
+        scored = sorted((-max(-end, min(end, sum(a * b for a, b in zip(v, w, strict=True)))), j) for j, w in data if j != q and len(w) == len(v))
         out += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -72,9 +73,15 @@ def test_node_pairs_are_pruned():
         assert [(-a, j) for a, j in found.tolist()] == scored
 
 
-def test_too_large_components_fail(spark):
-    with pytest.raises(Exception, match="components"):
-        topk.top_k(spark.createDataFrame([(100, [2000.0], 1)], VECTORS)).collect()
+def test_vectors_of_any_size(spark):
+    r = np.random.default_rng(7)
+    x = [*r.normal(size=(150, 4)), *(r.normal(size=(60, 4)) * 1e4), *(r.normal(size=(40, 4)) * 1e9), *(r.normal(size=(30, 4)) + 3e7), [3e38] * 4, [-3e38] * 4, [3e38, 1, 1, 1]]
+    rows = [(int(i), [float(np.float32(v)) for v in x[k]], 1) for k, i in enumerate(r.permutation(len(x)))]
+    rows += [(500, [2000.0], 1), (501, [0.5], 1)] + [(600 + i, [float(v) for v in r.normal(size=5000)], 1) for i in range(4)]
+    got = topk.top_k(spark.createDataFrame(rows, VECTORS)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows)
+    assert len(got) == 10 * sum(q % 100 == 0 for q in range(len(x))) + 1 + 3
+    assert max(r["score"] for r in got) == topk.MOST_SCORE or all(abs(v) < 1e30 for q, v4, _ in rows if q % 100 == 0 for v in v4)
 
 
 def lm_brute(texts, targets):
@@ -116,6 +123,17 @@ def test_scores_equal_brute_force(spark):
     assert got[0] > got[4]
 
 
+def test_grams_that_all_blocks_hold(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(["the", "cat", "sat", "on"], 12))) for i in range(60)], "doc_id long, text string").repartition(3)
+    targets = spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
+    want = sorted(map(tuple, lm_score.score_documents(docs, targets).collect()))
+    monkeypatch.setattr(lm_score, "BLOCK", 40)
+    monkeypatch.setattr(lm_score.common, "FEW_ROWS", 9)
+    got = sorted(map(tuple, lm_score.score_documents(docs, targets).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and max(abs(g[2] - w[2]) for g, w in zip(got, want, strict=True)) < 1e-9
+
+
 def test_no_byte_or_long_gram_is_folded(spark):
     r = np.random.default_rng(5)
     texts = ["".join(chr(int(c)) for c in r.integers(33, 127, 60)) for _ in range(40)] + ["order 66", "order 77", "Größe í", "Größe ï", None, "", "same start a", "same start b"] * 2
