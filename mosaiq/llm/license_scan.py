@@ -1,7 +1,8 @@
 """License scans: canonical digests of whole texts, hash-joined to the digests of known licences.
 
 Canonical form, in this order: lower case; copyright lines go (a line that begins, after comment marks, with
-"copyright", "(c)" or a copyright sign and names a year, a sign or a placeholder), and so do lines that only reserve all
+"copyright", "(c)" or a copyright sign and names a year, a sign or a placeholder; before the first grant any line that
+begins with "copyright", and what is indented below it), SPDX lines, lines that only reserve all
 rights, and list marks at the beginning of a line; punctuation, symbols and white space, of Unicode too, become single
 spaces; equivalent spellings become one. The digest is SHA-256 of the trimmed result. A licence is known by several
 digests: with each of its usual headings and without, and long ones with and without what follows their terms.
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.license_texts import DIGESTS, HEADINGS, TEXTS
 
+#: What a grant begins with: a heading ends before the first of these.
+GRANTS = ("permission", "redistribution", "licensed", "everyone", "this software", "terms and conditions", "this is free")
+#: Lines of a heading that go, in lower case: any that begins with copyright, and what is indented below it.
+HEADING_LINE = r"(?m)^[^a-z0-9\n]*copyright\b[^\n]*(?:\n(?:[ \t]{2,}|\t)[a-z0-9][^\n]*)*$"
 #: Lines that go, in lower case.
+SPDX_LINE = r"(?m)^[^a-z0-9\n]*spdx-[a-z-]+:[^\n]*$"
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:(?:portions[ \t]+)?copyright\b[^\n]*(?:\(c\)|©|[0-9]{4}|[\[<{][^\n]*[\]>}])|\(c\)[^\n]*[0-9]{4}|©)[^\n]*$"
 RIGHTS_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 LIST_MARK = r"(?m)^[^a-z0-9\n(]*\(?(?:[0-9]{1,2}|[a-z])[.)](?:[ \t]+|$)"
@@ -36,7 +42,9 @@ SPELLINGS = (
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
     t = F.lower(text)
-    for line in (COPYRIGHT_LINE, RIGHTS_LINE, LIST_MARK, NOT_A_WORD):
+    at = F.least(*(F.nullif(F.instr(t, g), F.lit(0)) for g in GRANTS))  # null without a grant
+    t = F.when(at > 1, F.concat(F.regexp_replace(F.substring(t, F.lit(1), at - 1), HEADING_LINE, " "), F.substring(t, at, F.length(t)))).otherwise(t)
+    for line in (SPDX_LINE, COPYRIGHT_LINE, RIGHTS_LINE, LIST_MARK, NOT_A_WORD):
         t = F.regexp_replace(t, line, " ")
     for pattern, new in SPELLINGS:
         t = F.regexp_replace(t, pattern, new)
@@ -70,8 +78,10 @@ def scan_licenses(documents: DataFrame, known: DataFrame | None = None) -> DataF
 
 
 def _sql_canonical(text: str) -> str:
-    t = f"lower({text})"
-    for line in (COPYRIGHT_LINE, RIGHTS_LINE, LIST_MARK, NOT_A_WORD):
+    low = f"lower({text})"
+    at = f"least({', '.join(f"nullif(instr({low}, '{g}'), 0)" for g in GRANTS)})"
+    t = f"(case when {at} > 1 then regexp_replace(left({low}, {at} - 1), '{HEADING_LINE}', ' ', 'g') || substr({low}, {at}) else {low} end)"
+    for line in (SPDX_LINE, COPYRIGHT_LINE, RIGHTS_LINE, LIST_MARK, NOT_A_WORD):
         t = f"regexp_replace({t}, '{line}', ' ', 'g')"
     for pattern, new in ((p, n.replace("$", "\\")) for p, n in SPELLINGS):
         t = f"regexp_replace({t}, '{pattern}', '{new}', 'g')"

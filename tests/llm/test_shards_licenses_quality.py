@@ -156,6 +156,12 @@ def test_licences(spark):
         (15, "Copyright © A\n" + TEXTS["GPL-3.0-or-later"][0], "GPL-3.0-or-later"),
         (16, TEXTS["BSD-2-Clause"][0], "BSD-2-Clause"),
         (17, "The Unlicense\n\n" + TEXTS["Unlicense"][1], "Unlicense"),
+        (20, "MIT License\n\nCopyright Jane Doe\n\n" + body, "MIT"),
+        (21, "Copyright (c) 2020 Jane Doe\n  and contributors\n\n" + body, "MIT"),
+        (22, "SPDX-License-Identifier: MIT\nSPDX-FileCopyrightText: 2020 Jane\n\n" + body, "MIT"),
+        (23, "# Copyright Jane Doe and\n#\n\nCopyright\tThe Others\n\tof Somewhere\n" + bsd, "BSD-3-Clause"),
+        (24, body.replace("The above copyright notice", "The above\ncopyright notice"), "MIT"),
+        (25, body.replace("The above copyright notice", "The above"), None),
         (18, "This project is under the MIT License.", None),
         (None, "ISC License\n\n" + TEXTS["ISC"][0], "ISC"),
         (1, mit, "MIT"),
