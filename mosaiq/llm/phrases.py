@@ -141,10 +141,10 @@ def _count_pairs(tables: list[Broadcast]):
             for cell in b.column(0):
                 held.append(_pairs(np.frombuffer(cell.as_buffer(), dtype=np.int32), below))
                 size += len(held[-1])
-                if size >= 4 * HELD:
+                if size >= 2 * HELD:
                     gather()
                     size = 0
-                    if len(keys) >= 8 * HELD:
+                    if len(keys) >= 4 * HELD:
                         yield out()
                         keys, counts = keys[:0], counts[:0]
         if held:
@@ -263,7 +263,8 @@ def mine(documents: DataFrame, top: int = TOP) -> DataFrame:
 ORACLE = rf"""
 with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) as p from d),
+-
+]')) as p from d),
 w as (select lang, regexp_extract_all(p, '[^ 	]+') as w from p),
 t as (select lang, cast(sum(len(w)) as bigint) as n from w group by 1),
 c as (select lang, w, unnest(range(1, {LONGEST + 1})) as k from w where len(w) > 0),
