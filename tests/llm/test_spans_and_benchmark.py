@@ -17,12 +17,14 @@ def spans_brute(rows):
         pieces = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z", t or "")
         own = [i for i, p in enumerate(pieces) if p.split()]
         cut[d, t] = (pieces, own)
-        for s in range(len(own)):
-            for k in range(2, len(own) - s + 1):
-                key = tuple(tuple(pieces[i].lower().split()) for i in own[s : s + k])
-                if sum(map(len, key)) >= 12:
-                    seen[key].add((d, t, s, k))
-                    break
+        lines = [tuple(pieces[i].lower().split()) for i in own]
+        words = lambda a, b, x=lines: sum(map(len, x[a:b]))
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                full = words(a, b) >= 12 and (b == a + 2 or words(a, b - 1) < 12)
+                ending = words(a, b) < 12 and b == len(lines) and (a == 0 or b - a >= 3)
+                if full or ending:
+                    seen[tuple(lines[a:b])].add((d, t, a, b - a))
     gone = defaultdict(set)
     for places in seen.values():
         for d, t, s, k in sorted(places)[1:]:
@@ -68,10 +70,19 @@ def test_a_run_that_most_texts_share(spark, monkeypatch):
 def test_long_blocks_of_short_lines_are_seen():
     lines = [f"word{i}.\n" for i in range(40)]
     places = [p for p, _ in span_dedup._runs(lines)]
-    assert [(p // span_dedup.PLACE, p % span_dedup.PLACE) for p in places] == [(i, 12) for i in range(29)]
+    assert [(p // span_dedup.PLACE, p % span_dedup.PLACE) for p in places] == [(i, min(12, 40 - i)) for i in range(38)]
     assert [r for _, r in span_dedup._runs(["one sentence of more than twelve words is not a run of several of them."])] == []
 
 
+def test_endings_and_short_texts_have_runs(spark):
+    end = "Buy now. Call us. Thank you."
+    rows = [(1, end), (2, f"A long sentence of this text alone that nobody else has ever written down. {end}"), (3, f"Another one of many words which is found nowhere else in the whole corpus! {end}"), (4, "Yes. No."), (5, "yes.  NO."), (6, "Just one."), (7, "Just one."), (8, "Other words here. Thank you."), (9, "More words there. Thank you.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x["doc_id"], x["text"], x["n_sentences"], x["n_removed"]) for x in span_dedup.dedup_spans(df).collect()), key=repr)
+    assert got == spans_brute(rows)
+    assert [g[3] for g in got] == [0, 3, 3, 0, 2, 0, 0, 0, 0] and got[1][1].endswith("written down.")
+
+
 def test_spans_keep_other_columns(spark):
     text = "A b c d. E f g h. I j k l."
     df = spark.createDataFrame([("s", text, 2, 1.5), ("t", text, None, 2.5)], "at string, text string, doc_id int, __x double")
@@ -109,6 +120,14 @@ def contamination(spark, rows, items):
     return sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=repr)
 
 
+def test_huge_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 4000)
+    huge = "x" * 5000
+    items = [(1, f"a {huge} b"), (2, huge.upper()), (3, "c d"), (4, "y" * 1024 + " e"), (5, " ".join(f"{huge}{i}" for i in range(12)))]
+    rows = [(1, f"see a {huge} b"), (2, huge[:-1]), (3, f"a {huge}y b"), (4, "c d"), (5, "y" * 1024 + " e"), (6, "y" * 1025 + " e"), (7, items[4][1]), (8, hashlib.sha256(huge.encode()).hexdigest())]
+    assert contamination(spark, rows, items) == contamination_brute(rows, items)
+
+
 def test_contamination_equals_brute_force(spark, monkeypatch):
     r = random.Random(9)
     word = lambda: r.choice(["the", "of", "Élan", "é", "x1", *(f"w{i}" for i in range(30))])
