@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.operators.distance import nearest_source
 from mosaiq.operators.response import medoids, robust_lower_support
 from mosaiq.sources.stage import stage
 
 
 def boundary_pixels(labels: DataFrame) -> DataFrame:
-    """Pixels whose right or lower neighbour has another label; both must be valid. Equi-joins on shifted keys."""
+    """Pixels whose right or lower neighbour has another label; both must be valid. One ordered pass a row, one a column."""
     valid = labels.where("label > 0")
-    right = valid.select("run_id", "r", (F.col("c") - 1).alias("c"), F.col("label").alias("right"))
-    below = valid.select("run_id", (F.col("r") - 1).alias("r"), "c", F.col("label").alias("below"))
-    both = valid.join(right, ["run_id", "r", "c"], "left").join(below, ["run_id", "r", "c"], "left")
-    return both.where("right != label or below != label").select("run_id", "spatialr", "ranger", "phase", "r", "c")
+    beside = lambda line, step: F.lead(F.struct(step, "label")).over(Window.partitionBy("run_id", line).orderBy(step))
+    seen = valid.withColumns({"_right": beside("r", "c"), "_below": beside("c", "r")})
+    right = (F.col("_right.c") == F.col("c") + 1) & (F.col("_right.label") != F.col("label"))
+    below = (F.col("_below.r") == F.col("r") + 1) & (F.col("_below.label") != F.col("label"))
+    return seen.where(right | below).select("run_id", "spatialr", "ranger", "phase", "r", "c")
 
 
 def boundary_support(labels: DataFrame, edges: DataFrame, cells: DataFrame | None = None) -> DataFrame:
@@ -30,15 +32,9 @@ def boundary_support(labels: DataFrame, edges: DataFrame, cells: DataFrame | Non
     return every.join(out, ["spatialr", "r", "c"], "left").select("spatialr", "r", "c", F.coalesce("support", F.lit(-1.0)).alias("support"))
 
 
-def nearest_boundary(edges: DataFrame, reach: int) -> DataFrame:
-    """Squared distance to the run's nearest boundary pixel, for all cells within `reach` of one.
-
-    Separable: a pass along columns keeps the best offset of a row, a pass along rows adds the other. 2 * reach + 1 rows
-    a pixel and pass instead of a disc for each, and partial minima before each shuffle.
-    """
-    shift = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    along = edges.select("run_id", "r", "c", shift.alias("d")).groupBy("run_id", "r", (F.col("c") + F.col("d")).alias("c")).agg(F.min(F.col("d") * F.col("d")).alias("d2"))
-    return along.select("run_id", "r", "c", "d2", shift.alias("d")).groupBy("run_id", (F.col("r") + F.col("d")).alias("r"), "c").agg(F.min(F.col("d2") + F.col("d") * F.col("d")).alias("d2")).where(F.col("d2") <= reach * reach)
+def nearest_boundary(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """run_id, r, c, d2: the squared distance of cells (run_id, r, c) to the run's nearest boundary pixel, however far."""
+    return nearest_source(cells, edges, ["run_id"]).select("run_id", "r", "c", "d2")
 
 
 def pair_class(left: str = "a", right: str = "b") -> Column:
@@ -56,15 +52,16 @@ def pair_support(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (left_run, right_run, reach) with `support`: boundary pixels of each side score max(0, 1 - distance / reach)
     against the other side, summed both ways over all boundary pixels of both; 1 without any.
 
-    The nearest boundary is computed once a run and reach, then met by position; pairs only share that result.
+    Each run is asked once for its distance at the pixels that are a boundary in a run it is paired with; that result is
+    met by position.
     """
-    reaches = pairs.select(F.ceil("reach").cast("int").alias("k")).distinct()
-    longest = reaches.agg(F.max("k")).first()[0] or 1  # one number
-    near = nearest_boundary(edges, int(longest))
     both = pairs.select("left_run", "right_run", "reach", F.explode(F.array(F.struct(F.col("left_run").alias("own"), F.col("right_run").alias("other")), F.struct(F.col("right_run").alias("own"), F.col("left_run").alias("other")))).alias("x")).select("left_run", "right_run", "reach", "x.*")
     own = edges.select(F.col("run_id").alias("own"), "r", "c")
     sized = edges.groupBy(F.col("run_id").alias("own")).agg(F.count(F.lit(1)).alias("n"))
     total = both.join(sized, "own", "left").groupBy("left_run", "right_run", "reach").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pixels"))
+    partners = both.groupBy("own").agg(F.collect_set("other").alias("others"))  # runs of a design
+    asked = own.join(partners, "own").groupBy("r", "c").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    near = nearest_boundary(asked.select(F.explode("others").alias("run_id"), "r", "c"), edges).where("d2 is not null")
     met = both.join(own, "own").join(near.withColumnRenamed("run_id", "other"), ["other", "r", "c"])
     # integers sum to the same value in any order
     score = F.floor(F.greatest(F.lit(0.0), 1 - F.sqrt("d2") / F.col("reach")) * 1e9 + 0.5).cast("long")

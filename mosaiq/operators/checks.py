@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.exprs import array_median
+from mosaiq.operators.distance import nearest_source
 from mosaiq.operators.order import index_of
 from mosaiq.sources.stage import stage
 
@@ -129,31 +130,11 @@ def bilinear(points: DataFrame, surface: DataFrame, value: str) -> DataFrame:
     return met.select("point_id", F.when(F.col("_gaps") == 0, F.col("_v")).alias(value))
 
 
-def snap_to_valid(points: DataFrame, valid: DataFrame, reach: int = 1) -> DataFrame:
-    """points (rank, r, c) moved to the nearest valid cell; ties by row, then column. Without a valid cell none is left.
+def snap_to_valid(points: DataFrame, valid: DataFrame) -> DataFrame:
+    """points (rank, r, c) moved to the nearest valid cell, however far; ties by row, then column.
 
-    The disc that is searched begins at `reach` and doubles for the points that find nothing in it, up to the farthest
-    that a valid cell can be.
+    Without a valid cell none is left.
     """
-    span = valid.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
-    if span[0] is None:
-        return points.select("rank", "r", "c").limit(0)
-    ends = points.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
-    if ends[0] is None:
-        return points.select("rank", "r", "c")
-    most = int(sum((max(span[k + 1], ends[k + 1]) - min(span[k], ends[k])) ** 2 for k in (0, 2)) ** 0.5) + 1
-    open_, found = stage(points.select("rank", "r", "c"), "open"), None
-    while open_.head(1):
-        near = stage(_nearest_valid(open_, valid, reach), "snapped")
-        found = near if found is None else found.unionByName(near)
-        if reach >= most:
-            break
-        open_, reach = stage(open_.join(near.select("rank"), "rank", "left_anti"), "open"), min(2 * reach, most)
-    return found
-
-
-def _nearest_valid(points: DataFrame, valid: DataFrame, reach: int) -> DataFrame:
-    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= reach * reach)))
-    sent = points.select("rank", F.col("r").alias("_r"), F.col("c").alias("_c"), offsets.alias("o")).select("rank", (F.col("_r") + F.col("o.a")).alias("r"), (F.col("_c") + F.col("o.b")).alias("c"), (F.col("o.a") * F.col("o.a") + F.col("o.b") * F.col("o.b")).alias("d2"))
-    best = sent.join(valid.select("r", "c").distinct(), ["r", "c"], "left_semi").groupBy("rank").agg(F.min(F.struct("d2", "r", "c")).alias("m"))
-    return best.select("rank", "m.r", "m.c")
+    near = nearest_source(points, valid).where("d2 is not null").select("r", "c", "near_r", "near_c")
+    kind = lambda c: points.schema[c].dataType
+    return points.select("rank", "r", "c").join(near, ["r", "c"]).select("rank", F.col("near_r").cast(kind("r")).alias("r"), F.col("near_c").cast(kind("c")).alias("c"))

@@ -7,6 +7,7 @@ from math import pi, sqrt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.operators.distance import nearest_source
 from mosaiq.operators.order import index_of
 from mosaiq.sources.stage import stage
 
@@ -62,28 +63,9 @@ def accept_in_order(points: DataFrame, limit2: int, strict: bool = True) -> Data
     return points.limit(0) if taken is None else taken
 
 
-def coverage(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """Squared distance of each cell to its nearest seed within reach; null beyond."""
-    shift = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("s")
-    rows = seeds.select("r", "c", shift).groupBy("r", (F.col("c") + F.col("s")).alias("c")).agg(F.min(F.col("s") * F.col("s")).alias("d2"))
-    best = rows.select("r", "c", "d2", shift).groupBy((F.col("r") + F.col("s")).alias("r"), "c").agg(F.min(F.col("d2") + F.col("s") * F.col("s")).alias("d2")).where(F.col("d2") <= reach * reach)
-    return cells.select("r", "c").join(best, ["r", "c"], "left")
-
-
-def nearest_seed(cells: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """r, c, d2: the squared distance of each cell to its nearest seed, however far; null without a seed.
-
-    The reach doubles for the cells that no seed is within, until none is left.
-    """
-    if not seeds.head(1):
-        return cells.select("r", "c", F.lit(None).cast("long").alias("d2"))
-    open_, found = stage(cells.select("r", "c"), "open-cells"), None
-    while open_.head(1):
-        seen = stage(coverage(open_, seeds, reach), "covered")
-        near = seen.where("d2 is not null").select("r", "c", F.col("d2").cast("long").alias("d2"))
-        found = near if found is None else found.unionByName(near)
-        open_, reach = seen.where("d2 is null").select("r", "c"), 2 * reach
-    return cells.select("r", "c", F.lit(None).cast("long").alias("d2")) if found is None else found
+def nearest_seed(cells: DataFrame, seeds: DataFrame) -> DataFrame:
+    """r, c, d2: the squared distance of each cell to its nearest seed, however far; null without a seed."""
+    return nearest_source(cells, seeds).select("r", "c", "d2")
 
 
 def complete_coverage(cells: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
@@ -94,7 +76,7 @@ def complete_coverage(cells: DataFrame, seeds: DataFrame, limit: int) -> DataFra
     a seed nothing is added, as no distance is known.
     """
     own = stage(seeds.select(F.col("rank").cast("long").alias("rank"), "r", "c"), "own-seeds")
-    far = nearest_seed(cells, own, limit).where(F.col("d2") > limit * limit)
+    far = nearest_seed(cells, own).where(F.col("d2") > limit * limit)
     key = F.struct((-F.col("d2")).alias("d2"), "r", "c")
     more = accept_in_order(far.select(key.alias("rank"), "r", "c"), limit * limit, strict=False)
     last = own.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]

@@ -549,7 +549,7 @@ def seed_mis(spark, d):
 def seed_coverage(spark, d):
     cells = _cells(spark, d)
     whole = seeds.complete_coverage(cells, _seeds(spark, d), 6)
-    return out(seeds.coverage_summary(seeds.nearest_seed(cells, whole, 6), 6.0), "cells:i p50:m p95:m p99:m max:m within:i")
+    return out(seeds.coverage_summary(seeds.nearest_seed(cells, whole), 6.0), "cells:i p50:m p95:m p99:m max:m within:i")
 
 
 def _peaks(spark, d):
@@ -652,4 +652,4 @@ def valid_seeds(spark, d):
     return out(checks.snap_to_valid(_seeds(spark, d), _cells(spark, d).where("m1 > 30")), "rank:i r:i c:i")
 
 
-from mosaiq.plans import more_queries  # noqa: E402, F401  (registers its queries)
+from mosaiq.plans import grid_queries, more_queries  # noqa: E402, F401  (they register their queries)
