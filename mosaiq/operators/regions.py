@@ -1,6 +1,7 @@
 """Regions of cells: connected components, merging by mergeable statistics, seeded growing.
 
-All are rounds of joins over tables that are written between rounds; a round touches each edge once.
+Components and growing settle tiles by themselves (`tiles`); what is left, and merging, are rounds of joins over tables that
+are written between rounds.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators import tiles
 from mosaiq.operators.order import quantiles
 from mosaiq.sources.stage import stage
 
@@ -28,19 +30,39 @@ def neighbour_edges(cells: DataFrame, key: str, same: list[str], steps=STEPS4) -
 def connected(cells: DataFrame, same: list[str], steps=STEPS4) -> DataFrame:
     """cells (with a long `cell` key) and `region`, the smallest cell of their component.
 
-    Hook and jump: a region takes the least region next to it, then regions follow their own pointers, so rounds grow
-    with the logarithm of a component's width, roughly.
+    Tiles settle their own components in one pass; what is joined afterwards are the labels that meet at their borders.
+    Cells with a null in `same` stand alone.
     """
-    edges = stage(neighbour_edges(cells, "cell", same, steps), "edges")
-    now = stage(cells.select("cell", F.col("cell").alias("region")), "regions")
+    local = stage(tiles.local_components(cells, same, steps), "local-regions")
+    border = tiles.tiled(cells.select("cell", "r", "c", *same)).where(tiles.on_border()).join(local, "cell")
+    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps)))
+    sent = border.select("*", offsets.alias("_o")).select(F.col("region").alias("u"), *same, (F.col("r") + F.col("_o.a")).alias("r"), (F.col("c") + F.col("_o.b")).alias("c"), F.col("_tr").alias("_ur"), F.col("_tc").alias("_uc"))
+    met = sent.join(border.select(F.col("region").alias("v"), *same, "r", "c", "_tr", "_tc"), [*same, "r", "c"]).where("_ur != _tr or _uc != _tc")
+    joined = join_labels(met.select("u", "v").distinct())
+    whole = local if joined is None else local.join(joined, "region", "left").select("cell", F.coalesce("to", "region").alias("region"))
+    return cells.join(whole, "cell")
+
+
+def join_labels(edges: DataFrame) -> DataFrame | None:
+    """region and to, the smallest label that it reaches over edges (u, v), of each that isn't its own; None without edges.
+
+    Hook and jump: a label takes the least one next to it, then labels follow their own pointers, so rounds grow with the
+    logarithm of a component's width, roughly.
+    """
+    edges, now = stage(edges.where("u != v"), "edges"), None
     while True:
-        ends = edges.join(now.select(F.col("cell").alias("u"), F.col("region").alias("ru")), "u").join(now.select(F.col("cell").alias("v"), F.col("region").alias("rv")), "v").where("ru != rv")
-        hooks = stage(ends.select(F.greatest("ru", "rv").alias("region"), F.least("ru", "rv").alias("to")).groupBy("region").agg(F.min("to").alias("to")), "hooks")
+        hooks = stage(edges.select(F.greatest("u", "v").alias("region"), F.least("u", "v").alias("to")).groupBy("region").agg(F.min("to").alias("to")), "hooks")
         if not hooks.head(1):
-            break
-        jump = hooks.join(hooks.select(F.col("region").alias("to"), F.col("to").alias("far")), "to", "left").select("region", F.coalesce("far", "to").alias("to"))
-        now = stage(now.join(jump, "region", "left").select("cell", F.coalesce("to", "region").alias("region")), "regions")
-    return cells.join(now, "cell")
+            return now
+        jump = stage(hooks.join(hooks.select(F.col("region").alias("to"), F.col("to").alias("far")), "to", "left").select("region", F.coalesce("far", "to").alias("to")), "jumps")
+        if now is not None:
+            moved = now.join(jump.select(F.col("region").alias("to"), F.col("to").alias("_to")), "to", "left").select("region", F.coalesce("_to", "to").alias("to"))
+            now = stage(moved.unionByName(jump), "labels")
+        else:
+            now = jump
+        for side in ("u", "v"):
+            edges = edges.join(jump.select(F.col("region").alias(side), F.col("to").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+        edges = stage(edges.where("u != v").select("u", "v").distinct(), "edges")
 
 
 def patches(cells: DataFrame, same: list[str], pixel: float = 1.0, least: int = 1) -> DataFrame:
@@ -92,7 +114,7 @@ def _rms(parts: tuple[str, ...], squares: str, *sides: str):
 
 def initial_regions(cells: DataFrame, bands: tuple[str, ...], block: int, limit: float) -> DataFrame:
     """4-connected pieces of block x block squares whose RMS is within the limit; their cells one by one otherwise."""
-    own = cells.withColumns({"cell": (F.col("r") * 1_000_000 + F.col("c")).cast("long"), "_br": F.floor(F.col("r") / block), "_bc": F.floor(F.col("c") / block)})
+    own = cells.withColumns({"cell": F.col("r").cast("long") * 1_000_000_000 + F.col("c"), "_br": F.floor(F.col("r") / block), "_bc": F.floor(F.col("c") / block)})
     found = connected(own, ["_br", "_bc"]).drop("_br", "_bc")
     good = region_statistics(found, bands).alias("a").select("region", (_rms(bands, "square", "a") <= limit).alias("_good"))
     return found.join(good, "region").withColumn("region", F.when(F.col("_good"), F.col("region")).otherwise(F.col("cell"))).drop("_good")
@@ -163,24 +185,53 @@ def merge_in_window(cells: DataFrame, bands: tuple[str, ...], block: int, limit:
     return merged, before.join(after)  # one row each
 
 
-def grow_regions(cells: DataFrame, seeds: DataFrame, bands: tuple[str, ...], rounds: int = 10_000) -> DataFrame:
-    """cells with `label`: the seed that reaches them over 4-neighbours, in synchronous rounds; null if none does.
-
-    Own definition: in each round a free cell next to labelled ones takes, of their seeds, the one nearest in feature
-    space, then the smaller rank. Seeds: rank, r, c.
+def _follow(pointers: DataFrame) -> DataFrame:
+    """comp, to, label at the ends of chains of comp -> to; a chain ends where label is known or nothing follows."""
+    while True:
+        far = pointers.select(F.col("comp").alias("to"), F.col("to").alias("_to"), F.col("label").alias("_label"))
+        moved = pointers.join(far, "to", "left").select("comp", F.when(F.col("label").isNull(), F.coalesce("_to", "to")).otherwise(F.col("to")).alias("to"), F.coalesce("label", "_label").alias("label"), (F.col("label").isNull() & F.col("_to").isNotNull()).alias("_moved"))
+        moved = stage(moved, "pointers")
+        pointers = moved.drop("_moved")
+        if not moved.where("_moved").head(1):
+            return pointers
+
+
+def grow_regions(cells: DataFrame, seeds: DataFrame, bands: tuple[str, ...]) -> DataFrame:
+    """cells with `label`: the seed that reaches them first over 4-neighbours, in order of priority; null if none does.
+
+    Of all edges between a labelled and a free cell the one of least squared distance in feature space is taken next, then
+    that of the smaller cell, then of the smaller other one, in row order, until none is left. That is a spanning forest
+    with the seeds as roots, so no queue is needed: a component without a seed takes its first edge, whatever others do.
+    Tiles take all such steps that end inside them; the components left are joined in rounds that grow with the logarithm
+    of their number. Seeds: rank, r, c; the smallest rank of a cell counts. Edges to a cell with a null band are not taken.
     """
-    keyed = cells.withColumn("cell", (F.col("r") * 1_000_000 + F.col("c")).cast("long"))
-    origin = stage(seeds.join(keyed, ["r", "c"]).select(F.col("rank").alias("label"), "cell", *(F.col(b).alias(f"s_{b}") for b in bands)), "origins")
-    one = neighbour_edges(keyed, "cell", [])
-    edges = stage(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    done = stage(origin.select("cell", "label"), "labels")
-    front = done
-    for _ in range(rounds):
-        next_ = front.join(edges.withColumnRenamed("u", "cell"), "cell").select(F.col("v").alias("cell"), "label").distinct().join(done.select("cell"), "cell", "left_anti")
-        d = reduce(lambda a, b: a + b, ((F.col(b) - F.col(f"s_{b}")) * (F.col(b) - F.col(f"s_{b}")) for b in bands))
-        scored = next_.join(origin.drop("cell"), "label").join(keyed.select("cell", *bands), "cell").select("cell", "label", d.alias("d"))
-        front = stage(scored.groupBy("cell").agg(F.min_by("label", F.struct("d", "label")).alias("label")), "front")
-        if not front.head(1):
+    keyed = cells.withColumn("cell", F.col("r").cast("long") * 1_000_000_000 + F.col("c"))
+    own = seeds.groupBy("r", "c").agg(F.min("rank").cast("long").alias("label"))
+    local = stage(tiles.local_forest(keyed.join(own, ["r", "c"], "left"), bands), "forest")
+    of = local.where("kind = 0").select("cell", "comp", "label")
+    crossing = local.where("kind = 2").drop("other_comp", "other_label").join(of.select(F.col("cell").alias("other"), F.col("comp").alias("other_comp"), F.col("label").alias("other_label")), "other")
+    edges = local.where("kind = 1").unionByName(crossing)
+    order = F.struct("w", F.least("cell", "other").alias("u"), F.greatest("cell", "other").alias("v"))
+    edges = edges.select(order.alias("k"), F.col("comp").alias("a"), F.col("label").alias("la"), F.col("other_comp").alias("b"), F.col("other_label").alias("lb"))
+    found = None
+    while True:
+        edges = stage(edges.where("a != b and (la is null or lb is null)"), "open-edges")
+        turned = edges.select("k", F.col("b").alias("a"), F.col("lb").alias("la"), F.col("a").alias("b"), F.col("la").alias("lb"))
+        first = edges.unionByName(turned).where("la is null").groupBy("a").agg(F.min(F.struct("k", "b", "lb")).alias("m")).select(F.col("a").alias("comp"), F.col("m.b").alias("to"), F.col("m.lb").alias("label"))
+        first = stage(first, "first-edges")
+        if not first.head(1):
             break
-        done = stage(done.unionByName(front), "labels")
-    return keyed.join(done, "cell", "left").drop("cell")
+        pairs = first.select(F.col("to").alias("comp"), F.col("comp").alias("to")).where("comp < to")
+        taken = _follow(first.join(pairs, ["comp", "to"], "left_anti"))  # of two that take each other the smaller one ends the chain
+        if found is not None:
+            met = found.join(taken.select(F.col("comp").alias("to"), F.col("to").alias("_to"), F.col("label").alias("_label")), "to", "left")
+            found = met.select("comp", F.when(F.col("label").isNull(), F.coalesce("_to", "to")).otherwise(F.col("to")).alias("to"), F.coalesce("label", "_label").alias("label")).unionByName(taken)
+        else:
+            found = taken
+        found = stage(found, "found")
+        for side, known in (("a", "la"), ("b", "lb")):
+            move = taken.select(F.col("comp").alias(side), F.col("to").alias("_to"), F.col("label").alias("_label"))
+            edges = edges.join(move, side, "left").withColumns({side: F.coalesce("_to", side), known: F.coalesce(known, "_label")}).drop("_to", "_label")
+    if found is not None:
+        of = of.join(found.select("comp", F.col("label").alias("_label")), "comp", "left").select("cell", F.coalesce("label", "_label").alias("label"))
+    return keyed.join(of.select("cell", "label"), "cell", "left").drop("cell")

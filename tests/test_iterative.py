@@ -1,12 +1,13 @@
 """Iterative operators against plain NumPy twins on small random grids, and worked counterexamples."""
 
+import heapq
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import checks, order, prescreen, regions, seeds
+from mosaiq.operators import checks, order, prescreen, regions, seeds, tiles
 
 
 def grid(spark, values, regions_of):
@@ -129,24 +130,65 @@ def test_sampled_variogram_and_stable_seeds(spark):
 
 
 def growth_twin(values, starts):
-    label = {s: k for k, s in starts.items()}
-    front = dict(label)
-    while front:
-        seen = {}
-        for (r, c), k in front.items():
-            for p in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
-                if p in values and p not in label:
-                    seen.setdefault(p, set()).add(k)
-        front = {p: min(ks, key=lambda k: ((values[p] - values[starts[k]]) ** 2, k)) for p, ks in seen.items()}
-        label |= front
+    """A queue in order of priority: least squared distance, then the edge's smaller and greater cell."""
+    label, queue = {}, []
+
+    def take(p, k):
+        label[p] = k
+        for q in ((p[0] - 1, p[1]), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1)):
+            if q in values and values[p] is not None and values[q] is not None:
+                heapq.heappush(queue, ((values[p] - values[q]) ** 2, min(p, q), max(p, q), q, k))
+
+    for k, p in sorted(starts.items()):
+        if p in values and p not in label:
+            label[p] = k
+    for p, k in list(label.items()):
+        take(p, k)
+    while queue:
+        *_, q, k = heapq.heappop(queue)
+        if q not in label:
+            take(q, k)
     return label
 
 
-def test_growing_equals_the_plain_loop(spark):
-    r = np.random.default_rng(9)
-    values = {(a, b): float(np.round(r.normal() * 4, 1)) for a in range(8) for b in range(9) if r.random() < 0.85}
+@pytest.mark.parametrize("side, seed", [(256, 0), (4, 1), (2, 2), (1, 3), (3, 4)])
+def test_growing_equals_a_queue(spark, monkeypatch, side, seed):
+    monkeypatch.setattr(tiles, "SIDE", side)
+    r = np.random.default_rng(seed)
+    values = {(a, b): None if r.random() < 0.03 else float(np.round(r.normal() * 2)) for a in range(9) for b in range(11) if r.random() < 0.85}
     places = sorted(values)
-    starts = {3: places[4], 8: places[-6], 5: places[30]}
+    starts = {3: places[4], 8: places[-6], 5: places[30], 6: places[30], 9: (50, 50)}
     cells = spark.createDataFrame([(a, b, v) for (a, b), v in values.items()], "r int, c int, m1 double")
-    got = regions.grow_regions(cells, spark.createDataFrame([(k, *p) for k, p in starts.items()], "rank long, r int, c int"), ("m1",))
-    assert {(x["r"], x["c"]): x["label"] for x in got.collect() if x["label"] is not None} == growth_twin(values, starts)
+    got = regions.grow_regions(cells, spark.createDataFrame([(k, *p) for k, p in starts.items()], "rank long, r int, c int"), ("m1",)).collect()
+    assert len(got) == len(values) and {(x["r"], x["c"]): x["label"] for x in got if x["label"] is not None} == growth_twin(values, starts)
+    none = regions.grow_regions(cells, spark.createDataFrame([], "rank long, r int, c int"), ("m1",))
+    assert none.count() == len(values) and none.where("label is not null").count() == 0
+
+
+def test_a_long_way_grows_whole(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "SIDE", 50)
+    cells = spark.range(3000).selectExpr("0 as r", "cast(id as int) as c", "cast(id as double) as m1")
+    got = regions.grow_regions(cells, spark.createDataFrame([(7, 0, 0)], "rank long, r int, c int"), ("m1",))
+    assert got.where("label = 7").count() == 3000
+
+
+@pytest.mark.parametrize("side, steps", [(256, regions.STEPS4), (3, regions.STEPS4), (2, regions.STEPS8), (4, regions.STEPS8)])
+def test_components_by_tiles(spark, monkeypatch, side, steps):
+    monkeypatch.setattr(tiles, "SIDE", side)
+    r = np.random.default_rng(side)
+    cells = {(a - 5, b - 4): (int(r.integers(0, 2)), r.choice(["x", "y", None], p=[0.6, 0.3, 0.1])) for a in range(12) for b in range(13) if r.random() < 0.9}
+    key = {p: (p[0] + 20) * 1000 + p[1] + 20 for p in cells}
+    region = dict(key)
+    while True:
+        before = dict(region)
+        for (a, b), v in cells.items():
+            for x, y in steps:
+                q = (a + x, b + y)
+                if None not in v and cells.get(q) == v:
+                    region[a, b] = region[q] = min(region[a, b], region[q])
+        if before == region:
+            break
+    df = spark.createDataFrame([(key[p], *p, int(v[0]), None if v[1] is None else str(v[1])) for p, v in cells.items()], "cell long, r int, c int, s int, t string").repartition(3)
+    got = regions.connected(df, ["s", "t"], steps)
+    assert {(x["r"], x["c"]): x["region"] for x in got.collect()} == region and got.columns[0] == "cell"
+    assert regions.connected(df.limit(0), ["s"], steps).count() == 0
