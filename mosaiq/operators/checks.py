@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.exprs import array_median
 from mosaiq.operators.distance import nearest_source
-from mosaiq.operators.order import index_of
+from mosaiq.operators.order import nth_values
 from mosaiq.sources.stage import stage
 
 
@@ -110,10 +113,12 @@ def one_baseline(perturbations: DataFrame, key: str = "candidate_id") -> DataFra
 
 def percentile_cut(points: DataFrame, value: str, percent: float, least: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per keys the value at place floor(n (1 - percent / 100)) of the sorted values (not interpolated), at least `least`."""
-    placed = stage(index_of(points.select(*keys, value), [*keys, value], "_i"), "placed")
-    groups = placed.groupBy(*keys).agg(F.min("_i").alias("_start"), F.count(F.lit(1)).alias("n"))
-    asked = groups.withColumn("_i", F.col("_start") + F.least(F.floor(F.col("n") * (1 - percent / 100)), F.col("n") - 1))
-    return placed.select("_i", value).join(asked, "_i").select(*keys, F.greatest(F.lit(least), F.col(value)).alias("threshold"), "n")
+    groups = stage(points.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "groups")
+    asked = groups.select(*keys, "n", F.least(F.floor(F.col("n") * (1 - percent / 100)), F.col("n") - 1).alias("at"))
+    found = nth_values(points.select(*keys, value), list(keys), value, asked.select(*keys, "at"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    met = asked.alias("a").join(found.alias("b"), reduce(and_, [F.col("a.at") == F.col("b.at"), *same]))
+    return met.select(*(F.col(f"a.{k}") for k in keys), F.greatest(F.lit(least), F.col("b.value")).alias("threshold"), "a.n")
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:

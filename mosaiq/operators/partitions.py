@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def contingency(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    """a, b, n over the complete pairs: items without a part on either side are left out."""
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
 def adjusted_rand(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

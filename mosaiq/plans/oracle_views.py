@@ -83,7 +83,7 @@ CTE = {
     window w as (partition by sortie order by t_us, image_id))) where not off""",
     "design": """select l_returnflag as flag, l_linestatus as state, cast(count(*) as double) as n_rows, cast(sum(cast(floor(l_quantity) as bigint)) as double) as quantity, cast(max(floor(l_extendedprice * 100 + 0.5)) as double) as top_cents from lineitem group by 1, 2""",
     "metric": "select flag, state, m as metric, case m when 'n_rows' then n_rows when 'quantity' then quantity else top_cents end as value from design cross join (values ('n_rows'), ('quantity'), ('top_cents')) x(m)",
-    "ct": "select lang as a, source as b, count(*) as n from documents group by 1, 2",
+    "ct": "select lang as a, source as b, count(*) as n from documents where lang is not null and source is not null group by 1, 2",
 }
 NEEDS = {
     "pixel_obs": "grid", "obs": "pixel_obs", "med": "obs", "pixels": "med", "summary": "pixels", "review": "pixels", "cell": "obs", "label_px": "cell", "segment": "label_px", "seg": "segment", "share": "seg classes", "hist": "seg", "wq": "seg",

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import checks, order, prescreen, regions, seeds, tiles
+from mosaiq.operators import checks, order, partitions, prescreen, regions, seeds, tiles
 
 
 def grid(spark, values, regions_of):
@@ -192,3 +192,33 @@ def test_components_by_tiles(spark, monkeypatch, side, steps):
     got = regions.connected(df, ["s", "t"], steps)
     assert {(x["r"], x["c"]): x["region"] for x in got.collect()} == region and got.columns[0] == "cell"
     assert regions.connected(df.limit(0), ["s"], steps).count() == 0
+
+
+def test_selection_of_places(spark):
+    odd = [0.0, -0.0, 1e-310, -1e-310, 1e308, -1e308, float("inf"), float("-inf"), float("nan"), 3.5, 3.5, -2.0]
+    r = np.random.default_rng(4)
+    rows = [("odd", v) for v in odd] + [(None, v) for v in (2.0, 1.0, None)] + [("hot", 7.25)] * 990 + [("hot", float(v)) for v in r.normal(size=10) * 1e5] + [("wide", float(v)) for v in r.normal(size=300) * 10.0 ** r.integers(-300, 300, 300)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    counts = {k: sum(g == k and v is not None for g, v in rows) for k in ("odd", "hot", "wide", None)}
+    asked = [(k, i) for k, n in counts.items() for i in {0, 1, n // 3, n // 2, n - 2, n - 1}] + [("none", 0), ("odd", 99)]
+    got = {(x["k"], x["at"]): x["value"] for x in order.nth_values(df, ["k"], "v", spark.createDataFrame(asked, "k string, at long")).collect()}
+    for k, n in counts.items():
+        want = np.sort(np.array([v for g, v in rows if g == k and v is not None]))  # NaN last
+        for i in {0, 1, n // 3, n // 2, n - 2, n - 1}:
+            assert got.pop((k, i)) == pytest.approx(want[i], rel=0, abs=0, nan_ok=True)
+    assert not got
+    one = order.nth_values(df.where("k = 'hot'"), [], "v", spark.createDataFrame([(500,)], "at long"))
+    assert [x["value"] for x in one.collect()] == [7.25]
+
+
+def test_percentile_cut_with_one_hot_value(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 99 + [("a", 5.0)] + [("b", float(i)) for i in range(10)] + [("c", None)], "k string, v double")
+    got = {x["k"]: (x["threshold"], x["n"]) for x in checks.percentile_cut(df, "v", 20.0, 0.5, ("k",)).collect()}
+    assert got == {"a": (1.0, 100), "b": (8.0, 10)}
+
+
+def test_rand_index_leaves_incomplete_pairs_out(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), (None, "x"), ("a", None), (None, None)], "a string, b string")
+    whole = partitions.adjusted_rand(df).first()
+    assert whole["items"] == 4 and whole["ari"] == partitions.adjusted_rand(df.dropna()).first()["ari"]
+    assert partitions.hoover_scores(df).first() == partitions.hoover_scores(df.dropna()).first()
