@@ -39,9 +39,16 @@ def attempt_labels(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("label", F.when(nth == 1, F.col("replicate")).otherwise(F.concat("replicate", F.lit("_attempt_"), nth.cast("string"))))
 
 
-def resume_plan(planned: DataFrame, attempts: DataFrame, done: tuple[str, ...] = ("ok", "ok_no_ortho")) -> DataFrame:
-    """Planned (variant_id, replicate) whose latest attempt isn't done."""
-    good = latest_attempts(attempts).where(F.col("status").isin(*done)).select("variant_id", "replicate")
+#: Fields that an attempt must have filled before a run may be skipped.
+KEPT = ("config_file", "project_dir", "output_dir", "project_file", "launcher_log")
+
+
+def resume_plan(planned: DataFrame, attempts: DataFrame, done: tuple[str, ...] = ("ok", "ok_no_ortho"), filled: tuple[str, ...] = ()) -> DataFrame:
+    """Planned (variant_id, replicate) whose latest attempt isn't done, or is without one of the fields `filled` (as KEPT)."""
+    whole = F.lit(True)
+    for c in filled:
+        whole = whole & (F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0)
+    good = latest_attempts(attempts).where(F.col("status").isin(*done) & whole).select("variant_id", "replicate")
     return planned.join(good, ["variant_id", "replicate"], "left_anti")
 
 
@@ -57,10 +64,18 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def factor_grid(spark: SparkSession, factors: dict[str, list]) -> DataFrame:
-    """All combinations of the factors' levels, with a variant_id made of them. A design has few levels, so it's small."""
-    frames = [spark.createDataFrame([(x,) for x in levels], [name]) for name, levels in factors.items()]
-    grid = reduce(lambda a, b: a.crossJoin(b), frames)
+def factor_grid(spark: SparkSession, factors: dict[str, list | DataFrame]) -> DataFrame:
+    """All combinations of the factors' levels, with a variant_id made of them. A design has few levels, so it's small.
+
+    A factor's levels are a list, or a table whose first column holds them; those of a table count once, nulls not at all.
+    """
+
+    def levels_of(name: str, levels: list | DataFrame) -> DataFrame:
+        if isinstance(levels, DataFrame):
+            return levels.select(F.col(levels.columns[0]).alias(name)).dropna().distinct()
+        return spark.createDataFrame([(x,) for x in levels], [name])
+
+    grid = reduce(lambda a, b: a.crossJoin(b), [levels_of(*x) for x in factors.items()])
     return grid.select(F.concat_ws("_", *(F.concat(F.lit(f"{k}-"), F.col(k).cast("string")) for k in factors)).alias("variant_id"), *factors)
 
 

@@ -168,16 +168,30 @@ def resume_plan(spark, d):
     return ledger.resume_plan(planned, attempts)
 
 
-@query("select 'accuracy-' || a || '_mesh-' || m || '_blend-' || b as variant_id, a as accuracy, m as mesh, b as blend from (values ('high'), ('low'), ('medium')) x(a), (values (1), (2)) y(m), (values ('average'), ('mosaic')) z(b)")
+@query(
+    """with a as (select distinct o_orderpriority as a from orders), m as (select distinct l_linenumber as m from lineitem),
+b as (select distinct l_returnflag as b from lineitem)
+select 'accuracy-' || a || '_mesh-' || m || '_blend-' || b as variant_id, a as accuracy, m as mesh, b as blend from a cross join m cross join b"""
+)
 def variant_grid(spark, d):
-    grid = ledger.factor_grid(spark, {"accuracy": ["high", "low", "medium"], "mesh": [1, 2], "blend": ["average", "mosaic"]})
-    return grid.withColumn("mesh", F.col("mesh").cast("int"))
+    """Factors whose levels are the values that the tables hold."""
+    orders, lines = adapters.table(spark, d, "orders"), adapters.table(spark, d, "lineitem")
+    return ledger.factor_grid(spark, {"accuracy": orders.select("o_orderpriority"), "mesh": lines.select("l_linenumber"), "blend": lines.select("l_returnflag")})
 
 
-@query("select cast(s as bigint) as spatialr, cast(g as bigint) as ranger, cast(p as bigint) as phase, 's' || s || '_g' || g || '_p' || p as candidate_id, g = 2 and p = 0 as is_baseline from (values (4), (6), (9)) x(s), (values (1), (2), (3)) y(g), (values (0), (1), (2), (3)) z(p)")
+@query(
+    """with s as (select distinct cast(p_size as int) as s from part), g as (select distinct cast(round(l_tax * 100) as int) as g from lineitem),
+p as (select distinct cast(l_linenumber as int) as p from lineitem)
+select cast(s as bigint) as spatialr, cast(g as bigint) as ranger, cast(p as bigint) as phase, 's' || s || '_g' || g || '_p' || p as candidate_id, g = 2 and p = 0 as is_baseline
+from s cross join g cross join p"""
+)
 def candidate_population(spark, d):
-    one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
-    return out(ledger.candidate_population(one("spatialr", [4, 6, 9]), one("ranger", [1, 2, 3]), one("phase", [0, 1, 2, 3]), 48), "spatialr:i ranger:i phase:i candidate_id is_baseline")
+    """Scales, rangers and phases that the tables hold; 50 x 9 x 7 of them are within the budget."""
+    lines = adapters.table(spark, d, "lineitem")
+    scales = adapters.table(spark, d, "part").select(F.col("p_size").cast("int").alias("spatialr")).distinct()
+    rangers = lines.select(F.rint(F.col("l_tax") * 100).cast("int").alias("ranger")).distinct()
+    phases = lines.select(F.col("l_linenumber").cast("int").alias("phase")).distinct()
+    return out(ledger.candidate_population(scales, rangers, phases, 4_000), "spatialr:i ranger:i phase:i candidate_id is_baseline")
 
 
 @query(sql("segment", want("run_id label:i pixels:i area:m radius:m", "segment")))
@@ -318,10 +332,16 @@ def scale_gate(spark, d):
     return out(boundary.scale_gate(_ensemble(spark, d)), "first:i second:i lower:i upper:i adjacent between:i boundary_side")
 
 
-@query("select k, " + micro("gain_share", "gain_share") + ", case when gain_share > 0.5 then 'midpoint' else 'first' end as handoff, gain_share is null as warning from (select k, case when s1 > s2 then (sm - s2) / (s1 - s2) end as gain_share from (values (1, 0.3218860997478801::double, -0.1827726228748731::double, 0.26015553095917726::double), (2, 1, 0, 0.5001), (3, 1, 0, 0.5), (4, 1, 0, 0.4999), (5, 0.5, 0.5, 0.7)) x(k, s1, s2, sm))")
+@query(
+    "select k, " + micro("gain_share", "gain_share") + ", case when gain_share > 0.5 then 'midpoint' else 'first' end as handoff, gain_share is null as warning"
+    " from (select k, case when s1 > s2 then (sm - s2) / (s1 - s2) end as gain_share"
+    " from (select c_custkey as k, cast(c_acctbal as double) as s1, cast(c_nationkey * 100 as double) as s2, cast(c_custkey % 11 * 500 as double) as sm from customer))"
+)
 def gain_share(spark, d):
-    rows = [(1, 0.3218860997478801, -0.1827726228748731, 0.26015553095917726), (2, 1.0, 0.0, 0.5001), (3, 1.0, 0.0, 0.5), (4, 1.0, 0.0, 0.4999), (5, 0.5, 0.5, 0.7)]
-    return out(boundary.gain_share(spark.createDataFrame(rows, "k int, s1 double, s2 double, sm double")), "k gain_share:m handoff warning")
+    """Every customer as a trial: its balance as the best score, two more scores from its keys."""
+    k = F.col("c_custkey")
+    rows = adapters.table(spark, d, "customer").select(k.alias("k"), F.col("c_acctbal").cast("double").alias("s1"), (F.col("c_nationkey") * 100).cast("double").alias("s2"), (k % 11 * 500).cast("double").alias("sm"))
+    return out(boundary.gain_share(rows), "k gain_share:m handoff warning")
 
 
 def _variogram(spark, d):
@@ -609,9 +629,15 @@ def knee_cutoff(spark, d):
     return out(checks.knee_cutoff(_segments(spark, d), "pixels", ("run_id",)), "run_id pixels:i bend:m")
 
 
-@query("select distinct id as candidate_id, s + a as spatialr, greatest(1, m + c * 5) as minsize, " + micro("r + b * 0.1::double", "ranger") + ", max(a = 0 and b = 0 and c = 0) as is_baseline from (values (1, 4, 0.5::double, 3), (2, 6, 1.0::double, 20)) x(id, s, r, m), (values (-1), (0), (1)) i(a), (values (-1), (0), (1)) j(b), (values (-1), (0), (1)) k(c) group by 1, 2, 3, 4")
+@query(
+    "select id as candidate_id, s + a as spatialr, greatest(1, m + c * 5) as minsize, " + micro("r + b * 0.1::double", "ranger") + ", max(a = 0 and b = 0 and c = 0) as is_baseline"
+    " from (select p_partkey as id, cast(p_size as int) as s, (p_partkey % 40 + 10) / 10.0::double as r, cast(p_partkey % 30 + 1 as int) as m from part)"
+    " cross join (values (-1), (0), (1)) i(a) cross join (values (-1), (0), (1)) j(b) cross join (values (-1), (0), (1)) k(c) where s + a > 0 group by id, s + a, greatest(1, m + c * 5), r + b * 0.1::double"
+)
 def perturbation_grid(spark, d):
-    base = spark.createDataFrame([(1, 4, 0.5, 3), (2, 6, 1.0, 20)], "candidate_id int, spatialr int, ranger double, minsize int")
+    """The grid around a candidate for each part."""
+    k = F.col("p_partkey")
+    base = adapters.table(spark, d, "part").select(k.alias("candidate_id"), F.col("p_size").cast("int").alias("spatialr"), ((k % 40 + 10) / 10).alias("ranger"), (k % 30 + 1).cast("int").alias("minsize"))
     return out(checks.one_baseline(checks.perturbation_grid(base, 0.1, 5, 1)), "candidate_id spatialr minsize ranger:m is_baseline")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import checks, order, partitions, prescreen, regions, seeds, tiles
+from mosaiq.operators import checks, ledger, order, partitions, prescreen, regions, seeds, tiles
 
 
 def grid(spark, values, regions_of):
@@ -222,3 +222,25 @@ def test_rand_index_leaves_incomplete_pairs_out(spark):
     whole = partitions.adjusted_rand(df).first()
     assert whole["items"] == 4 and whole["ari"] == partitions.adjusted_rand(df.dropna()).first()["ari"]
     assert partitions.hoover_scores(df).first() == partitions.hoover_scores(df.dropna()).first()
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e4, 1e8, 1e12])
+def test_nearest_neighbours_far_from_the_origin(spark, offset):
+    x = np.random.default_rng(8).normal(size=(200, 4)) + offset
+    got = {(y["vec_id"], y["k"]): y["distance"] for y in prescreen.knn_distances(spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "vec_id long, v array<double>"), [1, 3]).collect()}
+    for i in range(200):
+        d = sorted(math.dist(x[i], x[j]) for j in range(200) if j != i)
+        assert got[i, 1] == pytest.approx(d[0], rel=1e-12) and got[i, 3] == pytest.approx(d[2], rel=1e-12)
+
+
+def test_resuming_needs_filled_fields_and_levels_come_from_tables(spark):
+    planned = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "1")], "variant_id string, replicate string")
+    row = lambda v, status, log: (v, "1", status, 1, "c", "p", "o", "f", log)
+    done = spark.createDataFrame([row("a", "ok", "log"), row("b", "ok", " "), row("c", "failed", "log"), row("d", "ok_no_ortho", None)], "variant_id string, replicate string, status string, attempt_seq int, " + ", ".join(f"{c} string" for c in ledger.KEPT))
+    assert sorted(r["variant_id"] for r in ledger.resume_plan(planned, done, filled=ledger.KEPT).collect()) == ["b", "c", "d"]
+    assert [r["variant_id"] for r in ledger.resume_plan(planned, done).collect()] == ["c"]
+    levels = spark.createDataFrame([(1, "u"), (2, "v"), (1, None)], "x int, y string")
+    grid = ledger.factor_grid(spark, {"x": levels, "y": levels.select("y")})
+    assert sorted(r["variant_id"] for r in grid.collect()) == ["x-1_y-u", "x-1_y-v", "x-2_y-u", "x-2_y-v"]
+    with pytest.raises(ValueError, match="budget"):
+        ledger.candidate_population(levels.select(F.col("x").alias("spatialr")), levels.select(F.col("x").alias("ranger")), levels.select(F.col("x").alias("phase")), 26)
