@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.operators import ledger, study
-from mosaiq.plans import config
+from mosaiq.plans import chain, config
 from mosaiq.plans.queries import ORACLES, QUERIES
 from mosaiq.sources import tables
 from mosaiq.sources.stage import clear
@@ -39,6 +39,35 @@ def ledger_state(spark: SparkSession, path: str):
     return ledger.latest_attempts(rows.select("variant_id", "replicate", "status", "attempt_seq")).select("variant_id", "replicate", "status", "attempts").orderBy("variant_id", "replicate")
 
 
+def chain_verb(spark: SparkSession, parser: argparse.ArgumentParser, args: argparse.Namespace) -> int:
+    """0 if the chain is well; 1 if a step failed, or isn't ok when asked for the status."""
+    files = chain.Files(spark, args.root)
+    if args.verb == "run":
+        if not args.chain or not args.tables:
+            parser.error("chain run needs --chain and --tables")
+        files.write("launch.json", json.dumps({"chain": args.chain, "tables": args.tables}))
+    elif not files.exists("launch.json"):
+        parser.error(f"no launch record in {args.root}")
+    launch = json.loads(files.read("launch.json"))
+    steps = chain.CHAINS[launch["chain"]]()
+    own = chain.Chain(spark, steps, chain.tables_of(steps, launch["tables"]), args.root)
+    if args.verb == "clean":
+        print(own.clean(), "outputs deleted")
+        return 0
+    bad = False
+    if args.verb != "status":
+        try:
+            for x in own.run(args.until):
+                print(x["step"], x["did"])
+        except chain.ChainError as e:
+            print("failed:", e)
+            bad = True
+    for x in own.status():
+        print(json.dumps(x))
+        bad |= args.verb == "status" and x["status"] != "ok"
+    return int(bad)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="mosaiq")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -63,6 +92,12 @@ def main(argv: list[str] | None = None) -> int:
     collect.add_argument("plan")
     collect.add_argument("results", nargs="+")
     collect.add_argument("--out", required=True)
+    run_chain = commands.add_parser("chain", help="run a chain of steps, or show or retry it; steps whose inputs are as they were are kept")
+    run_chain.add_argument("verb", choices=("run", "status", "retry", "clean"))
+    run_chain.add_argument("root", help="folder of the chain's records and outputs")
+    run_chain.add_argument("--chain", choices=sorted(chain.CHAINS), help="for run; retry and status know it from the launch record")
+    run_chain.add_argument("--tables", help="folder of the Parquet tables, for run")
+    run_chain.add_argument("--until", help="the last step to run")
     args = parser.parse_args(argv)
     if args.command == "plan":
         print(plan_study(args.preset, args.replicates, args.out), "runs")
@@ -75,6 +110,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command in ("run", "explain") and args.query not in queries:
         parser.error(f"no query {args.query}")
     spark = SparkSession.builder.appName("mosaiq").getOrCreate()
+    if args.command == "chain":
+        return chain_verb(spark, parser, args)
     if args.command == "status":
         ledger_state(spark, args.ledger).show(1000, truncate=False)
     elif args.command == "resume":

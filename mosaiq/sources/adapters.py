@@ -14,17 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def side_for(rows: int) -> int:
+    """Rows and columns of the grid for so many rows: it grows with them, so that cells hold as much at any size."""
+    return max(8, int((rows / ROWS_PER_CELL) ** 0.5))
+
+
 def grid_side(spark: SparkSession, sf_dir: str) -> int:
-    """Rows and columns of the grid: it grows with the table, so that cells hold as much at any size."""
-    return max(8, int((table(spark, sf_dir, "lineitem").count() / ROWS_PER_CELL) ** 0.5))
+    return side_for(table(spark, sf_dir, "lineitem").count())
 
 
 def pixel_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicate rasters of all rows: variant_id, replicate, r, c, b1..b3 on a square grid, nodata cells included."""
+    return observations(table(spark, sf_dir, "lineitem"))
+
+
+def observations(lineitem: DataFrame) -> DataFrame:
+    """pixel_obs of this table."""
     milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("double")
-    side = grid_side(spark, sf_dir)
+    side = side_for(lineitem.count())
     return (
-        table(spark, sf_dir, "lineitem")
+        lineitem
         .groupBy(
             F.concat("l_returnflag", "l_linestatus").alias("variant_id"),
             ((F.col("l_linenumber") - 1) % REPLICATES + 1).cast("int").alias("replicate"),
