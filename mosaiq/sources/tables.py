@@ -1,12 +1,9 @@
-"""Sources and sinks: ledgers, CSV, TSV and JSON tables, variant tables, raster tables, step manifests."""
+"""Sources and sinks: ledgers, CSV, TSV and JSON tables, variant tables, raster tables, step manifests. Grids: `grids`."""
 
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
@@ -170,46 +167,6 @@ def read_exif_positions(spark: SparkSession, path: str) -> DataFrame:
     return validity_reasons(timed).orderBy(F.col("t_us").asc_nulls_last(), "source_path")
 
 
-def read_grid(spark: SparkSession, header: str) -> DataFrame:
-    """A grid of 32-bit floats beside a text header (KEY = value lines): r, c, value; nodata values are left out.
-
-    The header names CELLCOUNT_X, CELLCOUNT_Y, NODATA_VALUE and TOPTOBOTTOM (rows run from the bottom unless TRUE); the
-    values are in the file of the same name that ends in .sdat. Rows go to tasks in blocks of the file.
-    """
-    lines = [line.value for line in spark.read.text(header).limit(100).collect()]  # a header
-    keys = {k.strip().upper(): v.strip() for k, _, v in (x.partition("=") for x in lines if "=" in x)}
-    width, height = int(keys["CELLCOUNT_X"]), int(keys["CELLCOUNT_Y"])
-    nodata = float(keys.get("NODATA_VALUE", "-99999").split(";")[0])
-    down = keys.get("TOPTOBOTTOM", "FALSE").upper() == "TRUE"
-    raw = spark.read.format("binaryFile").load(re.sub(r"\.[^./]*$", ".sdat", header)).select("content")
-
-    def rows(batches):
-        for b in batches:
-            for content in b.column(0):
-                values = np.frombuffer(content.as_buffer(), "<f4")
-                if len(values) != width * height:
-                    raise ValueError(f"{len(values)} values for {width} x {height} cells")
-                for first in range(0, height, 256):
-                    part = values[first * width : (first + 256) * width]
-                    at = np.arange(len(part))
-                    line, col = first + at // width, at % width
-                    keep = np.isfinite(part) & (part != nodata)
-                    line = line if down else height - 1 - line
-                    yield pa.RecordBatch.from_arrays([pa.array(line[keep].astype(np.int32)), pa.array(col[keep].astype(np.int32)), pa.array(part[keep].astype(np.float64))], ["r", "c", "value"])
-
-    return raw.mapInArrow(rows, "r int, c int, value double")
-
-
-def write_grid(df: DataFrame, header: str, width: int, height: int, nodata: float = -99999.0, pixel: float = 1.0) -> None:
-    """r, c, value as such a grid, from the bottom row; one file, so the values of one raster pass through the driver."""
-    grid = np.full((height, width), nodata, "<f4")
-    for r in df.select("r", "c", "value").where("value is not null").toLocalIterator():  # a partition at a time
-        grid[height - 1 - r["r"], r["c"]] = r["value"]
-    Path(header).with_suffix(".sdat").write_bytes(grid.tobytes())
-    text = {"NAME": Path(header).stem, "DATAFORMAT": "FLOAT", "CELLCOUNT_X": width, "CELLCOUNT_Y": height, "CELLSIZE": pixel, "NODATA_VALUE": nodata, "TOPTOBOTTOM": "FALSE"}
-    Path(header).write_text("".join(f"{k}\t= {v}\n" for k, v in text.items()))
-
-
 def read_raster(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -10,7 +10,7 @@ from mosaiq import cli
 from mosaiq.functions import exprs
 from mosaiq.operators import checks, features, flight, groups, ledger, partitions, segments, study
 from mosaiq.plans import config
-from mosaiq.sources import tables
+from mosaiq.sources import grids, tables
 
 
 def one(df):
@@ -154,8 +154,8 @@ def test_usable_ledger(spark, tmp_path):
 
 def test_grids_manifests_and_positions(spark, tmp_path):
     cells = spark.createDataFrame([(0, 0, 1.5), (1, 2, -3.0), (2, 1, None)], "r int, c int, value double")
-    tables.write_grid(cells, str(tmp_path / "g.sgrd"), 3, 3)
-    assert sorted(tuple(r) for r in tables.read_grid(spark, str(tmp_path / "g.sgrd")).collect()) == [(0, 0, 1.5), (1, 2, -3.0)]
+    grids.write_grid(cells, str(tmp_path / "g.sgrd"), 3, 3)
+    assert sorted(tuple(r) for r in grids.read_grid(spark, str(tmp_path / "g.sgrd")).collect()) == [(0, 0, 1.5), (1, 2, -3.0)]
     step = spark.createDataFrame([("a", "ok", {"i": "x"}, {}, {"v": "1"})], tables.STEP)
     tables.write_step_manifest(step, str(tmp_path / "m"))
     assert one(tables.read_step_manifest(spark, str(tmp_path / "m")))["inputs"] == {"i": "x"}
