@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from math import pi, sqrt
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators.distance import nearest_source
 from mosaiq.operators.order import index_of
+from mosaiq.operators.regions import connected
+from mosaiq.session import ship
 from mosaiq.sources.stage import stage
 
 
@@ -112,6 +116,82 @@ def density_peaks(points: DataFrame, cells: DataFrame, radius: int) -> DataFrame
     return smooth.join(best, ["spatialr", "r", "c"]).where((-F.col("k.r") == F.col("r")) & (-F.col("k.c") == F.col("c"))).select("spatialr", "r", "c", "density")
 
 
+#: Rows and columns of a tile of the smoothed grid.
+PEAK_SIDE = 512
+
+
+def smoothed(counts: np.ndarray, sigma: float) -> np.ndarray:
+    """counts under a Gaussian cut off at four sigmas, rows first, then columns; zero outside; single precision a pass."""
+    reach = int(4 * sigma + 0.5)
+    x = np.arange(-reach, reach + 1)
+    w = np.exp(-0.5 / (sigma * sigma) * x**2)
+    w /= w.sum()
+    for axis in (0, 1):
+        wide = np.pad(counts.astype(np.float64), [(reach, reach) if k == axis else (0, 0) for k in (0, 1)])
+        n = counts.shape[axis]
+        part = lambda k, wide=wide, n=n, axis=axis: wide.take(range(reach + k, reach + k + n), axis=axis)
+        total = part(0) * w[reach]
+        for k in range(reach, 0, -1):
+            total = total + (part(-k) + part(k)) * w[reach - k]
+        counts = total.astype(np.float32)
+    return counts
+
+
+def greatest_around(values: np.ndarray, reach: int) -> np.ndarray:
+    """The greatest value of each one's box of 2 reach + 1 rows and columns; zero outside."""
+    for axis in (0, 1):
+        wide = np.pad(values, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)])
+        values = np.max([wide.take(range(k, k + values.shape[axis]), axis=axis) for k in range(2 * reach + 1)], axis=0)
+    return values
+
+
+def _local_peaks(height: int, width: int, radius: int, side: int):
+    sigma = max(1.0, radius / 2)
+    window = max(1, radius)
+    halo = int(4 * sigma + 0.5) + window
+
+    def run(table: pa.Table) -> pa.Table:
+        group, tr, tc = (table.column(k)[0].as_py() for k in ("_g", "_tr", "_tc"))
+        top, left = max(0, tr * side - halo), max(0, tc * side - halo)
+        bottom, right = min(height, (tr + 1) * side + halo), min(width, (tc + 1) * side + halo)
+        counts = np.zeros((bottom - top, right - left), np.float32)
+        np.add.at(counts, (table.column("r").to_numpy() - top, table.column("c").to_numpy() - left), table.column("n").to_numpy().astype(np.float32))
+        density = smoothed(counts, sigma)
+        peak = (density == greatest_around(density, window)) & (density > 0)
+        r, c = np.nonzero(peak)
+        own = ((r + top) // side == tr) & ((c + left) // side == tc)
+        r, c = r[own], c[own]
+        return pa.table([pa.array([group] * len(r), pa.int64()), pa.array((r + top).astype(np.int64)), pa.array((c + left).astype(np.int64)), pa.array(density[r, c].astype(np.float64))], ["_g", "r", "c", "density"])
+
+    return run
+
+
+def gaussian_peaks(points: DataFrame, height: int, width: int, radius: int, group: str = "spatialr", run: str = "run_id") -> DataFrame:
+    """Peaks per group of the density of points (group, run, y, x) on a grid of so many rows and columns: group, r, c, density.
+
+    Points go to the nearest cell, halves to even, those outside to the edge; the points of one run in one cell count once.
+    The counts are smoothed by a Gaussian of sigma radius / 2, one at least, cut off at four sigmas, in single precision. A
+    peak is a cell that no cell of the box of radius around it exceeds; 4-connected peaks are one, at their first cell in
+    row order. Tiles hold the points near them, so work follows the area that has points. group: whole numbers.
+    """
+    ship(points.sparkSession)
+    at = lambda x, n: F.least(F.greatest(F.rint(x), F.lit(0)), F.lit(n - 1)).cast("long")
+    cells = points.where("y is not null and x is not null").select(F.col(group).cast("long").alias("_g"), F.col(run).alias("_run"), at("y", height).alias("r"), at("x", width).alias("c")).distinct()
+    counts = cells.groupBy("_g", "r", "c").agg(F.count(F.lit(1)).alias("n"))
+    halo = int(4 * max(1.0, radius / 2) + 0.5) + max(1, radius)
+    near = lambda x: F.explode(F.sequence(F.floor((F.col(x) - halo) / PEAK_SIDE), F.floor((F.col(x) + halo) / PEAK_SIDE)))
+    sent = counts.select("*", near("r").alias("_tr")).select("*", near("c").alias("_tc"))
+    inside = (F.col("_tr") >= 0) & (F.col("_tc") >= 0) & (F.col("_tr") * PEAK_SIDE < height) & (F.col("_tc") * PEAK_SIDE < width)
+    found = sent.where(inside).groupBy("_g", "_tr", "_tc").applyInArrow(_local_peaks(height, width, radius, PEAK_SIDE), "_g long, r long, c long, density double")
+    found = stage(found, "peaks")
+    # groups lie below each other, a free row between, so that one pass joins the plateaus of all
+    order = F.dense_rank().over(Window.orderBy("_g"))
+    shift = F.broadcast(found.select("_g").distinct().withColumn("_shift", (order - 1).cast("long") * (height + 1)))  # a row a group
+    placed = found.join(shift, "_g").select("_g", "density", "_shift", (F.col("r") + F.col("_shift")).alias("r"), "c").withColumn("cell", F.col("r") * (1 << 31) + F.col("c"))
+    joined = connected(stage(placed, "plateaus"), ["_g"])
+    return joined.where("cell = region").select(F.col("_g").alias(group), (F.col("r") - F.col("_shift")).alias("r"), "c", "density")
+
+
 def peak_support(peaks: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """peaks with the runs, phases and rangers that have a point within radius. Points and peaks meet in buckets."""
     side = int(radius) + 1
