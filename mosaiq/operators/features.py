@@ -40,11 +40,15 @@ def quantile_parameters(cells: DataFrame, bands: tuple[str, ...], low: float = 0
     return out.select("band", "low", "high", ((F.col("low") + F.col("high")) / 2).alias("centre"), width.cast("double").alias("scale"))
 
 
-def quantile_scaled(cells: DataFrame, bands: tuple[str, ...], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """cells with each band scaled to -1..1 by its quantiles."""
-    one = quantile_parameters(cells, bands, low, high).groupBy().pivot("band", list(bands)).agg(F.first("centre").alias("centre"), F.first("scale").alias("scale"))
+def quantile_scaled(cells: DataFrame, bands: tuple[str, ...], low: float = 0.02, high: float = 0.98, valid: str | None = None, background: float = 0.0) -> DataFrame:
+    """cells with each band scaled to -1..1 by its quantiles.
+
+    With a column `valid`, quantiles are those of the valid cells, and the others (null counts as not valid) get the background.
+    """
+    one = quantile_parameters(cells if valid is None else cells.where(F.col(valid)), bands, low, high).groupBy().pivot("band", list(bands)).agg(F.first("centre").alias("centre"), F.first("scale").alias("scale"))
     joined = cells.join(F.broadcast(one))  # one row
-    return joined.withColumns({b: clip((F.col(b) - F.col(f"{b}_centre")) / F.col(f"{b}_scale"), -1.0, 1.0) for b in bands}).drop(*one.columns)
+    scaled = joined.withColumns({b: clip((F.col(b) - F.col(f"{b}_centre")) / F.col(f"{b}_scale"), -1.0, 1.0) for b in bands}).drop(*one.columns)
+    return scaled if valid is None else masked(scaled, bands, valid, background)
 
 
 def directional_inertia(cells: DataFrame, band: str, radius: int, levels: int = 32, low: float = 0.0, high: float = 50.0) -> DataFrame:

@@ -31,12 +31,17 @@ def sorties(images: DataFrame, gap_seconds: int, name: str = "sortie", bucket_se
     return within.join(before.select("_bucket", "_base"), "_bucket").withColumn(name, F.col("_base") + F.col("_in")).drop("_bucket", "_gap", "_in", "_base")
 
 
-def dominant_axis(images: DataFrame, *keys: str) -> DataFrame:
-    """The circular mean of the doubled headings, halved, in 0..180; null if they cancel. `strength` from 0 to 1."""
+def dominant_axis(images: DataFrame, *keys: str, strict: bool = False) -> DataFrame:
+    """The circular mean of the doubled headings, halved, in 0..180; null if they cancel. `strength` from 0 to 1.
+
+    strict: reading it fails where headings cancel.
+    """
     double = F.radians(F.col("yaw") * 2)
     out = images.groupBy(*keys).agg(F.count(F.lit(1)).alias("images"), F.sum(F.cos(double)).alias("_x"), F.sum(F.sin(double)).alias("_y"))
     size = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))
     axis = F.when(size / F.col("images") > 1e-12, F.pmod(F.degrees(F.atan2("_y", "_x")) / 2, F.lit(180.0)))
+    if strict:
+        axis = F.coalesce(axis, F.raise_error(F.concat_ws(" ", F.lit("headings cancel:"), *(F.col(k).cast("string") for k in keys))).cast("double"))
     return out.select(*keys, "images", axis.alias("axis"), (size / F.col("images")).alias("strength"))
 
 

@@ -47,7 +47,7 @@ def legacy_outcome(jump: Column, spatial: Column, flutter: Column, edge: Column,
 def current_score(ensemble: Column, match: Column, legacy: Column, boundary: Column) -> Column:
     """Ensemble support where there is one, else the clipped scale match, else the older score, by the boundary's if known."""
     one = lambda x: clip(x, 0.0, 1.0)
-    return F.coalesce(ensemble, one(match), F.when(boundary.isNull(), legacy).otherwise(one(legacy) * one(boundary)))
+    return F.coalesce(ensemble, F.when(match.isNotNull(), one(match)), F.when(boundary.isNull(), legacy).otherwise(one(legacy) * one(boundary)))
 
 
 def group_response(runs: DataFrame, dominance: DataFrame, group: str = "spatialr", limits: dict[str, float | None] = LIMITS, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -88,6 +88,23 @@ def group_response(runs: DataFrame, dominance: DataFrame, group: str = "spatialr
     return out.withColumn("outcome", legacy_outcome(F.col("scale_jump"), F.col("spatial_jump"), F.col("flutter_flag"), F.col("edge_loaded"), F.col("centered"), F.lit(0.0)))
 
 
+def group_scores(groups: DataFrame, ensemble: DataFrame, boundary: DataFrame, group: str = "spatialr") -> DataFrame:
+    """groups (as group_response gives them) with raw, score, method and outcome by what is known of each group.
+
+    ensemble: group, score and evaluable; a group that is there has that score, 0 if it isn't evaluable, and its outcome
+    says whether it is. boundary: group and support. Without an ensemble the clipped scale match counts, without that the
+    older score, by the boundary's support if known; the outcome follows the older rules.
+    """
+    own = ensemble.select(group, F.coalesce(F.when(F.col("evaluable"), F.col("score")), F.lit(0.0)).alias("_ensemble"), F.coalesce("evaluable", F.lit(False)).alias("_evaluable"))
+    met = groups.drop("score", "outcome").join(own, group, "left").join(boundary.select(group, F.col("support").alias("_boundary")), group, "left")
+    method = F.when(F.col("_ensemble").isNotNull(), "ensemble").when(F.col("match_support").isNotNull(), "scale_match").when(F.col("_boundary").isNotNull(), "legacy_by_boundary").otherwise("legacy")
+    out = met.withColumns({"method": method, "raw": current_score(F.col("_ensemble"), F.col("match_support"), F.col("legacy_score"), F.col("_boundary"))})
+    out = out.withColumn("score", clip(F.col("raw"), 0.0, 1.0))
+    older = legacy_outcome(F.col("scale_jump"), F.col("spatial_jump"), F.col("flutter_flag"), F.col("edge_loaded"), F.col("centered"), F.col("score"))
+    outcome = F.when(F.col("_evaluable"), "ensemble_support_evaluable").when(~F.col("_evaluable"), "ensemble_support_not_evaluable").otherwise(older)
+    return out.withColumn("outcome", outcome).drop("_ensemble", "_evaluable", "_boundary")
+
+
 def five_numbers(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Per name of a column: count, least, q25, median, q75 and greatest of its finite values; 0 without any."""
     rows = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("v")) for n, c in columns.items()))).alias("x")).select("x.*")

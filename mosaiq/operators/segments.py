@@ -85,21 +85,26 @@ def run_summary(segments: DataFrame) -> DataFrame:
 PERCENTS = (10, 25, 50, 75, 90, 95)
 
 
-def population_summary(segments: DataFrame) -> DataFrame:
+def population_summary(segments: DataFrame, run_radius: str = "spatialr") -> DataFrame:
     """One row a run with all that describes its segments.
 
-    segments, per_hectare, area, max_label; mean and quantiles of area and of radius; mean and quantiles of q by area;
-    for each size class its share of the area, its segments and the 50 % and 90 % quantile of its radii (0 without any);
+    segments, per_hectare, area, max_label; mean and quantiles of area and of radius; mean and quantiles of q by area, and
+    q_run_p50, its median by area relative to the run's own radius (a column, null or 0 for none); the histogram h0 to h6 of q;
+    for each size class its area and share of it, its segments and the 50 % and 90 % quantile of its radii (0 without any);
     lower_tail, central, upper_tail and edge_loaded shares; scale_match; dominant_class and regime. One aggregate over
     segments and one over distinct values of q.
     """
     total = F.sum("area")
     of = lambda k, x: F.when(F.col("size_class") == k, x)
     at = lambda x, p: F.percentile(x, F.lit(p / 100))
+    cell = lambda k: (F.col("q") >= BINS[k]) & ((F.col("q") < BINS[k + 1]) if k + 1 < len(BINS) else F.lit(True))
     one = segments.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("segments"),
         total.alias("area"),
         F.max("label").alias("max_label"),
+        F.max(run_radius).alias("_run_radius"),
+        *((F.sum(F.when(cell(k), F.col("area")).otherwise(0)) / total).alias(f"h{k}") for k in range(len(BINS))),
+        *(F.coalesce(F.sum(of(k, F.col("area"))), F.lit(0.0)).alias(f"{k}_area") for k in CLASSES),
         F.avg("area").alias("area_mean"),
         F.avg("radius").alias("radius_mean"),
         (F.sum(F.col("q") * F.col("area")) / total).alias("q_mean"),
@@ -110,6 +115,8 @@ def population_summary(segments: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("q") > 0, F.col("area") * F.least(F.col("q"), 1 / F.col("q")))) / F.sum(F.when(F.col("q") > 0, F.col("area"))), F.lit(0.0)).alias("scale_match"),
     )
     out = one.join(weighted_quantiles(segments, ["run_id"], "q", "area", tuple(p / 100 for p in PERCENTS)), "run_id")
+    middle = weighted_quantiles(segments, ["run_id"], "radius", "area", (0.5,)).withColumnRenamed("radius50", "_r50")
+    out = out.join(middle, "run_id").withColumn("q_run_p50", F.when(F.col("_run_radius") > 0, F.col("_r50") / F.col("_run_radius"))).drop("_r50", "_run_radius")
     share = lambda k: F.col(f"{k}_share")
     out = out.withColumns({"per_hectare": F.col("segments") / (F.col("area") / 10_000), "lower_tail": share("micro") + share("small"), "central": share("in_scale"), "upper_tail": share("large") + share("oversize")})
     shares = F.array(*(share(k) for k in CLASSES))
@@ -161,8 +168,8 @@ def label_size_stats(segments: DataFrame) -> DataFrame:
 
 
 def zonal_stats(labels: DataFrame, features: DataFrame, bands: tuple[str, ...] = ("m1", "m2", "m3")) -> DataFrame:
-    """Per run, segment and band: count, mean, median, min, max, population variance and quantiles of the cells in it."""
+    """Per run, segment and band: count, mean, median, min, max, population stdev and variance, quantiles of the cells in it."""
     stacked = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).alias("value")) for b in bands)))
     values = labels.where("label > 0").select("run_id", "label", "r", "c").join(features, ["r", "c"]).select("run_id", "label", stacked.alias("x")).select("run_id", "label", "x.*")
     q = lambda p: F.percentile("value", F.lit(p))
-    return values.groupBy("run_id", "label", "band").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), F.var_pop("value").alias("variance"), q(0.1).alias("q10"), q(0.9).alias("q90"))
+    return values.groupBy("run_id", "label", "band").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), F.var_pop("value").alias("variance"), F.stddev_pop("value").alias("stdev"), *(q(p / 100).alias(f"q{p:02d}") for p in (5, 10, 25, 50, 75, 90, 95)))

@@ -126,6 +126,24 @@ def flattened(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.explode(F.from_json(column, "map<string,string>")).alias("field", "value"))
 
 
+def wide_profiles(design: DataFrame, artifacts: dict[str, DataFrame], fields: dict[str, tuple[str, str, str]], key: str = "run_id", report: str | None = None) -> DataFrame:
+    """One row a run of the design, with a column for each field: (artifact, JSON path, type).
+
+    artifacts: key and json, one row a run; a run without one has null in its fields, as where a path leads nowhere or
+    to another type. report: the artifact whose status tells how the run went, as run_status: not_run without it,
+    invalid_or_empty_report if it isn't JSON or has no status.
+    """
+    out = design
+    for name, rows in artifacts.items():
+        out = out.join(rows.select(key, F.col("json").alias(f"_{name}")), key, "left")
+    columns = [F.expr(f"try_cast(get_json_object(`_{a}`, '{path}') as {kind})").alias(name) for name, (a, path, kind) in fields.items()]
+    if report is not None:
+        text = F.col(f"_{report}")
+        status = F.when(text.isNull(), "not_run").otherwise(F.coalesce(F.get_json_object(text, "$.status"), F.lit("invalid_or_empty_report")))
+        columns.append(status.alias("run_status"))
+    return out.select(*design.columns, *columns)
+
+
 def finished(rows: DataFrame, status: str = "status") -> DataFrame:
     """Rows whose status is final: complete, or left to the user's choice."""
     return rows.where(F.col(status).isin("complete", "choice_required"))

@@ -10,6 +10,7 @@ from mosaiq.plans import queries as base
 from mosaiq.plans.oracle_views import micro, milli, sql
 from mosaiq.plans.queries import BANDS, out, query, want
 from mosaiq.sources import adapters, tables
+from mosaiq.sources.stage import stage
 
 CLASSES, PERCENTS = segments.CLASSES, segments.PERCENTS
 
@@ -27,6 +28,9 @@ _POPULATION = [
     *((f"coalesce(sum(area) filter (size_class = '{k}'), 0) / sum(area)", f"{k}_share") for k in CLASSES),
     *((f"coalesce(quantile_cont(radius, {p / 100}) filter (size_class = '{k}'), 0)", f"{k}_radius_p{p}") for k in CLASSES for p in (50, 90)),
     *((f"any_value(wq.q{p})", f"q{p}") for p in PERCENTS),
+    *((f"coalesce(sum(area) filter (size_class = '{k}'), 0)", f"{k}_area") for k in CLASSES),
+    *((f"coalesce(sum(area) filter (q >= {a} and q < {b}), 0) / sum(area)", f"h{k}") for k, (a, b) in enumerate([(0.0, 0.25), (0.25, 0.5), (0.5, 1.0), (1.0, 2.0), (2.0, 4.0), (4.0, 8.0), (8.0, 1e300)])),
+    ("any_value(wq.q50)", "q_run_p50"),
     ("any_value(low)", "lower_tail"), ("any_value(mid)", "central"), ("any_value(up)", "upper_tail"), ("any_value(low) + any_value(up)", "edge_loaded"), ("any_value(scale_match)", "scale_match"),
 ]
 _REGIME = "case when low >= mid and low >= up then 'lower_tail' when mid >= up then 'central' else 'upper_tail' end"
@@ -106,8 +110,8 @@ _GROUP_VALUES += [(c, c) for c in ("agreement", "tail_agreement", "lower_range",
 
 
 def _responses(spark, d):
-    labels = base._labels(spark, d)
-    own = segments.segment_sizes(labels)
+    labels = stage(base._labels(spark, d), "labels")
+    own = stage(segments.segment_sizes(labels), "segments")
     runs = segments.run_summary(own)
     return runs, groups.group_response(runs, response.spatial_dominance(response.analysis_matrix(labels, own, 8)))
 

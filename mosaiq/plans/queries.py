@@ -11,6 +11,7 @@ from mosaiq.functions import exprs
 from mosaiq.operators import boundary, checks, features, flight, ledger, partitions, prescreen, regions, response, seeds, segments, stability, study
 from mosaiq.plans.oracle_views import micro, sql
 from mosaiq.sources import adapters
+from mosaiq.sources.stage import stage
 
 N, LIMIT = adapters.REPLICATES, 15.0
 THRESHOLDS = [5.0, 10.0, 15.0, 20.0, 25.0]
@@ -302,10 +303,17 @@ def boundary_pair_support(spark, d):
 
 
 def _ensemble(spark, d):
-    labels = _labels(spark, d)
+    labels = stage(_labels(spark, d), "labels")  # read by each of the parts
     return boundary.ensemble_rank(labels, boundary.boundary_pixels(labels), segments.run_summary(segments.segment_sizes(labels)))
 
 
+def boundary_supports(spark, d):
+    """spatialr and support of each pair of runs."""
+    labels = stage(_labels(spark, d), "labels")
+    pairs = boundary.run_pairs(labels)
+    return pairs.join(boundary.pair_support(boundary.boundary_pixels(labels), pairs.select("left_run", "right_run", "reach")), ["left_run", "right_run", "reach"])
+
+
 _ROBUST = "greatest(0.0, least(1.0, m - 1.4826 * mad))"
 _ENSEMBLE = f"""scored as (select * from pair join pair_score using (left_run, right_run, reach)),
 x as (select spatialr, pair_class as part, support as v from scored where pair_class != 'factorial_cross' union all select spatialr, 'scale_match', scale_match from match),
@@ -537,10 +545,10 @@ def label_size_stats(spark, d):
     return out(segments.label_size_stats(_segments(spark, d)), "run_id segments:i p25:m p50:m p75:m below_2:m below_5:m below_10:m below_20:m")
 
 
-@query(sql("label_px", ", x as (select run_id, label, band, value from (select run_id, label, m1, m2, m3 from label_px join cell using (r, c) where label > 0) unpivot (value for band in (m1, m2, m3))) select run_id, label, band, count(*) as n, " + ", ".join(micro(e, n) for e, n in (("avg(value)", "mean"), ("median(value)", "median"), ("min(value)", "min"), ("max(value)", "max"), ("quantile_cont(value, 0.1)", "q10"), ("quantile_cont(value, 0.9)", "q90"), ("var_pop(value)", "variance"))) + " from x group by 1, 2, 3"))
+@query(sql("label_px", ", x as (select run_id, label, band, value from (select run_id, label, m1, m2, m3 from label_px join cell using (r, c) where label > 0) unpivot (value for band in (m1, m2, m3))) select run_id, label, band, count(*) as n, " + ", ".join(micro(e, n) for e, n in (("avg(value)", "mean"), ("median(value)", "median"), ("min(value)", "min"), ("max(value)", "max"), *((f"quantile_cont(value, {p / 100})", f"q{p:02d}") for p in (5, 10, 25, 50, 75, 90, 95)), ("var_pop(value)", "variance"), ("stddev_pop(value)", "stdev"))) + " from x group by 1, 2, 3"))
 def zonal_stats(spark, d):
     cells = _cells(spark, d)
-    return out(segments.zonal_stats(adapters.label_px(cells), cells), "run_id label:i band n:i mean:m median:m min:m max:m q10:m q90:m variance:m")
+    return out(segments.zonal_stats(adapters.label_px(cells), cells), "run_id label:i band n:i mean:m median:m min:m max:m q05:m q10:m q25:m q50:m q75:m q90:m q95:m variance:m stdev:m")
 
 
 def _lattice(spark, d):

@@ -200,3 +200,34 @@ def test_study_commands(spark, tmp_path, capsys):
     from mosaiq.cli import ledger_state
 
     assert [tuple(r) for r in ledger_state(spark, str(tmp_path / "l")).collect()] == [("v1", "1", "ok", 2), ("v2", "1", "failed", 1)]
+
+
+def test_scores_fall_back(spark):
+    rows = [(1, 0.4, 0.9, 1.3), (2, 0.4, 0.9, 1.3), (3, 0.4, 0.9, 1.3), (4, None, 0.9, 1.3), (5, None, 0.9, -0.2), (6, None, 0.9, 0.6)]
+    flags = ", ".join(f"false as {c}" for c in ("scale_jump", "spatial_jump", "flutter_flag", "edge_loaded"))
+    own = spark.createDataFrame(rows, "spatialr int, match_support double, x double, legacy_score double").selectExpr("*", flags.split(", ")[0], *flags.split(", ")[1:], "true as centered", "0.0 as score", "'x' as outcome")
+    ensemble = spark.createDataFrame([(1, 0.7, True), (2, 0.7, False)], "spatialr int, score double, evaluable boolean")
+    boundary = spark.createDataFrame([(4, 0.5), (5, 0.5)], "spatialr int, support double")
+    got = {r["spatialr"]: (r["method"], round(r["score"], 9), r["outcome"]) for r in groups.group_scores(own, ensemble, boundary).collect()}
+    assert got == {
+        1: ("ensemble", 0.7, "ensemble_support_evaluable"),
+        2: ("ensemble", 0.0, "ensemble_support_not_evaluable"),
+        3: ("scale_match", 0.4, "stable_with_warnings"),
+        4: ("legacy_by_boundary", 0.5, "stable_with_warnings"),
+        5: ("legacy_by_boundary", 0.0, "stable_with_warnings"),
+        6: ("legacy", 0.6, "stable_with_warnings"),
+    }
+
+
+def test_headings_that_cancel(spark):
+    images = spark.createDataFrame([(1, 0.0), (1, 90.0), (2, 10.0)], "sortie int, yaw double")
+    assert {r["sortie"]: r["axis"] is None for r in flight.dominant_axis(images, "sortie").collect()} == {1: True, 2: False}
+    with pytest.raises(Exception, match="headings cancel"):
+        flight.dominant_axis(images, "sortie", strict=True).collect()
+
+
+def test_profiles_as_wide_rows(spark):
+    design = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "run_id string, k int")
+    chain = spark.createDataFrame([("a", '{"status": "done", "n": "x"}'), ("b", "{")], "run_id string, json string")
+    got = {r["run_id"]: tuple(r)[1:] for r in study.wide_profiles(design, {"chain": chain}, {"n": ("chain", "$.n", "int"), "s": ("chain", "$.status", "string")}, report="chain").collect()}
+    assert got == {"a": (1, None, "done", "done"), "b": (2, None, None, "invalid_or_empty_report"), "c": (3, None, None, "not_run")}
