@@ -8,7 +8,6 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.functions.exprs import array_median
 from mosaiq.operators.distance import nearest_source
 from mosaiq.operators.order import nth_values
 from mosaiq.sources.stage import stage
@@ -55,24 +54,25 @@ def rank_check(ranked: DataFrame, score: str, stored: str, key: str) -> DataFram
 
 
 def jump_cutoff(sizes: DataFrame, value: str, keys: tuple[str, ...] = (), smooth: int = 101, least: int = 1) -> DataFrame:
-    """Per keys the size after which the logarithms of the sorted sizes, smoothed by a running median, bend most.
+    """Per keys the size at which the logarithms of the sorted sizes bend most, the first of equal bends; `least` for fewer than ten.
 
-    `smooth` is the odd width of the median (none if it isn't smaller than the number of sizes; at the ends the widest
-    that fits). Fewer than ten sizes give `least`. Equal sizes count one by one, so sizes of a group are gathered: they are
-    a run's segments.
+    Equal sizes count one by one. They are counted first: of a size that occurs several times only the first, the last and
+    one between can matter. `smooth`, the width of a running median of the logarithms, changes nothing whatever it is: in
+    sorted values the median of a window is its middle one.
     """
-    own = sizes.where(F.col(value) > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("x"))
-    n = F.size("x")
-    half = F.lit(smooth // 2)
-    logs = F.transform("x", lambda v: F.log(v))
-    own = own.withColumn("l", logs)
-    median = lambda i, k: array_median(F.slice("l", (i - k + 1).cast("int"), (2 * k + 1).cast("int")))
-    smoothed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: median(i, F.least(i, n - 1 - i, half)))
-    own = own.withColumn("l", F.when((F.lit(smooth) < n) & F.lit(smooth >= 3 and smooth % 2 == 1), smoothed).otherwise(F.col("l")))
-    bends = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.floor((F.get("l", i + 1) - 2 * F.get("l", i) + F.get("l", i - 1)) * 1e9 + 0.5).alias("b"), (-i).alias("i")))
-    at = -F.array_max(bends)["i"]
-    cut = F.when(n >= 10, F.greatest(F.lit(least), F.rint(F.get("x", at)).cast("int"))).otherwise(F.lit(least))
-    return own.select(*keys, cut.alias("cutoff"), n.alias("n"))
+    counts = sizes.where(F.col(value) > 0).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_v")
+    log = F.log("_v")
+    own = counts.withColumns({"_start": F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_l": log, "_before": F.lag(log).over(order), "_after": F.lead(log).over(order)})
+    bend = lambda x: F.floor(x * 1e9 + 0.5)
+    one = F.when(F.col("_n") == 1, F.struct(bend(F.col("_after") - 2 * F.col("_l") + F.col("_before")).alias("b"), (-F.col("_start")).alias("i")))
+    first = F.when(F.col("_n") > 1, F.struct(bend(F.col("_l") - 2 * F.col("_l") + F.col("_before")).alias("b"), (-F.col("_start")).alias("i")))
+    between = F.when(F.col("_n") > 2, F.struct(bend(F.col("_l") - 2 * F.col("_l") + F.col("_l")).alias("b"), (-F.col("_start") - 1).alias("i")))
+    last = F.when(F.col("_n") > 1, F.struct(bend(F.col("_after") - 2 * F.col("_l") + F.col("_l")).alias("b"), (-F.col("_start") - F.col("_n") + 1).alias("i")))
+    bends = own.select(*keys, "_v", "_n", F.array_max(F.filter(F.array(one, first, between, last), lambda x: x["b"].isNotNull())).alias("_b"))
+    found = bends.groupBy(*keys).agg(F.sum("_n").alias("n"), F.max_by("_v", "_b").alias("_at"))
+    cut = F.when(F.col("n") >= 10, F.greatest(F.lit(least), F.rint("_at").cast("int"))).otherwise(F.lit(least))
+    return found.select(*keys, cut.alias("cutoff"), "n")
 
 
 def knee_cutoff(sizes: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:

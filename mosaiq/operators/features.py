@@ -177,8 +177,3 @@ def local_maximum(cells: DataFrame, value: str, radius: int) -> DataFrame:
     rows = cells.select("r", "c", key.alias("k"), shift).groupBy("r", (F.col("c") + F.col("s")).alias("c")).agg(F.max("k").alias("k"))
     best = rows.select("r", "c", "k", shift).groupBy((F.col("r") + F.col("s")).alias("r"), "c").agg(F.max("k").alias("k"))
     return cells.join(best, ["r", "c"]).where((-F.col("k.r") == F.col("r")) & (-F.col("k.c") == F.col("c"))).drop("k")
-
-
-def running_order(df: DataFrame, *order) -> DataFrame:
-    """df with `index` from 0 in that order, over one bounded table."""
-    return df.withColumn("index", F.row_number().over(Window.orderBy(*order)) - 1)

@@ -73,8 +73,9 @@ def patches(cells: DataFrame, same: list[str], pixel: float = 1.0, least: int =
 
 def patch_radii(cells: DataFrame, same: list[str], at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Quantiles of the equivalent radii of the 8-connected patches."""
-    sizes = patches(cells, same)
-    return sizes.agg(F.count(F.lit(1)).alias("patches"), *(F.percentile("radius", F.lit(p)).alias(f"p{round(p * 100)}") for p in at))
+    sizes = stage(patches(cells, same), "patches")
+    found = quantiles(sizes, [], "radius", list(at)).select(*(F.get("q", F.lit(k)).alias(f"p{round(p * 100)}") for k, p in enumerate(at)))
+    return sizes.agg(F.count(F.lit(1)).alias("patches")).join(found, how="left")  # one row each
 
 
 def patch_scales(radii: DataFrame, at: tuple[float, ...], pixel: float, count: int, most: int = 30) -> DataFrame:

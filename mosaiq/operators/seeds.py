@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators.distance import nearest_source
-from mosaiq.operators.order import index_of
+from mosaiq.operators.order import index_of, quantiles
 from mosaiq.operators.regions import connected
 from mosaiq.session import ship
 from mosaiq.sources.stage import stage
@@ -89,8 +89,11 @@ def complete_coverage(cells: DataFrame, seeds: DataFrame, limit: int) -> DataFra
 
 
 def coverage_summary(covered: DataFrame, limit: float) -> DataFrame:
-    d = F.sqrt("d2")
-    return covered.agg(F.count(F.lit(1)).alias("cells"), F.percentile(d, F.lit(0.5)).alias("p50"), F.percentile(d, F.lit(0.95)).alias("p95"), F.percentile(d, F.lit(0.99)).alias("p99"), F.max(d).alias("max"), F.count_if(d <= limit).alias("within"))
+    """One row: cells, quantiles and maximum of the distance to the nearest seed, cells within the limit."""
+    far = covered.select(F.sqrt("d2").alias("d"))
+    one = far.agg(F.count(F.lit(1)).alias("cells"), F.max("d").alias("max"), F.count_if(F.col("d") <= limit).alias("within"))
+    at = quantiles(far, [], "d", [0.5, 0.95, 0.99]).select(*(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
+    return one.join(at, how="left")  # one row each
 
 
 def centroids(labels: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from mosaiq.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"region_merge", "region_growing"}
+SLOW = {"region_merge"}
 
 
 def _plain(x):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mosaiq import cli
 from mosaiq.functions import exprs
-from mosaiq.operators import checks, features, flight, groups, ledger, partitions, segments, study
+from mosaiq.operators import checks, features, flight, groups, ledger, partitions, prescreen, regions, segments, study
 from mosaiq.plans import config
 from mosaiq.sources import grids, tables
 
@@ -231,3 +231,44 @@ def test_profiles_as_wide_rows(spark):
     chain = spark.createDataFrame([("a", '{"status": "done", "n": "x"}'), ("b", "{")], "run_id string, json string")
     got = {r["run_id"]: tuple(r)[1:] for r in study.wide_profiles(design, {"chain": chain}, {"n": ("chain", "$.n", "int"), "s": ("chain", "$.status", "string")}, report="chain").collect()}
     assert got == {"a": (1, None, "done", "done"), "b": (2, None, None, "invalid_or_empty_report"), "c": (3, None, None, "not_run")}
+
+
+def test_jumps_among_many_equal_sizes(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, int(v)) for k in range(12) for v in np.sort(r.choice([1, 2, 3, 5, 8, 40, 41, 300], 9 + 4 * k))]
+    got = {x["k"]: (x["cutoff"], x["n"]) for x in checks.jump_cutoff(spark.createDataFrame(rows, "k int, v int"), "v", ("k",), 5, 2).collect()}
+    for k in range(12):
+        x = np.array([v for g, v in rows if g == k], dtype=float)
+        logs = np.log(x)
+        smooth = [np.median(logs[i - min(i, len(x) - 1 - i, 2) : i + min(i, len(x) - 1 - i, 2) + 1]) for i in range(len(x))] if len(x) > 5 else logs
+        bends = [np.floor((smooth[i + 1] - 2 * smooth[i] + smooth[i - 1]) * 1e9 + 0.5) for i in range(1, len(x) - 1)]
+        assert got[k] == (max(2, round(x[1 + int(np.argmax(bends))])) if len(x) >= 10 else 2, len(x))
+
+
+def test_scales_and_samples(spark):
+    scales = prescreen.scales_frame(spark, [0.04, 1.0, 2.5], 0.5)
+    assert [tuple(r)[3:] for r in scales.collect()] == [(1, 1), (2, 13), (5, 79)]
+    ranger = spark.createDataFrame([(0.7,)], "ranger double")
+    assert {r["ranger"] for r in prescreen.with_scene_ranger(scales, ranger).collect()} == {0.7}
+    with pytest.raises(ValueError, match="one ranger"):
+        prescreen.with_scene_ranger(scales, ranger.limit(0))
+    rows = spark.range(100).select(F.col("id").alias("k"))
+    some = {r["k"] for r in ledger.hash_sample(rows, 7, "k").collect()}
+    assert len(some) == 7 and some == {r["k"] for r in ledger.hash_sample(rows.repartition(5), 7, "k").collect()}
+
+
+def test_one_resolution(spark):
+    heads = lambda rows: spark.createDataFrame(rows, "xres double, yres double")
+    assert checks.one_resolution(heads([(0.5, -0.5), (0.5 + 1e-9, -0.5)])).first()["resolution"] == pytest.approx(0.5)
+    for rows in ([(0.5, 0.5), (0.7, 0.5)], []):
+        with pytest.raises(Exception, match="no or several"):
+            checks.one_resolution(heads(rows)).collect()
+
+
+def test_merging_inside_a_window(spark):
+    cells = spark.createDataFrame([(r, c, float(10 * (c // 2))) for r in range(6) for c in range(6)], "r int, c int, m1 double")
+    merged, report = regions.merge_in_window(cells, ("m1",), 2, 1.0, None, 1, 0, 4, 4)
+    rows = merged.collect()
+    assert len(rows) == 16 and {r["r"] for r in rows} == {1, 2, 3, 4}
+    assert len({r["region"] for r in rows}) == 2 and all(len({r["m1"] for r in rows if r["region"] == k}) == 1 for k in {r["region"] for r in rows})
+    assert tuple(report.first()) == (16, report.first()["initial_regions"], 2, 0.0) and report.first()["initial_regions"] >= 4
