@@ -52,17 +52,21 @@ def pair_support(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (left_run, right_run, reach) with `support`: boundary pixels of each side score max(0, 1 - distance / reach)
     against the other side, summed both ways over all boundary pixels of both; 1 without any.
 
-    Each run is asked once for its distance at the pixels that are a boundary in a run it is paired with; that result is
-    met by position.
+    Each run is asked once for its distance at the pixels that are a boundary in a run it is paired with. A pixel then
+    gathers the runs that have a boundary there and the distances asked for, a row a run of the design at most, so pairs
+    are scored where they lie and only their sums are shuffled.
     """
     both = pairs.select("left_run", "right_run", "reach", F.explode(F.array(F.struct(F.col("left_run").alias("own"), F.col("right_run").alias("other")), F.struct(F.col("right_run").alias("own"), F.col("left_run").alias("other")))).alias("x")).select("left_run", "right_run", "reach", "x.*")
     own = edges.select(F.col("run_id").alias("own"), "r", "c")
     sized = edges.groupBy(F.col("run_id").alias("own")).agg(F.count(F.lit(1)).alias("n"))
     total = both.join(sized, "own", "left").groupBy("left_run", "right_run", "reach").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pixels"))
     partners = both.groupBy("own").agg(F.collect_set("other").alias("others"))  # runs of a design
-    asked = own.join(partners, "own").groupBy("r", "c").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    asked = own.join(partners, "own").groupBy("r", "c").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"), F.collect_set("own").alias("owns"))
+    asked = stage(asked, "asked")
     near = nearest_boundary(asked.select(F.explode("others").alias("run_id"), "r", "c"), edges).where("d2 is not null")
-    met = both.join(own, "own").join(near.withColumnRenamed("run_id", "other"), ["other", "r", "c"])
+    far = near.groupBy("r", "c").agg(F.map_from_entries(F.collect_list(F.struct("run_id", "d2"))).alias("far"))
+    pixels = asked.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "owns").join(far, ["r", "c"])
+    met = pixels.select(F.explode("owns").alias("own"), "far").join(both, "own").withColumn("d2", F.element_at("far", F.col("other"))).where("d2 is not null")
     # integers sum to the same value in any order
     score = F.floor(F.greatest(F.lit(0.0), 1 - F.sqrt("d2") / F.col("reach")) * 1e9 + 0.5).cast("long")
     summed = met.groupBy("left_run", "right_run", "reach").agg(F.sum(score).alias("score"))
