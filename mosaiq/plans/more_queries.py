@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mosaiq.functions import exprs
-from mosaiq.operators import boundary, checks, features, flight, groups, ledger, partitions, prescreen, regions, response, seeds, segments, study
+from mosaiq.operators import boundary, checks, features, flight, groups, ledger, partitions, prescreen, regions, response, segments, study
 from mosaiq.plans import queries as base
 from mosaiq.plans.oracle_views import micro, milli, sql
-from mosaiq.plans.queries import BANDS, out, query, want
-from mosaiq.sources import adapters, tables
+from mosaiq.plans.queries import BANDS, out, query
+from mosaiq.sources import adapters
 from mosaiq.sources.stage import stage
 
 CLASSES, PERCENTS = segments.CLASSES, segments.PERCENTS
