@@ -139,6 +139,20 @@ def selected_product(summary: DataFrame) -> DataFrame:
     return out.select(F.col("continuous_first").alias("variant_id"), (F.col("mask_first") == F.col("continuous_first")).alias("mask_agrees"), (F.col("support_first") == F.col("continuous_first")).alias("support_agrees"))
 
 
+def product_context(summary: DataFrame, medoids: DataFrame) -> DataFrame:
+    """selected_product with the firsts of the other rankings, the variant's medoid replicate and its distance, and warnings.
+
+    medoids: variant_id, replicate, distance, rank. Warnings: support_differs, mask_differs, no_medoid.
+    """
+    first = {k: rank_variants(summary, k).where("rank = 1").select(F.col("variant_id").alias(n)) for k, n in (("continuous", "variant_id"), ("support", "support_variant"), ("mask", "mask_variant"))}
+    one = first["continuous"].join(first["support"]).join(first["mask"])  # one row each
+    nearest = medoids.where("rank = 1 and distance is not null").select("variant_id", F.col("replicate").alias("medoid"), F.col("distance").alias("medoid_distance"))
+    out = one.join(nearest, "variant_id", "left")
+    differs = lambda c, name: F.when(F.col(c) != F.col("variant_id"), F.lit(name))
+    warnings = F.array(differs("support_variant", "support_differs"), differs("mask_variant", "mask_differs"), F.when(F.col("medoid").isNull(), F.lit("no_medoid")))
+    return out.withColumn("warnings", F.array_join(F.filter(warnings, lambda x: x.isNotNull()), ";"))
+
+
 def grid_modes(obs: DataFrame, reference: str) -> DataFrame:
     """Extents of the variants' rasters combined: union, intersection (empty: no row) and one reference variant."""
     per = obs.groupBy("variant_id").agg(F.min("c").alias("xmin"), (F.max("c") + 1).alias("xmax"), F.min("r").alias("ymin"), (F.max("r") + 1).alias("ymax"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mosaiq import cli
 from mosaiq.functions import exprs
-from mosaiq.operators import checks, features, flight, groups, ledger, partitions, prescreen, regions, segments, study
+from mosaiq.operators import checks, control_points, features, flight, groups, ledger, partitions, prescreen, regions, segments, study
 from mosaiq.plans import config
 from mosaiq.sources import grids, tables
 
@@ -272,3 +272,14 @@ def test_merging_inside_a_window(spark):
     assert len(rows) == 16 and {r["r"] for r in rows} == {1, 2, 3, 4}
     assert len({r["region"] for r in rows}) == 2 and all(len({r["m1"] for r in rows if r["region"] == k}) == 1 for k in {r["region"] for r in rows})
     assert tuple(report.first()) == (16, report.first()["initial_regions"], 2, 0.0) and report.first()["initial_regions"] >= 4
+
+
+def test_control_points(spark):
+    surface = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(4) for c in range(4)], "r int, c int, z double")
+    points = spark.createDataFrame([(1, 1.5, 2.25, 100.0, 200.0), (2, 9.0, 0.0, 1.0, 2.0)], "gcp_id int, row double, column double, x double, y double")
+    table = control_points.control_points(points, surface, "z")
+    assert sorted(map(tuple, table.collect())) == [("point1", 100.0, 200.0, 17.25), ("point2", 1.0, 2.0, None)]
+    marks = spark.createDataFrame([(3, 1, 100, 12, 5.0, 6.0), (1, 12, 101, 12345, 1.0, 2.0), (1, 2, 100, 7, None, None)], "gcp int, part_folder int, media_folder int, image_file int, x double, y double")
+    shown = control_points.image_points(marks)
+    assert [r["image_path"] for r in shown.collect()] == ["PART_12/101MEDIA/DJI_12345.JPG", "PART_01/100MEDIA/DJI_0012.JPG"]
+    assert sorted(map(tuple, control_points.unmatched_points(table, shown).collect())) == [("point2", "marks"), ("point3", "points")]
