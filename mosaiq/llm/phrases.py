@@ -29,7 +29,7 @@ LEAST, LONGEST, TOP, SCALE, COVER = 30, 4, 2_000, 2_000_000, 80
 #: Frequent words (rows, bytes) and grams of a level (8 bytes each) that may be broadcast.
 MOST_WORDS, MOST_WORD_BYTES, MOST_GRAMS = 1 << 20, 1 << 25, 1 << 22
 #: Distinct words, or positions, that a task gathers before it gives its counts out.
-HELD = 1 << 18
+HELD = 1 << 17
 #: Bytes of a text that are split at once, and numbers in a written sequence, roughly; texts stay whole.
 SLICE = 1 << 20
 #: Rows that are ranked together in the first round.
