@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mosaiq import cli
 from mosaiq.functions import exprs
 from mosaiq.operators import checks, control_points, features, flight, groups, ledger, partitions, prescreen, regions, segments, study
-from mosaiq.plans import config
+from mosaiq.plans import config, more_queries
 from mosaiq.sources import grids, tables
 
 
@@ -43,6 +43,17 @@ def test_top_pair_cases(spark):
     assert got["few"]["status"] == groups.NO_PAIR and got["none"]["status"] == groups.NO_FIELD and got["none"]["boundary_side"] == "cannot_determine"
 
 
+def test_groups_of_a_case_are_ranked_by_their_mean(spark):
+    _, ranked = more_queries._ranked(spark, "/root/testdata/sf0.001")
+    by_case = {}
+    for r in ranked.collect():
+        by_case.setdefault(r["case_id"], []).append((r["rank"], -np.floor(r["m"] * 1e9 + 0.5), r["group_id"]))
+    assert by_case
+    for rows in by_case.values():
+        assert [r[0] for r in sorted(rows)] == list(range(1, len(rows) + 1))
+        assert [r[1:] for r in sorted(rows)] == sorted(r[1:] for r in rows)
+
+
 def test_handoff_sources(spark):
     rows = [("a", "a", "b", "m", 1.0, 0.0, 0.7), ("a", "a", "b", "m", 1.0, 0.0, 0.5), ("b", "a", "b", "m", 0.0, 1.0, 0.5), ("a", "a", "b", "m", 1.0, 0.0, float("nan"))]
     df = spark.createDataFrame(rows, "first string, lower string, upper string, midpoint string, s1 double, s2 double, sm double")
