@@ -294,3 +294,13 @@ def test_control_points(spark):
     shown = control_points.image_points(marks)
     assert [r["image_path"] for r in shown.collect()] == ["PART_12/101MEDIA/DJI_12345.JPG", "PART_01/100MEDIA/DJI_0012.JPG"]
     assert sorted(map(tuple, control_points.unmatched_points(table, shown).collect())) == [("point2", "marks"), ("point3", "points")]
+
+
+def test_one_baseline_moves_rows_once(spark):
+    base = spark.range(4).selectExpr("id as candidate_id", "5 as spatialr", "1.0D as ranger", "8 as minsize")
+    grid = checks.one_baseline(checks.perturbation_grid(base, 0.1, 5, 1))
+    assert grid.count() == 4 * 27
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    with pytest.raises(Exception, match="not one baseline: 1"):
+        checks.one_baseline(grid.unionByName(grid.where("candidate_id = 1"))).count()
