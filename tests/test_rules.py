@@ -304,3 +304,11 @@ def test_one_baseline_moves_rows_once(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     with pytest.raises(Exception, match="not one baseline: 1"):
         checks.one_baseline(grid.unionByName(grid.where("candidate_id = 1"))).count()
+
+
+def test_half_sample_sorts_once(spark):
+    one = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda x: x.cast("double") * x).alias("v"))
+    found = one.select(prescreen.half_sample(F.col("v")).alias("m"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sort_array(") + plan.count("array_sort(") == 1
+    assert tuple(found.first()["m"]) == (2.5, 1.0, 25.0, 9, 0)
