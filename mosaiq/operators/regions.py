@@ -43,18 +43,28 @@ def connected(cells: DataFrame, same: list[str], steps=STEPS4) -> DataFrame:
     return cells.join(whole, "cell")
 
 
+def _ends(pointers: DataFrame) -> DataFrame:
+    """pointers (region, to) to the ends of their chains, in rounds that each follow twice as many."""
+    while True:
+        far = pointers.select(F.col("region").alias("to"), F.col("to").alias("far"))
+        new = stage(pointers.join(far, "to", "left").select("region", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "jumps")
+        pointers = new.drop("moved")
+        if not new.where("moved").head(1):
+            return pointers
+
+
 def join_labels(edges: DataFrame) -> DataFrame | None:
     """region and to, the smallest label that it reaches over edges (u, v), of each that isn't its own; None without edges.
 
-    Hook and jump: a label takes the least one next to it, then labels follow their own pointers, so rounds grow with the
-    logarithm of a component's width, roughly.
+    Hook and jump: a label takes the least one next to it, then labels follow their own pointers to the end, so rounds grow
+    with the logarithm of a component's width, roughly. A label with a pointer is in no edge afterwards, so it has one row.
     """
     edges, now = stage(edges.where("u != v"), "edges"), None
     while True:
         hooks = stage(edges.select(F.greatest("u", "v").alias("region"), F.least("u", "v").alias("to")).groupBy("region").agg(F.min("to").alias("to")), "hooks")
         if not hooks.head(1):
             return now
-        jump = stage(hooks.join(hooks.select(F.col("region").alias("to"), F.col("to").alias("far")), "to", "left").select("region", F.coalesce("far", "to").alias("to")), "jumps")
+        jump = _ends(hooks)
         if now is not None:
             moved = now.join(jump.select(F.col("region").alias("to"), F.col("to").alias("_to")), "to", "left").select("region", F.coalesce("_to", "to").alias("to"))
             now = stage(moved.unionByName(jump), "labels")

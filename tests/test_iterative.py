@@ -244,3 +244,9 @@ def test_resuming_needs_filled_fields_and_levels_come_from_tables(spark):
     assert sorted(r["variant_id"] for r in grid.collect()) == ["x-1_y-u", "x-1_y-v", "x-2_y-u", "x-2_y-v"]
     with pytest.raises(ValueError, match="budget"):
         ledger.candidate_population(levels.select(F.col("x").alias("spatialr")), levels.select(F.col("x").alias("ranger")), levels.select(F.col("x").alias("phase")), 26)
+
+
+def test_labels_in_long_chains_have_one_row(spark):
+    edges = [(i, i + 1) for i in range(1, 13)] + [(0, 13), (20, 21), (21, 22), (22, 23), (19, 22)]
+    got = sorted(map(tuple, regions.join_labels(spark.createDataFrame(edges, "u long, v long")).select("region", "to").collect()))
+    assert got == [(i, 0) for i in range(1, 14)] + [(i, 19) for i in range(20, 24)]
