@@ -312,3 +312,10 @@ def test_half_sample_sorts_once(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.count("sort_array(") + plan.count("array_sort(") == 1
     assert tuple(found.first()["m"]) == (2.5, 1.0, 25.0, 9, 0)
+
+
+def test_flat_curves_have_no_knee(spark):
+    flat = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 5.0)], "lag int, semivariance double")
+    assert tuple(prescreen.knee(flat).first()) == (1, 5.0, None)
+    assert tuple(prescreen.knee(flat.where("lag = 2")).first()) == (2, 5.0, None)
+    assert tuple(prescreen.sill(flat.withColumn("semivariance", F.lit(0.0))).first()) == (0.0, None)
