@@ -67,11 +67,13 @@ def flight_lines(images: DataFrame, axis: float, tolerance: float = 30.0, key: s
 def local_metres(images: DataFrame, axis: float) -> DataFrame:
     """images with along_m and cross_m: metres from the mean position, along and across the axis.
 
-    Longitudes are taken relative to one of them and wrapped, so a flight across 180 degrees stays together.
+    Longitudes are taken relative to one of them and wrapped, so a flight across 180 degrees stays together. Means are
+    summed as decimals, so they are the same in any order of the rows.
     """
-    mean = images.agg(F.avg("lat").alias("_lat"), F.min("lon").alias("_base"))
+    exact = lambda c: F.sum(F.col(c).try_cast("decimal(28,18)")).cast("double") / F.nullif(F.count(F.col(c).try_cast("decimal(28,18)")), F.lit(0))
+    mean = images.agg(exact("lat").alias("_lat"), F.min("lon").alias("_base"))
     images = images.join(F.broadcast(mean)).withColumn("_off", longitude_wrap(F.col("lon") - F.col("_base")))  # one row
-    images = images.join(F.broadcast(images.agg(F.avg("_off").alias("_lon"))))
+    images = images.join(F.broadcast(images.agg(exact("_off").alias("_lon"))))
     north, east = metres_per_degree(F.col("_lat"))
     y, x = (F.col("lat") - F.col("_lat")) * north, (F.col("_off") - F.col("_lon")) * east
     a = F.radians(F.lit(axis))

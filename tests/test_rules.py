@@ -319,3 +319,12 @@ def test_flat_curves_have_no_knee(spark):
     assert tuple(prescreen.knee(flat).first()) == (1, 5.0, None)
     assert tuple(prescreen.knee(flat.where("lag = 2")).first()) == (2, 5.0, None)
     assert tuple(prescreen.sill(flat.withColumn("semivariance", F.lit(0.0))).first()) == (0.0, None)
+
+
+def test_mean_position_in_any_order(spark):
+    rows = [(50 + (i * 7 % 97) / 10000, 8 + (i * 5 % 89) / 10000) for i in range(3000)]
+    found = set()
+    for order in (rows, rows[::-1], sorted(rows)):
+        own = spark.createDataFrame([*order, (60.0, 9.0)], "lat double, lon double").coalesce(1)
+        found.add(tuple(flight.local_metres(own, 45.0).where("lat = 60").select("along_m", "cross_m").first()))
+    assert len(found) == 1
