@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.exprs import angular_difference, array_median, axis_difference, longitude_wrap, metres_per_degree
+from mosaiq.operators.order import index_of, quantiles, ranged
+from mosaiq.sources.stage import stage
 
 MICRO = 1_000_000
 
@@ -51,17 +53,27 @@ def flight_lines(images: DataFrame, axis: float, tolerance: float = 30.0, key: s
     An image off the axis ends a line and is left out; so does a change of direction or a gap of more than
     max(10 s, 5 median intervals), measured from the image before, on the axis or not.
     """
-    order = Window.partitionBy(key).orderBy("t_us", "image_id")
-    step = images.withColumn("_step", F.col("t_us") - F.lag("t_us").over(order))
-    typical = step.where("_step > 0").groupBy(key).agg(F.median("_step").alias("_median"))
     off = axis_difference(F.col("yaw"), F.lit(axis)) > tolerance
     direction = F.when(angular_difference(F.col("yaw"), F.lit(axis)) <= 90, 1).otherwise(-1)
-    seen = step.withColumns({"_off": off, "direction": direction}).join(typical, key, "left")
+    # a sortie may be most of the images: ranges of its order are the unit, whose ends are chained, a row a range
+    rows = ranged(images.withColumns({"_off": off, "direction": direction}), [key, "t_us", "image_id"])
+    own = F.struct(key, "t_us", "image_id", "_off", "direction")
+    ends = rows.groupBy("_part").agg(F.max(own).alias("_end"))
+    ends = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_end"))  # one row a range
+    before = F.coalesce(F.lag(own).over(Window.partitionBy("_part").orderBy(key, "t_us", "image_id")), F.col("_end"))
+    seen = rows.join(F.broadcast(ends), "_part").withColumn("_before", before).drop("_end")
+    seen = seen.withColumn("_before", F.when(F.col(f"_before.{key}").eqNullSafe(F.col(key)), F.col("_before"))).withColumn("_step", F.col("t_us") - F.col("_before.t_us"))
+    seen = stage(seen, "steps")
+    typical = quantiles(seen.where("_step > 0"), [key], "_step", [0.5]).select(key, F.get("q", F.lit(0)).alias("_median"))
+    typical = seen.select("_part", key).distinct().join(typical, key, "left")
     limit = F.greatest(F.lit(10.0 * MICRO), 5 * F.coalesce("_median", F.lit(1.0 * MICRO)))
-    broken = F.lag("_off").over(order) | (F.lag("direction").over(order) != F.col("direction")) | (F.col("_step") > limit)
-    flagged = seen.withColumn("_new", F.when(~F.col("_off"), F.coalesce(broken, F.lit(True)).cast("long")).otherwise(0))
-    numbered = flagged.withColumn("line", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.where(~F.col("_off")).drop("_step", "_off", "_median", "_new")
+    broken = F.col("_before._off") | (F.col("_before.direction") != F.col("direction")) | (F.col("_step") > limit)
+    flagged = stage(seen.join(typical, ["_part", key]).withColumn("_new", F.when(~F.col("_off"), F.coalesce(broken, F.lit(True)).cast("long")).otherwise(0)), "flagged")
+    earlier = F.sum("_new").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = flagged.groupBy("_part", key).agg(F.sum("_new").alias("_new")).select("_part", key, F.coalesce(earlier, F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part", key).orderBy("t_us", "image_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = flagged.withColumn("line", F.sum("_new").over(inside)).join(base, ["_part", key]).withColumn("line", F.col("line") + F.col("_base"))
+    return numbered.where(~F.col("_off")).select(*images.columns, "direction", "line")
 
 
 def local_metres(images: DataFrame, axis: float) -> DataFrame:
@@ -101,21 +113,22 @@ def grid_block(windows: DataFrame, lines: int, key: str = "sortie") -> DataFrame
     along. The least of (distance of that centre, farthest image, distance across, key, first line's place) wins. Returns
     the key, first_line, last_line, centre, farthest, cross_centre, along_centre and `lines`, in order across.
     """
-    order = Window.partitionBy(key).orderBy("cross_m", "line")
-    ahead = order.rowsBetween(Window.currentRow, lines - 1)
-    runs = windows.withColumns(
-        {
-            "_n": F.count(F.lit(1)).over(ahead),
-            "cross_centre": (F.col("cross_m") + F.last("cross_m").over(ahead)) / 2,
-            "along_centre": array_median(F.collect_list("along_m").over(ahead)),
-            "farthest": F.max("radial").over(ahead),
-            "lines": F.collect_list("line").over(ahead),
-            "_start": F.row_number().over(order),
-        }
-    ).where(F.col("_n") == lines)
+    # windows of one key may be most of them, so runs are met by places in the whole order, not in a window of the key
+    placed = index_of(windows.select(key, "line", "cross_m", "along_m", "radial"), [key, "cross_m", "line"], "_at")
+    runs = placed.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda k: F.col("_at") - k)).alias("_start"), F.struct("_at", key, "line", "cross_m", "along_m", "radial").alias("_x"))
+    runs = runs.groupBy("_start").agg(F.array_sort(F.collect_list("_x")).alias("_run"))
+    first, last, each = F.get("_run", F.lit(0)), F.element_at("_run", -1), lambda c: F.transform("_run", lambda x: x[c])
+    runs = runs.where((F.size("_run") == lines) & first[key].eqNullSafe(last[key])).select(
+        "_start",
+        first[key].alias(key),
+        ((first["cross_m"] + last["cross_m"]) / 2).alias("cross_centre"),
+        array_median(each("along_m")).alias("along_centre"),
+        F.array_max(each("radial")).alias("farthest"),
+        each("line").alias("lines"),
+    )
     scored = runs.withColumn("centre", F.sqrt(F.col("cross_centre") * F.col("cross_centre") + F.col("along_centre") * F.col("along_centre")))
-    best = scored.orderBy("centre", "farthest", F.abs("cross_centre"), key, "_start").limit(1)
-    return best.select(key, F.col("line").alias("first_line"), F.element_at("lines", -1).alias("last_line"), "centre", "farthest", "cross_centre", "along_centre", "lines")
+    best = scored.orderBy("centre", "farthest", F.abs("cross_centre"), "_start").limit(1)  # places ascend by key
+    return best.select(key, F.get("lines", F.lit(0)).alias("first_line"), F.element_at("lines", -1).alias("last_line"), "centre", "farthest", "cross_centre", "along_centre", "lines")
 
 
 def validity_reasons(images: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ GROUP_ROWS = 2_000_000
 BITS, PLACES = 12, 100_000
 
 
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
     """df, written in range partitions by `order`, with the number of its partition."""
     return stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
 
@@ -31,7 +31,7 @@ def sum_before(df: DataFrame, order: list[str], weight: Column, out: str) -> Dat
     Only the partitions' sums, one row a task, meet in one window. Rows that are equal in `order` stay in one range, so
     many equal ones are to be counted first: callers give distinct values or keys.
     """
-    rows = _ranged(df.withColumn("_w", weight), order)
+    rows = ranged(df.withColumn("_w", weight), order)
     sums = rows.groupBy("_part").agg(F.sum("_w").alias("_w"))
     before = sums.select("_part", F.coalesce(F.sum("_w").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -328,3 +328,30 @@ def test_mean_position_in_any_order(spark):
         own = spark.createDataFrame([*order, (60.0, 9.0)], "lat double, lon double").coalesce(1)
         found.add(tuple(flight.local_metres(own, 45.0).where("lat = 60").select("along_m", "cross_m").first()))
     assert len(found) == 1
+
+
+def test_one_sortie_is_several_tasks(spark):
+    rows = [(1, i, i * 2_000_000 + (60_000_000 if i > 1500 else 0), float(0 if i // 100 % 2 else 180) if i % 50 else 90.0) for i in range(3000)]
+    images = spark.createDataFrame(rows, "sortie int, image_id long, t_us long, yaw double")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        found = flight.flight_lines(images, 0.0).select("image_id", "direction", "line", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset(setting)
+    assert len({r["task"] for r in found}) > 1
+    line, off, last, want = 0, True, None, []
+    for _, i, t, yaw in rows:
+        way = 1 if yaw <= 90 else -1
+        if yaw != 90.0:
+            line += off or way != last[1] or t - last[0] > 10_000_000
+            want.append((i, way, line))
+        off, last = yaw == 90.0, (t, way)
+    assert sorted((r["image_id"], r["direction"], r["line"]) for r in found) == want
+
+
+def test_grid_block_has_no_window_of_a_sortie(spark):
+    windows = spark.createDataFrame([(s, k, float(k), 0.0, 1.0) for s in (1, 2) for k in range(-2, 3)], "sortie int, line int, cross_m double, along_m double, radial double")
+    found = flight.grid_block(windows, 4)
+    assert "windowspecdefinition(sortie" not in found._jdf.queryExecution().analyzed().toString()
+    assert (found.first()["sortie"], found.first()["lines"]) == (1, [-2, -1, 0, 1])
