@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.sources.stage import stage
+
 
 def contingency(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """a, b, n over the complete pairs: items without a part on either side are left out."""
@@ -77,11 +79,15 @@ def metric_spread(metrics: DataFrame, keys: list[str]) -> DataFrame:
 def ari_stability(labels: DataFrame, group: str = "spatialr") -> DataFrame:
     """Mean and sample sd of the adjusted Rand index over all pairs of runs of a group: labels (run_id, group, r, c, label).
 
-    One contingency table for all pairs: cells meet by place, and pair counts follow from three sums of it.
+    One contingency table for all pairs: a cell gathers its labels, one a run, cells with equal labels are counted, and pair
+    counts follow from three sums of the table.
     """
     own = labels.where("label > 0").select(group, "run_id", "r", "c", "label")
-    met = own.alias("a").join(own.alias("b"), [group, "r", "c"]).where("a.run_id < b.run_id")
-    table = met.groupBy(group, F.col("a.run_id").alias("left_run"), F.col("b.run_id").alias("right_run"), F.col("a.label").alias("x"), F.col("b.label").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    place = own.groupBy(group, "r", "c").agg(F.array_sort(F.collect_list(F.struct("run_id", "label"))).alias("_x"))
+    alike = stage(place.groupBy(group, "_x").agg(F.count(F.lit(1)).alias("_n")), "alike")  # a segment's cells mostly agree in all runs
+    left = alike.select(group, "_x", "_n", F.explode("_x").alias("_a"))
+    met = left.select(group, "_a", "_n", F.explode(F.filter("_x", lambda b: b["run_id"] > F.col("_a.run_id"))).alias("_b"))
+    table = stage(met.groupBy(group, F.col("_a.run_id").alias("left_run"), F.col("_b.run_id").alias("right_run"), F.col("_a.label").alias("x"), F.col("_b.label").alias("y")).agg(F.sum("_n").alias("n")), "table")
     key = [group, "left_run", "right_run"]
     choose = lambda n: F.sum(n * (n - 1) / 2)
     both = table.groupBy(*key).agg(F.sum("n").alias("items"), choose(F.col("n")).alias("both"))

@@ -355,3 +355,17 @@ def test_grid_block_has_no_window_of_a_sortie(spark):
     found = flight.grid_block(windows, 4)
     assert "windowspecdefinition(sortie" not in found._jdf.queryExecution().analyzed().toString()
     assert (found.first()["sortie"], found.first()["lines"]) == (1, [-2, -1, 0, 1])
+
+
+def test_ari_counts_cells_that_agree_once(spark, monkeypatch):
+    staged = {}
+
+    def spy(df, label):
+        staged[label] = df.localCheckpoint()
+        return staged[label]
+
+    monkeypatch.setattr(partitions, "stage", spy)
+    rows = [(4, f"run{k}", r, c, 1 + r // 8 + (c // 8) * 10 + k * (c == 0)) for k in range(3) for r in range(16) for c in range(16)]
+    got = one(partitions.ari_stability(spark.createDataFrame(rows, "spatialr int, run_id string, r int, c int, label long")))
+    assert got["pairs"] == 3 and 0 < got["mean"] < 1
+    assert staged["alike"].count() == 6  # of 256 cells
