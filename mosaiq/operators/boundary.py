@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators.distance import nearest_source
 from mosaiq.operators.response import medoids, robust_lower_support
+from mosaiq.session import ship
 from mosaiq.sources.stage import stage
 
+#: Rows of a band of labels.
+BAND = 64
+#: The largest reach that tiles look around themselves, their side at most, and cells of all runs that one holds, roughly.
+REACH, SIDE, CELLS = 64, 256, 1 << 23
+
 
 def boundary_pixels(labels: DataFrame) -> DataFrame:
-    """Pixels whose right or lower neighbour has another label; both must be valid. One ordered pass a row, one a column."""
-    valid = labels.where("label > 0")
-    beside = lambda line, step: F.lead(F.struct(step, "label")).over(Window.partitionBy("run_id", line).orderBy(step))
-    seen = valid.withColumns({"_right": beside("r", "c"), "_below": beside("c", "r")})
+    """Pixels whose right or lower neighbour has another label; both must be valid. One ordered pass a row, one a column.
+
+    Labels are shuffled once, by run and band of rows; a band's first row is also sent to the band above.
+    """
+    band = F.floor(F.col("r") / BAND)
+    valid = labels.where("label > 0").select("run_id", "spatialr", "ranger", "phase", "r", "c", "label")
+    sent = valid.withColumn("_band", F.explode(F.when(F.pmod("r", F.lit(BAND)) == 0, F.array(band, band - 1)).otherwise(F.array(band)))).repartition("run_id", "_band")
+    beside = lambda line, step: F.lead(F.struct(step, "label")).over(Window.partitionBy("run_id", "_band", line).orderBy(step))
+    seen = sent.withColumns({"_right": beside("r", "c"), "_below": beside("c", "r")})
     right = (F.col("_right.c") == F.col("c") + 1) & (F.col("_right.label") != F.col("label"))
     below = (F.col("_below.r") == F.col("r") + 1) & (F.col("_below.label") != F.col("label"))
-    return seen.where(right | below).select("run_id", "spatialr", "ranger", "phase", "r", "c")
+    return seen.where((F.col("_band") == band) & (right | below)).select("run_id", "spatialr", "ranger", "phase", "r", "c")
 
 
 def boundary_support(labels: DataFrame, edges: DataFrame, cells: DataFrame | None = None) -> DataFrame:
@@ -48,18 +63,12 @@ def pair_class(left: str = "a", right: str = "b") -> Column:
     )
 
 
-def pair_support(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (left_run, right_run, reach) with `support`: boundary pixels of each side score max(0, 1 - distance / reach)
-    against the other side, summed both ways over all boundary pixels of both; 1 without any.
+def _scores_far(own: DataFrame, edges: DataFrame, both: DataFrame) -> DataFrame:
+    """Scores of any reach: each run is asked once for its distance at the pixels that are a boundary in a run it is paired with.
 
-    Each run is asked once for its distance at the pixels that are a boundary in a run it is paired with. A pixel then
-    gathers the runs that have a boundary there and the distances asked for, a row a run of the design at most, so pairs
-    are scored where they lie and only their sums are shuffled.
+    A pixel then gathers the runs that have a boundary there and the distances asked for, a row a run of the design at most,
+    so pairs are scored where they lie and only their sums are shuffled.
     """
-    both = pairs.select("left_run", "right_run", "reach", F.explode(F.array(F.struct(F.col("left_run").alias("own"), F.col("right_run").alias("other")), F.struct(F.col("right_run").alias("own"), F.col("left_run").alias("other")))).alias("x")).select("left_run", "right_run", "reach", "x.*")
-    own = edges.select(F.col("run_id").alias("own"), "r", "c")
-    sized = edges.groupBy(F.col("run_id").alias("own")).agg(F.count(F.lit(1)).alias("n"))
-    total = both.join(sized, "own", "left").groupBy("left_run", "right_run", "reach").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pixels"))
     partners = both.groupBy("own").agg(F.collect_set("other").alias("others"))  # runs of a design
     asked = own.join(partners, "own").groupBy("r", "c").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"), F.collect_set("own").alias("owns"))
     asked = stage(asked, "asked")
@@ -69,7 +78,90 @@ def pair_support(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     met = pixels.select(F.explode("owns").alias("own"), "far").join(both, "own").withColumn("d2", F.element_at("far", F.col("other"))).where("d2 is not null")
     # integers sum to the same value in any order
     score = F.floor(F.greatest(F.lit(0.0), 1 - F.sqrt("d2") / F.col("reach")) * 1e9 + 0.5).cast("long")
-    summed = met.groupBy("left_run", "right_run", "reach").agg(F.sum(score).alias("score"))
+    return met.groupBy("left_run", "right_run", "reach").agg(F.sum(score).alias("score"))
+
+
+def clipped_squares(mask: np.ndarray, halo: int) -> np.ndarray:
+    """Squared distances of the cells of mask, without a rim of halo, to its nearest true cell; above halo ** 2 they only say so."""
+    n, w = mask.shape
+    at = np.arange(w, dtype=np.int32)
+    left = at - np.maximum.accumulate(np.where(mask, at, -w - halo), axis=1)
+    right = np.minimum.accumulate(np.where(mask, at, 2 * w + halo)[:, ::-1], axis=1)[:, ::-1] - at
+    flat = np.minimum(np.minimum(left, right), halo + 1)[:, halo : w - halo].astype(np.int32) ** 2
+    out = flat[halo : n - halo].copy()
+    for k in range(1, halo + 1):
+        np.minimum(out, np.minimum(flat[halo - k : n - halo - k], flat[halo + k : n - halo + k]) + k * k, out=out)
+    return out
+
+
+def _in_tile(side: int, halo: int):
+    def run(edges: pa.Table, pairs: pa.Table) -> pa.Table:
+        score = np.zeros(pairs.num_rows, np.int64)
+        if edges.num_rows and pairs.num_rows:
+            top, left = (pairs.column(x)[0].as_py() * side - halo for x in ("_tr", "_tc"))
+            r, c = (np.asarray(edges.column(x).to_numpy(), np.int64) - low for x, low in (("_r", top), ("_c", left)))
+            coded = pa.chunked_array(edges.column("_run").chunks).combine_chunks().dictionary_encode()
+            codes = coded.indices.to_numpy()
+            number = {x: i for i, x in enumerate(coded.dictionary.to_pylist())}
+            by = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[by], np.arange(len(number) + 1))
+            masks, squares, tables = {}, {}, {}
+
+            def mask(k):
+                if k not in masks:
+                    one = by[ends[k] : ends[k + 1]]
+                    masks[k] = np.zeros((side + 2 * halo, side + 2 * halo), bool)
+                    masks[k][r[one], c[one]] = True
+                return masks[k]
+
+            for i, (own, other, reach) in enumerate(zip(*(pairs.column(x).to_pylist() for x in ("own", "other", "reach")), strict=True)):
+                if own not in number or other not in number:
+                    continue
+                a, b = number[own], number[other]
+                if b not in squares:
+                    squares[b] = clipped_squares(mask(b), halo)
+                if reach not in tables:
+                    far = np.arange(2 * (halo + 1) ** 2 + 1)
+                    with np.errstate(divide="raise", invalid="raise"):
+                        tables[reach] = np.floor(np.maximum(0.0, 1 - np.sqrt(far) / reach) * 1e9 + 0.5).astype(np.int64)
+                inside = mask(a)[halo : halo + side, halo : halo + side]
+                score[i] = tables[reach][squares[b][inside]].sum()  # integers sum to the same value in any order
+        return pa.table([*(pairs.column(x) for x in ("left_run", "right_run", "reach")), pa.array(score)], ["left_run", "right_run", "reach", "score"])
+
+    return run
+
+
+def _scores_near(own: DataFrame, both: DataFrame, halo: int, runs: int) -> DataFrame:
+    """Scores of a reach of at most halo: tiles hold all runs' boundaries and those as far as halo around them, as beyond it nothing scores."""
+    side = max(4 * halo, min(SIDE, int((CELLS / runs) ** 0.5)))
+    tile = lambda c, by=0: F.floor((F.col(c).cast("long") + by) / side)
+    own = own.where("r is not null and c is not null")
+    tiles = own.select(tile("r").alias("_tr"), tile("c").alias("_tc")).distinct()
+    around = own.select(F.col("own").alias("_run"), F.col("r").cast("long").alias("_r"), F.col("c").cast("long").alias("_c"), F.explode(F.sequence(tile("r", -halo), tile("r", halo))).alias("_tr"))
+    sent = around.select("*", F.explode(F.sequence(F.floor((F.col("_c") - halo) / side), F.floor((F.col("_c") + halo) / side))).alias("_tc"))
+    asked = both.join(F.broadcast(tiles))  # a row a tile of the grid
+    types = {f.name: f.dataType.simpleString() for f in both.schema}
+    ship(own.sparkSession)
+    schema = f"left_run {types['left_run']}, right_run {types['right_run']}, reach {types['reach']}, score long"
+    scored = sent.groupBy("_tr", "_tc").cogroup(asked.groupBy("_tr", "_tc")).applyInArrow(_in_tile(side, halo), schema)
+    return scored.groupBy("left_run", "right_run", "reach").agg(F.sum("score").alias("score"))
+
+
+def pair_support(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (left_run, right_run, reach) with `support`: boundary pixels of each side score max(0, 1 - distance / reach)
+    against the other side, summed both ways over all boundary pixels of both; 1 without any.
+
+    edges and pairs are read several times, so they should be tables. Up to a reach of REACH tiles score what lies in
+    them, and boundaries are shuffled once; a larger one asks for exact distances, however far.
+    """
+    both = pairs.select("left_run", "right_run", "reach", F.explode(F.array(F.struct(F.col("left_run").alias("own"), F.col("right_run").alias("other")), F.struct(F.col("right_run").alias("own"), F.col("left_run").alias("other")))).alias("x")).select("left_run", "right_run", "reach", "x.*")
+    paired = both.select("own").distinct()
+    own = edges.select(F.col("run_id").alias("own"), "r", "c").join(F.broadcast(paired), "own", "left_semi")  # runs of a design
+    sized = own.groupBy("own").agg(F.count(F.lit(1)).alias("n"))
+    total = both.join(sized, "own", "left").groupBy("left_run", "right_run", "reach").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pixels"))
+    reach, runs = pairs.agg(F.max("reach")).first()[0] or 0, paired.count()
+    known = both.where("reach is not null")
+    summed = _scores_far(own, edges, known) if reach > REACH else _scores_near(own, known, max(1, math.ceil(reach)), max(1, runs))
     out = total.join(summed, ["left_run", "right_run", "reach"], "left")
     return out.select("left_run", "right_run", "reach", "pixels", F.when(F.col("pixels") > 0, F.coalesce("score", F.lit(0)) / 1e9 / F.col("pixels")).otherwise(F.lit(1.0)).alias("support"))
 
@@ -93,15 +185,20 @@ def boundary_jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("left_run", "right_run", F.coalesce("both", F.lit(0)).alias("shared"), union.alias("united"), F.when(union > 0, F.coalesce("both", F.lit(0)) / union).otherwise(F.lit(1.0)).alias("jaccard"))
 
 
-def ensemble_rank(labels: DataFrame, edges: DataFrame, runs: DataFrame) -> DataFrame:
+def scored_pairs(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """All pairs of runs of one scale with their support, as a table; edges is one that was written."""
+    pairs = stage(run_pairs(labels), "pairs")
+    return stage(pairs.join(pair_support(edges, pairs.select("left_run", "right_run", "reach")), ["left_run", "right_run", "reach"]), "scored")
+
+
+def ensemble_rank(labels: DataFrame, edges: DataFrame, runs: DataFrame, scored: DataFrame | None = None) -> DataFrame:
     """Scales by ensemble support: the geometric mean of four robust supports, from most to least supported.
 
     Seed realisations and rangers of one scale, the boundary medoid against that of the next scales, and scale match.
-    A missing component gives 0 and evaluable false.
+    A missing component gives 0 and evaluable false. edges is a table that was written; scored are its scored_pairs, if known.
     """
-    pairs, edges = run_pairs(labels), stage(edges, "edges")
     # read by the robust supports, the medoids and the ladder
-    scored = stage(pairs.join(pair_support(edges, pairs.select("left_run", "right_run", "reach")), ["left_run", "right_run", "reach"]), "scored")
+    scored = scored_pairs(labels, edges) if scored is None else scored
     robust = scored.groupBy("spatialr").agg(*(robust_lower_support(F.collect_list(F.when(F.col("pair_class") == k, F.col("support")))).alias(k) for k in ("seed_realization", "ranger")))
     mid = medoids(scored, "support", largest=True).select("spatialr", "run_id")
     ladder = mid.withColumn("next_run", F.lead("run_id").over(Window.orderBy("spatialr"))).withColumn("next", F.lead("spatialr").over(Window.orderBy("spatialr"))).where("next is not null")  # one row a scale
