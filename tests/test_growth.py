@@ -3,6 +3,9 @@
 import pytest
 
 from mosaiq.operators import boundary
+from mosaiq.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def shuffled(spark, run):
@@ -52,3 +55,10 @@ def test_boundary_pixels_between_bands(spark):
     count, got = shuffled(spark, lambda: sorted((x["r"], x["c"]) for x in boundary.boundary_pixels(labels).collect()))
     assert got == [(63, 0), (63, 1), (64, 0), (65, 0)]
     assert count <= len(rows) + 4  # every row once, the first of a band twice
+
+
+def test_group_scores_scores_pairs_once(spark, monkeypatch):
+    calls, real = [], boundary.pair_support
+    monkeypatch.setattr(boundary, "pair_support", lambda *a: calls.append(1) or real(*a))
+    QUERIES["group_scores"](spark, SF).collect()
+    assert len(calls) == 2  # all pairs, and the medoids of neighbouring scales
