@@ -58,9 +58,11 @@ def _value(ordered: pd.Series) -> pd.Series:
     return pd.Series((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64))
 
 
-def nth_values(values: DataFrame, keys: list[str], value: str, asked: DataFrame) -> DataFrame:
+def nth_values(values: DataFrame, keys: list[str], value: str, asked: DataFrame, weight: str | None = None) -> DataFrame:
     """keys, at and value of asked (keys, at: places from 0 among the group's values in ascending order), each once.
 
+    weight, if given, says how many times a row's value counts.
+
     Selection without a sort: the numbers that doubles' bits make in their order are refined BITS bits a step. A step
     counts the values of each group by these bits, among those that agree with a place's bits so far, and moves each place
     into its bucket; a bucket of one value ends the search. Only counts are shuffled, at most 2 ** BITS a place and step,
@@ -68,10 +70,10 @@ def nth_values(values: DataFrame, keys: list[str], value: str, asked: DataFrame)
     """
     ship(values.sparkSession)
     named = [f"_k{i}" for i in range(len(keys))]
-    group = [F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(0).alias("one"))]
-    own = stage(values.where(F.col(value).isNotNull()).select(F.xxhash64(F.to_json(group[0], {"ignoreNullFields": "false"})).alias("_g"), *(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), _ordered(F.col(value).cast("double")).alias("_u")), "ordered")
+    hashed = F.xxhash64(*(keys or [F.lit(0)])).alias("_g")  # only deals rows: keys are compared as well
+    own = stage(values.where(F.col(value).isNotNull()).select(hashed, *(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_m"), _ordered(F.col(value).cast("double")).alias("_u")), "ordered")
     same = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in named]
-    places = stage(asked.select(F.xxhash64(F.to_json(group[0], {"ignoreNullFields": "false"})).alias("_g"), *(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col("at").cast("long").alias("at"), F.col("at").cast("long").alias("_left"), F.lit(0).cast("long").alias("_prefix")).distinct(), "places")
+    places = stage(asked.select(hashed, *(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col("at").cast("long").alias("at"), F.col("at").cast("long").alias("_left"), F.lit(0).cast("long").alias("_prefix")).distinct(), "places")
     done, width = None, 0
     while width < 64:
         step = min(BITS, 64 - width)
@@ -85,7 +87,7 @@ def nth_values(values: DataFrame, keys: list[str], value: str, asked: DataFrame)
             seen = both.select("a.*")
         else:
             seen = seen.withColumn("_prefix", F.lit(0).cast("long"))
-        counts = seen.groupBy("_g", *named, "_prefix", "_next").agg(F.count(F.lit(1)).alias("_n"), F.min("_u").alias("_low"), F.max("_u").alias("_high"))
+        counts = seen.groupBy("_g", *named, "_prefix", "_next").agg(F.sum("_m").alias("_n"), F.min("_u").alias("_low"), F.max("_u").alias("_high"))
         before = Window.partitionBy("_g", *named, "_prefix").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         inside = [F.col("a._g") == F.col("b._g"), F.col("a._prefix") == F.col("b._prefix"), F.col("a._left") >= F.col("b._before"), F.col("a._left") < F.col("b._before") + F.col("b._n"), *same]
@@ -99,20 +101,27 @@ def nth_values(values: DataFrame, keys: list[str], value: str, asked: DataFrame)
     return done.select(*(F.col(n).alias(k) for k, n in zip(keys, named, strict=True)), "at", F.coalesce(_value("_u"), F.lit(float("nan"))).alias("value"))  # pandas has no NaN beside null
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float], group_rows: int | None = None) -> DataFrame:
+def counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value as a double and `_n`, how many rows have it, as a table: equal values are one row, nulls are counted too."""
+    return stage(df.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("_n")), "counts")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float], group_rows: int | None = None, weight: str | None = None) -> DataFrame:
     """keys and q: the exact quantiles `at` of the values of each group, interpolated, as an array. Nulls are left out.
 
     Groups of at most group_rows rows are gathered in one aggregate; where one is larger, the values at the places asked
-    for are selected by counts of bits. Both ways give the same numbers.
+    for are selected by counts of bits. Both ways give the same numbers. With a weight (value counts, see `counted`) df is read
+    as it is.
     """
-    own = stage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), "values")
-    sizes = stage(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_m"))
+    own = stage(own.drop("_m"), "values").withColumn("_m", F.lit(1).cast("long")) if weight is None else own
+    sizes = stage(own.groupBy(*keys).agg(F.sum("_m").alias("_n"), F.count(F.lit(1)).alias("_rows")), "sizes")
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
     if largest <= (GROUP_ROWS if group_rows is None else group_rows):
-        return own.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, at))).alias("q"))
+        return own.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, at)), F.col("_m")).alias("q"))
     places = sizes.select(*keys, F.posexplode(F.array(*(F.lit(float(p)) * (F.col("_n") - 1) for p in at))).alias("_k", "_x"))
     asked = places.select(*keys, "_k", "_x", F.explode(F.array_distinct(F.array(F.floor("_x"), F.ceil("_x")))).alias("at"))
-    found = nth_values(own, keys, "_v", asked.select(*keys, "at"))
+    found = nth_values(own, keys, "_v", asked.select(*keys, "at"), "_m")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     met = asked.alias("a").join(found.alias("b"), reduce(and_, [F.col("a.at") == F.col("b.at"), *same])).select(*(f"a.{k}" for k in keys), "_k", "_x", "a.at", F.col("b.value").alias("_v"))
     low = F.min(F.struct("at", "_v"))["_v"]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.operators.order import quantiles, sum_before
+from mosaiq.operators.order import counted, quantiles, sum_before
 from mosaiq.sources.stage import stage
 
 #: The 97.5 % quantile of Student's t for 1 to 30 degrees of freedom.
@@ -151,13 +151,23 @@ def finished(rows: DataFrame, status: str = "status") -> DataFrame:
 
 def numeric_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Per keys and metric: n, mean, sample sd, coefficient of variation in percent, median, raw MAD, min, max, range."""
-    rows = long_form(df, keys, metrics)
     group = [*keys, "metric"]
-    one = rows.groupBy(*group).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
-    middle = stage(quantiles(rows, group, "value", [0.5]).select(*group, F.get("q", F.lit(0)).alias("median")), "medians")
-    off = rows.join(F.broadcast(middle), group).withColumn("_off", F.abs(F.col("value") - F.col("median")))  # one row a group and metric
-    mad = quantiles(off, group, "_off", [0.5]).select(*group, F.get("q", F.lit(0)).alias("mad"))
-    return one.join(middle, group, "left").join(mad, group, "left").withColumns({"cv_percent": F.when(F.col("mean") != 0, 100 * F.col("sd") / F.col("mean")), "range": F.col("max") - F.col("min")})
+    counts = counted(long_form(df, keys, metrics), group, "value")  # rows are read once; all else goes by distinct values
+    known = F.when(F.col("value").isNotNull(), F.col("_n"))
+    one = counts.groupBy(*group).agg(F.coalesce(F.sum(known), F.lit(0)).alias("n"), (F.sum(F.col("value") * F.col("_n")) / F.sum(known)).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+    def beside(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+        """left with the columns of right, a row a group and metric; keys may be null."""
+        same = [left[k].eqNullSafe(right[f"_{k}"]) for k in group]
+        return left.join(F.broadcast(right), reduce(lambda a, b: a & b, same), how).drop(*(f"_{k}" for k in group))
+
+    own = [F.col(k).alias(f"_{k}") for k in group]
+    middle = quantiles(counts, group, "value", [0.5], weight="_n").select(*own, F.get("q", F.lit(0)).alias("median"))
+    found = stage(beside(one, middle), "medians")
+    off = beside(counts, found.select(*own, "n", "mean", "median"), "inner").withColumns({"_off": F.abs(F.col("value") - F.col("median")), "_square": F.col("_n") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean"))})
+    sd = off.groupBy(*group).agg(F.sqrt(F.sum("_square") / F.when(F.max("n") > 1, F.max("n") - 1)).alias("sd")).select(*own, "sd")
+    mad = quantiles(off, group, "_off", [0.5], weight="_n").select(*own, F.get("q", F.lit(0)).alias("mad"))
+    return beside(beside(found, sd), mad).withColumns({"cv_percent": F.when(F.col("mean") != 0, 100 * F.col("sd") / F.col("mean")), "range": F.col("max") - F.col("min")})
 
 
 def change_from_baseline(df: DataFrame, keys: list[str], metrics: list[str], baseline: Column) -> DataFrame:
@@ -191,7 +201,7 @@ def union_of_keys(frames: list[DataFrame]) -> DataFrame:
 def distribution_table(df: DataFrame, role: str, fields: list[str]) -> DataFrame:
     """Per role and field: n, mean, median, min, max, p05, p95 and the population sd."""
     rows = long_form(df, [role], fields).where(F.col("value").isNotNull())
-    q = quantiles(rows, [role, "metric"], "value", [0.05, 0.5, 0.95]).select(role, "metric", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p05", "median", "p95"))))
+    q = quantiles(counted(rows, [role, "metric"], "value"), [role, "metric"], "value", [0.05, 0.5, 0.95], weight="_n").select(role, "metric", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p05", "median", "p95"))))
     return rows.groupBy(role, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_pop("value").alias("sd")).join(q, [role, "metric"])
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from mosaiq.operators import boundary
+from mosaiq.operators import boundary, order, study
 from mosaiq.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,17 @@ def test_group_scores_scores_pairs_once(spark, monkeypatch):
     monkeypatch.setattr(boundary, "pair_support", lambda *a: calls.append(1) or real(*a))
     QUERIES["group_scores"](spark, SF).collect()
     assert len(calls) == 2  # all pairs, and the medoids of neighbouring scales
+
+
+def test_numeric_summary_goes_by_distinct_values(spark, monkeypatch):
+    rows = [("a", float(i % 5), None) for i in range(2000)] + [(None, 1.0, 3.0), (None, 2.0, 5.0), ("b", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(3)
+    written, real = [], order.stage
+    monkeypatch.setattr(order, "stage", lambda t, label: (written.append(t.count()), real(t, label))[1])
+    monkeypatch.setattr(order, "GROUP_ROWS", 3)  # selection by bits
+    got = {(x["k"], x["metric"]): x for x in study.numeric_summary(df, ["k"], ["x", "y"]).collect()}
+    assert max(written) < 50
+    a, none, b = got["a", "x"], got[None, "y"], got["b", "x"]
+    assert (a["n"], a["mean"], a["median"], a["mad"], a["min"], a["max"]) == (2000, 2.0, 2.0, 1.0, 0.0, 4.0) and a["sd"] == pytest.approx((2 * 2000 / 1999) ** 0.5)
+    assert (none["n"], none["mean"], none["median"], none["mad"]) == (2, 4.0, 4.0, 1.0) and none["sd"] == pytest.approx(2**0.5)
+    assert (b["n"], b["mean"], b["sd"], b["median"]) == (0, None, None, None) and got["b", "y"]["sd"] is None
