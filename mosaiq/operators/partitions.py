@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +73,25 @@ def printed_metrics(lines: DataFrame, keys: list[str], column: str = "line") ->
     return found.where("metric != ''")
 
 
-def metric_spread(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and sample sd (0 for one value) of each metric's finite values: keys, metric, n, mean, sd."""
+def printed_spread(lines: DataFrame, keys: list[str], column: str = "line") -> DataFrame:
+    """metric_spread of the metrics that lines print; equal lines of the same keys are counted first and read once."""
+    equal = stage(lines.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_times")), "lines")
+    return metric_spread(printed_metrics(equal, [*keys, "_times"], column), keys, "_times")
+
+
+def metric_spread(metrics: DataFrame, keys: list[str], times: str | None = None) -> DataFrame:
+    """Mean and sample sd (0 for one value) of each metric's finite values: keys, metric, n, mean, sd.
+
+    times, if given, says how many times a row counts.
+    """
     good = metrics.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    if times is not None:
+        group, n = [*keys, "metric"], F.col(times)
+        values = stage(good.groupBy(*group, "value").agg(F.sum(n).alias("_n")), "printed")
+        means = stage(values.groupBy(*(F.col(k).alias(f"_{k}") for k in group)).agg(F.sum("_n").alias("n"), (F.sum(F.col("value") * F.col("_n")) / F.sum("_n")).alias("mean")), "means")
+        met = values.join(F.broadcast(means), reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in group]))  # a row a key and metric
+        square = F.sum(F.col("_n") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")))
+        return met.groupBy(*group, "n", "mean").agg(F.coalesce(F.sqrt(square / F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0.0)).alias("sd"))
     return good.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
 
 

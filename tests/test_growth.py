@@ -2,7 +2,7 @@
 
 import pytest
 
-from mosaiq.operators import boundary, order, study
+from mosaiq.operators import boundary, order, partitions, study
 from mosaiq.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,13 @@ def test_numeric_summary_goes_by_distinct_values(spark, monkeypatch):
     assert (a["n"], a["mean"], a["median"], a["mad"], a["min"], a["max"]) == (2000, 2.0, 2.0, 1.0, 0.0, 4.0) and a["sd"] == pytest.approx((2 * 2000 / 1999) ** 0.5)
     assert (none["n"], none["mean"], none["median"], none["mad"]) == (2, 4.0, 4.0, 1.0) and none["sd"] == pytest.approx(2**0.5)
     assert (b["n"], b["mean"], b["sd"], b["median"]) == (0, None, None, None) and got["b", "y"]["sd"] is None
+
+
+def test_equal_lines_are_read_once(spark, monkeypatch):
+    rows = [("a", "  RC score: 0.5"), ("a", "RC score: 1.5"), (None, "x = 2"), ("a", "nothing")] * 500 + [("b", "x = 3"), ("b", "x = 1e999")]
+    written, real = [], partitions.stage
+    monkeypatch.setattr(partitions, "stage", lambda t, label: (written.append(t.count()), real(t, label))[1])
+    lines = spark.createDataFrame(rows, "k string, line string")
+    got = {(x["k"], x["metric"]): (x["n"], x["mean"], x["sd"]) for x in partitions.printed_spread(lines, ["k"]).collect()}
+    want = {(x["k"], x["metric"]): (x["n"], x["mean"], x["sd"]) for x in partitions.metric_spread(partitions.printed_metrics(lines, ["k"]), ["k"]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and written[0] == 6
