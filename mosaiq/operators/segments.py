@@ -13,6 +13,8 @@ from mosaiq.functions.exprs import equivalent_radius
 CLASSES = ("micro", "small", "in_scale", "large", "oversize")
 BINS = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 RUN = ("run_id", "spatialr", "ranger", "phase")
+#: Percentiles of the cells of a segment.
+ZONAL = (5, 10, 25, 50, 75, 90, 95)
 
 
 def size_class(q: Column) -> Column:
@@ -169,7 +171,11 @@ def label_size_stats(segments: DataFrame) -> DataFrame:
 
 def zonal_stats(labels: DataFrame, features: DataFrame, bands: tuple[str, ...] = ("m1", "m2", "m3")) -> DataFrame:
     """Per run, segment and band: count, mean, median, min, max, population stdev and variance, quantiles of the cells in it."""
-    stacked = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).alias("value")) for b in bands)))
-    values = labels.where("label > 0").select("run_id", "label", "r", "c").join(features, ["r", "c"]).select("run_id", "label", stacked.alias("x")).select("run_id", "label", "x.*")
-    q = lambda p: F.percentile("value", F.lit(p))
-    return values.groupBy("run_id", "label", "band").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), F.var_pop("value").alias("variance"), F.stddev_pop("value").alias("stdev"), *(q(p / 100).alias(f"q{p:02d}") for p in (5, 10, 25, 50, 75, 90, 95)))
+    named = {"n": F.count, "mean": F.avg, "min": F.min, "max": F.max, "variance": F.var_pop, "stdev": F.stddev_pop, "q": lambda b: F.percentile(b, F.array(*(F.lit(p / 100) for p in ZONAL)))}
+    values = labels.where("label > 0").select("run_id", "label", "r", "c").join(features.select("r", "c", *bands), ["r", "c"]).select("run_id", "label", *bands)
+    # a segment's cells meet before they are counted, as counts of a few cells each are larger than the cells; one count a band for all quantiles
+    values = values.repartition("run_id", "label")
+    own = values.groupBy("run_id", "label").agg(*(F.struct(*(f(b).alias(n) for n, f in named.items())).alias(b) for b in bands))
+    each = own.select("run_id", "label", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).alias("x")) for b in bands))).alias("y")).select("run_id", "label", "y.band", "y.x.*")
+    at = {p: F.get("q", F.lit(i)) for i, p in enumerate(ZONAL)}
+    return each.select("run_id", "label", "band", "n", "mean", at[50].alias("median"), "min", "max", "variance", "stdev", *(at[p].alias(f"q{p:02d}") for p in ZONAL))

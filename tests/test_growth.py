@@ -2,7 +2,7 @@
 
 import pytest
 
-from mosaiq.operators import boundary, order, partitions, study
+from mosaiq.operators import boundary, order, partitions, segments, study
 from mosaiq.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,13 @@ def test_equal_lines_are_read_once(spark, monkeypatch):
     got = {(x["k"], x["metric"]): (x["n"], x["mean"], x["sd"]) for x in partitions.printed_spread(lines, ["k"]).collect()}
     want = {(x["k"], x["metric"]): (x["n"], x["mean"], x["sd"]) for x in partitions.metric_spread(partitions.printed_metrics(lines, ["k"]), ["k"]).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and written[0] == 6
+
+
+def test_zonal_stats_count_values_once_a_band(spark):
+    labels = spark.createDataFrame([("a", 1 + c // 4, 0, c) for c in range(8)], "run_id string, label long, r int, c int")
+    cells = spark.createDataFrame([(0, c, float(c), None if c == 1 else 1.0) for c in range(8)], "r int, c int, m1 double, m2 double")
+    stats = segments.zonal_stats(labels, cells, ("m1", "m2"))
+    got = {(x["label"], x["band"]): x for x in stats.collect()}
+    assert len(got) == 4 and (got[1, "m1"]["median"], got[1, "m1"]["q25"], got[1, "m2"]["n"], got[2, "m1"]["max"]) == (1.5, 0.75, 3, 7.0)
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("percentile(") == 2  # one a band
