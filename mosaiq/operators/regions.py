@@ -1,7 +1,7 @@
 """Regions of cells: connected components, merging by mergeable statistics, seeded growing.
 
-Components and growing settle tiles by themselves (`tiles`); what is left, and merging, are rounds of joins over tables that
-are written between rounds.
+Components, growing and merging settle tiles by themselves (`tiles`); what is left are rounds of joins over tables that are
+written between rounds.
 """
 
 from __future__ import annotations
@@ -148,14 +148,47 @@ def greedy_matching(edges: DataFrame, key: str) -> DataFrame | None:
     return taken
 
 
+#: Rows and columns around a tile that merging looks at; doubled where they don't do for a round, up to the second figure.
+MERGE_HALO, MOST_HALO = 64, 512
+
+
 def merge_regions(cells: DataFrame, bands: tuple[str, ...], limit: float, spatial_limit: float | None = None) -> DataFrame:
     """cells (cell, r, c, bands, region) with neighbouring regions merged, round by round.
 
     A round prices every pair of neighbours by the regions as they are: the greater of its union's RMS over the limit
     and, if there is a spatial limit, of its spatial RMS over that. Pairs within the limits are matched greedily, the
     cheapest first, then by the smaller first and second region; the matched pairs merge under the smaller region. Ends
-    when no pair is left within the limits. Rounds work on a row a region and an edge a pair, not on cells.
+    when no pair is left within the limits.
+
+    Tiles with a halo take many rounds in one pass (`tiles.local_merges`), each as many as it is sure of; the least such
+    number holds for all, and the next pass goes on from there. What they can't settle, because regions or chains of
+    choices are wider than the greatest halo or a band has nulls, goes by rounds of joins.
     """
+    top, bottom, left, right, odd = cells.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c"), F.count_if(reduce(lambda a, b: a | b, (F.col(b).isNull() | F.isnan(F.col(b).cast("double")) for b in bands)))).first()
+    if top is None:
+        return cells
+    if odd:
+        return _merge_by_joins(cells, bands, limit, spatial_limit)
+    now, halo = stage(cells.select("r", "c", *bands, "region", "cell"), "merging"), MERGE_HALO
+    while halo <= MOST_HALO:
+        sizes = now.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
+        found = stage(tiles.local_merges(now.join(sizes, "region"), bands, limit, spatial_limit, (top, bottom, left, right), halo), "merges")
+        sure = found.where("region is null").agg(F.min("round")).first()[0]  # a row a tile
+        if not sure:
+            halo *= 2
+            continue
+        moves = found.where((F.col("region").isNotNull()) & (F.col("round") <= sure))
+        last = moves.agg(F.max("round")).first()[0]
+        if last is not None:
+            to = moves.groupBy("region").agg(F.max_by("to", "round").alias("_to"))
+            now = stage(now.join(to, "region", "left").withColumn("region", F.coalesce("_to", "region")).drop("_to"), "merging")
+        if last is None or last < sure:  # a round in which nothing merged
+            return cells.drop("region").join(now.select("cell", "region"), "cell")
+    return cells.drop("region").join(_merge_by_joins(now, bands, limit, spatial_limit).select("cell", "region"), "cell")
+
+
+def _merge_by_joins(cells: DataFrame, bands: tuple[str, ...], limit: float, spatial_limit: float | None) -> DataFrame:
+    """merge_regions by joins: a row a region and an edge a pair in each round, cells only at the end."""
     of = cells.select("cell", "region")
     adjacent = neighbour_edges(cells, "cell", [])
     ends = adjacent.join(of.withColumnsRenamed({"cell": "u", "region": "ru"}), "u").join(of.withColumnsRenamed({"cell": "v", "region": "rv"}), "v")

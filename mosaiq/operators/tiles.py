@@ -1,4 +1,4 @@
-"""Square tiles of a grid, each worked on in one Arrow pass: local components, and local steps of a spanning forest.
+"""Square tiles of a grid, each worked on in one Arrow pass: local components, steps of a spanning forest, rounds of merging.
 
 What lies inside a tile is settled there with arrays; only what touches its border is left for joins between tiles.
 """
@@ -178,3 +178,127 @@ def local_forest(cells: DataFrame, bands: tuple[str, ...]) -> DataFrame:
     halo = halo.where("_nr != _tr or _nc != _tc").select("cell", "r", "c", *bands, F.lit(None).cast("long").alias("label"), F.col("_nr").alias("_tr"), F.col("_nc").alias("_tc"), F.lit(False).alias("_own"))
     both = own.withColumn("_own", F.lit(True)).unionByName(halo)
     return both.groupBy("_tr", "_tc").applyInArrow(_forest(bands), "kind int, cell long, comp long, label long, other long, other_comp long, other_label long, w double")
+
+
+def sure_matching(n: int, u: np.ndarray, v: np.ndarray, exposed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a greedy pass over edges u, v in their order takes, as far as it is sure: places of taken edges, vertices in doubt.
+
+    exposed: vertices that may have other edges, of any rank. An edge is taken if all before it at its ends aren't; it is
+    not taken if one before it is. The rest, and what hangs on it, is in doubt.
+    """
+    place, taken = np.arange(len(u)), []
+    while True:
+        first = np.full(n, len(exposed) + len(u) + 1)
+        np.minimum.at(first, u[place], place)
+        np.minimum.at(first, v[place], place)
+        won = place[(first[u[place]] == place) & (first[v[place]] == place) & ~exposed[u[place]] & ~exposed[v[place]]]
+        if not len(won):
+            break
+        taken.append(won)
+        gone = np.zeros(n, bool)
+        gone[u[won]] = gone[v[won]] = True
+        place = place[~gone[u[place]] & ~gone[v[place]]]
+    won = np.concatenate(taken) if taken else np.empty(0, np.int64)
+    doubt = exposed.copy()
+    doubt[u[place]] = doubt[v[place]] = True
+    return won, doubt
+
+
+def _merging(bands: tuple[str, ...], limit: float, spatial_limit: float | None, bounds: tuple[int, int, int, int], halo: int, side: int):
+    top, bottom, left, right = bounds
+
+    def run(table: pa.Table) -> pa.Table:
+        tr, tc = table.column("_tr")[0].as_py(), table.column("_tc")[0].as_py()
+        r, c, size = (np.asarray(table.column(x).to_numpy(), np.int64) for x in ("r", "c", "_n"))
+        names, own = np.unique(table.column("region").to_numpy(), return_inverse=True)
+        x = [np.asarray(table.column(b).to_numpy(), np.float64) for b in bands]
+        m = len(names)
+        total = lambda values: np.bincount(own, values, m)
+        y, z = r.astype(np.float64), c.astype(np.float64)
+        # rows: n, bands, squares of bands, r, c, squares of places
+        sums = np.stack([total(np.ones(len(r))), *(total(b) for b in x), total(sum(b * b for b in x)), total(y), total(z), total(y * y + z * z)])
+        k = len(bands)
+        # in doubt from the start: what isn't whole in here, or has neighbours outside
+        edge = (r == tr * side - halo) & (r > top) | (r == (tr + 1) * side + halo - 1) & (r < bottom) | (c == tc * side - halo) & (c > left) | (c == (tc + 1) * side + halo - 1) & (c < right)
+        doubt = np.zeros(m, bool)
+        doubt[own[edge]] = True
+        whole = np.zeros(m, np.int64)
+        whole[own] = size
+        doubt |= sums[0] < whole
+        core = (r // side == tr) & (c // side == tc)
+        anchor = np.full(m, len(r))
+        by = np.lexsort((c, r))
+        np.minimum.at(anchor, own[by], np.arange(len(r)))
+        mine = core[by][anchor]  # regions whose first cell lies in the tile
+        inside = np.zeros(m, bool)
+        inside[own[core]] = True
+        mine |= doubt & inside
+        u, v = places(r, c, ((0, 1), (1, 0)))
+        pair = np.unique(np.minimum(own[u], own[v]) * m + np.maximum(own[u], own[v]))
+        u, v = pair // m, pair % m
+        u, v = u[u != v], v[u != v]
+        root, now, out = np.arange(m), 0, []
+        least = np.iinfo(np.int32).max
+
+        def rms(both: np.ndarray, parts: range, squares: int) -> np.ndarray:
+            means = sum(both[p] * both[p] for p in parts) / both[0]
+            return np.sqrt(np.maximum(0.0, both[squares] - means) / both[0])
+
+        while not (doubt[root] & mine).any():
+            sure = now
+            a, b = doubt[u], doubt[v]
+            exposed = np.zeros(m, bool)
+            exposed[u[b & ~a]] = exposed[v[a & ~b]] = True
+            u, v = u[~(a & b)], v[~(a & b)]
+            known = ~doubt[u] & ~doubt[v]
+            p, q = u[known], v[known]
+            both = sums[:, p] + sums[:, q]
+            value = rms(both, range(1, k + 1), k + 1)
+            cost, good = value / limit, value <= limit
+            if spatial_limit is not None:
+                value = rms(both, range(k + 2, k + 4), k + 4)
+                cost, good = np.maximum(cost, value / spatial_limit), good & (value <= spatial_limit)
+            p, q, cost = p[good], q[good], cost[good]
+            if not len(p) and not exposed.any():
+                sure = least
+                break
+            order = np.lexsort((q, p, cost))
+            p, q = p[order], q[order]
+            won, next_doubt = sure_matching(m, p, q, exposed)
+            doubt |= next_doubt
+            now += 1
+            move = np.arange(m)
+            move[q[won]] = p[won]
+            sums[:, p[won]] += sums[:, q[won]]
+            moved = (move[root] != root) & mine
+            root = move[root]
+            out.append((np.flatnonzero(moved), now, root[moved]))
+            pair = np.unique(np.minimum(move[u], move[v]) * m + np.maximum(move[u], move[v]))
+            u, v = pair // m, pair % m
+            u, v = u[u != v], v[u != v]
+        else:
+            sure = now - 1 if now else 0
+        out = [x for x in out if x[1] <= sure]
+        at, to = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in (0, 2))
+        rounds = np.concatenate([np.full(len(x[0]), x[1]) for x in out]) if out else np.empty(0, np.int64)
+        region = pa.concat_arrays([pa.array(names[at].astype(np.int64)), pa.nulls(1, pa.int64())])
+        return pa.table([region, pa.array(np.append(rounds, sure).astype(np.int32)), pa.concat_arrays([pa.array(names[to].astype(np.int64)), pa.nulls(1, pa.int64())])], ["region", "round", "to"])
+
+    return run
+
+
+def local_merges(cells: DataFrame, bands: tuple[str, ...], limit: float, spatial_limit: float | None, bounds: tuple[int, int, int, int], halo: int) -> DataFrame:
+    """Rounds of merging (`regions.merge_regions`) that tiles are sure of, for cells (r, c, bands, region, _n, the region's cells).
+
+    A tile sees its cells and those up to `halo` around them. Regions that reach beyond are in doubt; each round what
+    they could touch is in doubt as well. bounds: least and greatest r and c of all cells. Rows: region, round and to, the
+    region that it belongs to after this round, where that changes, from the tile with the region's first cell; and for
+    each tile one without a region, with the number of rounds that it is sure of.
+    """
+    ship(cells.sparkSession)
+    side = SIDE
+    top, bottom, left, right = (x // side for x in bounds)
+    tile = lambda x: F.floor(x / side).cast("long")
+    reach = lambda x, low, high: F.explode(F.sequence(F.greatest(F.lit(low), tile(F.col(x) - halo)), F.least(F.lit(high), tile(F.col(x) + halo))))
+    sent = cells.select("r", "c", *bands, "region", "_n").select("*", reach("r", top, bottom).alias("_tr")).select("*", reach("c", left, right).alias("_tc"))
+    return sent.groupBy("_tr", "_tc").applyInArrow(_merging(bands, limit, spatial_limit, bounds, halo, side), "region long, round int, to long")

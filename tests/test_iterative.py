@@ -57,6 +57,24 @@ def test_merge_equals_the_plain_loop(spark):
     assert len(np.unique(found)) < 30
 
 
+def test_merge_of_tiles_equals_rounds_of_joins(spark, monkeypatch):
+    """Tiles settle rounds with a halo; one too small grows, and beyond the greatest rounds go by joins."""
+    values = np.random.default_rng(9).integers(0, 12, size=(22, 27))  # whole, so that sums are the same in any order
+    labels = np.arange(22 * 27).reshape(22, 27)
+    names, plain = [], regions.stage
+    monkeypatch.setattr(regions, "stage", lambda df, label: names.append(label) or plain(df, label))
+    monkeypatch.setattr(tiles, "SIDE", 8)
+    results = []
+    for halo, most in ((2, 1), (2, 64), (8, 64)):
+        monkeypatch.setattr(regions, "MERGE_HALO", halo)
+        monkeypatch.setattr(regions, "MOST_HALO", most)
+        names.clear()
+        results.append({(x["r"], x["c"]): x["region"] for x in regions.merge_regions(grid(spark, values, labels), ("m1",), 2.5, 1.6).collect()})
+        assert ("open-edges" in names) == (most < halo)  # no table a round of joins where tiles do
+    assert results[0] == results[1] == results[2]
+    assert len(results[0]) == 22 * 27 and len({*results[0].values()}) < 300
+
+
 def coverage_twin(cells, own, limit):
     far = sorted((-min((r - a) ** 2 + (c - b) ** 2 for _, a, b in own), r, c) for r, c in cells)
     more = []
