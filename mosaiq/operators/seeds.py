@@ -55,8 +55,8 @@ def accept_in_order(points: DataFrame, limit2: int, strict: bool = True) -> Data
     The same set as the sequential pass, in rounds: a point without an open conflict before it is accepted, what
     conflicts with it goes. Each round is two joins; the number of rounds is the longest chain of conflicts.
     """
+    points = open_ = stage(points, "open")  # made once: pairs read them twice
     conflicts = stage(close_pairs(points, limit2, strict), "conflicts")
-    open_ = stage(points, "open")
     taken = None
     while open_.head(1):
         live = conflicts.join(open_.select(F.col("rank").alias("a")), "a", "left_semi").join(open_.select(F.col("rank").alias("b")), "b", "left_semi")

@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from mosaiq.operators import boundary, order, partitions, segments, study
+from mosaiq.plans import queries
 from mosaiq.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +99,20 @@ def test_zonal_stats_count_values_once_a_band(spark):
     assert len(got) == 4 and (got[1, "m1"]["median"], got[1, "m1"]["q25"], got[1, "m2"]["n"], got[2, "m1"]["max"]) == (1.5, 0.75, 3, 7.0)
     plan = stats._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("percentile(") == 2  # one a band
+
+
+@pytest.mark.parametrize("name", ["seed_coverage"])
+def test_cells_are_made_once(spark, monkeypatch, name):
+    """However often a query's steps read the cells, the observations are only aggregated once."""
+    made, plain = spark.sparkContext.accumulator(0), queries._cells
+
+    def counted(spark, d):
+        def seen(r):
+            made.add(1)
+            return r
+
+        return plain(spark, d).withColumn("r", F.udf(seen, "int").asNondeterministic()("r"))
+
+    monkeypatch.setattr(queries, "_cells", counted)
+    assert QUERIES[name](spark, SF).collect()
+    assert made.value == plain(spark, SF).count()
