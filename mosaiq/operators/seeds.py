@@ -112,7 +112,7 @@ def density_peaks(points: DataFrame, cells: DataFrame, radius: int) -> DataFrame
     counts = points.groupBy("spatialr", F.floor(F.col("y") + 0.5).cast("int").alias("r"), F.floor(F.col("x") + 0.5).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     rows = counts.select("spatialr", "r", "c", "n", shift).groupBy("spatialr", "r", (F.col("c") + F.col("s")).alias("c")).agg(F.sum(F.col("n") * weight).alias("n"))
     smooth = rows.select("spatialr", "r", "c", "n", shift).groupBy("spatialr", (F.col("r") + F.col("s")).alias("r"), "c").agg(F.sum(F.col("n") * weight).alias("density"))
-    smooth = smooth.join(cells.select("r", "c"), ["r", "c"], "left_semi")
+    smooth = stage(smooth.join(cells.select("r", "c"), ["r", "c"], "left_semi"), "smoothed")
     key = F.struct(F.col("density").alias("v"), (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))
     across = smooth.select("spatialr", "r", "c", key.alias("k"), shift).groupBy("spatialr", "r", (F.col("c") + F.col("s")).alias("c")).agg(F.max("k").alias("k"))
     best = across.select("spatialr", "r", "c", "k", shift).groupBy("spatialr", (F.col("r") + F.col("s")).alias("r"), "c").agg(F.max("k").alias("k"))
@@ -212,7 +212,7 @@ def scale_tracks(peaks: DataFrame, reach: float) -> DataFrame:
     A track is named by its smallest node; tracks of one scale are dropped. Links join neighbouring scales only, so
     labels spread along chains as long as the scales are many.
     """
-    a, b = peaks.alias("a"), peaks.alias("b")
+    peaks = stage(peaks.select("node", "step", "r", "c"), "peaks")  # read for both sides of links, tracks and steps
     d2 = (F.col("a.r") - F.col("b.r")) * (F.col("a.r") - F.col("b.r")) + (F.col("a.c") - F.col("b.c")) * (F.col("a.c") - F.col("b.c"))
     side = int(reach) + 1
     cut = lambda d: d.withColumns({"_y": F.floor(F.col("r") / side), "_x": F.floor(F.col("c") / side)})
@@ -220,6 +220,7 @@ def scale_tracks(peaks: DataFrame, reach: float) -> DataFrame:
     a = cut(peaks).select("node", "step", "r", "c", "_y", "_x", shift.alias("o")).select("node", "step", "r", "c", (F.col("_y") + F.col("o.i")).alias("_y"), (F.col("_x") + F.col("o.j")).alias("_x")).alias("a")
     b = cut(peaks).alias("b")
     near = a.join(b, (F.col("a.step") + 1 == F.col("b.step")) & (F.col("a._y") == F.col("b._y")) & (F.col("a._x") == F.col("b._x"))).where(d2 <= reach * reach).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), d2.alias("d2"))
+    near = stage(near, "near-peaks")
     forth = near.groupBy("u").agg(F.min_by("v", F.struct("d2", "v")).alias("v"))
     back = near.groupBy("v").agg(F.min_by("u", F.struct("d2", "u")).alias("u"))
     links = stage(forth.join(back, ["u", "v"]), "links")

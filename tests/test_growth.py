@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from mosaiq.operators import boundary, order, partitions, segments, study
+from mosaiq.operators import boundary, order, partitions, seeds, segments, study
 from mosaiq.plans import queries
 from mosaiq.plans.queries import QUERIES
 
@@ -101,7 +101,7 @@ def test_zonal_stats_count_values_once_a_band(spark):
     assert plan.count("percentile(") == 2  # one a band
 
 
-@pytest.mark.parametrize("name", ["seed_coverage"])
+@pytest.mark.parametrize("name", ["seed_coverage", "density_peaks"])
 def test_cells_are_made_once(spark, monkeypatch, name):
     """However often a query's steps read the cells, the observations are only aggregated once."""
     made, plain = spark.sparkContext.accumulator(0), queries._cells
@@ -116,3 +116,16 @@ def test_cells_are_made_once(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "_cells", counted)
     assert QUERIES[name](spark, SF).collect()
     assert made.value == plain(spark, SF).count()
+
+
+def test_tracks_read_peaks_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(r):
+        made.add(1)
+        return r
+
+    peaks = spark.createDataFrame([(k * 1000 + i, k, i * 20, i * 20 + k) for k in range(3) for i in range(10)], "node long, step int, r int, c int")
+    tracks = seeds.scale_tracks(peaks.withColumn("r", F.udf(seen, "int").asNondeterministic()("r")), 4.0)
+    assert {x["track"] for x in tracks.collect()} == {*range(10)}
+    assert made.value == 30
