@@ -101,7 +101,7 @@ def test_zonal_stats_count_values_once_a_band(spark):
     assert plan.count("percentile(") == 2  # one a band
 
 
-@pytest.mark.parametrize("name", ["seed_coverage", "density_peaks"])
+@pytest.mark.parametrize("name", ["seed_coverage", "density_peaks", "region_growing"])
 def test_cells_are_made_once(spark, monkeypatch, name):
     """However often a query's steps read the cells, the observations are only aggregated once."""
     made, plain = spark.sparkContext.accumulator(0), queries._cells
