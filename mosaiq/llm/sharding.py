@@ -4,8 +4,8 @@ Links join documents of one group (equal texts, by default). A group's documents
 (group, shard, n): they have the same neighbours, so they take the same step, and the work is on cells. In even rounds
 a group's cells wish for its heaviest shard, in odd ones for its heaviest shard with quota left. They move there, whole
 or in part, as far as wishes the other way make room (swaps) and the target's quota of linked documents goes, the
-largest gains first. No cell moves to a lighter one, so the sum of n * n grows with each move; rounds end once IDLE of
-them in a row have moved nothing. Documents without links are filler: they take the places that are left, so shard
+largest gains first. No cell moves to a lighter one, so the sum of n * n grows with each move; rounds end once all groups
+are whole, or once IDLE of them in a row have moved nothing (two, if no group has a tie to fall anew). Documents without links are filler: they take the places that are left, so shard
 counts end at most one apart.
 """
 
@@ -25,30 +25,41 @@ def _clamp(n, room) -> F.Column:
     return F.greatest(F.lit(0), F.least(n, room)).cast("long")
 
 
-def _propagate(cells: DataFrame, quota: DataFrame, turn: int) -> DataFrame:
-    """One round over cells (g1, g2, shard, n); quota (shard, quota) has one row a shard. Ties fall anew each turn."""
+def _propagate(cells: DataFrame, quota: DataFrame, turn: int) -> DataFrame | None:
+    """One round over cells (g1, g2, shard, n), None if nothing moves; quota (shard, quota) has one row a shard.
+
+    Ties fall anew each turn. Each part is written, as plans that hold it many times fill the driver.
+    """
     group = ["g1", "g2"]
     load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
-    free = quota.join(load, "shard", "left").select(F.col("shard").alias("target"), F.greatest(F.lit(0), F.col("quota") - F.coalesce("load", F.lit(0))).alias("free"))
+    free = materialise(quota.join(load, "shard", "left").select(F.col("shard").alias("target"), F.greatest(F.lit(0), F.col("quota") - F.coalesce("load", F.lit(0))).alias("free")), "free")
     offered = cells.join(F.broadcast(free.where("free > 0").select(F.col("target").alias("shard"))), "shard") if turn % 2 else cells
     best = offered.groupBy(*group).agg(F.max_by("shard", F.struct("n", F.xxhash64(F.lit(turn), "g1", "shard"))).alias("target"), F.max("n").alias("top"))
-    wish = cells.join(best, group, "left").withColumn("moves", F.coalesce((F.col("shard") != F.col("target")) & (F.col("n") <= F.col("top")), F.lit(False)))
-    # an edge is gained for each pair of a mover and a neighbour there; classes of powers of two order the gains
-    movers = wish.where("moves").withColumn("class", -F.floor(F.log2(F.col("top"))).cast("int"))
-    ways = movers.groupBy("shard", "target").agg(F.sum("n").alias("there"))  # a row for each two shards
+    wish = materialise(cells.join(best, group, "left").withColumn("moves", F.coalesce((F.col("shard") != F.col("target")) & (F.col("n") <= F.col("top")), F.lit(False))), "wish")
+    ways = materialise(wish.where("moves").groupBy("shard", "target").agg(F.sum("n").alias("there")), "ways")  # a row for each two shards
     back = ways.select(F.col("target").alias("shard"), F.col("shard").alias("target"), F.col("there").alias("back"))
     swaps = ways.join(back, ["shard", "target"]).select("shard", "target", F.least("there", "back").alias("swap"))
-    movers = running_total(movers, ["shard", "target"], ["class"], group, F.col("n"), "before", 64).join(F.broadcast(swaps), ["shard", "target"], "left")
-    movers = movers.withColumn("swapped", _clamp(F.col("n"), F.coalesce("swap", F.lit(0)) - F.col("before"))).drop("before", "swap")
-    movers = running_total(movers, ["target"], ["class"], ["g1", "g2", "shard"], F.col("n") - F.col("swapped"), "before", 64)
-    taken = movers.join(F.broadcast(free), "target").withColumn("taken", F.col("swapped") + _clamp(F.col("n") - F.col("swapped"), F.col("free") - F.col("before")))
+    rooms = materialise(ways.select("shard", "target").join(swaps, ["shard", "target"], "left").join(free, "target").select("shard", "target", F.coalesce("swap", F.lit(0)).alias("swap"), "free"), "rooms")
+    if rooms.where("swap > 0 or free > 0").isEmpty():
+        discard(free, wish, ways, rooms)
+        return None
+    # an edge is gained for each pair of a mover and a neighbour there; classes of powers of two order the gains
+    movers = wish.where("moves").withColumn("class", -F.floor(F.log2(F.col("top"))).cast("int"))
+    movers = running_total(movers, ["shard", "target"], ["class"], group, F.col("n"), "before", 64).join(F.broadcast(rooms), ["shard", "target"])
+    movers = materialise(movers.select(*group, "shard", "target", "class", "n", "free", _clamp(F.col("n"), F.col("swap") - F.col("before")).alias("swapped")), "movers")
+    after = running_total(movers, ["target"], ["class"], ["g1", "g2", "shard"], F.col("n") - F.col("swapped"), "before", 64)
+    taken = after.withColumn("taken", F.col("swapped") + _clamp(F.col("n") - F.col("swapped"), F.col("free") - F.col("before")))
     moved = taken.select(*group, F.explode(F.array(F.struct(F.col("shard"), (F.col("n") - F.col("taken")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("taken").alias("n")))).alias("c")).select(*group, "c.*")
-    return wish.where(~F.col("moves")).select(*group, "shard", "n").unionByName(moved).where("n > 0").groupBy(*group, "shard").agg(F.sum("n").alias("n"))
+    out = materialise(wish.where(~F.col("moves")).select(*group, "shard", "n").unionByName(moved).where("n > 0").groupBy(*group, "shard").agg(F.sum("n").alias("n")), "cells")
+    discard(free, wish, ways, rooms, movers)
+    return out
 
 
-def _together(cells: DataFrame):
-    """Sum of n * n: grows with each move."""
-    return cells.agg(F.sum((F.col("n") * F.col("n")).cast("decimal(38,0)"))).first()[0]
+def _unsettled(cells: DataFrame) -> tuple[int, int]:
+    """Groups that lie in two shards or more, and those of them whose heaviest shard is a tie; a list holds a group's shards."""
+    n = F.sort_array(F.collect_list("n"), asc=False)
+    lists = cells.groupBy("g1", "g2").agg(n.alias("n")).where(F.size("n") > 1)
+    return tuple(lists.agg(F.count(F.lit(1)), F.count_if(F.col("n")[0] == F.col("n")[1])).first())
 
 
 def shard_documents(documents: DataFrame, shards: int = SHARDS, group=None) -> DataFrame:
@@ -80,12 +91,14 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, group=None) -> D
     cells = rows.groupBy("g1", "g2", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     groups = materialise(cells.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where("all > 1"), "groups")
     cells = materialise(cells.join(groups.drop("all"), ["g1", "g2"]), "cells")
-    turn, idle, together = 0, 0, _together(cells)
-    while idle < IDLE and together is not None:
-        old, cells = cells, materialise(_propagate(cells, quota, turn), "cells")
-        discard(old)
-        was, together = together, _together(cells)
-        turn, idle = turn + 1, idle + 1 if together == was else 0
+    # no cell of a whole group moves; without ties, a still round of each kind is like all that would come
+    turn, idle, (split, tied) = 0, 0, _unsettled(cells)
+    while split and idle < (IDLE if tied else 2):
+        new = _propagate(cells, quota, turn)
+        turn, idle = turn + 1, idle + 1 if new is None else 0
+        if new is not None:
+            discard(cells)
+            cells, (split, tied) = new, _unsettled(new)
     # cut what a shard holds beyond its quota, smallest cells first to go, and hand it to the filler
     ordered = running_total(cells.withColumn("class", -F.floor(F.log2("n")).cast("int")), ["shard"], ["class"], ["g1", "g2"], F.col("n"), "before", 64)
     kept = materialise(ordered.join(F.broadcast(quota), "shard").select("g1", "g2", "shard", "n", _clamp(F.col("n"), F.col("quota") - F.col("before")).alias("kept")), "held")

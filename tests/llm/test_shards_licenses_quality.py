@@ -126,6 +126,30 @@ def test_groups_gather_until_nothing_moves(spark):
     assert sum(len(s) > 1 for s in at.values()) <= 16
 
 
+@pytest.mark.parametrize(("texts", "still"), [([f"pair {i // 2}" for i in range(40)] + [f"one {i}" for i in range(40)], 0), (["hot"] * 63 + ["two"] * 2 + [f"one {i}" for i in range(31)], 2)])
+def test_rounds_end_once_nothing_can_move(spark, monkeypatch, texts, still):
+    """None where all groups are whole; where one has to stay cut and no group has a tie, one still round of each kind."""
+    went, written = [], []
+    propagate, materialise = sharding._propagate, sharding.materialise
+
+    def write(df, label):
+        written.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        return materialise(df, label)
+
+    def go(cells, quota, turn):
+        monkeypatch.setattr(sharding, "materialise", write)
+        went.append(propagate(cells, quota, turn))
+        monkeypatch.setattr(sharding, "materialise", materialise)
+        return went[-1]
+
+    monkeypatch.setattr(sharding, "_propagate", go)
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts.values()) == {len(texts) // 8} and len(went) > 1
+    assert len(list(itertools.takewhile(lambda r: r is None, reversed(went)))) == still
+    assert max(written) <= 6  # tables that one plan of a round reads
+
+
 def test_digest_columns(spark):
     got = sharding.digest(spark.createDataFrame([(1, "é"), (2, None)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["size"] for r in got} == {1: 3, 2: 1} and {r["law"] for r in got} == {"rows"}
