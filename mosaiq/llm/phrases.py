@@ -30,7 +30,11 @@ LEAST, LONGEST, TOP, SCALE, COVER = 30, 4, 2_000, 2_000_000, 80
 MOST_WORDS, MOST_WORD_BYTES, MOST_GRAMS = 1 << 20, 1 << 25, 1 << 22
 #: Distinct words, or positions, that a task gathers before it gives its counts out.
 HELD = 1 << 17
-#: Bytes of a text that are split at once, and numbers in a written sequence, roughly; texts stay whole.
+#: Positions of the corpus for each bucket of pairs, which one task adds up, and buckets in a batch.
+POSITIONS, BLOBS = 1 << 20, 8
+#: Numbers of a written sequence, roughly: a batch of BATCH_ROWS of them is held by the JVM and a Python worker.
+SEQUENCE = 1 << 12
+#: Bytes of a text that are split at once, roughly; texts stay whole.
 SLICE = 1 << 20
 #: Rows that are ranked together in the first round.
 RANKED = 50_000
@@ -86,6 +90,7 @@ def _number(vocabulary: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = done = 0
         end = np.array([-1], dtype=np.int32)
 
         def out() -> pa.RecordBatch:
@@ -95,9 +100,12 @@ def _number(vocabulary: Broadcast):
             get = vocabulary.value.get(lang, {}).get
             held += [np.array(list(map(get, words, repeat(-1))), dtype=np.int32) for words in _tokens(raw)]
             held.append(end)
-            if sum(map(len, held)) >= HELD:
+            size += sum(map(len, held[done:]))
+            done = len(held)
+            if size >= SEQUENCE:
                 yield out()
                 held.clear()
+                size = done = 0
         if held:
             yield out()
 
@@ -119,7 +127,23 @@ def _pairs(ids: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     raise AssertionError
 
 
-def _count_pairs(tables: list[Broadcast]):
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    key, n = key[order], np.concatenate(counts)[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Pairs dealt by a hash: the upper half of a product with an odd number."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+
+
+def _count_pairs(tables: list[Broadcast], buckets: int):
+    """bucket, keys, counts: the task's own counts of pairs, a bucket's in one row of packed numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         below = [t.value for t in tables]
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -129,28 +153,54 @@ def _count_pairs(tables: list[Broadcast]):
             nonlocal keys, counts
             new, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            both = np.concatenate([keys, new])
-            keys, back = np.unique(both, return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+            keys, counts = _added([keys, new], [counts, n.astype(np.int64)])
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            bucket = _bucket(keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+            own = [(i, order[e - n : e]) for i, (e, n) in enumerate(zip(ends, np.diff(ends, prepend=0), strict=True)) if n]
+            for at in range(0, len(own), BLOBS):
+                some = own[at : at + BLOBS]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), *(pa.array([x[o].tobytes() for _, o in some], pa.binary()) for x in (keys, counts))], ["bucket", "keys", "counts"])
 
         size = 0
         for b in batches:
             for cell in b.column(0):
                 held.append(_pairs(np.frombuffer(cell.as_buffer(), dtype=np.int32), below))
                 size += len(held[-1])
-                if size >= 2 * HELD:
+                if size >= 4 * HELD:
                     gather()
                     size = 0
-                    if len(keys) >= 4 * HELD:
-                        yield out()
+                    if len(keys) >= 8 * HELD:
+                        yield from out()
                         keys, counts = keys[:0], counts[:0]
         if held:
             gather()
         if len(keys):
-            yield out()
+            yield from out()
+
+    return run
+
+
+def _add_pairs(least: int):
+    """key, f of the pairs of a partition's buckets that occur least times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, size = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for b in batches:
+            for k, n in zip(b.column(1), b.column(2), strict=True):
+                keys.append(np.frombuffer(k.as_py(), np.int64))
+                counts.append(np.frombuffer(n.as_py(), np.int64))
+                size += len(keys[-1])
+                if size >= max(8 * HELD, len(keys[0])):  # what was added so far is sorted again only with as many new ones
+                    key, n = _added(keys, counts)
+                    keys, counts, size = [key], [n], 0
+        key, f = _added(keys, counts)
+        often = np.flatnonzero(f >= least)
+        for at in range(0, len(often), HELD):
+            rows = often[at : at + HELD]
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(f[rows])], ["key", "f"])
 
     return run
 
@@ -199,6 +249,7 @@ def count_phrases(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared: list[Broadcast] = []
     numbers = None
     if pruned:
+        buckets = max(12, -(-(totals.agg(F.sum("n")).first()[0] or 0) // POSITIONS))
         known = frequent.select("lang", "word").toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])  # at most MOST_WORDS rows
         langs, spelled = known.column(0).to_pylist(), known.column(1).to_pylist()
         vocabulary: dict[str, dict[bytes, int]] = defaultdict(dict)
@@ -208,8 +259,8 @@ def count_phrases(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         numbers = materialise(texts.mapInArrow(_number(sc.broadcast(dict(vocabulary))), "ids binary"), "numbers")
     for k in range(2, LONGEST + 1):
         if pruned:
-            pairs = numbers.mapInArrow(_count_pairs(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
-            pairs = materialise(pairs, f"pairs-{k}")
+            packed = numbers.mapInArrow(_count_pairs(shared, buckets), "bucket int, keys binary, counts binary")
+            pairs = materialise(packed.repartition(buckets, "bucket").mapInArrow(_add_pairs(LEAST), "key long, f long"), f"pairs-{k}")
             level = pairs.mapInArrow(_spell(by_number, list(shared)), "lang string, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string"))
             pruned = k < LONGEST and pairs.count() <= MOST_GRAMS
             if pruned:

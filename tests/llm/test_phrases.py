@@ -5,6 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from mosaiq.llm import phrases
@@ -90,3 +92,29 @@ def test_pairs_need_both_grams():
     assert phrases._pairs(ids, [table]).tolist() == [pair(0, 1)] * 2
     assert phrases._words(np.array([pair(0, 1)]), [table]).tolist() == [[0, 1, 2]]
     assert phrases._pairs(ids, [np.empty(0, np.int64)]).tolist() == []
+
+
+def test_pairs_are_packed_by_bucket(monkeypatch):
+    """A task gives a row for each bucket, not for each pair, and sums over tasks keep all frequent pairs."""
+    monkeypatch.setattr(phrases, "HELD", 50)
+    r = np.random.default_rng(0)
+    cells = [r.integers(-1, 40, 900).astype(np.int32) for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in cells[i : i + 5]], pa.binary())], ["ids"]) for i in range(0, 40, 5)]
+    packed = [*phrases._count_pairs([], 7)(iter(batches[:4])), *phrases._count_pairs([], 7)(iter(batches[4:]))]
+    want = Counter(int(x) for c in cells for x in phrases._pairs(c, []))
+    assert sum(b.num_rows for b in packed) < len(want) / 5 and all(b.num_rows <= phrases.BLOBS for b in packed)
+    got = []
+    for bucket in range(7):
+        own = [b.filter(pc.equal(b.column(0), bucket)) for b in packed]
+        got += [x for b in phrases._add_pairs(3)(iter(own)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert sorted(got) == sorted((k, n) for k, n in want.items() if n >= 3)
+    assert list(phrases._add_pairs(3)(iter([]))) == []
+
+
+def test_sequences_are_short(spark):
+    """Rows of sequences go to Python a thousand at a time, so a row holds few numbers and, beyond that, one text's."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 500), pa.array(["a b a " * 100] * 500)], ["lang", "text"])
+    held = spark.sparkContext.broadcast({"en": {b"a": 0, b"b": 1}})
+    out = [np.frombuffer(c.as_py(), np.int32) for b in phrases._number(held)(iter([batch])) for c in b.column(0)]
+    assert sum(map(len, out)) == 500 * 301 and max(map(len, out)) < phrases.SEQUENCE + 301
+    assert max(map(len, out)) <= 1 << 13
