@@ -126,7 +126,7 @@ def test_groups_gather_until_nothing_moves(spark):
     assert sum(len(s) > 1 for s in at.values()) <= 16
 
 
-@pytest.mark.parametrize(("texts", "still"), [([f"pair {i // 2}" for i in range(40)] + [f"one {i}" for i in range(40)], 0), (["hot"] * 63 + ["two"] * 2 + [f"one {i}" for i in range(31)], 2)])
+@pytest.mark.parametrize(("texts", "still"), [([f"pair {i // 2}" for i in range(40)] + [f"one {i}" for i in range(40)], 0), (["hot"] * 18 + ["two"] * 2 + [f"one {i}" for i in range(76)], 2)])
 def test_rounds_end_once_nothing_can_move(spark, monkeypatch, texts, still):
     """None where all groups are whole; where one has to stay cut and no group has a tie, one still round of each kind."""
     went, written = [], []
