@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.functions import exprs
 from mosaiq.operators import boundary, features, flight, ledger, partitions, prescreen, regions, response, seeds, segments, stability, study
+from mosaiq.plans.queries import KS, QUERIES
 
 
 def labels(spark, grid, run="a", spatialr=1, ranger=1, phase=0):
@@ -65,6 +67,39 @@ def test_half_sample_mode(spark):
     assert (got[2]["mode"], got[2]["dropped"]) == (1.0, 2) and got[3]["mode"] is None
 
 
+def plain_mode(values):
+    a = first = sorted(x for x in values if x > 0)
+    while len(a) > 2:
+        h = (len(a) + 1) // 2
+        i = min(range(len(a) - h + 1), key=lambda i: (a[i + h - 1] - a[i], i))
+        first, a = (a[i : i + h] if first is a else first), a[i : i + h]
+    return (a[0] + a[-1]) / 2, first[0], first[-1]
+
+
+@pytest.mark.parametrize("held", [2, 7, 1 << 16])
+def test_modes_of_any_size(spark, monkeypatch, held):
+    monkeypatch.setattr(prescreen, "MODE_VALUES", held)
+    r = np.random.default_rng(0)
+    own = {2: r.normal(size=150) * 3, 4: np.round(r.gamma(2, size=101), 1), 8: r.uniform(size=5), 16: np.array([0.0, -1.0]), 32: np.array([2.0, 5.0, 0.0])}
+    rows = [(i, k, float(x)) for k, values in own.items() for i, x in enumerate(values)]
+    got = {x["k"]: x for x in prescreen.modes_by_k(spark.createDataFrame([*rows, (900, 2, None)], "vec_id long, k int, distance double")).collect()}
+    assert got.keys() == own.keys() and tuple(got[16])[1:] == (None, None, None, 0, 2)
+    for k in (2, 4, 8, 32):
+        assert tuple(got[k])[1:] == (*plain_mode(own[k].tolist()), (own[k] > 0).sum(), (own[k] <= 0).sum())
+
+
+def test_modes_of_all_vectors(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(15_400, 2)).round(3)
+    x = x.astype(np.float32).astype(np.float64)
+    spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = np.concatenate([np.sqrt(np.partition(((x[i : i + 200, None] - x[None]) ** 2).sum(axis=2), range(33), axis=1)[:, :33]) for i in range(0, len(x), 200)])
+    modes = [plain_mode(near[:, k].tolist()) for k in KS]  # place 0 is the vector itself
+    spans = [(max(m) - min(m)) / sorted(m)[1] for m in ([y[0] for y in modes[i : i + 3]] for i in range(len(KS) - 2))]
+    at = next((i for i, s in enumerate(spans) if s <= 0.1), int(np.argmin(spans)))
+    plateau = QUERIES["hsm_plateau"](spark, str(tmp_path)).first()
+    assert plateau["k"] == KS[at + 1] and [plateau[c] for c in ("mode", "low", "high")] == pytest.approx([v * 1e6 for v in modes[at + 1]], abs=1)
+
+
 def test_knn_and_plateau(spark):
     v = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate((0, 1, 3, 6, 10))], "vec_id long, v array<double>")
     got = {r["vec_id"]: r["distance"] for r in prescreen.knn_distances(v, [2]).collect()}
