@@ -98,6 +98,8 @@ def test_modes_of_all_vectors(spark, tmp_path):
     at = next((i for i, s in enumerate(spans) if s <= 0.1), int(np.argmin(spans)))
     plateau = QUERIES["hsm_plateau"](spark, str(tmp_path)).first()
     assert plateau["k"] == KS[at + 1] and [plateau[c] for c in ("mode", "low", "high")] == pytest.approx([v * 1e6 for v in modes[at + 1]], abs=1)
+    levels = {y["level"]: y["ranger"] for y in QUERIES["ranger_levels"](spark, str(tmp_path)).collect()}
+    assert [levels[i] for i in range(3)] == pytest.approx([v * 1e6 for v in modes[at + 1]], abs=1)
 
 
 def test_knn_and_plateau(spark):
